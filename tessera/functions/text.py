@@ -59,11 +59,14 @@ def word_end_positions(tokens, marker: str = BPE_CONT, end_marker: bool = False)
 
 
 def word_spans(tokens, marker: str = BPE_CONT, end_marker: bool = False) -> Column:
-    """B-07: inclusive (start, end) token span of every word, in order."""
+    """B-07: inclusive (start, end) token span of every word, in order.
+
+    Built without referring to an outer array inside a lambda, so the cost
+    stays linear in the sentence length."""
     ends = word_end_positions(tokens, marker, end_marker)
-    return F.transform(ends, lambda e, k: F.struct(
-        F.when(k == 0, F.lit(0)).otherwise(F.element_at(ends, k) + 1).alias("start"),
-        e.alias("end")))
+    starts = F.concat(F.array(F.lit(0)),
+                      F.transform(F.slice(ends, 1, F.greatest(F.size(ends) - 1, F.lit(0))), lambda e: e + 1))
+    return F.arrays_zip(starts.alias("start"), ends.alias("end"))
 
 
 def word_index(tokens, marker: str = BPE_CONT, end_marker: bool = False) -> Column:

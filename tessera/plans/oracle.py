@@ -20,6 +20,10 @@ VIEWS = {
         FROM documents)""",
     "sent_tok": f"""
       SELECT doc_id, line_no, sid, lang, text, {tokens_sql('text')} AS tokens FROM sent""",
+    "ids": """
+      SELECT sid, list_append(list_transform(tokens, lambda t: length(t) % 12), 2) AS ids FROM sent_tok""",
+    "bpe": r"""
+      SELECT sid, regexp_replace(text, '([A-Za-z]{4})([A-Za-z])', '\1@@ \2', 'g') AS seg FROM sent""",
     "tok": """
       SELECT doc_id, line_no, sid, unnest(range(len(tokens))) AS pos, unnest(tokens) AS tok
       FROM sent_tok""",
@@ -46,7 +50,7 @@ VIEWS = {
 }
 
 # Views that other views read.
-DEPS = {"sent_tok": ["sent"], "tok": ["sent_tok"]}
+DEPS = {"sent_tok": ["sent"], "tok": ["sent_tok"], "ids": ["sent_tok"], "bpe": ["sent"]}
 
 
 def with_views(body: str, *names: str, extra: dict | None = None) -> str:

@@ -81,3 +81,17 @@ def metric(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return ev.select(F.col("user_id").alias("run"), F.row_number().over(w).alias("step"), "ts",
                      "value", (F.col("event_id") % 7 + 1).alias("n"), "event_type")
+
+
+def ids(spark: SparkSession, sf: str) -> DataFrame:
+    """``(sid, ids)``: a vocabulary-free id array per line (token length mod
+    12, then the end id 2) so that specials occur and every array op bites."""
+    s = sent_tokens(spark, sf)
+    return s.select("sid", F.concat(F.transform("tokens", lambda t: F.length(t) % 12),
+                                    F.array(F.lit(2))).alias("ids"))
+
+
+def bpe(spark: SparkSession, sf: str) -> DataFrame:
+    """``(sid, seg)``: lines with sub-word splits ``abcd@@ efgh``."""
+    s = sent(spark, sf)
+    return s.select("sid", F.regexp_replace("text", "([A-Za-z]{4})([A-Za-z])", "$1@@ $2").alias("seg"))
