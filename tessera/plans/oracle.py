@@ -68,4 +68,9 @@ def with_views(body: str, *names: str, extra: dict | None = None) -> str:
         add(n)
     ctes = [f"{n} AS ({VIEWS[n]})" for n in order]
     ctes += [f"{k} AS ({v})" for k, v in (extra or {}).items()]
-    return ("WITH " + ",\n".join(ctes) + "\n" + body) if ctes else body
+    if not ctes:
+        return body
+    text = body.lstrip()
+    if text[:4].upper() == "WITH":  # merge the body's own CTE list
+        return "WITH " + ",\n".join(ctes) + ",\n" + text[4:]
+    return "WITH " + ",\n".join(ctes) + "\n" + body
