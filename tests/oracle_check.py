@@ -61,6 +61,9 @@ def main(argv):
     bad = 0
     for name in names or sorted(qs):
         t0 = time.time()
+        import threading
+        timer = threading.Timer(float(os.environ.get("CHECK_TIMEOUT", "240")), spark.sparkContext.cancelAllJobs)
+        timer.start()
         try:
             df = qs[name](spark, sf_dir)
             rows = [tuple(r) for r in df.collect()]
@@ -69,6 +72,8 @@ def main(argv):
             print(f"FAIL {name}: spark error {type(e).__name__}: {str(e)[:400]}")
             bad += 1
             continue
+        finally:
+            timer.cancel()
         ts = time.time() - t0
         if name not in sql:
             print(f"ROWS {name}: {len(rows)} rows (no oracle) {ts:.1f}s")
