@@ -16,17 +16,20 @@ COUNTS_SQL = """
 SPEC_SQL = "SELECT * FROM (VALUES (0, '<s>'), (1, '<pad>'), (2, '</s>'), (3, '<unk>')) t(id, symbol)"
 
 
-def vocab_sql(threshold: int = -1, nwords: int = -1, pad: int = 8) -> dict:
+def vocab_sql(threshold: int = -1, nwords: int = -1, pad: int = 8, specials=None) -> dict:
+    specials = specials or V.SPECIALS
+    ns = len(specials)
     cond = f"count >= {threshold}" if threshold > 0 else "TRUE"
-    lim = f"WHERE rk <= {nwords - 4}" if nwords > 0 else ""
+    lim = f"WHERE rk <= {nwords - ns}" if nwords > 0 else ""
+    spec = "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(specials)) + ") t(id, symbol)"
     return {
         "counts": COUNTS_SQL,
-        "spec": SPEC_SQL,
+        "spec": spec,
         "ranked": f"""
           SELECT row_number() OVER (ORDER BY count DESC, symbol) AS rk, symbol, count
           FROM counts WHERE symbol NOT IN (SELECT symbol FROM spec) AND {cond}""",
-        "words": f"SELECT CAST(3 + rk AS INTEGER) AS id, symbol, count FROM ranked {lim}",
-        "nw": "SELECT count(*) + 4 AS n FROM words",
+        "words": f"SELECT CAST({ns - 1} + rk AS INTEGER) AS id, symbol, count FROM ranked {lim}",
+        "nw": f"SELECT count(*) + {ns} AS n FROM words",
         "fill": f"""
           SELECT CAST(n + i AS INTEGER) AS id, printf('madeupword%04d', i) AS symbol, CAST(0 AS BIGINT) AS count
           FROM nw, range({pad}) r(i) WHERE i < ({pad} - n % {pad}) % {pad}""",
