@@ -147,7 +147,7 @@ def token_blocks(df: DataFrame, tokens: str, block_size: int, order, fine, coars
     offset and regrouped by block (blocks are bounded, so groups are)."""
     n = F.size(tokens).cast("long")
     d = running_total(df.withColumn("_n", n), order, fine, coarse, value="_n", out="_start", inclusive=False)
-    ex = d.select(F.posexplode(tokens).alias("pos", "tok"), "_start")
+    ex = d.select(F.posexplode_outer(tokens).alias("pos", "tok"), "_start").filter(F.col("pos").isNotNull())
     ex = ex.select((F.col("_start") + F.col("pos")).alias("off"), "tok")
     return (ex.groupBy(F.floor(F.col("off") / block_size).alias("block"))
             .agg(F.array_sort(F.collect_list(F.struct("off", "tok"))).alias("_s"))

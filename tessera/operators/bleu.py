@@ -60,21 +60,35 @@ def _score(stats: DataFrame, smooth: bool) -> DataFrame:
     return out
 
 
+def ngram_rows(df: DataFrame, key: str, col: str, max_order: int = ORDERS, extra=()) -> DataFrame:
+    """``(key, extra..., n, gram)`` rows: positions are exploded once and every
+    order is a ``slice`` from that position (flat, code-generated; incomplete
+    grams at the sentence end are dropped)."""
+    pos = df.select(key, *extra, col, F.explode_outer(F.sequence(F.lit(1), F.greatest(F.size(col), F.lit(1)))).alias("_i"))
+    grams = F.array(*[F.struct(F.lit(n).alias("n"), F.slice(col, F.col("_i"), n).alias("gram"))
+                      for n in range(1, max_order + 1)])
+    rows = pos.select(key, *extra, F.inline(grams))
+    return rows.filter(F.size("gram") == F.col("n"))
+
+
 def bleu(df: DataFrame, key: str, hyp: str, ref: str, pad: int = 1, eos: int = 2, unk: int = 3,
          smooth: bool = False) -> DataFrame:
-    """G-19: corpus BLEU over id arrays; reference unk ids never match."""
+    """G-19: corpus BLEU over id arrays; reference unk ids never match.
+
+    Both sides' n-grams go through one union and one grouping; the corpus
+    lengths are the 1-gram totals of each side."""
     d = df.select(key, bleu_trim(hyp, pad, eos).alias("_h"),
                   F.transform(bleu_trim(ref, pad, eos), lambda x: F.when(x == unk, F.lit(-999)).otherwise(x)).alias("_r"))
-    grams = (d.select(key, F.explode(ngrams("_h")).alias("g"), F.lit(1).alias("ch"), F.lit(0).alias("cr"))
-             .unionByName(d.select(key, F.explode(ngrams("_r")).alias("g"), F.lit(0).alias("ch"), F.lit(1).alias("cr")))
-             .select(key, F.col("g.n").alias("n"), F.col("g.gram").alias("gram"), "ch", "cr"))
-    clipped = (grams.groupBy(key, "n", "gram").agg(F.sum("ch").alias("ch"), F.sum("cr").alias("cr"))
-               .groupBy("n").agg(F.sum(F.least("ch", "cr")).alias("match"), F.sum("ch").alias("total")))
-    lens = d.agg(F.sum(F.size("_h")).alias("predlen"), F.sum(F.size("_r")).alias("reflen"))
-    stats = (clipped.select("n", "match", "total", F.lit(0).cast("long").alias("predlen"),
-                            F.lit(0).cast("long").alias("reflen"))
-             .unionByName(lens.select(F.lit(0).alias("n"), F.lit(0).cast("long").alias("match"),
-                                      F.lit(0).cast("long").alias("total"), "predlen", "reflen")))
+    h = ngram_rows(d.select(key, F.col("_h").alias("_a"), F.lit(1).alias("ch"), F.lit(0).alias("cr")), key, "_a",
+                   extra=("ch", "cr"))
+    r = ngram_rows(d.select(key, F.col("_r").alias("_a"), F.lit(0).alias("ch"), F.lit(1).alias("cr")), key, "_a",
+                   extra=("ch", "cr"))
+    per = h.unionByName(r).groupBy(key, "n", "gram").agg(F.sum("ch").alias("ch"), F.sum("cr").alias("cr"))
+    stats = per.groupBy("n").agg(F.sum(F.least("ch", "cr")).cast("long").alias("match"),
+                                 F.sum("ch").cast("long").alias("total"), F.sum("cr").cast("long").alias("rtotal"))
+    stats = stats.select("n", "match", "total",
+                         F.when(F.col("n") == 1, F.col("total")).otherwise(F.lit(0)).cast("long").alias("predlen"),
+                         F.when(F.col("n") == 1, F.col("rtotal")).otherwise(F.lit(0)).cast("long").alias("reflen"))
     return _score(stats, smooth)
 
 
@@ -86,10 +100,9 @@ def bleu_multi(hyp: DataFrame, refs: DataFrame, key: str, tokens: str = "tokens"
     low = (lambda c: F.transform(F.col(c), lambda x: F.lower(x))) if lowercase else F.col
     h = hyp.select(key, low(tokens).alias("_t"))
     r = refs.select(key, ref_idx, low(tokens).alias("_t"))
-    hc = (h.select(key, F.explode(ngrams("_t")).alias("g"))
-          .groupBy(key, F.col("g.n").alias("n"), F.col("g.gram").alias("gram")).agg(F.count(F.lit(1)).alias("ch")))
-    rc = (r.select(key, ref_idx, F.explode(ngrams("_t")).alias("g"))
-          .groupBy(key, ref_idx, F.col("g.n").alias("n"), F.col("g.gram").alias("gram")).agg(F.count(F.lit(1)).alias("c"))
+    hc = ngram_rows(h, key, "_t").groupBy(key, "n", "gram").agg(F.count(F.lit(1)).alias("ch"))
+    rc = (ngram_rows(r, key, "_t", extra=(ref_idx,))
+          .groupBy(key, ref_idx, "n", "gram").agg(F.count(F.lit(1)).alias("c"))
           .groupBy(key, "n", "gram").agg(F.max("c").alias("cr")))
     clipped = (hc.join(rc, [key, "n", "gram"], "left")
                .groupBy("n").agg(F.sum(F.least("ch", F.coalesce("cr", F.lit(0)))).alias("match"),

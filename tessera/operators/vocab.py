@@ -38,7 +38,8 @@ def count_vocab(df: DataFrame, tokens: str = "tokens", eos: str = "</s>") -> Dat
     Map-side partial counts (HashAggregate partial/final) make a hot token
     cost one row per task before the shuffle.
     """
-    return (df.select(F.explode(F.concat(F.col(tokens), F.array(F.lit(eos)))).alias("symbol"))
+    # explode_outer avoids an inferred size() > 0 filter that would tokenize twice
+    return (df.select(F.explode_outer(F.concat(F.col(tokens), F.array(F.lit(eos)))).alias("symbol"))
             .groupBy("symbol").agg(F.count(F.lit(1)).alias("count")))
 
 
