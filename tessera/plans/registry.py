@@ -27,5 +27,5 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every query module so that it registers itself."""
     from tessera.plans import (  # noqa: F401
-        q_batching, q_features, q_metrics, q_pairing, q_shaping, q_sources, q_streaming, q_text, q_vocab,
+        q_batching, q_extra, q_features, q_metrics, q_pairing, q_shaping, q_sources, q_streaming, q_text, q_vocab,
     )
