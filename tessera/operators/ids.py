@@ -89,3 +89,37 @@ def prefix_sum(df: DataFrame, value, order: Sequence, fine: Sequence, coarse: Se
                out: str = "cum", inclusive: bool = True) -> DataFrame:
     """X-02: exact running total of ``value``."""
     return running_total(df, order, fine, coarse, value, out, inclusive)
+
+
+def running_in_group(df: DataFrame, group: Sequence, order: Sequence, fine: Sequence, value, out: str,
+                     how: str = "max", inclusive: bool = True) -> DataFrame:
+    """Running maximum or sum of ``value`` per ``group`` in ``order`` without
+    a per-group window over rows: every fine bucket (data columns, monotone in
+    the order inside a group) is aggregated map-side, the bucket table (small)
+    is prefixed per group, and the result is combined with the running value
+    inside the bucket.  A group holding a third of all rows is split over
+    many fine buckets, hence many tasks."""
+    agg = F.max if how == "max" else F.sum
+    group_c, order_c = _cols(group), _cols(order)
+    gnames = [f"_g{i}" for i in range(len(group))]
+    fnames = [f"_f{i}" for i in range(len(fine))]
+    v = F.col(value) if isinstance(value, str) else value
+    d = df.select("*", *[c.alias(n) for c, n in zip(group_c, gnames)],
+                  *[c.alias(n) for c, n in zip(_cols(fine), fnames)], v.alias("_rv"))
+    buckets = d.groupBy(*gnames, *fnames).agg(agg("_rv").alias("_b"))
+    w_b = Window.partitionBy(*gnames).orderBy(*fnames).rowsBetween(Window.unboundedPreceding, -1)
+    before = buckets.select(*gnames, *fnames, agg("_b").over(w_b).alias("_p"))
+    w_r = Window.partitionBy(*gnames, *fnames).orderBy(*order_c).rowsBetween(
+        Window.unboundedPreceding, 0 if inclusive else -1)
+    inside = agg("_rv").over(w_r)
+    if how == "max":
+        comb = F.greatest(F.col("_p"), inside)      # greatest skips NULL
+    else:
+        comb = F.coalesce(F.col("_p"), F.lit(0)) + F.coalesce(inside, F.lit(0))
+    res = d.join(before, gnames + fnames).withColumn(out, comb)
+    return res.drop(*gnames, *fnames, "_rv", "_p")
+
+
+def running_max(df: DataFrame, group: Sequence, order: Sequence, fine: Sequence, value, out: str,
+                inclusive: bool = True) -> DataFrame:
+    return running_in_group(df, group, order, fine, value, out, "max", inclusive)

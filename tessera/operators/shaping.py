@@ -242,21 +242,28 @@ def rescore(df: DataFrame, by: Sequence[str], score: str, temperature: float = 1
 
 
 def best_and_patience(df: DataFrame, run: str, step: str, metric: str, maximize: bool = True,
-                      strict: bool = True, patience: int = 3) -> DataFrame:
+                      strict: bool = True, patience: int = 3, step_width: int = 1 << 16) -> DataFrame:
     """W-11: running best per run, steps since the last improvement
     (``counter``) and the stop flag (counter > patience).  A strict
-    improvement needs ``>``; the other form accepts ties (``>=``).  Windows
-    are per run, so independent runs spread over tasks."""
+    improvement needs ``>``; the other form accepts ties (``>=``).
+
+    No per-run window: step numbers, the previous best and the last
+    improvement come from two-phase running counts/maxima over
+    (run, step div step_width) buckets, so one very long run spreads over
+    many tasks.  ``step`` must be an integer order key."""
+    from tessera.operators.ids import running_in_group, running_max
     v = F.col(metric) if maximize else -F.col(metric)
-    w = Window.partitionBy(run).orderBy(step)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    prev_best = F.max(v).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    improved = prev_best.isNull() | ((v > prev_best) if strict else (v >= prev_best))
-    d = df.withColumn("_imp", improved).withColumn("_idx", F.row_number().over(w))
-    d = d.withColumn("_last", F.max(F.when(F.col("_imp"), F.col("_idx"))).over(upto))
-    d = d.withColumn("best", F.max(v).over(upto) * (1 if maximize else -1))
+    fine = [F.floor(F.col(step) / step_width)]
+    d = df.withColumn("_val", v)
+    d = running_in_group(d, [run], [F.col(step)], fine, F.lit(1).cast("long"), "_idx", how="sum")
+    d = running_max(d, [run], [F.col(step)], fine, "_val", "_prev", inclusive=False)
+    imp = F.col("_prev").isNull() | ((F.col("_val") > F.col("_prev")) if strict else (F.col("_val") >= F.col("_prev")))
+    d = d.withColumn("_impidx", F.when(imp, F.col("_idx")))
+    d = running_max(d, [run], [F.col(step)], fine, "_impidx", "_last", inclusive=True)
+    best = F.greatest(F.coalesce(F.col("_prev"), F.col("_val")), F.col("_val"))
+    d = d.withColumn("best", best * (1 if maximize else -1))
     d = d.withColumn("counter", (F.col("_idx") - F.col("_last")).cast("int"))
-    return d.withColumn("stop", F.col("counter") > patience).drop("_imp", "_idx", "_last")
+    return d.withColumn("stop", F.col("counter") > patience).drop("_val", "_idx", "_prev", "_impidx", "_last")
 
 
 def nucleus(df: DataFrame, by: Sequence[str], prob: str, p: float, tie: str) -> DataFrame:

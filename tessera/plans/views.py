@@ -77,10 +77,16 @@ def emb(spark: SparkSession, sf: str) -> DataFrame:
 
 def metric(spark: SparkSession, sf: str) -> DataFrame:
     """``(run, step, ts, value, n)``: per user, events in time order."""
+    from tessera.operators.ids import running_in_group
     ev = read_table(spark, sf, "events")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return ev.select(F.col("user_id").alias("run"), F.row_number().over(w).alias("step"), "ts",
-                     "value", (F.col("event_id") % 7 + 1).alias("n"), "event_type")
+    # step = position of the event in its user's time order, counted with
+    # hour buckets (two-phase), so one very active user is not one task
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    d = ev.withColumn("_t", t)
+    d = running_in_group(d, ["user_id"], [F.col("_t"), F.col("event_id")], [F.floor(F.col("_t") / 3_600_000_000)],
+                         F.lit(1).cast("long"), "step", how="sum")
+    return d.select(F.col("user_id").alias("run"), F.col("step").cast("int").alias("step"), "ts",
+                    "value", (F.col("event_id") % 7 + 1).alias("n"), "event_type")
 
 
 def ids(spark: SparkSession, sf: str) -> DataFrame:
