@@ -173,3 +173,27 @@ def q_a21(spark, sf):
     v = _vocab(spark, sf, threshold=3, materialize=True)
     d = V.decode(V.encode(s, ["sid"], v), ["sid"], v)
     return S.export_refs(d, "text").select("sid", "text")
+
+
+@register("a03_a05_shards_and_pairs", """
+    SELECT lang, CAST(dense_rank() OVER (ORDER BY lang) - 1 AS INTEGER) AS shard, count(*) AS lines,
+           'en' AS src, lang AS tgt
+    FROM documents GROUP BY lang""")
+def q_a03(spark, sf):
+    """One shard per language written as '<split><k>.en-<lang>.txt' (A-03
+    naming), probed in order; the language pair comes from the name (A-05)
+    and the folder from the epoch rotation (A-04)."""
+    d = read_table(spark, sf, "documents").select("doc_id", "lang")
+    langs = [r["lang"] for r in d.select("lang").distinct().orderBy("lang").collect()]  # a few codes
+    base = S.scratch_path(spark, "shards")
+    for i, lg in enumerate(langs):
+        name = "train" + ("" if i == 0 else str(i))
+        S.write_lines(d.filter(F.col("lang") == lg).select("doc_id", F.col("doc_id").cast("string").alias("l")),
+                      "doc_id", "l", f"{base}/{name}.en-{lg}.txt")
+    folder = S.epoch_path(f"{base}-unused:{base}", 3)  # epoch 3 of two folders -> the second
+    rows = S.read_shards(spark, folder, "train", r"en-[A-Za-z_]+\.txt")
+    counts = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("lines"))
+    pairs = S.infer_language_pair(spark, folder, r"train\d*")
+    shard_lang = spark.createDataFrame([(i, lg) for i, lg in enumerate(langs)], "shard int, lang string")
+    return (counts.join(shard_lang, "shard").join(pairs.withColumnRenamed("tgt", "lang"), "lang")
+            .select("lang", "shard", "lines", "src", F.col("lang").alias("tgt")))

@@ -190,3 +190,46 @@ def export_refs(df: DataFrame, text: str, unk: str = "<unk>", bpe: str | None =
     never matches, sub-word markers removed."""
     from tessera.functions.text import remove_bpe
     return df.withColumn(text, remove_bpe(F.replace(F.col(text), F.lit(unk), F.lit(f"<{unk}>")), bpe))
+
+
+# ------------------------------------------------------------------ A-03..A-05
+def list_files(spark: SparkSession, folder: str) -> DataFrame:
+    """File listing as a DataFrame (distributed listing; no file content)."""
+    return (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+            .select(F.col("path")))
+
+
+def infer_language_pair(spark: SparkSession, folder: str, split: str) -> DataFrame:
+    """A-05: language pairs named by '<split>.<l1>-<l2>.<ext>' (a file or a
+    folder of part files)."""
+    pat = rf"/{split}\.([A-Za-z_]+)-([A-Za-z_]+)\.[A-Za-z_]+(/|$)"
+    f = list_files(spark, folder).select(F.regexp_extract("path", pat, 1).alias("src"),
+                                         F.regexp_extract("path", pat, 2).alias("tgt"))
+    return f.filter(F.col("src") != "").distinct()
+
+
+def read_shards(spark: SparkSession, folder: str, split: str, suffix: str) -> DataFrame:
+    """A-03: shard set '<split>', '<split>1', '<split>2', ... probed in order,
+    stopping at the first missing index; rows carry their shard number."""
+    pat = rf"^(.*/{split}(\d*)\.{suffix})(/|$)"
+    found = (list_files(spark, folder)
+             .select(F.regexp_extract("path", pat, 1).alias("dir"), F.regexp_extract("path", pat, 2).alias("k"))
+             .filter(F.col("dir") != "").distinct()
+             .select("dir", F.when(F.col("k") == "", 0).otherwise(F.col("k").cast("int")).alias("shard")))
+    listing = found.collect()  # one row per shard name, not per data row
+    present = {r["shard"] for r in listing}
+    keep = 0
+    while keep in present:
+        keep += 1
+    out = None
+    for r in sorted(listing, key=lambda r: r["shard"]):
+        if r["shard"] < keep:
+            d = read_lines(spark, r["dir"]).withColumn("shard", F.lit(r["shard"]))
+            out = d if out is None else out.unionByName(d)
+    return out
+
+
+def epoch_path(paths: str, epoch: int) -> str:
+    """A-04: colon-separated data folders used round-robin by epoch."""
+    parts = paths.split(":")
+    return parts[epoch % len(parts)]
