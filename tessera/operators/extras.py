@@ -137,3 +137,19 @@ def apply_grouped(df: DataFrame, key: Sequence[str], fn: Callable[[pd.DataFrame]
 def sample_by(df: DataFrame, expr) -> DataFrame:
     """H-05: custom sampler as a column predicate (e.g. on the batch id)."""
     return df.filter(expr)
+
+
+def collate_qe(df: DataFrame, batch: str, src: str, tgt: str, score: str, eos: int, pad: int,
+               src_lang: int = 14, tgt_lang: int = 4) -> DataFrame:
+    """E-02: sentence-level QE batch rows: the pair sequence (B-18), its
+    target mask and language ids, all right-padded to the batch's longest
+    sequence; the score travels with the row."""
+    from tessera.functions.arrays import language_ids, pair_sequence
+    seq, mask = pair_sequence(None, None, src, tgt, eos)
+    d = df.withColumn("_seq", seq).withColumn("_mask", mask).withColumn("_lang", language_ids(src, tgt, src_lang, tgt_lang))
+    w = Window.partitionBy(batch)
+    d = d.withColumn("_m", F.max(F.size("_seq")).over(w))
+    fill = lambda c, v: F.concat(F.col(c), F.array_repeat(F.lit(v), F.col("_m") - F.size(c)))
+    return (d.withColumn("net_input", fill("_seq", pad)).withColumn("xml_mask", fill("_mask", 0))
+            .withColumn("langs", fill("_lang", tgt_lang)).withColumn("ter", F.col(score))
+            .drop("_seq", "_mask", "_lang", "_m"))

@@ -231,3 +231,25 @@ def q_a13(spark, sf):
     path = S.scratch_path(spark, "manifest")
     S.write_lines(header.unionByName(lines), "k", "l", path)
     return S.read_manifest(spark, path)
+
+
+@register("e02_collate_qe", with_views("""
+    WITH p AS (SELECT id, list_transform(s, lambda x: x) AS s, t, (len(t) % 10) / 10.0 AS ter,
+                      row_number() OVER (ORDER BY id) - 1 AS rn FROM pids),
+    q AS (SELECT id, ter, rn // 8 AS batch, list_concat([1], s, [1, 1], t, [1]) AS seq,
+                 list_concat(list_transform(range(len(s) + 2), lambda i: 0), list_transform(range(len(t) + 2), lambda i: 1)) AS mask,
+                 list_concat(list_transform(range(len(s) + 2), lambda i: 14), list_transform(range(len(t) + 2), lambda i: 4)) AS lg
+          FROM p),
+    m AS (SELECT *, max(len(seq)) OVER (PARTITION BY batch) AS mx FROM q)
+    SELECT id, round(ter, 6) AS ter,
+           array_to_string(list_concat(seq, list_transform(range(mx - len(seq)), lambda i: 2)), ' ') AS net_input,
+           array_to_string(list_concat(mask, list_transform(range(mx - len(seq)), lambda i: 0)), ' ') AS xml_mask,
+           array_to_string(list_concat(lg, list_transform(range(mx - len(seq)), lambda i: 4)), ' ') AS langs
+    FROM m""", "pair", extra=__import__("tessera.plans.q_text", fromlist=["PAIR_IDS_SQL"]).PAIR_IDS_SQL))
+def q_e02(spark, sf):
+    from tessera.plans.q_text import pair_ids
+    p = pair_ids(spark, sf).withColumn("ter", (F.size("t") % 10) / 10.0)
+    p = I.with_row_id(p, [F.col("id")], *I.int_key_buckets("id"), out="rn").withColumn("batch", F.floor(F.col("rn") / 8))
+    c = X.collate_qe(p, "batch", "s", "t", "ter", eos=1, pad=2)
+    return c.select("id", R("ter").alias("ter"), J("net_input").alias("net_input"), J("xml_mask").alias("xml_mask"),
+                    J("langs").alias("langs"))
