@@ -90,3 +90,15 @@ def q_e01(spark, sf):
 def q_e06(spark, sf):
     d = ids_rows(spark, sf).withColumn("batch", F.floor(F.col("row_id") / 20))
     return BT.round_batches(d, "batch", "sid").select("sid")
+
+
+@register("d02_sentence_blocks")  # sequential fill rule: checked against brute force in tests/
+def q_d02(spark, sf):
+    """'complete_doc' blocks of at most 256 tokens; an empty line (size 1:
+    only its end symbol) ends a document."""
+    from tessera.operators.sentence_blocks import sentence_blocks
+    s = views.sent_tokens(spark, sf).select("sid", "doc_id", "line_no", (F.size("tokens") + 1).alias("n"))
+    fine, coarse = I.pair_key_buckets("doc_id", "line_no")
+    b = sentence_blocks(s, "n", [F.col("doc_id"), F.col("line_no")], fine, coarse, block=256, sep=1,
+                        chunk_rows=512, group_chunks=4)
+    return b.select("sid", "n", "block")

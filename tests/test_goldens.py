@@ -160,3 +160,32 @@ def test_partition_independence(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert res[0] == res[1] == res[2]
     assert [x[2] for x in sorted(res[0])] == list(range(500))
+
+
+def brute_blocks(sizes, block, sep):
+    """Sentence blocks written from the rule: fill while the block stays
+    within ``block`` tokens (an empty block takes any sentence); a separator
+    row closes the current block and belongs to none."""
+    out, cur, blk = [], 0, 0
+    for s in sizes:
+        if sep is not None and s == sep:
+            out.append(None)
+            blk, cur = blk + 1, 0
+            continue
+        if cur != 0 and cur + s > block:
+            blk, cur = blk + 1, 0
+        cur += s
+        out.append(blk)
+    return out
+
+
+@pytest.mark.parametrize("sep", [None, 1])
+def test_sentence_blocks_match_brute_force(spark, sep):
+    from tessera.operators.sentence_blocks import sentence_blocks
+    rnd = random.Random(7)
+    sizes = [rnd.choice([1, 2, 3, 5, 9, 17, 30]) for _ in range(700)]
+    df = spark.createDataFrame(list(enumerate(sizes)), "k long, n long")
+    got = sentence_blocks(df, "n", [F.col("k")], [F.floor(F.col("k") / 64)], [F.lit(0)], block=20, sep=sep,
+                          chunk_rows=37, group_chunks=3)
+    got = [r["block"] for r in got.orderBy("k").collect()]
+    assert got == brute_blocks(sizes, 20, sep)
