@@ -183,3 +183,26 @@ def round_batches(df: DataFrame, batch: str, key: str, multiple: int = 8) -> Dat
         "_r", F.row_number().over(Window.partitionBy(batch).orderBy(key)))
     keep = F.when(F.col("_n") < multiple, F.col("_n")).otherwise(F.floor(F.col("_n") / multiple) * multiple)
     return d.filter(F.col("_r") <= keep).drop("_n", "_r")
+
+
+# ------------------------------------------------------------------ D-03
+def stream_columns(df: DataFrame, tokens: str, bs: int, bptt: int, eos: str, order, fine, coarse) -> DataFrame:
+    """D-03: the corpus token stream as a (n_batches * bptt + 1) x bs grid:
+    left-padded with the end symbol to n_batches * bptt * bs cells, filled
+    column by column, with a leading row of end symbols.  Every token's cell
+    is arithmetic on its global offset (two-phase prefix sum); the padding
+    cells are generated from the (scalar) token count.  Returns (row, col, tok)."""
+    spark = df.sparkSession
+    n = F.size(tokens).cast("long")
+    d = running_total(df.withColumn("_n", n), order, fine, coarse, value="_n", out="_start", inclusive=False)
+    ex = d.select(F.posexplode_outer(tokens).alias("pos", "tok"), "_start").filter(F.col("pos").isNotNull())
+    total = df.agg(F.sum(n)).first()[0] or 0  # scalar
+    n_batches = -(-total // (bs * bptt))
+    length = n_batches * bptt
+    pad = n_batches * bptt * bs - total
+    p = F.col("_start") + F.col("pos") + pad
+    cells = ex.select((F.floor(p % length) + 1).cast("long").alias("row"), F.floor(p / length).cast("long").alias("col"), "tok")
+    fill = spark.range(pad).select((F.col("id") % length + 1).alias("row"), F.floor(F.col("id") / length).alias("col"),
+                                   F.lit(eos).alias("tok"))
+    head = spark.range(bs).select(F.lit(0).cast("long").alias("row"), F.col("id").alias("col"), F.lit(eos).alias("tok"))
+    return cells.unionByName(fill).unionByName(head)

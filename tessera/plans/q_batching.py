@@ -102,3 +102,18 @@ def q_d02(spark, sf):
     b = sentence_blocks(s, "n", [F.col("doc_id"), F.col("line_no")], fine, coarse, block=256, sep=1,
                         chunk_rows=512, group_chunks=4)
     return b.select("sid", "n", "block")
+
+
+@register("d03_stream_columns", with_views("""
+    WITH t AS (SELECT doc_id, line_no, list_append(tokens, '</s>') AS t FROM sent_tok),
+    o AS (SELECT *, coalesce(sum(len(t)) OVER (ORDER BY doc_id, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st FROM t),
+    e AS (SELECT st + unnest(range(len(t))) AS off, unnest(t) AS tok FROM o),
+    n AS (SELECT count(*) AS n, CAST(ceil(count(*) / 128.0) AS BIGINT) AS nb FROM e),
+    g AS (SELECT n, nb, nb * 16 AS len, nb * 16 * 8 - n AS pad FROM n)
+    SELECT CAST((off + pad) % len + 1 AS BIGINT) AS row, CAST((off + pad) // len AS BIGINT) AS col, tok FROM e, g
+    UNION ALL SELECT CAST(i % len + 1 AS BIGINT), CAST(i // len AS BIGINT), '</s>' FROM g, range(pad) r(i)
+    UNION ALL SELECT CAST(0 AS BIGINT), CAST(c AS BIGINT), '</s>' FROM range(8) r(c)""", "sent_tok"))
+def q_d03(spark, sf):
+    s = views.sent_tokens(spark, sf).select("doc_id", "line_no", F.concat("tokens", F.array(F.lit("</s>"))).alias("t"))
+    fine, coarse = I.pair_key_buckets("doc_id", "line_no")
+    return BT.stream_columns(s, "t", 8, 16, "</s>", [F.col("doc_id"), F.col("line_no")], fine, coarse)

@@ -253,3 +253,16 @@ def q_e02(spark, sf):
     c = X.collate_qe(p, "batch", "s", "t", "ter", eos=1, pad=2)
     return c.select("id", R("ter").alias("ter"), J("net_input").alias("net_input"), J("xml_mask").alias("xml_mask"),
                     J("langs").alias("langs"))
+
+
+@register("h02_learn_apply_bpe")  # iterative learning: checked against brute force in tests/
+def q_h02(spark, sf):
+    """Learn 20 merges from the corpus word counts (lower-cased tokens) and
+    segment every line with them."""
+    from tessera.operators.bpe import learn_merges, merges_applier
+    s = views.sent_tokens(spark, sf).select("sid", F.transform("tokens", lambda t: F.lower(t)).alias("tokens"))
+    counts = s.select(F.explode_outer("tokens").alias("w")).filter(F.col("w").isNotNull()).groupBy("w").agg(
+        F.count(F.lit(1)).alias("c"))
+    merges = learn_merges(counts, "w", "c", 20, cut_every=5)
+    seg = X.apply_word_tokenizer(s.filter(F.size("tokens") > 0), "tokens", merges_applier(merges))
+    return seg.select("sid", F.array_join("pieces", " ").alias("pieces"))

@@ -189,3 +189,37 @@ def test_sentence_blocks_match_brute_force(spark, sep):
                           chunk_rows=37, group_chunks=3)
     got = [r["block"] for r in got.orderBy("k").collect()]
     assert got == brute_blocks(sizes, 20, sep)
+
+
+def test_learn_merges_brute_force(spark):
+    from collections import Counter
+
+    from tessera.operators.bpe import bpe_word, learn_merges
+    words = {"lower": 5, "lowest": 3, "newer": 6, "wider": 2, "new": 4}
+    df = spark.createDataFrame(list(words.items()), "w string, c long")
+    got = learn_merges(df, "w", "c", 6, cut_every=2)
+    # plain learner: most frequent adjacent pair (ties: smallest pair), merged everywhere
+    segs = {w: list(w) for w in words}
+    want = []
+    for r in range(6):
+        cnt = Counter()
+        for w, parts in segs.items():
+            for a, b in zip(parts, parts[1:]):
+                cnt[(a, b)] += words[w]
+        (a, b), n = sorted(cnt.items(), key=lambda kv: (-kv[1], kv[0]))[0]
+        if n < 2:
+            break
+        want.append((r, a, b))
+        for w, parts in segs.items():
+            out, i = [], 0
+            while i < len(parts):
+                if i < len(parts) - 1 and parts[i] == a and parts[i + 1] == b:
+                    out.append(a + b)
+                    i += 2
+                else:
+                    out.append(parts[i])
+                    i += 1
+            segs[w] = out
+    assert got == want
+    ranks = {(a, b): r for r, a, b in got}
+    assert "".join(bpe_word("lowest", ranks)) == "lowest"
