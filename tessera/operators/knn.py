@@ -73,3 +73,22 @@ def knn_heads(keys: DataFrame, queries: DataFrame, heads: int, k: int = 5, metri
         r = r.withColumn("head", F.lit(h))
         out = r if out is None else out.unionByName(r)
     return out
+
+
+def knn_product(keys1: DataFrame, keys2: DataFrame, q1: DataFrame, q2: DataFrame, k: int, n2: int,
+                metric: str = "dot") -> DataFrame:
+    """J-15: product keys.  The score of key (i1, i2) is s1(i1) + s2(i2); the
+    best k per half are found with :func:`knn`.  A pair whose half ranks are
+    (a, b) (1-based) is dominated by at least a*b pairs, so only pairs with
+    a*b <= k can reach the top k: each first-half candidate is exploded to
+    its allowed second-half ranks and equi-joined on (query, rank).  Exact,
+    and no query ever forms k x k pairs.  Key id = i1 * n2 + i2."""
+    h1 = knn(keys1, q1, k, metric).select("qid", F.col("kid").alias("k1"), F.col("score").alias("s1"),
+                                           F.col("rank").alias("r1"))
+    h2 = knn(keys2, q2, k, metric).select("qid", F.col("kid").alias("k2"), F.col("score").alias("s2"),
+                                           F.col("rank").alias("r2"))
+    allowed = h1.select("*", F.explode(F.sequence(F.lit(1), F.floor(F.lit(k) / F.col("r1")).cast("int"))).alias("r2"))
+    cand = allowed.join(h2, ["qid", "r2"]).select(
+        "qid", (F.col("k1") * n2 + F.col("k2")).alias("kid"), (F.col("s1") + F.col("s2")).alias("score"))
+    w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("kid"))
+    return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

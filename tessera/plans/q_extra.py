@@ -266,3 +266,23 @@ def q_h02(spark, sf):
     merges = learn_merges(counts, "w", "c", 20, cut_every=5)
     seg = X.apply_word_tokenizer(s.filter(F.size("tokens") > 0), "tokens", merges_applier(merges))
     return seg.select("sid", F.array_join("pieces", " ").alias("pieces"))
+
+
+@register("j15_knn_product_keys", with_views("""
+    WITH h1 AS (SELECT qid, kid, score FROM (
+        SELECT q.id AS qid, k.id AS kid, list_dot_product(q.vec[1:32], k.vec[1:32]) AS score,
+               row_number() OVER (PARTITION BY q.id ORDER BY list_dot_product(q.vec[1:32], k.vec[1:32]) DESC, k.id) AS r
+        FROM emb q, emb k) WHERE r <= 6),
+    h2 AS (SELECT qid, kid, score FROM (
+        SELECT q.id AS qid, k.id AS kid, list_dot_product(q.vec[33:64], k.vec[33:64]) AS score,
+               row_number() OVER (PARTITION BY q.id ORDER BY list_dot_product(q.vec[33:64], k.vec[33:64]) DESC, k.id) AS r
+        FROM emb q, emb k) WHERE r <= 6),
+    c AS (SELECT h1.qid, h1.kid * 1000 + h2.kid AS kid, h1.score + h2.score AS score FROM h1 JOIN h2 USING (qid))
+    SELECT qid, kid, rank, round(score, 6) AS score FROM (
+      SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, kid) AS rank FROM c) WHERE rank <= 6""", "emb"))
+def q_j15(spark, sf):
+    e = views.emb(spark, sf)
+    a = e.select("id", F.slice("vec", 1, 32).alias("vec"))
+    b = e.select("id", F.slice("vec", 33, 32).alias("vec"))
+    r = K.knn_product(a, b, a, b, k=6, n2=1000)
+    return r.select("qid", "kid", F.col("rank").cast("long").alias("rank"), R("score").alias("score"))
