@@ -60,8 +60,11 @@ def finalize_vocab(counts: DataFrame, threshold: int = -1, nwords: int = -1,
     if threshold > 0:
         rest = rest.filter(F.col("count") >= threshold)
     neg = (-F.col("count"))
+    # coarse buckets on a log scale of the count (a few hundred rows whatever
+    # the corpus size), fine buckets split equal counts by symbol prefix
+    coarse = -F.floor(F.log2(F.greatest(F.col("count"), F.lit(1))) * 8)
     ranked = with_row_id(rest, [neg, F.col("symbol")],
-                         fine=[neg, F.substring("symbol", 1, 3)], coarse=[neg], out="rank")
+                         fine=[neg, F.substring("symbol", 1, 3)], coarse=[coarse], out="rank")
     if nwords > 0:
         ranked = ranked.filter(F.col("rank") < nwords - nspecial)
     words = ranked.select((F.col("rank") + nspecial).cast("int").alias("id"), "symbol",
