@@ -223,3 +223,30 @@ def test_learn_merges_brute_force(spark):
     assert got == want
     ranks = {(a, b): r for r, a, b in got}
     assert "".join(bpe_word("lowest", ranks)) == "lowest"
+
+
+@pytest.mark.parametrize("parts", [1, 5, 16])
+def test_results_independent_of_partitioning(spark, parts):
+    """BLEU, greedy batches and sentence blocks give the same answer for any
+    shuffle partition count and input partitioning."""
+    from tessera.operators.sentence_blocks import sentence_blocks
+    rnd = random.Random(11)
+    rows = [(i, [rnd.randint(4, 9) for _ in range(rnd.randint(1, 12))]) for i in range(120)]
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        df = spark.createDataFrame(rows, "id long, h array<int>").repartition(parts)
+        df = df.withColumn("r", F.reverse("h"))
+        b = B.bleu(df, "id", "h", "r").first()
+        sizes = spark.createDataFrame([(i, len(h)) for i, h in rows], "id long, len long").repartition(parts)
+        g = BT.greedy_batches(sizes, "id", ["len"], max_tokens=24, max_sentences=5, multiple=2)
+        gb = sorted((r["id"], r["batch"]) for r in g.collect())
+        sb = sentence_blocks(sizes, "len", [F.col("id")], [F.floor(F.col("id") / 16)], [F.lit(0)], block=20,
+                             chunk_rows=13, group_chunks=2)
+        sbb = sorted((r["id"], r["block"]) for r in sb.collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    key = (round(b["bleu"], 9), b["m1"], b["m4"], tuple(gb), tuple(sbb))
+    cache = test_results_independent_of_partitioning.__dict__.setdefault("seen", [])
+    cache.append(key)
+    assert all(k == cache[0] for k in cache)
+    assert sbb and [x[1] for x in sorted(sbb)] == brute_blocks([len(h) for _, h in rows], 20, None)
