@@ -237,3 +237,30 @@ def q_n09(spark, sf):
     probs = M.sampling_probs(views.sent(spark, sf), "lang", 0.5)
     draws = views.pair(spark, sf).select("id", P.hash_uniform(37, "id").alias("u"))
     return P.draw_by_weight(draws, "u", probs, "lang", "prob", small_table=True).select("id", "lang")
+
+
+@register("j12_block_pairs_none", with_views(f"""
+    WITH t AS (SELECT doc_id, line_no, list_append(tokens, '</s>') AS t FROM sent_tok),
+    o AS (SELECT *, coalesce(sum(len(t)) OVER (ORDER BY doc_id, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st FROM t),
+    e AS (SELECT st + unnest(range(len(t))) AS off FROM o),
+    b AS (SELECT off // 62 AS block, count(*) AS size FROM e GROUP BY off // 62),
+    n AS (SELECT count(*) AS n FROM b),
+    d AS (SELECT b.block, b.size, ({HU(53, 'b.block', "'next'")} < 0.5 AND b.block < n.n - 1) AS is_next,
+                 floor({HU(53, 'b.block', "'rand'")} * (n.n - 2)) AS r2 FROM b, n),
+    p AS (SELECT block, size, is_next,
+                 CAST(CASE WHEN is_next THEN block + 1 WHEN r2 >= block THEN r2 + 2 ELSE r2 END AS BIGINT) AS pblock FROM d)
+    SELECT p.block, p.is_next, p.pblock, 3 + p.size + q.size AS pair_size FROM p JOIN b q ON q.block = p.pblock""",
+    "sent_tok"))
+def q_j12(spark, sf):
+    """J-12, 'none' mode: the stream cut into (block - 3) // 2 token halves
+    (D-04, block 127), each paired with the next half (label 1, p = 1/2,
+    never for the last) or a random half outside {i, i+1} (J-11 rule)."""
+    from tessera.operators.batching import token_blocks
+    s = views.sent_tokens(spark, sf).select("doc_id", "line_no", F.concat("tokens", F.array(F.lit("</s>"))).alias("t"))
+    fine, coarse = I.pair_key_buckets("doc_id", "line_no")
+    blocks = token_blocks(s, "t", (127 - 3) // 2, [F.col("doc_id"), F.col("line_no")], fine, coarse)
+    blocks = blocks.select(F.col("block").cast("long").alias("block"), F.size("tokens").alias("size"))
+    n = blocks.count()  # number of halves (one scalar)
+    pairs = P.next_sentence(blocks, "block", n, 53)
+    return pairs.select("block", "is_next", F.col("prow").cast("long").alias("pblock"),
+                        (3 + F.col("size") + F.col("p_size")).alias("pair_size"))
