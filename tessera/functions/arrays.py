@@ -20,10 +20,6 @@ def _nonneg(x: Column) -> Column:
     return F.greatest(x, F.lit(0))
 
 
-def _lit_array(values: Sequence[int]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
-
-
 def append_eos(col, eos: int) -> Column:
     """B-08: append ``eos`` unless the array already ends with it."""
     a = _c(col)

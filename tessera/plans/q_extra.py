@@ -199,13 +199,10 @@ def q_h04(spark, sf):
 @register("h05_sample_by", with_views(f"""
     SELECT sid, row_id // 16 AS batch FROM rows WHERE {HU(47, 'row_id // 16')} < 0.25""", "sent_tok", extra=ROWS_SQL))
 def q_h05(spark, sf):
-    r = sent_rows(spark, sf).withColumn("batch", F.floor(F.col("row_id") / 16))
-    return X.sample_by(r, S_hash(r)).select("sid", F.col("batch").cast("long").alias("batch"))
-
-
-def S_hash(r):
     from tessera.operators.shaping import hash_uniform
-    return hash_uniform(47, "batch") < 0.25
+    r = sent_rows(spark, sf).withColumn("batch", F.floor(F.col("row_id") / 16))
+    keep = hash_uniform(47, "batch") < 0.25  # a sampler is a predicate on the batch id
+    return X.sample_by(r, keep).select("sid", F.col("batch").cast("long").alias("batch"))
 
 
 @register("a06_a14_read_scores_labels", with_views("""

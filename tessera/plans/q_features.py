@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions import text as T
 from tessera.operators import features as FE
 from tessera.operators import ids as I
 from tessera.operators import vocab as V
