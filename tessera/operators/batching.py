@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.ids import running_total, with_row_id
-from tessera.operators.vocab import sized_broadcast
 
 INF = 1 << 62
 
@@ -133,7 +132,9 @@ def greedy_batches(df: DataFrame, key: str, sizes: list[str], max_tokens=None, m
     order = [F.col(c) for c in run_cols] + [F.col(key)]
     fine = [F.col(c) for c in run_cols] + [F.floor(F.col(key) / 1e9)]
     ranked = with_row_id(d, order, fine=fine, coarse=[F.col(run_cols[0])], out="rank")
-    j = ranked.join(sized_broadcast(seg_df, max_broadcast), run_cols)
+    # the segment table was built here, so its size is known without a job
+    seg = F.broadcast(seg_df) if len(rows) <= max_broadcast else seg_df
+    j = ranked.join(seg, run_cols)
     j = j.filter((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     return j.withColumn("batch", (F.col("b0") + F.floor((F.col("rank") - F.col("s0")) / F.col("step"))).cast("long")) \
         .drop("lo", "hi", "b0", "step", "s0", "_ntok")
