@@ -70,3 +70,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scale_conf(input_bytes: int, executor_cores: int, target_partition_bytes: int = 128 << 20,
+               expansion: float = 3.0) -> dict:
+    """Partition sizing for a cluster run.  Token explodes and n-gram rows
+    expand the data roughly ``expansion`` times, so shuffle partitions are
+    sized on the expanded volume (never below 2 waves of cores); input splits
+    stay at ``target_partition_bytes`` so a task's working set fits executor
+    memory.  AQE then coalesces small partitions and splits skewed ones."""
+    shuffle = max(2 * executor_cores, int(input_bytes * expansion // target_partition_bytes) + 1)
+    return {
+        "spark.sql.shuffle.partitions": str(shuffle),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    }
