@@ -71,6 +71,8 @@ def with_views(body: str, *names: str, extra: dict | None = None) -> str:
     if not ctes:
         return body
     text = body.lstrip()
+    if text[:14].upper() == "WITH RECURSIVE":  # merge, keeping the recursive marker
+        return "WITH RECURSIVE " + ",\n".join(ctes) + ",\n" + text[14:]
     if text[:4].upper() == "WITH":  # merge the body's own CTE list
         return "WITH " + ",\n".join(ctes) + ",\n" + text[4:]
     return "WITH " + ",\n".join(ctes) + "\n" + body

@@ -17,7 +17,26 @@ def J(c):
     return F.array_join(c.cast("array<string>"), " ")
 
 
-@register("w03_greedy_batches")  # sequential rule: checked against brute force in tests/
+# In size-ascending order the longest row of an open batch is always the
+# current row, so the greedy state is (batch start, rows in batch): a
+# recursive CTE walks the rows and records where each flushed batch ends.
+W03_SQL = with_views("""
+    WITH RECURSIVE s AS (
+      SELECT sid, len, row_number() OVER (ORDER BY len, sid) - 1 AS rk
+      FROM (SELECT sid, len(tokens) + 1 AS len FROM sent_tok) WHERE len <= 1024),
+    st(rk, bstart, b, flush) AS (
+      SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(1 AS BIGINT), CAST(NULL AS BIGINT)
+      UNION ALL
+      SELECT s.rk,
+             CASE WHEN st.b = 64 OR (st.b + 1) * s.len > 1024 THEN st.bstart + greatest(8 * (st.b // 8), st.b % 8) ELSE st.bstart END,
+             CASE WHEN st.b = 64 OR (st.b + 1) * s.len > 1024 THEN st.b - greatest(8 * (st.b // 8), st.b % 8) + 1 ELSE st.b + 1 END,
+             CASE WHEN st.b = 64 OR (st.b + 1) * s.len > 1024 THEN st.bstart + greatest(8 * (st.b // 8), st.b % 8) END
+      FROM st JOIN s ON s.rk = st.rk + 1),
+    bounds AS (SELECT flush AS f FROM st WHERE flush IS NOT NULL)
+    SELECT s.sid, s.len, s.rk AS rank, (SELECT count(*) FROM bounds WHERE f <= s.rk) AS batch FROM s""", "sent_tok")
+
+
+@register("w03_greedy_batches", W03_SQL)  # also checked against brute force in tests/
 def q_w03(spark, sf):
     s = views.sent_tokens(spark, sf).select("sid", (F.size("tokens") + 1).cast("long").alias("len"))
     kept, _ = S.filter_by_size(s, {"len": 1024})  # C-01 first, as in the training input path
@@ -92,7 +111,22 @@ def q_e06(spark, sf):
     return BT.round_batches(d, "batch", "sid").select("sid")
 
 
-@register("d02_sentence_blocks")  # sequential fill rule: checked against brute force in tests/
+D02_SQL = with_views("""
+    WITH RECURSIVE s AS (
+      SELECT sid, len(tokens) + 1 AS n, row_number() OVER (ORDER BY doc_id, line_no) - 1 AS rk FROM sent_tok),
+    st(rk, cur, blk, out) AS (
+      SELECT rk, CASE WHEN n = 1 THEN 0 ELSE n END, CASE WHEN n = 1 THEN 1 ELSE 0 END,
+             CASE WHEN n = 1 THEN NULL ELSE 0 END FROM s WHERE rk = 0
+      UNION ALL
+      SELECT s.rk,
+             CASE WHEN s.n = 1 THEN 0 WHEN st.cur <> 0 AND st.cur + s.n > 256 THEN s.n ELSE st.cur + s.n END,
+             CASE WHEN s.n = 1 OR (st.cur <> 0 AND st.cur + s.n > 256) THEN st.blk + 1 ELSE st.blk END,
+             CASE WHEN s.n = 1 THEN NULL WHEN st.cur <> 0 AND st.cur + s.n > 256 THEN st.blk + 1 ELSE st.blk END
+      FROM st JOIN s ON s.rk = st.rk + 1)
+    SELECT s.sid, CAST(s.n AS INTEGER) AS n, CAST(st.out AS BIGINT) AS block FROM s JOIN st USING (rk)""", "sent_tok")
+
+
+@register("d02_sentence_blocks", D02_SQL)  # also checked against brute force in tests/
 def q_d02(spark, sf):
     """'complete_doc' blocks of at most 256 tokens; an empty line (size 1:
     only its end symbol) ends a document."""
