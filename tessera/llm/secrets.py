@@ -332,6 +332,10 @@ def report(docs: DataFrame) -> DataFrame:
     """Counts of the base kinds, the digest of their spans, and all spans."""
     base = [r.kind for r in BASE_RULES]
     s = scan(docs)
-    n = [F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in base]
-    digest = F.sha2(joined(F.filter("spans", lambda x: x["kind"].isin(base))), 256)
+
+    def of(kinds: list[str]) -> Column:
+        return F.filter("spans", lambda x: x["kind"].isin(kinds))
+
+    n = [F.size(of([k])).cast("long").alias(f"n_{k}") for k in base]
+    digest = F.sha2(joined(of(base)), 256)
     return s.select("doc_id", *n, digest.alias("base_sha256"), joined(F.col("spans")).alias("spans"))
