@@ -25,3 +25,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import secrets
     return secrets.report(table(spark, sf_dir, "documents"))
+
+
+@register()
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import near_dedup
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85, words=3)
+
+
+DECONTAMINATE_SQL = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+iw AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (SELECT DISTINCT item, least(len(w), 10) AS m, array_to_string(list_slice(w, p, p + least(len(w), 10) - 1), ' ') AS s
+        FROM iw, LATERAL (SELECT unnest(range(1, len(w) - least(len(w), 10) + 2)) AS p) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT m FROM win),
+dwin AS (SELECT doc_id, m, p, array_to_string(list_slice(w, p, p + m - 1), ' ') AS s
+         FROM dw, sizes, LATERAL (SELECT unnest(range(1, len(w) - m + 2)) AS p) WHERE len(w) >= m),
+hit AS (SELECT doc_id, dwin.m, p, item FROM dwin JOIN win ON dwin.m = win.m AND dwin.s = win.s),
+words AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + m)) AS q FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+@register(DECONTAMINATE_SQL)
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import decontaminate
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
