@@ -34,10 +34,10 @@ sh AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, p, p + 2), ' ') AS
 size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
 common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
 link AS (SELECT a, b FROM common JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
-both AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
-reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, both.b FROM reach JOIN both ON reach.b = both.a)
-SELECT d.doc_id, coalesce(size.n, 0) AS n_shingles, r.least AS component_id, d.doc_id = r.least AS kept
-FROM documents d LEFT JOIN size USING (doc_id) JOIN (SELECT a, min(b) AS least FROM reach GROUP BY a) r ON r.a = d.doc_id
+way AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, way.b FROM reach JOIN way ON reach.b = way.a)
+SELECT d.doc_id, coalesce(size.n, 0) AS n_shingles, r.low AS component_id, d.doc_id = r.low AS kept
+FROM documents d LEFT JOIN size USING (doc_id) JOIN (SELECT a, min(b) AS low FROM reach GROUP BY a) r ON r.a = d.doc_id
 """
 
 
