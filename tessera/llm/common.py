@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tessera.session import cut_lineage
+
 SLICE_BYTES = 1 << 21
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -153,3 +155,16 @@ def per_row(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def small(df, rows: int) -> bool:
     """Whether a (written) table has at most ``rows`` rows; reads no more than needed."""
     return df.limit(rows + 1).count() <= rows
+
+
+def cut(df):
+    """``df`` as a written table in the shared checkpoint folder.  The shuffle
+    files of the write are dropped as soon as it has ended, where this session
+    can do so: the table replaces them."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        return cut_lineage(df)
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)

@@ -68,3 +68,22 @@ FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import decontaminate
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+SUBSTRING_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, p, array_to_string(list_slice(w, p, p + 19), ' ') AS s FROM w, LATERAL (SELECT unnest(range(1, len(w) - 18)) AS p) WHERE len(w) >= 20),
+later AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS k FROM win) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS p FROM later),
+word AS (SELECT doc_id, p, w[p] AS word FROM w, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS p)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t FROM word WHERE (doc_id, p) NOT IN (SELECT doc_id, p FROM gone) GROUP BY doc_id),
+lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(lost.n, 0) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)
+"""
+
+
+@register(SUBSTRING_SQL)
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import substrings
+    return substrings.report(table(spark, sf_dir, "documents"))
