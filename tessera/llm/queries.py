@@ -87,3 +87,28 @@ FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import substrings
     return substrings.report(table(spark, sf_dir, "documents"))
+
+
+LINE_SQL = r"""
+WITH line AS (SELECT doc_id, source, i, string_split(text, chr(10))[i] AS raw
+              FROM (SELECT doc_id, coalesce(source, '') AS source, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
+bare AS (SELECT *, trim(raw, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS t FROM line),
+spread AS (SELECT t, min((doc_id, i)) AS first FROM bare WHERE t <> '' GROUP BY t HAVING count(DISTINCT source) >= 10),
+judged AS (SELECT bare.*, spread.t IS NOT NULL AND (doc_id, i) <> first AS gone FROM bare LEFT JOIN spread ON bare.t = spread.t),
+doc AS (SELECT doc_id, count(*) FILTER (WHERE t <> '') AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+               string_agg(raw, chr(10) ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM judged GROUP BY doc_id)
+SELECT documents.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN doc USING (doc_id)
+"""
+
+
+@register(LINE_SQL)
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import line_dedup
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
+@register()
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import sharding
+    return sharding.assign(table(spark, sf_dir, "documents"))
