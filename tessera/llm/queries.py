@@ -112,3 +112,25 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import sharding
     return sharding.assign(table(spark, sf_dir, "documents"))
+
+
+@register()
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import packing
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+WARC_SQL = r"""
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+q AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS last,
+             array_to_string(list_transform(range(0, 8), lambda g: array_to_string(list_transform([15, 10, 5, 0],
+               lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(hex, g * 5 + 1, 5) AS BIGINT) >> s) & 31 AS BIGINT) + 1, 1)), '')), '') AS payload_digest FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> last THEN last END AS refers_to FROM q
+"""
+
+
+@register(WARC_SQL)
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import warc
+    return warc.round_trip(table(spark, sf_dir, "pages"))
