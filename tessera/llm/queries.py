@@ -134,3 +134,9 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = last THEN 're
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import warc
     return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+@register()
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import quality
+    return quality.report(table(spark, sf_dir, "documents"))
