@@ -26,6 +26,7 @@ from tessera.llm.common import LOWER, SPACE, U64, Words, cut, mix64, slices
 
 ORDER = 5
 MARK = 0x20
+EMPTY_WORD = int.from_bytes(bytes([MARK]) * ORDER, "big")
 MODEL_ROWS = 4_000_000
 HELD = 1 << 21          # n-grams a counting task holds before it merges them
 NEVER = -99.0
@@ -91,21 +92,27 @@ def lang_words(langs: np.ndarray, words: Words, h: np.ndarray) -> Iterator[tuple
             yield lang, mine, mine[first], inverse
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tally = Tally()
-    for batch in batches:
-        langs = np.array(batch.column(0).to_pylist(), dtype=object)
-        for lo, hi, buf, offs in slices(batch.column(1)):
-            w = Words(buf, offs, SPACE, LOWER)
-            for lang, _, one, inverse in lang_words(langs[lo:hi].astype(str), w, w.hashes()):
-                word, gram = word_grams(w.buf, w.start[one], w.end[one])
-                tally.add(lang, gram, np.bincount(inverse, minlength=len(one)).astype(np.int64)[word])
-    yield from tally.batches(["lang", "gram", "n"])
-
-
-def count_grams(texts: DataFrame) -> DataFrame:
-    """``(lang, gram, n)`` over all words of ``(lang, text)``."""
-    partial = texts.select("lang", "text").mapInArrow(_count, "lang string, gram bigint, n bigint")
+def _count(ends: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally()
+        for batch in batches:
+            langs = np.array(batch.column(0).to_pylist(), dtype=str)
+            for lo, hi, buf, offs in slices(batch.column(1)):
+                w = Words(buf, offs, SPACE, LOWER)
+                for lang, _, one, inverse in lang_words(langs[lo:hi], w, w.hashes()):
+                    word, gram = word_grams(w.buf, w.start[one], w.end[one])
+                    tally.add(lang, gram, np.bincount(inverse, minlength=len(one)).astype(np.int64)[word])
+                if ends:
+                    for lang, n in zip(*np.unique(langs[lo:hi], return_counts=True)):
+                        tally.add(str(lang), np.array([EMPTY_WORD], U64), np.array([n], np.int64))
+        yield from tally.batches(["lang", "gram", "n"])
+    return run
+
+
+def count_grams(texts: DataFrame, ends: bool = False) -> DataFrame:
+    """``(lang, gram, n)`` over all words of ``(lang, text)`` and, with ``ends``,
+    over an empty word at the end of each text."""
+    partial = texts.select("lang", "text").mapInArrow(_count(ends), "lang string, gram bigint, n bigint")
     return cut(partial.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
 
 

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 from tessera.session import cut_lineage
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _WORD_SEED = 0x5EED_7E55
@@ -157,14 +157,20 @@ def small(df, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+_WRITE = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",      # the table replaces the shuffle files
+          "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}                  # whole texts are long rows
+
+
 def cut(df):
     """``df`` as a written table in the shared checkpoint folder.  The shuffle
-    files of the write are dropped as soon as it has ended, where this session
-    can do so: the table replaces them."""
-    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = conf.get(key, None)
-    conf.set(key, "true")
+    files of the write are dropped as soon as it has ended, and Arrow batches of
+    texts are kept small; the session's settings are put back after it."""
+    conf = df.sparkSession.conf
+    before = {k: conf.get(k, None) for k in _WRITE}
+    for k, v in _WRITE.items():
+        conf.set(k, v)
     try:
         return cut_lineage(df)
     finally:
-        conf.unset(key) if before is None else conf.set(key, before)
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)

@@ -7,13 +7,16 @@ hash of its own number until it meets a filled one).  ``ROWS`` bins make a band,
 equal bands put two texts in a bucket.
 
 Texts with equal shingle sets are one node from the start.  A bucket does not
-emit its pairs: it elects a centre, and only (centre, member) edges are checked
-on full sets.  The member that meets most others over all its buckets is the
-centre, as copies resemble their original more than each other.  Members that a
-round has not brought together stay: further rounds elect further centres until
-each bucket holds one component (or each of its members outside the largest
-component has been a centre), so that no link between different texts is lost
-to the choice of centres.
+emit its pairs: it elects a centre, the member that meets most others over all
+its buckets (copies resemble their original more than each other), and only
+(centre, member) edges are checked, on full sets.  Buckets of at most ``FEW``
+members are compared in full.
+
+A star loses links between members that are not linked to its centre.  What two
+such members could still have in common lies outside the centre, so further
+rounds regroup them by their shingles outside the centre (``_next_members``):
+buckets that only copies with the same changes share.  Rounds end when every
+bucket holds one component.
 
 Defined results: a null or empty text has no shingles, is linked with nothing
 and is its own component; a text of fewer words than a shingle has one shingle,
@@ -33,13 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER, SPACE, U64, Words, gram_hash, mix64, slices, small, within_row
-from tessera.session import cut_lineage
+from tessera.llm.common import LOWER, SPACE, U64, Words, cut, gram_hash, mix64, slices, small, within_row
 
 BANDS, ROWS = 40, 5       # misses a link at 0.85 with chance 1e-10, at 0.8 with 1e-7
 BINS = BANDS * ROWS
 ROWS_AT_ONCE = 2048
 BROADCAST_ROWS = 100_000     # of narrow rows (a key and a few numbers)
+FEW = 8                      # members of a bucket that are compared with each other,
+FULL = 64                    # and of a bucket of texts that share a change
 _EDGES = np.array([(j << 64) // BINS for j in range(1, BINS)], dtype=U64)
 _BAND = mix64(np.arange(1, BINS + 1, dtype=U64)) | U64(1)
 
@@ -136,101 +140,176 @@ def _light(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def full_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     """``(node, shingles)`` of the given ``(node, doc_id)``, from whole texts."""
-    want = _light(cut_lineage(nodes.select(F.col("doc_id").alias("_id")).distinct()))
+    want = _light(cut(nodes.select(F.col("doc_id").alias("_id")).distinct()))
     d = docs.select("doc_id", "text")
     texts = d.join(want, d["doc_id"].eqNullSafe(want["_id"]), "left_semi")
     sets = texts.select("text").mapInArrow(_sets(words), "node binary, shingles array<bigint>")
-    return cut_lineage(sets.join(_light(cut_lineage(nodes.select("node"))), "node", "left_semi").dropDuplicates(["node"]))
+    return cut(sets.join(_light(cut(nodes.select("node"))), "node", "left_semi").dropDuplicates(["node"]))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``(node, label)``: smallest node reachable, by alternating hooking on the
     smallest neighbour and pointer jumping; each round is a written table."""
-    both = cut_lineage(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = cut_lineage(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
+    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    label = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
     while True:
         near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         hooked = label.join(near, "node").select("node", "label", F.least("label", "near").alias("new"))
         jump = hooked.select(F.col("node").alias("new"), F.col("new").alias("far"))
-        step = cut_lineage(hooked.join(jump, "new", "left").select("node", "label", F.least("new", F.coalesce("far", "new")).alias("new")))
+        step = cut(hooked.join(jump, "new", "left").select("node", "label", F.least("new", F.coalesce("far", "new")).alias("new")))
         moved = step.filter(~F.col("label").eqNullSafe(F.col("new"))).limit(1).count()
         label = step.select("node", F.col("new").alias("label"))
         if not moved:
             return label
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sets reach ``percent`` of their union, on full sets."""
+def shares(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(a, b, na, nb, share)``: set sizes and size of the intersection."""
     a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("_sa"))
     b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("_sb"))
-    both = F.size(F.array_intersect("_sa", "_sb"))
-    return (pairs.select("a", "b").join(a, "a").join(b, "b")
-            .select("a", "b", both.alias("_n"), (F.size("_sa") + F.size("_sb")).alias("_s"))
-            .filter(100 * F.col("_n") >= percent * (F.col("_s") - F.col("_n"))).select("a", "b"))
+    return (pairs.join(a, "a").join(b, "b")
+            .select("a", "b", F.size("_sa").alias("na"), F.size("_sb").alias("nb"), F.size(F.array_intersect("_sa", "_sb")).alias("share")))
+
+
+def linked(percent: int):
+    return 100 * F.col("share") >= percent * (F.col("na") + F.col("nb") - F.col("share"))
+
 
+def quick_labels(edges: DataFrame) -> DataFrame:
+    """``(node, label)``: two rounds of hooking; equal labels are one component,
+    one component may still have several."""
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    one = (both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
+    far = one.select(F.col("node").alias("label"), F.col("label").alias("far"))
+    return cut(one.join(far, "label", "left").select("node", F.coalesce("far", "label").alias("label")))
+
+
+def _open(members: DataFrame, label: DataFrame | None) -> DataFrame:
+    """Members, with labels, of the buckets that hold several components and a
+    member that may still be a centre."""
+    if label is not None:
+        members = members.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    else:
+        members = members.withColumn("label", F.col("node"))
+    groups = (members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n1"), F.max(F.col("links") > 0).alias("more"))
+              .groupBy("bucket").agg(F.count(F.lit(1)).alias("groups"), F.sum("n1").alias("size"), F.max("more").alias("more")))
+    return cut(members.join(groups.filter("groups > 1 and more").drop("more"), "bucket"))
 
-def _stars(members: DataFrame, centres: DataFrame, percent: int) -> DataFrame:
-    """Distinct candidate pairs ``(a, b)``, a < b: each centre with the members
-    of its bucket outside its component whose set sizes allow the similarity."""
-    c = centres.select("bucket", F.col("node").alias("_c"), F.col("n").alias("_n"), F.col("label").alias("_l"))
+
+def _centres(large: DataFrame, stars: int) -> DataFrame:
+    """``(bucket, c, top)``: the member with most links of each bucket (``top``)
+    and, in later rounds, about ``stars`` more, drawn by hash."""
+    top = large.groupBy("bucket").agg(F.max(F.struct("links", "node")).alias("top")).select("bucket", F.col("top.node").alias("c"), F.lit(True).alias("top"))
+    draw = (F.pmod(F.xxhash64("bucket", "node"), F.lit(1 << 20)) * F.col("size") < F.lit(stars << 20)) & (F.col("links") > 0)
+    more = large.filter(draw).select("bucket", F.col("node").alias("c"), F.lit(False).alias("top"))
+    return cut(top.union(more).groupBy("bucket", "c").agg(F.max("top").alias("top")))
+
+
+def _ordered(x: str, y: str) -> list:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def _within(few: DataFrame, percent: int) -> DataFrame:
+    """All pairs of a (small) bucket's members that can be linked: of other
+    components, of sizes that fit and, in the bucket of a change, with enough
+    shingles inside (``links``) and outside its centre."""
+    other = few.select("bucket", F.col("node").alias("_c"), F.col("n").alias("_n"), F.col("label").alias("_l"), F.col("links").alias("_k"))
     fits = 100 * F.least("n", "_n") >= percent * F.greatest("n", "_n")
-    return (members.join(c, "bucket").filter((F.col("label") != F.col("_l")) & fits)
-            .select(F.least("node", "_c").alias("a"), F.greatest("node", "_c").alias("b")).distinct())
-
-
-def _election(members: DataFrame, stars: int) -> DataFrame:
-    """Centres of the buckets that still hold several components.  Every such
-    bucket elects the most connected member of a component other than its
-    largest, and about ``stars`` of its other components (drawn by hash) send
-    theirs, too; the first round takes the most connected member of all."""
-    best = F.max(F.struct("links", "node", "n")).alias("best")
-    groups = members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("size"), best)
-    whole = groups.groupBy("bucket").agg(F.count(F.lit(1)).alias("groups"), F.max(F.struct("size", "label")).alias("major"),
-                                         F.max("best").alias("top")).filter("groups > 1")
-    if not stars:
-        own = members.select("node", "label").distinct()
-        return whole.select("bucket", "top.node", "top.n").join(own, "node")
-    rest = groups.join(whole, "bucket").filter(F.col("label") != F.col("major.label"))
-    lead = rest.groupBy("bucket").agg(F.max("best").alias("lead"))
-    draw = F.pmod(F.xxhash64("bucket", "label"), F.lit(1 << 20)) * F.col("groups") < F.lit(stars << 20)
-    return (rest.join(lead, "bucket").filter(draw | (F.col("best.node") == F.col("lead.node")))
-            .select("bucket", "best.node", "best.n", "label"))
+    most = F.least("links", "_k") + F.least(F.col("n") - F.col("links"), F.col("_n") - F.col("_k"))
+    enough = (F.col("full") == FEW) | ((100 + percent) * most >= percent * (F.col("n") + F.col("_n")))
+    return (few.join(other, "bucket").filter((F.col("node") < F.col("_c")) & (F.col("label") != F.col("_l")) & fits & enough)
+            .select(*_ordered("node", "_c")))
+
+
+def _next_members(star: DataFrame, large: DataFrame, sets: DataFrame, grown: DataFrame | None, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``(bucket, node, links, every)``: what a round leaves to compare, from
+    ``star``: ``(bucket, c, node, n, nc, share, is_link)``, every member with the top
+    centre of its bucket.  Let p be the similarity, x and y two linked texts.
+
+    Either lacks at most (1 - p) of the other's shingles.  If x shares less than
+    half of its own with c, y shares less than ``far``: members below ``far`` stay in
+    their bucket for another centre, the others leave it, and pairs of members
+    that share half or more are looked after centre by centre:
+
+    * If they have fewer than p / (1 + p) * (n_x + n_y) shingles of c in common at
+      most, they must meet outside c.  They share ``need`` or more shingles there,
+      so also one of each one's first (all - need + 1) in hash order: those
+      shingles become new buckets, which only copies with equal changes share.
+    * Else, as one of them is not linked to c, the other is smaller than c and
+      within ``cap`` of it: such members go to one new bucket, where ``every`` one
+      that is not linked to c (``links`` > 0) becomes a centre in time.
+
+    New buckets take their centre from the members closest to c.  ``grown`` holds
+    the (c, member) pairs so far; buckets of c are made anew only when it has met
+    new members, so the rounds end."""
+    p = percent / 100
+    far = 0.5 / p + 1 - p
+    n, share = F.col("n"), F.col("share")
+    stay = large.select("bucket", "node", "links", "every", "full").join(star.filter(share >= far * n).select("bucket", "node"), ["bucket", "node"], "left_anti")
+
+    fresh = star.filter(share >= n / 2).select("c", "node", "n", "nc", "share", "is_link").distinct()
+    fresh = cut(fresh if grown is None else fresh.join(grown.select("c", "node"), ["c", "node"], "left_anti"))
+    grown = fresh if grown is None else grown.union(fresh)
+    related = cut(grown.join(fresh.select("c").distinct(), "c"))
+    loose = related.filter(~F.col("is_link")).select("c").distinct()
+    related = cut(related.join(loose, "c"))
+    mine = sets.select("node", F.col("shingles").alias("_s"))
+    centre = sets.select(F.col("node").alias("c"), F.col("shingles").alias("_c"))
+    outside = related.join(mine, "node").join(centre, "c").select("c", "node", "n", "share", F.array_except("_s", "_c").alias("r"))
+    need = F.greatest(F.lit(1), F.ceil(F.lit(percent) * n / 100) - share)
+    prefix = F.slice("r", 1, F.greatest(F.lit(0), F.size("r") - need + 1).cast("int"))
+    moved = cut(outside.select("c", "node", share.cast("long").alias("links"), F.explode(prefix).alias("s"))
+                .select(F.xxhash64("c", "s").alias("bucket"), "node", "links", F.lit(False).alias("every"), F.lit(FULL).alias("full")))
+    met = moved.groupBy("bucket").agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1").drop("_m")
+    moved = moved.join(met, "bucket").select("bucket", "node", "links", "every", "full")
+
+    close = related.filter(100 * share >= percent * n).withColumn("cap", share * (1 + p) / p - n)
+    bound = close.groupBy("c").agg(F.min("n").alias("low"), F.max(F.when(~F.col("is_link"), F.col("cap"))).alias("top"))
+    close = close.join(bound, "c").filter((~F.col("is_link") & (F.col("low") <= F.col("cap"))) | (n <= F.col("top")))
+    close = close.select(F.xxhash64("c", F.lit("close")).alias("bucket"), "node", F.when(F.col("is_link"), 0).otherwise(1).cast("long").alias("links"), F.lit(True).alias("every"), F.lit(FEW).alias("full"))
+    members = stay.union(moved).union(close).groupBy("bucket", "node").agg(F.max("links").alias("links"), F.max("every").alias("every"), F.max("full").alias("full"))
+    return cut(members), grown
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept, node)`` of every row of
     ``docs``: texts whose word shingle sets share ``percent`` of their union are
     linked, ``component_id`` is the smallest ``doc_id`` reachable."""
-    seen = cut_lineage(sketch(docs, words))
+    seen = cut(sketch(docs, words))
     nodes = (seen.filter("n_shingles > 0").groupBy("node")
              .agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands")))
     spread = nodes.select("node", "doc_id", "n", F.explode("bands").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    live = cut_lineage(spread.join(shared, "bucket"))
+    live = cut(spread.join(shared, "bucket"))
     links = live.groupBy("node").agg(F.sum("size").alias("links"))
-    members = cut_lineage(live.drop("size").join(links, "node").withColumn("label", F.col("node")))
-    sets = full_sets(docs, members.select("node", "doc_id").distinct(), words)
+    members = cut(live.drop("size").join(links, "node").withColumn("every", F.lit(False)).withColumn("full", F.lit(FEW)))
+    sizes = cut(members.select("node", "doc_id", "n").distinct())
+    sets = full_sets(docs, sizes, words)
+    sizes = sizes.select("node", "n")
 
-    edges = tested = label = None
-    stars = 0
+    tested, edges, label, grown, stars = None, None, None, None, 0
     while True:
-        centres = cut_lineage(_election(members, stars))
-        if not centres.limit(1).count():
+        opened = _open(members.select("bucket", "node", "links", "every", "full").join(sizes, "node"), label)
+        if not opened.limit(1).count():
             break
-        pairs = _stars(members, centres, percent)
-        pairs = cut_lineage(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs)
-        tested = pairs if tested is None else tested.union(pairs)
-        found = cut_lineage(verified(pairs, sets, percent))
-        edges = found if edges is None else edges.union(found)
-        if found.limit(1).count():
-            label = components(edges)
-        members = members.join(centres.select("bucket", "node"), ["bucket", "node"], "left_anti").drop("label")
-        if label is not None:
-            members = members.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        else:
-            members = members.withColumn("label", F.col("node"))
-        members = cut_lineage(members)
-        stars = max(1, 4 * stars)
+        few, large = opened.filter(F.col("size") <= F.col("full")), opened.filter(F.col("size") > F.col("full"))
+        pairs = _within(few, percent)
+        centres = _centres(large, stars)
+        star = cut(large.join(centres, "bucket").filter(F.col("node") != F.col("c")).select("bucket", "c", "node", (F.col("top") & ~F.col("every")).alias("settles"), *_ordered("c", "node")))
+        pairs = pairs.union(star.select("a", "b")).distinct()
+        found = cut(shares(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), sets))
+        tested = found if tested is None else tested.union(found)
+        edges = tested.filter(linked(percent)).select("a", "b")
+        label = quick_labels(edges)
+        known = tested.select("a", "b", "share", "na", "nb", linked(percent).alias("is_link"))
+        star = star.filter("settles").join(known, ["a", "b"]).select("bucket", "c", "node", F.when(F.col("a") == F.col("node"), F.col("na")).otherwise(F.col("nb")).alias("n"),
+                                                   F.when(F.col("a") == F.col("c"), F.col("na")).otherwise(F.col("nb")).alias("nc"), "share", "is_link")
+        left = large.join(centres.select("bucket", F.col("c").alias("node")), ["bucket", "node"], "left_anti")
+        members, grown = _next_members(cut(star), left, sets, grown, percent)
+        stars = max(4, 4 * stars)
+    if tested is not None:
+        edges = cut(edges)
+        label = components(edges) if edges.limit(1).count() else None
 
     first = seen.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("_first"))
     if label is not None:

@@ -140,3 +140,9 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import quality
     return quality.report(table(spark, sf_dir, "documents"))
+
+
+@register()
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import lm_score
+    return lm_score.scored(table(spark, sf_dir, "documents"))

@@ -203,8 +203,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     whole = copies.groupBy("_id").agg(F.collect_set("mark").alias("marks"))
     gone = cut(gone.join(whole, "_id", "full"))
     kind = d.schema["doc_id"].dataType.simpleString()
-    return (d.join(gone, "_id", "left").select("doc_id", "text", "starts", "marks")
-            .mapInArrow(_remove, f"doc_id {kind}, n_words bigint, n_removed bigint, kept_text string"))
+    return cut(d.join(gone, "_id", "left").select("doc_id", "text", "starts", "marks")
+               .mapInArrow(_remove, f"doc_id {kind}, n_words bigint, n_removed bigint, kept_text string"))
 
 
 def report(docs: DataFrame) -> DataFrame:
