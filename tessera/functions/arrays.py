@@ -33,7 +33,7 @@ def remove_eos(col, eos: int) -> Column:
 
 
 def prepend_bos(col, bos: int) -> Column:
-    """B-08/B-23: put ``bos`` in front unless already there."""
+    """B-08: put ``bos`` in front unless already there (B-23 is :func:`prepend`)."""
     a = _c(col)
     return F.when((F.size(a) > 0) & (F.element_at(a, 1) == bos), a).otherwise(F.concat(F.array(F.lit(bos)), a))
 
@@ -149,14 +149,15 @@ def make_positions(col, pad: int) -> Column:
 
 
 def flip_padding(col, pad: int, to_left: bool) -> Column:
-    """B-25: move pads to the other end (rotation by the pad count); no-op
-    when already padded on that side or unpadded."""
+    """B-25: move padding to the other end: rotate the row by its number of
+    pads (interior pads keep their place in the rotated order).  Row form of a
+    batch rule: a row that does not end (``to_left``) or begin in a pad has its
+    padding on the wanted side, or none, and stays as it is."""
     a = _c(col)
-    npad = F.size(F.filter(a, lambda x: x == pad))
-    rest = F.filter(a, lambda x: x != pad)
-    if to_left:
-        return F.concat(F.array_repeat(F.lit(pad), npad), rest)
-    return F.concat(rest, F.array_repeat(F.lit(pad), npad))
+    n, npad = F.size(a), F.size(F.filter(a, lambda x: x == pad))
+    head = npad if not to_left else n - npad          # what the rotation moves to the back
+    turned = F.concat(F.slice(a, head + 1, F.greatest(n - head, F.lit(0))), F.slice(a, 1, head))
+    return F.when((n > 0) & (F.get(a, n - 1 if to_left else F.lit(0)) == pad), turned).otherwise(a)
 
 
 def flip_keep_first(col, length) -> Column:

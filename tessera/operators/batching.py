@@ -156,10 +156,12 @@ def token_blocks(df: DataFrame, tokens: str, block_size: int, order, fine, coars
 
 
 # ------------------------------------------------------------------ E-*
-def pad_to_batch(df: DataFrame, batch: str, ids: str, pad: int, left: bool = False, cap: int = 512) -> DataFrame:
-    """E-04: pad every row of a batch to the batch's longest row (capped)."""
+def pad_to_batch(df: DataFrame, batch: str, ids: str, pad: int, left: bool = False,
+                 cap: int | None = None) -> DataFrame:
+    """E-04: pad every row of a batch to the batch's longest row; rows are cut
+    to ``cap`` ids only where the caller asks for it."""
     w = Window.partitionBy(batch)
-    d = df.withColumn("_a", F.slice(ids, 1, cap))
+    d = df.withColumn("_a", F.col(ids) if cap is None else F.slice(ids, 1, cap))
     d = d.withColumn("_m", F.max(F.size("_a")).over(w))
     fill = F.array_repeat(F.lit(pad), F.col("_m") - F.size("_a"))
     return d.withColumn("padded", F.concat(fill, "_a") if left else F.concat("_a", fill)).drop("_a", "_m")

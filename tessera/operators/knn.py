@@ -75,14 +75,16 @@ def knn_heads(keys: DataFrame, queries: DataFrame, heads: int, k: int = 5, metri
     return out
 
 
-def knn_product(keys1: DataFrame, keys2: DataFrame, q1: DataFrame, q2: DataFrame, k: int, n2: int,
+def knn_product(keys1: DataFrame, keys2: DataFrame, q1: DataFrame, q2: DataFrame, k: int, n2: int | None = None,
                 metric: str = "dot") -> DataFrame:
     """J-15: product keys.  The score of key (i1, i2) is s1(i1) + s2(i2); the
     best k per half are found with :func:`knn`.  A pair whose half ranks are
     (a, b) (1-based) is dominated by at least a*b pairs, so only pairs with
     a*b <= k can reach the top k: each first-half candidate is exploded to
     its allowed second-half ranks and equi-joined on (query, rank).  Exact,
-    and no query ever forms k x k pairs.  Key id = i1 * n2 + i2."""
+    and no query ever forms k x k pairs.  Key id = i1 * n2 + i2, where ``n2``
+    (by default the largest second id plus one) is larger than every second id."""
+    n2 = n2 or keys2.agg(F.max("id")).first()[0] + 1
     h1 = knn(keys1, q1, k, metric).select("qid", F.col("kid").alias("k1"), F.col("score").alias("s1"),
                                            F.col("rank").alias("r1"))
     h2 = knn(keys2, q2, k, metric).select("qid", F.col("kid").alias("k2"), F.col("score").alias("s2"),

@@ -92,13 +92,25 @@ def next_sentence(df: DataFrame, row: str, n: int, seed: int) -> DataFrame:
 
 
 def contrastive_negatives(df: DataFrame, key: str, length: str, n_neg: int, seed: int) -> DataFrame:
-    """J-13: ``n_neg`` negatives per position drawn uniformly from the other
-    positions of the same sequence (equi-join on (key, index))."""
-    pos = df.select(key, F.explode(F.sequence(F.lit(0), F.col(length) - 1)).alias("pos"), length)
-    pos = pos.filter(F.col(length) > 1)
+    """J-13: ``n_neg`` negatives per position, drawn uniformly from all
+    positions of the same sequence, the own one included (a sequence of one
+    position draws itself)."""
+    pos = df.filter(F.col(length) > 0).select(key, F.explode(F.sequence(F.lit(0), F.col(length) - 1)).alias("pos"), length)
     draws = pos.select(key, "pos", length, F.explode(F.sequence(F.lit(1), F.lit(n_neg))).alias("j"))
-    r = F.floor(hash_uniform(seed, key, "pos", "j") * (F.col(length) - 1))
-    return draws.withColumn("neg", F.when(r >= F.col("pos"), r + 1).otherwise(r)).select(key, "pos", "j", "neg")
+    r = F.floor(hash_uniform(seed, key, "pos", "j") * F.col(length))
+    return draws.select(key, "pos", "j", r.alias("neg"))
+
+
+def attach_vectors(vocab: DataFrame, vectors: DataFrame, symbol: str = "symbol", word: str = "word") -> DataFrame:
+    """J-03: the vocabulary with the vector of each symbol that the word-vector
+    table holds (null elsewhere); ``vectors`` has one row per word (A-11)."""
+    return vocab.join(vectors.withColumnRenamed(word, symbol), symbol, "left")
+
+
+def vector_overlap(vocab: DataFrame, vectors: DataFrame, symbol: str = "symbol", word: str = "word") -> DataFrame:
+    """J-03: one row ``(found, types)``: how many vocabulary types have a vector."""
+    has = vectors.select(F.col(word).alias(symbol), F.lit(1).alias("_has")).distinct()
+    return vocab.select(symbol).join(has, symbol, "left").agg(F.count("_has").alias("found"), F.count(F.lit(1)).alias("types"))
 
 
 # ------------------------------------------------------------------ noise
@@ -125,36 +137,55 @@ def _staged_words(df: DataFrame, key: str, tokens: str, seed, marker: str = "@@"
                                           lambda w: hash_uniform(seed, key, w)))
 
 
-def word_dropout(df: DataFrame, key: str, tokens: str, p: float, seed, blank: str | None = None) -> DataFrame:
-    """N-01 / N-02: drop (or blank) whole words with probability ``p``; at
-    least one word survives (the one with the largest draw): a word is kept
-    when its draw is >= min(p, largest draw)."""
+def word_dropout(df: DataFrame, key: str, tokens: str, p: float, seed, blank: str | None = None,
+                 eos: str | None = None) -> DataFrame:
+    """N-01 / N-02: drop (or blank) whole words with probability ``p``; a
+    final ``eos`` always stays.  If one token or none is left, a random token of
+    the sentence is put in front."""
     d = _staged_words(df, key, tokens, seed)
-    d = d.withColumn("_thr", F.least(F.lit(p), F.coalesce(F.array_max("_u"), F.lit(p))))
-    d = d.withColumn("_kw", _pinned(F.transform("_w", lambda w: F.element_at("_u", w + 1) >= F.col("_thr")),
-                                    arrays=["_u"], scalars=["_thr"]))
+    d = d.withColumn("_last", F.when(F.get(F.col(tokens), F.size(tokens) - 1).eqNullSafe(F.lit(eos)), F.col("_nw") - 1)
+                     .otherwise(F.lit(-1)) if eos is not None else F.lit(-1))
+    d = d.withColumn("_kw", _pinned(F.transform("_w", lambda w: (F.element_at("_u", w + 1) >= p) | (w == F.col("_last"))),
+                                    arrays=["_u"], scalars=["_last"]))
     z = F.arrays_zip(F.col(tokens).alias("t"), F.col("_kw").alias("k"))
     if blank is None:
         out = F.transform(F.filter(z, lambda x: x["k"]), lambda x: x["t"])
     else:
         out = F.transform(z, lambda x: F.when(x["k"], x["t"]).otherwise(F.lit(blank)))
-    return d.withColumn("noised", F.when(F.size(tokens) == 0, F.col(tokens)).otherwise(out)).drop(
-        "_w", "_nw", "_u", "_thr", "_kw")
+    d = d.withColumn("_out", out)
+    extra = F.slice(tokens, (F.floor(hash_uniform(seed, key, F.lit("insert")) * F.size(tokens)) + 1).cast("int"), 1)
+    noised = F.when(F.size("_out") > 1, F.col("_out")).otherwise(F.concat(extra, F.col("_out")))
+    return d.withColumn("noised", F.when(F.size(tokens) == 0, F.col(tokens)).otherwise(noised)).drop(
+        "_w", "_nw", "_u", "_last", "_kw", "_out")
 
 
-def word_shuffle(df: DataFrame, key: str, tokens: str, k: float, seed) -> DataFrame:
+def word_shuffle(df: DataFrame, key: str, tokens: str, k: float, seed, eos: str | None = None) -> DataFrame:
     """N-03: local shuffle: word w gets score w + U(0, k) (first word -1),
-    tokens sorted by score (+1e-6 * position keeps sub-words in order)."""
+    tokens sorted by score (+1e-6 * position keeps sub-words in order); a
+    final ``eos`` keeps its place."""
     if k == 0:
         return df.withColumn("noised", F.col(tokens))
     if k <= 1:
         raise ValueError("shuffle distance must be > 1")
     d = _staged_words(df, key, tokens, seed)
+    fixed = F.get(F.col(tokens), F.size(tokens) - 1).eqNullSafe(F.lit(eos)) if eos is not None else F.lit(False)
+    d = d.withColumn("_n", F.size(tokens) - fixed.cast("int"))
     d = d.withColumn("_noise", F.transform("_u", lambda u, w: F.when(w == 0, F.lit(-1.0)).otherwise(u * k)))
     sc = _pinned(F.transform(F.arrays_zip(F.col(tokens).alias("t"), F.col("_w").alias("w")), lambda x, i: F.struct(
-        (x["w"] + F.element_at("_noise", x["w"] + 1) + F.lit(1e-6) * i).alias("s"), x["t"].alias("t"))),
-        arrays=["_noise"])
-    return d.withColumn("noised", F.transform(F.array_sort(sc), lambda x: x["t"])).drop("_w", "_nw", "_u", "_noise")
+        (i >= F.col("_n")).alias("end"), (x["w"] + F.element_at("_noise", x["w"] + 1) + F.lit(1e-6) * i).alias("s"),
+        x["t"].alias("t"))), arrays=["_noise"], scalars=["_n"])
+    return d.withColumn("noised", F.transform(F.array_sort(sc), lambda x: x["t"])).drop("_w", "_nw", "_u", "_noise", "_n")
+
+
+def add_noise(df: DataFrame, key: str, tokens: str, k: float, p_drop: float, p_blank: float, seeds: Sequence,
+              blank: str = "<unk>", eos: str | None = "</s>") -> DataFrame:
+    """N-04: shuffle, then drop, then blank, each on the words of what the step
+    before left; ``seeds`` are the three steps' seeds."""
+    d = word_shuffle(df, key, tokens, k, seeds[0], eos).withColumnRenamed("noised", "_n1")
+    d = (word_dropout(d, key, "_n1", p_drop, seeds[1], None, eos) if p_drop else d.withColumn("noised", F.col("_n1")))
+    d = d.withColumnRenamed("noised", "_n2")
+    d = (word_dropout(d, key, "_n2", p_blank, seeds[2], blank, eos) if p_blank else d.withColumn("noised", F.col("_n2")))
+    return d.drop("_n1", "_n2")
 
 
 def mask_tokens(df: DataFrame, key: str, ids: str, p: float, seed, mask_id: int, pad: int,
@@ -182,16 +213,18 @@ def mask_tokens(df: DataFrame, key: str, ids: str, p: float, seed, mask_id: int,
             .drop("_cnt", "_chosen"))
 
 
-def mask_weighted(df: DataFrame, key: str, ids: str, weight_of, p: float, seed, mask_id: int) -> DataFrame:
+def mask_weighted(df: DataFrame, key: str, ids: str, weight_of, p: float, seed, mask_id: int,
+                  never: Sequence[int] = ()) -> DataFrame:
     """N-07: weighted sampling without replacement of max(1, round(p*n))
-    positions (never the first or last): the positions with the largest
-    u**(1/w) (Efraimidis-Spirakis), ``weight_of(id)`` a Column function."""
+    positions (never the first or last, an id in ``never`` such as end and pad,
+    or one of weight 0): the positions with the largest u**(1/w), compared as
+    ln(u)/w (Efraimidis-Spirakis), ``weight_of(id)`` a Column function."""
     n = F.size(ids)
     cnt = F.greatest(F.lit(1), F.round(n * p)).cast("int")
     keyed = F.transform(F.col(ids), lambda x, i: F.struct(
-        (-F.pow(hash_uniform(seed, key, i), 1.0 / weight_of(x))).alias("k"), i.alias("i"),
-        ((i == 0) | (i == n - 1)).alias("edge")))
-    d = df.withColumn("_cand", F.filter(F.array_sort(keyed), lambda s: ~s["edge"]))
+        (-F.log(F.greatest(hash_uniform(seed, key, i), F.lit(1e-300))) / F.nullif(weight_of(x), F.lit(0.0))).alias("k"), i.alias("i"),
+        ((i == 0) | (i == n - 1) | (x.isin(*never) if never else F.lit(False))).alias("edge")))
+    d = df.withColumn("_cand", F.filter(F.array_sort(keyed), lambda s: ~s["edge"] & s["k"].isNotNull()))
     d = d.withColumn("_chosen", F.transform(F.slice("_cand", 1, cnt), lambda s: s["i"]))
     return d.withColumn("masked", _pinned(F.transform(ids, lambda x, i: F.when(F.array_contains("_chosen", i),
                                                                                  F.lit(mask_id)).otherwise(x)),

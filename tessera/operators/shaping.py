@@ -21,10 +21,12 @@ def _c(x) -> Column:
 
 # --------------------------------------------------------------- X-03
 def hash_uniform(seed, *keys) -> Column:
-    """Reproducible U[0,1) from (seed, keys...): first 32 bits of an MD5 of
-    the ':'-joined values.  Same bits in any engine with md5; never rand()."""
+    """Reproducible U[0,1) from (seed, keys...): first 52 bits of an MD5 of
+    the ':'-joined values (all a double can tell apart below 1, so draws reach
+    every row of a corpus of any size).  Same bits in any engine with md5;
+    never rand()."""
     parts = [F.lit(str(seed))] + [_c(k).cast("string") for k in keys]
-    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("double") / 4294967296.0
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 13), 16, 10).cast("double") / 4503599627370496.0
 
 
 def hash_bucket(u: Column, n: int = 4096) -> Column:

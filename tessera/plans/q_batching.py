@@ -81,12 +81,12 @@ def ids_rows(spark, sf):
 
 
 @register("e04_pad_to_batch", with_views("""
-    SELECT sid, array_to_string(list_concat(ids[1:40], list_transform(range(m - len(ids[1:40])), lambda i: 1)), ' ') AS padded
-    FROM (SELECT sid, ids, max(len(ids[1:40])) OVER (PARTITION BY row_id // 16) AS m FROM r)""", "sent", "ids",
+    SELECT sid, array_to_string(list_concat(ids, list_transform(range(m - len(ids)), lambda i: 1)), ' ') AS padded
+    FROM (SELECT sid, ids, max(len(ids)) OVER (PARTITION BY row_id // 16) AS m FROM r)""", "sent", "ids",
     extra=ROWS_IDS))
 def q_e04(spark, sf):
     d = ids_rows(spark, sf).withColumn("batch", F.floor(F.col("row_id") / 16))
-    return BT.pad_to_batch(d, "batch", "ids", pad=1, cap=40).select("sid", J("padded").alias("padded"))
+    return BT.pad_to_batch(d, "batch", "ids", pad=1).select("sid", J("padded").alias("padded"))
 
 
 @register("e01_collate_pairs", with_views("""

@@ -137,7 +137,7 @@ def q_e03(spark, sf):
     SELECT sid, array_to_string(list_concat(src, list_transform(range(m - len(src)), lambda i: 1)), ' ') AS source,
            array_to_string(list_concat(ids, list_transform(range(m - len(ids)), lambda i: 1)), ' ') AS target FROM (
       SELECT sid, ids, src, max(len(ids)) OVER (PARTITION BY row_id // 16) AS m FROM (
-        SELECT sid, row_id, ids[1:512] AS ids, list_prepend(2, ids[1:len(ids) - 1])[1:512] AS src FROM r))""",
+        SELECT sid, row_id, ids, list_prepend(2, ids[1:len(ids) - 1]) AS src FROM r))""",
     "sent", "ids", extra=ROWS_IDS))
 def q_e05(spark, sf):
     from tessera.functions.arrays import lm_source
@@ -274,12 +274,12 @@ def q_h02(spark, sf):
         SELECT q.id AS qid, k.id AS kid, list_dot_product(q.vec[33:64], k.vec[33:64]) AS score,
                row_number() OVER (PARTITION BY q.id ORDER BY list_dot_product(q.vec[33:64], k.vec[33:64]) DESC, k.id) AS r
         FROM emb q, emb k) WHERE r <= 6),
-    c AS (SELECT h1.qid, h1.kid * 1000 + h2.kid AS kid, h1.score + h2.score AS score FROM h1 JOIN h2 USING (qid))
+    c AS (SELECT h1.qid, h1.kid * (SELECT max(id) + 1 FROM emb) + h2.kid AS kid, h1.score + h2.score AS score FROM h1 JOIN h2 USING (qid))
     SELECT qid, kid, rank, round(score, 6) AS score FROM (
       SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, kid) AS rank FROM c) WHERE rank <= 6""", "emb"))
 def q_j15(spark, sf):
     e = views.emb(spark, sf)
     a = e.select("id", F.slice("vec", 1, 32).alias("vec"))
     b = e.select("id", F.slice("vec", 33, 32).alias("vec"))
-    r = K.knn_product(a, b, a, b, k=6, n2=1000)
+    r = K.knn_product(a, b, a, b, k=6)
     return r.select("qid", "kid", F.col("rank").cast("long").alias("rank"), R("score").alias("score"))

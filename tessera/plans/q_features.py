@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import features as FE
 from tessera.operators import ids as I
+from tessera.operators import pairing as P
 from tessera.operators import vocab as V
 from tessera.plans import views
 from tessera.plans.oracle import with_views
@@ -191,14 +192,30 @@ def q_g37(spark, sf):
     return FE.word_stats(t, "word", "lp").select("word", "count", R("mean_lprob").alias("mean_lprob"))
 
 
+# a word-vector table: every token's hash names one of the vectors, or none
+WORD_VEC_SQL = """SELECT t.tok AS word, e.vec FROM (SELECT DISTINCT tok FROM tok) t
+    JOIN emb e ON e.id = CAST('0x' || substr(md5(t.tok), 1, 6) AS BIGINT) % 5000"""
+
+
+def _word_vectors(spark, sf):
+    t = views.tok(spark, sf).select(F.col("tok").alias("word")).distinct()
+    t = t.withColumn("id", F.conv(F.substring(F.md5("word"), 1, 6), 16, 10).cast("long") % 5000)
+    return t.join(views.emb(spark, sf).select("id", "vec"), "id").select("word", "vec")
+
+
 @register("j03_attach_vectors", with_views("""
-    SELECT v.id, v.symbol, e.vec IS NOT NULL AS has_vector, round(e.vec[1], 6) AS first_dim
-    FROM vocab v LEFT JOIN emb e ON e.id = v.id""", "sent_tok", "emb", extra=vocab_sql(threshold=3)))
+    SELECT v.id, v.symbol, list_transform(e.vec, lambda x: round(x, 6)) AS vec FROM vocab v LEFT JOIN wv e ON e.word = v.symbol""",
+    "tok", "emb", extra={**vocab_sql(threshold=3), "wv": WORD_VEC_SQL}))
 def q_j03(spark, sf):
-    v = _vocab(spark, sf, threshold=3)
-    e = views.emb(spark, sf).select("id", "vec")
-    j = v.join(e, "id", "left")
-    return j.select("id", "symbol", F.col("vec").isNotNull().alias("has_vector"), R(F.element_at("vec", 1)).alias("first_dim"))
+    j = P.attach_vectors(_vocab(spark, sf, threshold=3), _word_vectors(spark, sf))
+    return j.select("id", "symbol", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
+
+
+@register("j03_vector_overlap", with_views("""
+    SELECT count(e.word) AS found, count(*) AS types FROM vocab v LEFT JOIN wv e ON e.word = v.symbol""",
+    "tok", "emb", extra={**vocab_sql(threshold=3), "wv": WORD_VEC_SQL}))
+def q_j03o(spark, sf):
+    return P.vector_overlap(_vocab(spark, sf, threshold=3), _word_vectors(spark, sf))
 
 
 @register("j09_back_translation", """

@@ -25,7 +25,7 @@ def R(c, k=6):
 def HU(seed, *parts):
     """DuckDB form of shaping.hash_uniform(seed, parts...)."""
     key = " || ':' || ".join(f"CAST({p} AS VARCHAR)" for p in parts)
-    return f"(CAST(('0x' || substr(md5('{seed}:' || {key}), 1, 8)) AS BIGINT) / 4294967296.0)"
+    return f"(CAST(('0x' || substr(md5('{seed}:' || {key}), 1, 13)) AS BIGINT) / 4503599627370496.0)"
 
 
 @register("j01_zip_by_id", """
@@ -95,9 +95,8 @@ def q_j11(spark, sf):
 
 @register("j13_contrastive_negatives", with_views(f"""
     WITH p AS (SELECT sid, unnest(range(len(ids))) AS pos, len(ids) AS n FROM ids),
-    d AS (SELECT sid, pos, n, unnest(range(1, 4)) AS j FROM p WHERE n > 1),
-    r AS (SELECT sid, pos, j, floor({HU(19, 'sid', 'pos', 'j')} * (n - 1)) AS r FROM d)
-    SELECT sid, pos, j, CAST(CASE WHEN r >= pos THEN r + 1 ELSE r END AS BIGINT) AS neg FROM r""", "ids"))
+    d AS (SELECT sid, pos, n, unnest(range(1, 4)) AS j FROM p)
+    SELECT sid, pos, j, CAST(floor({HU(19, 'sid', 'pos', 'j')} * n) AS BIGINT) AS neg FROM d""", "ids"))
 def q_j13(spark, sf):
     d = views.ids(spark, sf).select("sid", F.size("ids").alias("n"))
     c = P.contrastive_negatives(d, "sid", "n", 3, 19)
@@ -140,40 +139,71 @@ def q_j17(spark, sf):
     return vocab_overlap(v, fr, "left_semi").select("symbol")
 
 
-NOISE_SQL = {
-    "wu": f"SELECT sid, w, {HU(11, 'sid', 'w')} AS u FROM (SELECT DISTINCT sid, w FROM bword)",
-    "wk": "SELECT sid, w, u, u >= 0.3 AS keep FROM wu",
-    "ws": "SELECT sid, bool_or(keep) AS anyk, arg_max(w, u) AS best FROM wk GROUP BY sid",
-    "tk": """SELECT b.sid, b.pos, b.tok, b.w, (k.keep OR (NOT s.anyk AND b.w = s.best)) AS kw
-             FROM bword b JOIN wk k USING (sid, w) JOIN ws s USING (sid)""",
-}
+# Sentences with a final end symbol, as tokens with their word index, and the
+# three noise steps; every step is a chain of views with its own prefix.
+EOS_SQL = {"ew": """SELECT sid, pos, tok, w, false AS fin FROM bword UNION ALL
+    SELECT s.sid, coalesce(m.n, 0), '</s>', coalesce(m.w + 1, 0), true
+    FROM bpe s LEFT JOIN (SELECT sid, count(*) AS n, max(w) AS w FROM bword GROUP BY sid) m USING (sid)"""}
 
 
-@register("n01_word_dropout", with_views("""
-    SELECT s.sid, coalesce(t.noised, '') AS noised FROM bpe s LEFT JOIN (
-      SELECT sid, coalesce(string_agg(CASE WHEN kw THEN tok END, ' ' ORDER BY pos), '') AS noised FROM tk GROUP BY sid) t
-    USING (sid)""", "bpe", extra={**BPE_TOK_SQL, **NOISE_SQL}))
+def _words_again(name: str, src: str) -> dict:
+    """Word indexes of the tokens of ``src`` (sid, pos, tok)."""
+    return {name: f"""SELECT sid, pos, tok, coalesce(sum(CASE WHEN tok LIKE '%@@' THEN 0 ELSE 1 END) OVER (
+        PARTITION BY sid ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS w,
+        pos = max(pos) OVER (PARTITION BY sid) AS fin FROM {src}"""}
+
+
+def _shuffle_views(x: str, src: str, k: float, seed: int) -> dict:
+    return {f"{x}_out": f"""SELECT sid, row_number() OVER (PARTITION BY sid ORDER BY fin,
+        w + CASE WHEN w = 0 THEN -1.0 ELSE {HU(seed, 'sid', 'w')} * {k} END + 1e-6 * pos) - 1 AS pos, tok FROM {src}"""}
+
+
+def _drop_views(x: str, src: str, p: float, seed: int, blank: str | None = None) -> dict:
+    kept = "kw" if blank is None else "true"
+    tok = "tok" if blank is None else f"CASE WHEN kw THEN tok ELSE '{blank}' END"
+    return {
+        f"{x}_k": f"SELECT *, w = max(CASE WHEN fin THEN w END) OVER (PARTITION BY sid) OR {HU(seed, 'sid', 'w')} >= {p} AS kw FROM {src}",
+        f"{x}_n": f"SELECT sid, count(*) AS n, count(*) FILTER (WHERE {kept}) AS kept FROM {x}_k GROUP BY sid",
+        f"{x}_all": f"""SELECT sid, pos, {tok} AS tok FROM {x}_k WHERE {kept} UNION ALL
+            SELECT t.sid, -1, t.tok FROM {x}_k t JOIN {x}_n c USING (sid)
+            WHERE c.kept <= 1 AND t.pos = floor({HU(seed, 'sid', "'insert'")} * c.n)""",
+        f"{x}_out": f"SELECT sid, row_number() OVER (PARTITION BY sid ORDER BY pos) - 1 AS pos, tok FROM {x}_all",
+    }
+
+
+def _joined_sql(src: str) -> str:
+    return f"SELECT sid, string_agg(tok, ' ' ORDER BY pos) AS noised FROM {src} GROUP BY sid"
+
+
+def _eos_tokens(spark, sf):
+    return views.bpe(spark, sf).select("sid", F.concat(T.tokenize("seg"), F.array(F.lit("</s>"))).alias("t"))
+
+
+@register("n01_word_dropout", with_views(_joined_sql("d_out"), "bpe",
+                                         extra={**BPE_TOK_SQL, **EOS_SQL, **_drop_views("d", "ew", 0.3, 11)}))
 def q_n01(spark, sf):
-    d = views.bpe(spark, sf).select("sid", T.tokenize("seg").alias("t"))
-    return P.word_dropout(d, "sid", "t", 0.3, 11).select("sid", F.array_join("noised", " ").alias("noised"))
+    return P.word_dropout(_eos_tokens(spark, sf), "sid", "t", 0.3, 11, eos="</s>").select("sid", F.array_join("noised", " ").alias("noised"))
 
 
-@register("n02_word_blank", with_views("""
-    SELECT s.sid, coalesce(t.noised, '') AS noised FROM bpe s LEFT JOIN (
-      SELECT sid, string_agg(CASE WHEN kw THEN tok ELSE '<unk>' END, ' ' ORDER BY pos) AS noised FROM tk GROUP BY sid) t
-    USING (sid)""", "bpe", extra={**BPE_TOK_SQL, **NOISE_SQL}))
+@register("n02_word_blank", with_views(_joined_sql("d_out"), "bpe",
+                                       extra={**BPE_TOK_SQL, **EOS_SQL, **_drop_views("d", "ew", 0.3, 11, "<unk>")}))
 def q_n02(spark, sf):
-    d = views.bpe(spark, sf).select("sid", T.tokenize("seg").alias("t"))
-    return P.word_dropout(d, "sid", "t", 0.3, 11, blank="<unk>").select("sid", F.array_join("noised", " ").alias("noised"))
+    d = P.word_dropout(_eos_tokens(spark, sf), "sid", "t", 0.3, 11, blank="<unk>", eos="</s>")
+    return d.select("sid", F.array_join("noised", " ").alias("noised"))
 
 
-@register("n03_word_shuffle", with_views(f"""
-    SELECT s.sid, coalesce(t.noised, '') AS noised FROM bpe s LEFT JOIN (
-      SELECT sid, string_agg(tok, ' ' ORDER BY w + CASE WHEN w = 0 THEN -1.0 ELSE {HU(11, 'sid', 'w')} * 3.0 END + 1e-6 * pos) AS noised
-      FROM bword GROUP BY sid) t USING (sid)""", "bpe", extra=BPE_TOK_SQL))
+@register("n03_word_shuffle", with_views(_joined_sql("s_out"), "bpe",
+                                         extra={**BPE_TOK_SQL, **EOS_SQL, **_shuffle_views("s", "ew", 3.0, 11)}))
 def q_n03(spark, sf):
-    d = views.bpe(spark, sf).select("sid", T.tokenize("seg").alias("t"))
-    return P.word_shuffle(d, "sid", "t", 3.0, 11).select("sid", F.array_join("noised", " ").alias("noised"))
+    return P.word_shuffle(_eos_tokens(spark, sf), "sid", "t", 3.0, 11, eos="</s>").select("sid", F.array_join("noised", " ").alias("noised"))
+
+
+@register("n04_add_noise", with_views(_joined_sql("b_out"), "bpe", extra={
+    **BPE_TOK_SQL, **EOS_SQL, **_shuffle_views("s", "ew", 3.0, 41), **_words_again("sw", "s_out"),
+    **_drop_views("d", "sw", 0.2, 42), **_words_again("dw", "d_out"), **_drop_views("b", "dw", 0.2, 43, "<unk>")}))
+def q_n04(spark, sf):
+    d = P.add_noise(_eos_tokens(spark, sf), "sid", "t", 3.0, 0.2, 0.2, (41, 42, 43))
+    return d.select("sid", F.array_join("noised", " ").alias("noised"))
 
 
 def _mask_sql(count_expr: str) -> str:
@@ -205,12 +235,13 @@ def q_n06(spark, sf):
 @register("n07_mask_weighted", with_views(f"""
     WITH p AS (SELECT sid, len(ids) AS n, unnest(range(len(ids))) AS i, unnest(ids) AS x FROM ids),
     r AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY
-                 CASE WHEN i = 0 OR i = n - 1 THEN 1 ELSE 0 END, -pow({HU(29, 'sid', 'i')}, 1.0 / (1.0 / (x + 1))), i) AS rk,
+                 CASE WHEN i = 0 OR i = n - 1 OR x IN (1, 2, 3) THEN 1 ELSE 0 END, -ln({HU(29, 'sid', 'i')}) / (1.0 / (x + 1)), i) AS rk,
                  greatest(1, round(n * 0.2)) AS cnt FROM p)
-    SELECT sid, string_agg(CAST(CASE WHEN rk <= cnt AND NOT (i = 0 OR i = n - 1) THEN 0 ELSE x END AS VARCHAR), ' ' ORDER BY i) AS masked
+    SELECT sid, string_agg(CAST(CASE WHEN rk <= cnt AND NOT (i = 0 OR i = n - 1 OR x IN (1, 2, 3)) THEN 0 ELSE x END AS VARCHAR), ' ' ORDER BY i) AS masked
     FROM r GROUP BY sid""", "ids"))
 def q_n07(spark, sf):
-    d = P.mask_weighted(views.ids(spark, sf), "sid", "ids", lambda x: 1.0 / (x + 1), 0.2, 29, mask_id=0)
+    d = P.mask_weighted(views.ids(spark, sf), "sid", "ids", lambda x: F.when(x == 3, 0.0).otherwise(1.0 / (x + 1)), 0.2, 29, mask_id=0,
+                        never=(1, 2))          # 3 has weight 0, as symbols without a count have (G-31)
     return d.select("sid", F.array_join(F.col("masked").cast("array<string>"), " ").alias("masked"))
 
 

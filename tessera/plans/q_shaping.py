@@ -21,7 +21,7 @@ def R(c, k=6):
 
 def HU_SQL(seed, key):
     """X-03 in DuckDB: first 32 bits of md5('seed:key') / 2^32."""
-    return f"(CAST(('0x' || substr(md5('{seed}:' || CAST({key} AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0)"
+    return f"(CAST(('0x' || substr(md5('{seed}:' || CAST({key} AS VARCHAR)), 1, 13)) AS BIGINT) / 4503599627370496.0)"
 
 
 def sent_rows(spark, sf):

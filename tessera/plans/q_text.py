@@ -44,16 +44,20 @@ ids_q("b14_offset", lambda a: A.offset(a, 10), "list_transform(ids, lambda x: x
 ids_q("b21_shift_right", lambda a: A.shift_right(a, 2), "list_prepend(2, ids[1:len(ids) - 1])")
 ids_q("b22_lm_source", lambda a: A.lm_source(a, 2), "list_prepend(2, ids[1:len(ids) - 1])")
 ids_q("b22_lm_past", lambda a: A.lm_past(a, 1, 2), "list_concat([1, 2], ids[1:len(ids) - 2])")
-ids_q("b23_add_bos", lambda a: A.prepend_bos(a, 0),
-      "CASE WHEN ids[1] = 0 THEN ids ELSE list_prepend(0, ids) END")
+ids_q("b23_add_bos", lambda a: A.prepend(a, 0), "list_prepend(0, ids)")
+ids_q("b08_prepend_bos", lambda a: A.prepend_bos(a, 5),
+      "CASE WHEN ids[1] = 5 THEN ids ELSE list_prepend(5, ids) END")
 ids_q("b23_clip_vocab", lambda a: A.clip_vocab(a, 8, 3),
       "list_transform(ids, lambda x: CASE WHEN x >= 8 THEN 3 ELSE x END)")
 ids_q("b24_make_positions", lambda a: A.make_positions(a, 1),
       "list_transform(range(1, len(ids) + 1), lambda i: CASE WHEN ids[i] = 1 THEN 1 "
       "ELSE 1 + len(list_filter(ids[1:i], lambda x: x <> 1)) END)")
-ids_q("b25_flip_padding", lambda a: A.flip_padding(a, 1, to_left=True),
-      "list_concat(list_transform(list_filter(ids, lambda x: x = 1), lambda x: 1), "
-      "list_filter(ids, lambda x: x <> 1))")
+ids_q("b25_flip_padding", lambda a: A.flip_padding(a, 2, to_left=True),       # every row ends in 2
+      "CASE WHEN ids[-1] <> 2 THEN ids ELSE list_concat(ids[len(ids) - len(list_filter(ids, lambda x: x = 2)) + 1:], "
+      "ids[1:len(ids) - len(list_filter(ids, lambda x: x = 2))]) END")
+ids_q("b25_flip_padding_right", lambda a: A.flip_padding(a, 3, to_left=False),
+      "CASE WHEN ids[1] <> 3 THEN ids ELSE list_concat(ids[len(list_filter(ids, lambda x: x = 3)) + 1:], "
+      "ids[1:len(list_filter(ids, lambda x: x = 3))]) END")
 ids_q("b26_flip_keep_first", lambda a: A.flip_keep_first(a, F.size(a) - 1),
       "list_concat(ids[1:1], list_reverse(ids[2:len(ids) - 1]), ids[len(ids):])")
 

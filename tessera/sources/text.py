@@ -29,9 +29,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """A-01: ``(id, line)``, id = 0-based line number over the files of
-    ``path`` in path order (newline stripped)."""
+    ``path`` in file order (newline stripped).  Part files are in order of their
+    part *number* (beyond 99 999 its digits grow), other files in path order."""
+    file = F.col("_metadata.file_path")
+    in_order = F.concat(F.regexp_extract(file, r"^(.*/)[^/]*$", 1),
+                        F.lpad(F.regexp_extract(file, r"/part-(\d+)[^/]*$", 1), 20, "0"), file)
     raw = (spark.read.text(path)
-           .select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("_f"),
+           .select(F.col("value").alias("line"), in_order.alias("_f"),
                    F.col("_metadata.file_block_start").alias("_b"),
                    F.monotonically_increasing_id().alias("_m")))  # in-split read order
     r = with_row_id(raw, [F.col("_f"), F.col("_b"), F.col("_m")], fine=[F.col("_f"), F.col("_b")],
@@ -106,18 +110,29 @@ def read_vectors(spark: SparkSession, path: str, dim: int, keep: str = "last") -
     return parts.groupBy("word").agg(pick("vec", "id").alias("vec"))
 
 
+def _refuse(bad: DataFrame, what: str, expected: str) -> None:
+    """Raise if there is a malformed row; looks at one row of each task at most."""
+    row = bad.select("id").limit(1).first()
+    if row is not None:
+        raise ValueError(f"malformed {what} line {row['id']}: expected '{expected}'")
+
+
 def read_align(spark: SparkSession, path: str) -> DataFrame:
-    """A-12: 'src tgt' pairs; the last line for a source word wins."""
+    """A-12: 'src tgt' pairs; the last line for a source word wins.  A line
+    without two fields fails the read."""
     lines = read_lines(spark, path)
-    p = lines.select("id", F.split(F.trim("line"), r"\s+").alias("p")).filter(F.size("p") >= 2)
+    p = lines.select("id", F.split(F.trim("line"), r"\s+").alias("p"))
+    _refuse(p.filter(F.size("p") < 2), "alignment", "<source> <target>")
     return p.groupBy(F.col("p")[0].alias("src")).agg(F.max_by(F.col("p")[1], "id").alias("tgt"))
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """A-13: first line = root folder, then 'name<TAB>size' rows."""
+    """A-13: first line = root folder, then 'name<TAB>size' rows; any other
+    row fails the read."""
     lines = read_lines(spark, path)
     root = lines.filter(F.col("id") == 0).select(F.col("line").alias("root"))
-    rows = lines.filter(F.col("id") > 0).select(F.split("line", "\t").alias("p")).filter(F.size("p") == 2)
+    rows = lines.filter(F.col("id") > 0).select("id", F.split("line", "\t").alias("p"))
+    _refuse(rows.filter((F.size("p") != 2) | ~F.element_at("p", -1).rlike(r"^\s*\d+\s*$")), "manifest", "<name><TAB><size>")
     rows = rows.select(F.col("p")[0].alias("fname"), F.col("p")[1].cast("long").alias("size"))
     root_value = root.first()["root"]  # one line
     return rows.select(F.lit(root_value).alias("root"), "fname", "size")
