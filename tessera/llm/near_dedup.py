@@ -223,8 +223,8 @@ def _within(few: DataFrame, percent: int) -> DataFrame:
 
 def _next_members(star: DataFrame, large: DataFrame, sets: DataFrame, grown: DataFrame | None, percent: int) -> tuple[DataFrame, DataFrame]:
     """``(bucket, node, links, every)``: what a round leaves to compare, from
-    ``star``: ``(bucket, c, node, n, nc, share, is_link)``, every member with the top
-    centre of its bucket.  Let p be the similarity, x and y two linked texts.
+    ``star``: ``(bucket, c, node, n, nc, share, is_link)``, every member that has not
+    been a centre itself with the top centre of its bucket.  Let p be the similarity, x and y two linked texts.
 
     Either lacks at most (1 - p) of the other's shingles.  If x shares less than
     half of its own with c, y shares less than ``far``: members below ``far`` stay in
@@ -304,8 +304,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5) -> DataF
         known = tested.select("a", "b", "share", "na", "nb", linked(percent).alias("is_link"))
         star = star.filter("settles").join(known, ["a", "b"]).select("bucket", "c", "node", F.when(F.col("a") == F.col("node"), F.col("na")).otherwise(F.col("nb")).alias("n"),
                                                    F.when(F.col("a") == F.col("c"), F.col("na")).otherwise(F.col("nb")).alias("nc"), "share", "is_link")
-        left = large.join(centres.select("bucket", F.col("c").alias("node")), ["bucket", "node"], "left_anti")
-        members, grown = _next_members(cut(star), left, sets, grown, percent)
+        left = cut(large.join(centres.select("bucket", F.col("c").alias("node")), ["bucket", "node"], "left_anti"))
+        if not left.limit(1).count():
+            break                      # every member of every bucket has met all others
+        star = cut(star.join(left.select("bucket", "node"), ["bucket", "node"], "left_semi"))
+        members, grown = _next_members(star, left, sets, grown, percent)
         stars = max(4, 4 * stars)
     if tested is not None:
         edges = cut(edges)
