@@ -197,12 +197,13 @@ def _open(members: DataFrame, label: DataFrame | None) -> DataFrame:
 
 
 def _centres(large: DataFrame, stars: int) -> DataFrame:
-    """``(bucket, c, top)``: the member with most links of each bucket (``top``)
+    """``(bucket, c, _l, _n, top)``: the member with most links of each bucket (``top``)
     and, in later rounds, about ``stars`` more, drawn by hash."""
-    top = large.groupBy("bucket").agg(F.max(F.struct("links", "node")).alias("top")).select("bucket", F.col("top.node").alias("c"), F.lit(True).alias("top"))
+    top = (large.groupBy("bucket").agg(F.max(F.struct("links", "node", "label", "n")).alias("t"))
+           .select("bucket", F.col("t.node").alias("c"), F.col("t.label").alias("_l"), F.col("t.n").alias("_n"), F.lit(True).alias("top")))
     draw = (F.pmod(F.xxhash64("bucket", "node"), F.lit(1 << 20)) * F.col("size") < F.lit(stars << 20)) & (F.col("links") > 0)
-    more = large.filter(draw).select("bucket", F.col("node").alias("c"), F.lit(False).alias("top"))
-    return cut(top.union(more).groupBy("bucket", "c").agg(F.max("top").alias("top")))
+    more = large.filter(draw).select("bucket", F.col("node").alias("c"), F.col("label").alias("_l"), F.col("n").alias("_n"), F.lit(False).alias("top"))
+    return cut(top.union(more).groupBy("bucket", "c").agg(F.max("_l").alias("_l"), F.max("_n").alias("_n"), F.max("top").alias("top")))
 
 
 def _ordered(x: str, y: str) -> list:
@@ -295,7 +296,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5) -> DataF
         few, large = opened.filter(F.col("size") <= F.col("full")), opened.filter(F.col("size") > F.col("full"))
         pairs = _within(few, percent)
         centres = _centres(large, stars)
-        star = cut(large.join(centres, "bucket").filter(F.col("node") != F.col("c")).select("bucket", "c", "node", (F.col("top") & ~F.col("every")).alias("settles"), *_ordered("c", "node")))
+        settles = F.col("top") & ~F.col("every")             # else only pairs that may be new links are of interest
+        useful = (F.col("node") != F.col("c")) & (settles | ((F.col("label") != F.col("_l")) & (
+            100 * F.least("n", "_n") >= percent * F.greatest("n", "_n"))))
+        star = cut(large.join(centres, "bucket").filter(useful).select("bucket", "c", "node", settles.alias("settles"), *_ordered("c", "node")))
         pairs = pairs.union(star.select("a", "b")).distinct()
         found = cut(shares(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), sets))
         tested = found if tested is None else tested.union(found)
