@@ -18,6 +18,7 @@ from collections import deque
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import cut_lineage
 from tessera.operators.ids import running_total, with_row_id
 
 INF = 1 << 62
@@ -107,7 +108,10 @@ def greedy_batches(df: DataFrame, key: str, sizes: list[str], max_tokens=None, m
     d = df.withColumn("_ntok", ntok)
     run_cols = list(sizes)
     runs = d.groupBy(*run_cols).agg(F.count(F.lit(1)).alias("c"), F.first("_ntok").alias("n"))
-    # bounded by the size cap (distinct size combinations), not by the corpus
+    # one row per distinct size combination; the bound is checked before the collect
+    runs = cut_lineage(runs)
+    if runs.limit(max_broadcast + 1).count() > max_broadcast:
+        raise ValueError(f"over {max_broadcast} distinct size combinations: filter or round the sizes first (C-01)")
     run_rows = runs.orderBy(*run_cols).collect()
     run_list = [(tuple(r[c] for c in run_cols), r["n"], r["c"]) for r in run_rows]
     segs, _ = greedy_segments(run_list, max_tokens, max_sentences, multiple)
@@ -141,18 +145,21 @@ def greedy_batches(df: DataFrame, key: str, sizes: list[str], max_tokens=None, m
 
 
 # ------------------------------------------------------------------ D-01
-def token_blocks(df: DataFrame, tokens: str, block_size: int, order, fine, coarse) -> DataFrame:
+def token_blocks(df: DataFrame, tokens: str, block_size: int, order, fine=(), coarse=()) -> DataFrame:
     """D-01 ('none' mode): the corpus as one token stream cut every
     ``block_size`` tokens (last block short).  Sentence start offsets come
-    from the two-phase prefix sum; tokens are exploded with their global
-    offset and regrouped by block (blocks are bounded, so groups are)."""
+    from the two-phase prefix sum; a sentence sends one slice to each block it
+    touches (not its tokens one by one), a block joins its slices in order."""
     n = F.size(tokens).cast("long")
     d = running_total(df.withColumn("_n", n), order, fine, coarse, value="_n", out="_start", inclusive=False)
-    ex = d.select(F.posexplode_outer(tokens).alias("pos", "tok"), "_start").filter(F.col("pos").isNotNull())
-    ex = ex.select((F.col("_start") + F.col("pos")).alias("off"), "tok")
-    return (ex.groupBy(F.floor(F.col("off") / block_size).alias("block"))
-            .agg(F.array_sort(F.collect_list(F.struct("off", "tok"))).alias("_s"))
-            .select("block", F.transform("_s", lambda s: s["tok"]).alias("tokens")))
+    d = d.filter(F.col("_n") > 0).select(tokens, "_start", "_n", F.explode(F.sequence(
+        F.floor(F.col("_start") / block_size), F.floor((F.col("_start") + F.col("_n") - 1) / block_size))).alias("block"))
+    first = F.greatest(F.col("block") * block_size - F.col("_start"), F.lit(0).cast("long"))
+    last = F.least((F.col("block") + 1) * block_size - F.col("_start"), F.col("_n"))
+    part = F.slice(tokens, (first + 1).cast("int"), (last - first).cast("int"))
+    return (d.select("block", "_start", part.alias("_p")).groupBy("block")
+            .agg(F.array_sort(F.collect_list(F.struct("_start", "_p"))).alias("_s"))
+            .select("block", F.flatten(F.transform("_s", lambda s: s["_p"])).alias("tokens")))
 
 
 # ------------------------------------------------------------------ E-*

@@ -11,6 +11,10 @@ Grams are compared as whole arrays, never by hash alone.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,63 +64,59 @@ def _score(stats: DataFrame, smooth: bool) -> DataFrame:
     return out
 
 
-def ngram_rows(df: DataFrame, key: str, col: str, max_order: int = ORDERS, extra=()) -> DataFrame:
-    """``(key, extra..., n, gram)`` rows: positions are exploded once and every
-    order is a ``slice`` from that position (flat, code-generated; incomplete
-    grams at the sentence end are dropped)."""
-    pos = df.select(key, *extra, col, F.explode_outer(F.sequence(F.lit(1), F.greatest(F.size(col), F.lit(1)))).alias("_i"))
-    grams = F.array(*[F.struct(F.lit(n).alias("n"), F.slice(col, F.col("_i"), n).alias("gram"))
-                      for n in range(1, max_order + 1)])
-    rows = pos.select(key, *extra, F.inline(grams))
-    return rows.filter(F.size("gram") == F.col("n"))
+STATS = "n int, match bigint, total bigint, predlen bigint, reflen bigint"
+
+
+def _row_stats(max_order: int):
+    """Clipped n-gram matches of (hypothesis, references) rows, counted inside
+    the row; one row per order leaves a batch."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            match, total = [0] * (max_order + 1), [0] * (max_order + 1)
+            pred = near = 0
+            for h, refs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                h, refs = h or [], [r or [] for r in refs or []]
+                pred += len(h)
+                if refs:
+                    near += min((abs(len(r) - len(h)), len(r)) for r in refs)[1]
+                for n in range(1, max_order + 1):
+                    grams = Counter(zip(*(h[i:] for i in range(n))))
+                    total[n] += max(0, len(h) - n + 1)
+                    most: Counter = Counter()
+                    for r in refs:
+                        most |= Counter(zip(*(r[i:] for i in range(n))))
+                    match[n] += sum((grams & most).values())
+            rows = list(range(1, max_order + 1))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rows, pa.int32()), pa.array(match[1:], pa.int64()), pa.array(total[1:], pa.int64()),
+                 pa.array([pred if n == 1 else 0 for n in rows], pa.int64()), pa.array([near if n == 1 else 0 for n in rows], pa.int64())],
+                names=["n", "match", "total", "predlen", "reflen"])
+    return run
+
+
+def ngram_stats(rows: DataFrame, max_order: int = ORDERS) -> DataFrame:
+    """``(n, match, total, predlen, reflen)`` of ``(hyp, refs)`` rows: no n-gram
+    leaves its row, only partial sums are shuffled."""
+    part = rows.select("hyp", "refs").mapInArrow(_row_stats(max_order), STATS)
+    return part.groupBy("n").agg(*[F.sum(c).cast("long").alias(c) for c in ("match", "total", "predlen", "reflen")])
 
 
 def bleu(df: DataFrame, key: str, hyp: str, ref: str, pad: int = 1, eos: int = 2, unk: int = 3,
          smooth: bool = False) -> DataFrame:
-    """G-19: corpus BLEU over id arrays; reference unk ids never match.
-
-    Both sides' n-grams go through one union and one grouping; the corpus
-    lengths are the 1-gram totals of each side."""
-    d = df.select(key, bleu_trim(hyp, pad, eos).alias("_h"),
-                  F.transform(bleu_trim(ref, pad, eos), lambda x: F.when(x == unk, F.lit(-999)).otherwise(x)).alias("_r"))
-    h = ngram_rows(d.select(key, F.col("_h").alias("_a"), F.lit(1).alias("ch"), F.lit(0).alias("cr")), key, "_a",
-                   extra=("ch", "cr"))
-    r = ngram_rows(d.select(key, F.col("_r").alias("_a"), F.lit(0).alias("ch"), F.lit(1).alias("cr")), key, "_a",
-                   extra=("ch", "cr"))
-    per = h.unionByName(r).groupBy(key, "n", "gram").agg(F.sum("ch").alias("ch"), F.sum("cr").alias("cr"))
-    stats = per.groupBy("n").agg(F.sum(F.least("ch", "cr")).cast("long").alias("match"),
-                                 F.sum("ch").cast("long").alias("total"), F.sum("cr").cast("long").alias("rtotal"))
-    stats = stats.select("n", "match", "total",
-                         F.when(F.col("n") == 1, F.col("total")).otherwise(F.lit(0)).cast("long").alias("predlen"),
-                         F.when(F.col("n") == 1, F.col("rtotal")).otherwise(F.lit(0)).cast("long").alias("reflen"))
-    return _score(stats, smooth)
+    """G-19: corpus BLEU over id arrays; reference unk ids never match."""
+    ref_ids = F.transform(bleu_trim(ref, pad, eos), lambda x: F.when(x == unk, F.lit(-999)).otherwise(x))
+    return _score(ngram_stats(df.select(bleu_trim(hyp, pad, eos).alias("hyp"), F.array(ref_ids).alias("refs"))), smooth)
 
 
 def bleu_multi(hyp: DataFrame, refs: DataFrame, key: str, tokens: str = "tokens", ref_idx: str = "ref",
                lowercase: bool = False) -> DataFrame:
     """G-20: multiple references: clip by the per-gram maximum over the
     references; reference length = closest to the hypothesis (ties: the
-    shorter); a zero reference length gives 0."""
+    shorter); a zero reference length gives 0.  A key's references are gathered
+    once (their number is small by nature) and joined to its hypothesis."""
     low = (lambda c: F.transform(F.col(c), lambda x: F.lower(x))) if lowercase else F.col
-    h = hyp.select(key, low(tokens).alias("_t"))
-    r = refs.select(key, ref_idx, low(tokens).alias("_t"))
-    hc = ngram_rows(h, key, "_t").groupBy(key, "n", "gram").agg(F.count(F.lit(1)).alias("ch"))
-    rc = (ngram_rows(r, key, "_t", extra=(ref_idx,))
-          .groupBy(key, ref_idx, "n", "gram").agg(F.count(F.lit(1)).alias("c"))
-          .groupBy(key, "n", "gram").agg(F.max("c").alias("cr")))
-    clipped = (hc.join(rc, [key, "n", "gram"], "left")
-               .groupBy("n").agg(F.sum(F.least("ch", F.coalesce("cr", F.lit(0)))).alias("match"),
-                                 F.sum("ch").alias("total")))
-    hl = h.select(key, F.size("_t").alias("hl"))
-    rl = r.select(key, F.size("_t").alias("rl"))
-    closest = (hl.join(rl, key)
-               .groupBy(key, "hl").agg(F.min(F.struct(F.abs(F.col("rl") - F.col("hl")).alias("d"),
-                                                      F.col("rl").alias("rl"))).alias("best"))
-               .agg(F.sum("hl").alias("predlen"), F.sum("best.rl").alias("reflen")))
-    stats = (clipped.select("n", "match", "total", F.lit(0).cast("long").alias("predlen"),
-                            F.lit(0).cast("long").alias("reflen"))
-             .unionByName(closest.select(F.lit(0).alias("n"), F.lit(0).cast("long").alias("match"),
-                                         F.lit(0).cast("long").alias("total"), "predlen", "reflen")))
+    r = refs.groupBy(key).agg(F.collect_list(low(tokens)).alias("refs"))
+    rows = hyp.select(key, low(tokens).alias("hyp")).join(r, key, "left")
+    out = _score(ngram_stats(rows), smooth=False)
     # min(1, e^(1 - r/h)) equals the 'shorter than reference' rule
-    out = _score(stats, smooth=False)
     return out.withColumn("bleu", F.when(F.col("reflen") == 0, F.lit(0.0)).otherwise(F.col("bleu")))

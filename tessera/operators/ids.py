@@ -3,18 +3,17 @@
 A window without ``partitionBy`` funnels every row through one task.  The
 two-phase method used here never does that:
 
-1. every row gets a *fine* bucket (data columns, monotone in the order key)
-   and a *coarse* bucket (monotone in the fine bucket);
-2. per-bucket totals are pre-aggregated map-side (``groupBy``);
-3. the coarse table (one row per coarse bucket, small) gets an exclusive
-   prefix; the fine table is prefixed inside each coarse bucket;
-4. rows are joined back to their fine bucket's offset and numbered with a
-   window partitioned by the fine bucket.
-
-Buckets are data, so task retries and partition counts cannot change the
-answer.  A hot order-key prefix (one huge document) only makes more fine
-buckets, never one huge task, as long as the fine bucket splits inside it
-(e.g. ``(doc_id, line_no div W)``).
+1. rows are range-partitioned and sorted by the order key and written once;
+   Spark samples the borders from the data, so a frequent value, a huge document
+   or hashed keys make no larger partition than others (ties are cut wherever the
+   full order key allows);
+2. one total per partition (as many rows as partitions) is prefixed and
+   broadcast;
+3. a row's number is its partition's offset plus its place in the partition; a
+   running total adds a window over the partition's rows.
+
+The order is total, so neither retries nor the number of partitions can change
+the answer.
 """
 
 from __future__ import annotations
@@ -24,47 +23,42 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import cut_lineage
+
 
 def _cols(xs) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
 
-def running_total(df: DataFrame, order: Sequence, fine: Sequence, coarse: Sequence,
+_LOCAL_BITS = 33      # of Spark's monotonically increasing ids
+
+
+def running_total(df: DataFrame, order: Sequence, fine: Sequence = (), coarse: Sequence = (),
                   value=None, out: str = "running", inclusive: bool = True) -> DataFrame:
     """Append ``out`` = running sum of ``value`` (1 when None) in ``order``.
 
     ``order`` must be a total order (append a unique key to break ties).
-    ``fine``/``coarse`` are lists of Column expressions; see module doc.
+    ``fine`` and ``coarse`` (bucket columns) are accepted and not needed.
     """
-    order_c = _cols(order)
+    names = [f"_o{i}" for i in range(len(order))]
     val = F.lit(1).cast("long") if value is None else (F.col(value) if isinstance(value, str) else value)
-    fine_names = [f"_fb{i}" for i in range(len(fine))]
-    coarse_names = [f"_cb{i}" for i in range(len(coarse))]
-    d = df.select("*", *[c.alias(n) for c, n in zip(_cols(fine), fine_names)],
-                  *[c.alias(n) for c, n in zip(_cols(coarse), coarse_names)],
-                  val.alias("_v"))
-
-    buckets = d.groupBy(*coarse_names, *fine_names).agg(F.sum("_v").alias("_bsum"))
-    coarse_tab = buckets.groupBy(*coarse_names).agg(F.sum("_bsum").alias("_csum"))
-    # One row per coarse bucket: small by construction, so an unpartitioned
-    # window over it is cheap.
-    w_all = Window.orderBy(*coarse_names).rowsBetween(Window.unboundedPreceding, -1)
-    coarse_off = coarse_tab.select(*coarse_names,
-                                   F.coalesce(F.sum("_csum").over(w_all), F.lit(0)).alias("_coff"))
-    w_c = Window.partitionBy(*coarse_names).orderBy(*fine_names).rowsBetween(
-        Window.unboundedPreceding, -1)
-    fine_off = (buckets.join(F.broadcast(coarse_off), coarse_names)
-                .select(*coarse_names, *fine_names,
-                        (F.col("_coff") + F.coalesce(F.sum("_bsum").over(w_c), F.lit(0))).alias("_boff")))
-
-    w_f = Window.partitionBy(*coarse_names, *fine_names).orderBy(*order_c)
-    frame = w_f.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    res = (d.join(fine_off, coarse_names + fine_names)
-           .withColumn(out, F.col("_boff") + F.coalesce(F.sum("_v").over(frame), F.lit(0))))
-    return res.drop(*fine_names, *coarse_names, "_v", "_boff")
-
-
-def with_row_id(df: DataFrame, order: Sequence, fine: Sequence, coarse: Sequence,
+    d = df.select("*", *[c.alias(n) for c, n in zip(_cols(order), names)], val.alias("_v"))
+    rows = cut_lineage(d.repartitionByRange(*names).sortWithinPartitions(*names)
+                       .drop(*names).withColumn("_mid", F.monotonically_increasing_id()))
+    rows = rows.withColumn("_part", F.shiftright("_mid", _LOCAL_BITS))
+    parts = rows.groupBy("_part").agg(F.sum("_v").alias("_sum"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)     # one row per partition
+    offsets = parts.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_off"))
+    res = rows.join(F.broadcast(offsets), "_part")
+    if value is None:
+        local = F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)) + int(inclusive)
+    else:
+        frame = Window.partitionBy("_part").orderBy("_mid").rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+        local = F.coalesce(F.sum("_v").over(frame), F.lit(0))
+    return res.withColumn(out, F.col("_off") + local).drop("_mid", "_part", "_off", "_v")
+
+
+def with_row_id(df: DataFrame, order: Sequence, fine: Sequence = (), coarse: Sequence = (),
                 out: str = "row_id") -> DataFrame:
     """X-01: dense 0-based row number in ``order``."""
     return running_total(df, order, fine, coarse, None, out, inclusive=False)
@@ -85,7 +79,7 @@ def pair_key_buckets(major, minor, minor_width: int = 1 << 12, coarse_width: int
     return [a, F.floor(b / minor_width)], [F.floor(a / coarse_width)]
 
 
-def prefix_sum(df: DataFrame, value, order: Sequence, fine: Sequence, coarse: Sequence,
+def prefix_sum(df: DataFrame, value, order: Sequence, fine: Sequence = (), coarse: Sequence = (),
                out: str = "cum", inclusive: bool = True) -> DataFrame:
     """X-02: exact running total of ``value``."""
     return running_total(df, order, fine, coarse, value, out, inclusive)

@@ -213,7 +213,7 @@ def usage_stats(hist: DataFrame, slot: str, p: str = "p") -> DataFrame:
     x = F.col("x")
     neg = x * -1.0
     base = hist.select(slot, F.col(p).alias("x"))
-    desc = running_total(base, [neg, F.col(slot).desc()], fine=[float_bucket(neg, 4096)],
+    desc = running_total(base, [neg, -F.col(slot)], fine=[float_bucket(neg, 4096)],
                          coarse=[float_bucket(neg, 1)], value="x", out="d", inclusive=False)
     a = desc.agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("tot"), F.avg("d").alias("mean_d"),
                  F.sum(F.when(x != 0, 1).otherwise(0)).alias("used"),

@@ -33,15 +33,17 @@ W03_SQL = with_views("""
              CASE WHEN st.b = 64 OR (st.b + 1) * s.len > 1024 THEN st.bstart + greatest(8 * (st.b // 8), st.b % 8) END
       FROM st JOIN s ON s.rk = st.rk + 1),
     bounds AS (SELECT flush AS f FROM st WHERE flush IS NOT NULL)
-    SELECT s.sid, s.len, s.rk AS rank, (SELECT count(*) FROM bounds WHERE f <= s.rk) AS batch FROM s""", "sent_tok")
+    SELECT s.sid, s.len, s.rk AS rank, (SELECT count(*) FROM bounds WHERE f <= s.rk) AS batch FROM s
+    UNION ALL SELECT sid, len(tokens) + 1, NULL, NULL FROM sent_tok WHERE len(tokens) + 1 > 1024""", "sent_tok")
 
 
 @register("w03_greedy_batches", W03_SQL)  # also checked against brute force in tests/
 def q_w03(spark, sf):
     s = views.sent_tokens(spark, sf).select("sid", (F.size("tokens") + 1).cast("long").alias("len"))
-    kept, _ = S.filter_by_size(s, {"len": 1024})  # C-01 first, as in the training input path
+    kept, over = S.filter_by_size(s, {"len": 1024})  # C-01 first, as in the training input path
     b = BT.greedy_batches(kept, "sid", ["len"], max_tokens=1024, max_sentences=64, multiple=8)
-    return b.select("sid", "len", "rank", "batch")
+    none = F.lit(None).cast("long")                  # lines that fit no batch are returned without one
+    return b.select("sid", "len", "rank", "batch").union(over.select("sid", "len", none, none))
 
 
 def _blocks_sql(size: int) -> str:

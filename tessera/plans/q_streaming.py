@@ -30,7 +30,8 @@ def q_t01(spark, sf):
     ev = read_table(spark, sf, "events")
     s = _stream(spark, sf, "events", ev.schema)
     out, ck = T.scratch_path(spark, "t01"), T.scratch_path(spark, "t01-ck")
-    T.run_upserts(T.stream_meters(s), ["run", "window_start"], out, ck)
+    meters = T.stream_meters(s, "user_id", "ts", "value", F.col("event_id") % 7 + 1, watermark="3650 days")
+    T.run_upserts(meters, ["run", "window_start"], out, ck)
     r = T.latest(spark, out, ["run", "window_start"], ["run", "window_start", "sum", "count", "events"])
     return r.select("run", F.col("window_start").cast("timestamp_ntz").alias("window_start"), R("sum").alias("sum"),
                     "count", "events")
@@ -68,17 +69,17 @@ def q_t04(spark, sf):
 
 
 @register("t05_stream_encode", with_views("""
-    SELECT s.sid, trim(coalesce(e.ids || ' ', '') || '2') AS ids
+    SELECT s.sid, CASE WHEN len(s.tokens) <= 60 THEN trim(coalesce(e.ids || ' ', '') || '2') END AS ids
     FROM sent_tok s LEFT JOIN (SELECT sid, string_agg(CAST(tid AS VARCHAR), ' ' ORDER BY pos) AS ids FROM enc GROUP BY sid) e
-    USING (sid) WHERE len(s.tokens) <= 60""", "tok", extra={**vocab_sql(threshold=3), "enc": """
+    USING (sid)""", "tok", extra={**vocab_sql(threshold=3), "enc": """
     SELECT t.sid, t.pos, t.tok, coalesce(v.id, 3) AS tid FROM tok t LEFT JOIN vocab v ON t.tok = v.symbol"""}))
 def q_t05(spark, sf):
     d = read_table(spark, sf, "documents")
     v = _vocab(spark, sf, threshold=3, materialize=True)
-    out, ck = T.scratch_path(spark, "t05"), T.scratch_path(spark, "t05-ck")
-    T.encode_batches(_stream(spark, sf, "documents", d.schema), v, out, ck, 60)
-    e = spark.read.parquet(out)
-    return e.select("sid", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
+    out, ck, over = T.scratch_path(spark, "t05"), T.scratch_path(spark, "t05-ck"), T.scratch_path(spark, "t05-over")
+    T.encode_batches(_stream(spark, sf, "documents", d.schema), v, out, ck, 60, over)
+    e = spark.read.parquet(out).select("sid", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
+    return e.union(spark.read.parquet(over).select("sid", F.lit(None).cast("string").alias("ids")))
 
 
 @register("t06_stream_best", with_views("""

@@ -70,24 +70,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def scale_conf(input_bytes: int, executor_cores: int, target_partition_bytes: int = 128 << 20,
-               expansion: float = 3.0, max_partitions: int = 200_000) -> dict:
-    """Partition sizing for a cluster run.  Token explodes and n-gram rows
-    expand the data roughly ``expansion`` times, so shuffle partitions are
-    sized on the expanded volume (at least two waves of cores).  Past
-    ``max_partitions`` the shuffle metadata itself becomes the bottleneck, so
-    the partition size grows instead (100 TB -> about 1.5 GB per partition,
-    which AQE splits further where a key is skewed).  Input splits stay at
-    ``target_partition_bytes``."""
-    expanded = int(input_bytes * expansion)
-    shuffle = max(2 * executor_cores, expanded // target_partition_bytes + 1)
-    shuffle = min(shuffle, max(max_partitions, 2 * executor_cores))
-    advisory = max(target_partition_bytes, expanded // shuffle)
-    return {
-        "spark.sql.shuffle.partitions": str(shuffle),
-        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(advisory),
-        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
-    }

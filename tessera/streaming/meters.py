@@ -34,8 +34,8 @@ def read_stream(spark: SparkSession, path: str, schema, max_files: int | None =
 def run_upserts(stream: DataFrame, keys: Sequence[str], out: str, checkpoint: str) -> None:
     """Run an update-mode aggregate to completion (available data), writing
     every micro-batch's changed rows with the batch id."""
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(out)
+    def sink(batch: DataFrame, batch_id: int) -> None:      # a replayed batch overwrites its own folder
+        batch.write.mode("overwrite").parquet(f"{out}/_batch={batch_id}")
     q = (stream.writeStream.outputMode("update").foreachBatch(sink)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
@@ -55,13 +55,16 @@ def run_append(stream: DataFrame, out: str, checkpoint: str, mode: str = "append
     q.awaitTermination()
 
 
-def stream_meters(events: DataFrame, window: str = "1 hour", watermark: str = "1 day") -> DataFrame:
+def stream_meters(events: DataFrame, run, ts: str, value, n, watermark: str, window: str = "1 hour") -> DataFrame:
     """T-01: per run and event-time window: sum(value*n), sum(n), weighted
-    mean and count (G-08 over a stream)."""
-    e = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
-    return (e.groupBy(F.col("user_id").alias("run"), F.window("ts", window).alias("w"))
-            .agg(F.sum(F.col("value") * (F.col("event_id") % 7 + 1)).alias("sum"),
-                 F.sum(F.col("event_id") % 7 + 1).alias("count"), F.count(F.lit(1)).alias("events"))
+    mean and count (G-08 over a stream).  Events later than ``watermark`` behind
+    the newest event are dropped by the engine: choose it from how late files
+    may arrive."""
+    e = events.select(F.col(run).alias("run") if isinstance(run, str) else run.alias("run"), F.col(ts).cast("timestamp").alias("ts"),
+                      (F.col(value) if isinstance(value, str) else value).alias("value"), (F.col(n) if isinstance(n, str) else n).alias("n"))
+    e = e.withWatermark("ts", watermark)
+    return (e.groupBy("run", F.window("ts", window).alias("w"))
+            .agg(F.sum(F.col("value") * F.col("n")).alias("sum"), F.sum("n").alias("count"), F.count(F.lit(1)).alias("events"))
             .select("run", F.col("w.start").alias("window_start"), "sum", "count", "events"))
 
 
@@ -108,9 +111,11 @@ def stream_best(metrics: DataFrame, patience: int, strict: bool = True) -> DataF
         _best_fn(patience, strict), BEST_OUT, BEST_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def encode_batches(stream: DataFrame, vocab: DataFrame, out: str, checkpoint: str, max_len: int) -> None:
-    """T-05: per micro-batch, split lines, drop over-long ones (C-01) and
-    encode with the static vocabulary (B-02); results appended."""
+def encode_batches(stream: DataFrame, vocab: DataFrame, out: str, checkpoint: str, max_len: int, refused: str) -> None:
+    """T-05: per micro-batch, split lines, set over-long ones aside (C-01) and
+    encode the others with the static vocabulary (B-02).  Results go to ``out``,
+    the ids of over-long lines to ``refused``; a batch owns a folder in each, so a
+    replayed batch replaces what it wrote."""
     from tessera.functions.text import tokenize
     from tessera.operators.shaping import filter_by_size
     from tessera.operators.vocab import encode
@@ -119,8 +124,9 @@ def encode_batches(stream: DataFrame, vocab: DataFrame, out: str, checkpoint: st
         s = batch.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
         s = s.select((F.col("doc_id") * 1000000 + F.col("line_no")).alias("sid"), tokenize("text").alias("tokens"))
         s = s.withColumn("n", F.size("tokens"))
-        kept, _ = filter_by_size(s, {"n": max_len})
-        encode(kept, ["sid"], vocab).write.mode("append").parquet(out)
+        kept, over = filter_by_size(s, {"n": max_len})
+        encode(kept, ["sid"], vocab).write.mode("overwrite").parquet(f"{out}/_batch={batch_id}")
+        over.write.mode("overwrite").parquet(f"{refused}/_batch={batch_id}")
     q = (stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
