@@ -107,13 +107,13 @@ def greedy_batches(df: DataFrame, key: str, sizes: list[str], max_tokens=None, m
     ntok = F.greatest(*[F.col(s) for s in sizes]) if len(sizes) > 1 else F.col(sizes[0])
     d = df.withColumn("_ntok", ntok)
     run_cols = list(sizes)
-    runs = d.groupBy(*run_cols).agg(F.count(F.lit(1)).alias("c"), F.first("_ntok").alias("n"))
+    runs = d.groupBy(*run_cols).agg(F.count(F.lit(1)).alias("_c"), F.first("_ntok").alias("_n"))
     # one row per distinct size combination; the bound is checked before the collect
     runs = cut_lineage(runs)
     if runs.limit(max_broadcast + 1).count() > max_broadcast:
         raise ValueError(f"over {max_broadcast} distinct size combinations: filter or round the sizes first (C-01)")
     run_rows = runs.orderBy(*run_cols).collect()
-    run_list = [(tuple(r[c] for c in run_cols), r["n"], r["c"]) for r in run_rows]
+    run_list = [(tuple(r[c] for c in run_cols), r["_n"], r["_c"]) for r in run_rows]
     segs, _ = greedy_segments(run_list, max_tokens, max_sentences, multiple)
     # attach each segment to the runs it overlaps (by rank range)
     run_ranges, pos = [], 0
