@@ -126,7 +126,8 @@ def test_secrets(spark, odd, odd_rows, nothing):
 
 def test_automaton_is_minimal_and_total():
     d = secrets.Dfa(["ab+c", "abd"], anchored=True)
-    assert len(d.move) == 6 and d.move.max() < len(d.move) and int(d.dead.sum()) == 1
+    # start, a, ab, abb+, one end a rule, dead
+    assert len(d.move) == 7 and d.move.max() < len(d.move) and int(d.dead.sum()) == 1
 
 
 def brute_substrings(docs):
