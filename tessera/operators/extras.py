@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.ids import running_total, with_row_id
@@ -92,6 +92,43 @@ def pad_tags(df: DataFrame, batch: str, tags: str, fill: int = -1) -> DataFrame:
     return d.withColumn("tags_padded", F.concat(tags, F.array_repeat(F.lit(fill), F.col("_m") - F.size(tags)))).drop("_m")
 
 
+def collate_word_qe(df: DataFrame, batch: str, key: str, src: str, tgt: str, word_tags: str, gap_tags: str, src_tags: str,
+                    spans: str, src_spans: str, eos: int, pad: int, tag_pad: int = -1,
+                    src_lang: int = 14, tgt_lang: int = 4) -> DataFrame:
+    """E-03: word-level QE batches.  Per row, in the batch's order of descending
+    source length (ties by key): the pair sequence (B-18) padded with ``pad``;
+    the target mask (zeros for source length + 3 places, ones for the longest
+    target of the batch, cut to the padded length); language ids (source id on
+    the first source length + 2 places, target id after); word, gap and source
+    tags padded with ``tag_pad`` to the longest span list of the batch (plus one
+    for gaps); the span lists as they are; the target padded and, shifted by its
+    end symbol moved to the front, as decoder input; and the lengths."""
+    from tessera.functions.arrays import pair_sequence
+    seq, _ = pair_sequence(None, None, src, tgt, eos)
+    w = Window.partitionBy(batch)
+    n, m = F.size(src), F.size(tgt)
+    d = df.withColumn("_seq", seq)
+    most = F.max(m).over(w)
+    width = F.greatest(F.max(F.size("_seq")).over(w), F.max(n).over(w) + 3 + most)
+    d = (d.withColumn("_w", width).withColumn("_tm", most)
+         .withColumn("_b", F.max(F.size(spans)).over(w)).withColumn("_sb", F.max(F.size(src_spans)).over(w)))
+
+    def to(c, value: int, size) -> Column:
+        return F.concat(c, F.array_repeat(F.lit(value), F.greatest(size - F.size(c), F.lit(0))))
+
+    order = F.row_number().over(w.orderBy(n.desc(), F.col(key))) - 1
+    mask = F.concat(F.array_repeat(F.lit(0), n + 3), F.array_repeat(F.lit(1), F.col("_tm")))
+    return d.select(
+        batch, key, order.alias("place"), to(F.col("_seq"), pad, F.col("_w")).alias("net_input"),
+        to(F.slice(mask, 1, F.col("_w")), 0, F.col("_w")).alias("xml_mask"),
+        to(F.array_repeat(F.lit(src_lang), n + 2), tgt_lang, F.col("_w")).alias("langs"),
+        to(F.col(tgt), pad, F.col("_tm")).alias("target"),
+        to(F.concat(F.slice(tgt, -1, 1), F.slice(tgt, 1, F.greatest(m - 1, F.lit(0)))), pad, F.col("_tm")).alias("prev_output"),
+        to(F.col(word_tags), tag_pad, F.col("_b")).alias("word_tags"), to(F.col(gap_tags), tag_pad, F.col("_b") + 1).alias("gap_tags"),
+        to(F.col(src_tags), tag_pad, F.col("_sb")).alias("src_tags"), F.col(spans).alias("spans"), F.col(src_spans).alias("src_spans"),
+        n.alias("src_length"), m.alias("tgt_length"))
+
+
 def crop_to_batch(df: DataFrame, batch: str, key: str, vals: str, seed) -> DataFrame:
     """E-07: crop every row of a batch to the batch's shortest length at a
     reproducible random start."""

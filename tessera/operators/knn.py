@@ -1,10 +1,12 @@
 """Brute-force nearest neighbours (J-14) and multi-head lookup (J-16).
 
-Plan: keys are cut into ``kb`` blocks and queries into ``qb`` blocks; every
-(query block, key block) cell is one cogroup handled by a vectorised numpy
-matrix product plus a local top-k (``argpartition``).  Queries are
-replicated kb times and keys qb times, so no cell grows with the corpus;
-the per-query merge keeps at most kb*k candidates (``row_number <= k``).
+Plan: keys are cut into blocks and queries into blocks; every (query block,
+key block) cell is one cogroup, solved by numpy matrix products over slices
+of the cell (at most ``SLICE`` scores at a time) with a running top-k per
+query, so a cell holds its vectors and a bounded score matrix.  Queries are
+replicated once per key block and keys once per query block: the exact
+two-sided form is quadratic in work and shuffle, meant for a bounded query
+side.  The per-query merge keeps at most (key blocks) * k candidates.
 Nothing passes through the driver.
 """
 
@@ -15,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-OUT_SCHEMA = "qid long, kid long, score double"
+OUT_SCHEMA = "head int, qid long, kid long, score double"
 
 
 def _scores(q: np.ndarray, k: np.ndarray, metric: str) -> np.ndarray:
@@ -30,49 +32,78 @@ def _scores(q: np.ndarray, k: np.ndarray, metric: str) -> np.ndarray:
     raise ValueError(metric)
 
 
+SLICE = 4_000_000      # scores held at a time (32 MB)
+
+
+def _best(s: np.ndarray, kid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Top ``k`` of each row by (score desc, key id asc): a partition first,
+    then a sort of what can be in the result (ties with the k-th included)."""
+    if s.shape[1] > 4 * k:
+        kth = -np.partition(-s, k - 1, axis=1)[:, k - 1]
+        most = int((s >= kth[:, None]).sum(axis=1).max())
+        order = np.argpartition(-s, min(most, s.shape[1]) - 1, axis=1)[:, :most]
+        s, kid = np.take_along_axis(s, order, axis=1), np.take_along_axis(kid, order, axis=1)
+    order = np.lexsort((kid, -s), axis=1)[:, :k]
+    return np.take_along_axis(s, order, axis=1), np.take_along_axis(kid, order, axis=1)
+
+
 def _cell_topk(k: int, metric: str):
     def fn(qpdf: pd.DataFrame, kpdf: pd.DataFrame) -> pd.DataFrame:
         if qpdf.empty or kpdf.empty:
-            return pd.DataFrame({"qid": [], "kid": [], "score": []})
+            return pd.DataFrame({"head": [], "qid": [], "kid": [], "score": []})
         q = np.stack(qpdf["vec"].to_numpy()).astype(np.float64)
         kv = np.stack(kpdf["vec"].to_numpy()).astype(np.float64)
-        kid = kpdf["id"].to_numpy()
-        s = _scores(q, kv, metric)
-        kk = min(k, s.shape[1])
-        # order by score desc then key id asc: sort on (-score, kid)
-        order = np.lexsort((np.broadcast_to(kid, s.shape), -s), axis=1)[:, :kk]
-        rows = np.repeat(qpdf["id"].to_numpy(), kk)
-        return pd.DataFrame({"qid": rows, "kid": kid[order].ravel(),
-                             "score": np.take_along_axis(s, order, axis=1).ravel()})
+        ids, kid = qpdf["id"].to_numpy(), kpdf["id"].to_numpy()
+        kstep = min(len(kv), max(k, 2048))
+        qstep = max(1, SLICE // kstep)
+        out = []
+        for a in range(0, len(q), qstep):
+            qa, s, i = q[a:a + qstep], None, None
+            for b in range(0, len(kv), kstep):
+                ns = _scores(qa, kv[b:b + kstep], metric)
+                ni = np.broadcast_to(kid[b:b + kstep], ns.shape)
+                ns, ni = _best(ns, ni, k)
+                s, i = (ns, ni) if s is None else _best(np.hstack([s, ns]), np.hstack([i, ni]), k)
+            out.append(pd.DataFrame({"qid": np.repeat(ids[a:a + qstep], s.shape[1]), "kid": i.ravel(), "score": s.ravel()}))
+        res = pd.concat(out, ignore_index=True)
+        res.insert(0, "head", qpdf["head"].iloc[0])
+        return res
     return fn
 
 
-def knn(keys: DataFrame, queries: DataFrame, k: int = 5, metric: str = "dot", cell_rows: int = 20000,
-        n_keys: int | None = None, n_queries: int | None = None) -> DataFrame:
-    """J-14: top-``k`` keys per query.  ``keys``/``queries``: (id, vec)."""
-    n_keys = n_keys if n_keys is not None else keys.count()
-    n_queries = n_queries if n_queries is not None else queries.count()
-    kb = max(1, -(-n_keys // cell_rows))
-    qb = max(1, -(-n_queries // cell_rows))
-    kk = keys.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(kb)).alias("kb"))
+def _knn(keys: DataFrame, queries: DataFrame, k: int, metric: str, kb: int, qb: int) -> DataFrame:
+    """``(head, qid, kid, score, rank)`` of keys and queries ``(head, id, vec)``."""
+    kk = keys.select("head", "id", "vec", F.pmod(F.xxhash64("id"), F.lit(kb)).alias("kb"))
     kk = kk.select("*", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb"))
-    qq = queries.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(qb)).alias("qb"))
+    qq = queries.select("head", "id", "vec", F.pmod(F.xxhash64("id"), F.lit(qb)).alias("qb"))
     qq = qq.select("*", F.explode(F.sequence(F.lit(0), F.lit(kb - 1))).alias("kb"))
-    local = (qq.groupBy("qb", "kb").cogroup(kk.groupBy("qb", "kb"))
-             .applyInPandas(_cell_topk(k, metric), OUT_SCHEMA))
-    w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("kid"))
+    cell = ["head", "qb", "kb"]
+    local = qq.groupBy(*cell).cogroup(kk.groupBy(*cell)).applyInPandas(_cell_topk(k, metric), OUT_SCHEMA)
+    w = Window.partitionBy("head", "qid").orderBy(F.col("score").desc(), F.col("kid"))
     return local.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def knn_heads(keys: DataFrame, queries: DataFrame, heads: int, k: int = 5, metric: str = "dot") -> DataFrame:
-    """J-16: independent keys per head (``head`` column in both inputs);
-    results per (query, head)."""
-    out = None
-    for h in range(heads):
-        r = knn(keys.filter(F.col("head") == h), queries.filter(F.col("head") == h), k, metric)
-        r = r.withColumn("head", F.lit(h))
-        out = r if out is None else out.unionByName(r)
-    return out
+def _blocks(rows: int, cell_rows: int) -> int:
+    return max(1, -(-rows // cell_rows))
+
+
+def knn(keys: DataFrame, queries: DataFrame, k: int = 5, metric: str = "dot", cell_rows: int = 20000,
+        n_keys: int | None = None, n_queries: int | None = None) -> DataFrame:
+    """J-14: top-``k`` keys per query.  ``keys``/``queries``: (id, vec)."""
+    kb = _blocks(n_keys if n_keys is not None else keys.count(), cell_rows)
+    qb = _blocks(n_queries if n_queries is not None else queries.count(), cell_rows)
+    one = F.lit(0).alias("head")
+    return _knn(keys.select(one, "id", "vec"), queries.select(one, "id", "vec"), k, metric, kb, qb).drop("head")
+
+
+def knn_heads(keys: DataFrame, queries: DataFrame, heads: int, k: int = 5, metric: str = "dot",
+              cell_rows: int = 20000) -> DataFrame:
+    """J-16: independent keys per head (integer ``head`` column in both inputs);
+    results per (query, head).  The head is part of the cell key: one plan and
+    two counts, whatever the number of heads."""
+    kb, qb = _blocks(keys.count(), cell_rows * heads), _blocks(queries.count(), cell_rows * heads)
+    of_int = F.col("head").cast("int").alias("head")
+    return _knn(keys.select(of_int, "id", "vec"), queries.select(of_int, "id", "vec"), k, metric, kb, qb)
 
 
 def knn_product(keys1: DataFrame, keys2: DataFrame, q1: DataFrame, q2: DataFrame, k: int, n2: int | None = None,

@@ -283,3 +283,54 @@ def q_j15(spark, sf):
     b = e.select("id", F.slice("vec", 33, 32).alias("vec"))
     r = K.knn_product(a, b, a, b, k=6)
     return r.select("qid", "kid", F.col("rank").cast("long").alias("rank"), R("score").alias("score"))
+
+
+# words of two ids each (the last one alone): spans and tags of a pair
+WORD_QE_SQL = {
+    "wq": """SELECT id, s, t, (row_number() OVER (ORDER BY id) - 1) // 8 AS batch,
+        list_transform(range((len(t) + 1) // 2), lambda w: {'start': 2 * w, 'end': least(2 * w + 1, len(t) - 1)}) AS spans,
+        list_transform(range((len(s) + 1) // 2), lambda w: {'start': 2 * w, 'end': least(2 * w + 1, len(s) - 1)}) AS src_spans,
+        list_transform(range((len(t) + 1) // 2), lambda w: t[2 * w + 1] % 2) AS wt,
+        list_transform(range((len(t) + 1) // 2 + 1), lambda w: w % 2) AS gt,
+        list_transform(range((len(s) + 1) // 2), lambda w: s[2 * w + 1] % 2) AS st FROM pids""",
+    "wm": """SELECT *, max(len(t)) OVER b AS tm, greatest(max(len(s) + len(t) + 4) OVER b, max(len(s)) OVER b + 3 + max(len(t)) OVER b) AS w,
+        max(len(spans)) OVER b AS mb, max(len(src_spans)) OVER b AS ms,
+        row_number() OVER (PARTITION BY batch ORDER BY len(s) DESC, id) - 1 AS place FROM wq WINDOW b AS (PARTITION BY batch)""",
+}
+
+
+def _padded(expr: str, value: int, size: str) -> str:
+    return f"array_to_string(list_concat({expr}, list_transform(range({size} - len({expr})), lambda i: {value})), ' ')"
+
+
+@register("e03_collate_word_qe", with_views(f"""
+    SELECT batch, id, place, {_padded("list_concat([1], s, [1, 1], t, [1])", 2, "w")} AS net_input,
+           {_padded("list_concat(list_transform(range(len(s) + 3), lambda i: 0), list_transform(range(tm), lambda i: 1))[1:w]", 0, "w")} AS xml_mask,
+           {_padded("list_transform(range(len(s) + 2), lambda i: 14)", 4, "w")} AS langs,
+           {_padded("t", 2, "tm")} AS target, {_padded("list_concat(t[len(t):], t[1:len(t) - 1])", 2, "tm")} AS prev_output,
+           {_padded("wt", -1, "mb")} AS word_tags, {_padded("gt", -1, "(mb + 1)")} AS gap_tags, {_padded("st", -1, "ms")} AS src_tags,
+           array_to_string(list_transform(spans, lambda x: x.start || '-' || x."end"), ' ') AS spans,
+           array_to_string(list_transform(src_spans, lambda x: x.start || '-' || x."end"), ' ') AS src_spans,
+           len(s) AS src_length, len(t) AS tgt_length
+    FROM wm""", "pair", extra={**__import__("tessera.plans.q_text", fromlist=["PAIR_IDS_SQL"]).PAIR_IDS_SQL, **WORD_QE_SQL}))
+def q_e03w(spark, sf):
+    from tessera.plans.q_text import pair_ids
+    p = I.with_row_id(pair_ids(spark, sf), [F.col("id")], out="rn").withColumn("batch", F.floor(F.col("rn") / 8))
+
+    def words(c):
+        return F.transform(F.slice(F.sequence(F.lit(0), F.size(c)), 1, F.floor((F.size(c) + 1) / 2).cast("int")), lambda w: F.struct(
+            (2 * w).alias("start"), F.least(2 * w + 1, F.size(c) - 1).alias("end")))
+
+    def tags(c, spans):
+        return F.transform(spans, lambda x: F.get(F.col(c), x["start"]) % 2)
+
+    d = p.select("id", "batch", "s", "t", words("t").alias("spans"), words("s").alias("src_spans"))
+    d = d.withColumn("wt", tags("t", F.col("spans"))).withColumn("st", tags("s", F.col("src_spans")))
+    d = d.withColumn("gt", F.transform(F.sequence(F.lit(0), F.size("spans")), lambda w: w % 2))
+    c = X.collate_word_qe(d, "batch", "id", "s", "t", "wt", "gt", "st", "spans", "src_spans", eos=1, pad=2)
+    ids = ["net_input", "xml_mask", "langs", "target", "prev_output", "word_tags", "gap_tags", "src_tags"]
+
+    def text(c):
+        return F.array_join(F.transform(c, lambda x: F.concat_ws("-", x["start"], x["end"])), " ").alias(c)
+
+    return c.select("batch", "id", "place", *[J(x).alias(x) for x in ids], text("spans"), text("src_spans"), "src_length", "tgt_length")
