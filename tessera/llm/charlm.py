@@ -230,31 +230,62 @@ class HashArrays:
         return out
 
 
-class Speller:
-    """Log probabilities of words, by hash; a word is spelled out once a task."""
+class Memo:
+    """Values by key, in a large sorted part and a small one that is merged into
+    it now and then; emptied when it holds ``LIMIT`` keys."""
+
+    LIMIT, SMALL = 1 << 21, 1 << 15
+
+    def __init__(self):
+        self.parts = [(np.zeros(0, U64), np.zeros(0)) for _ in range(2)]
+
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values of (distinct) keys, and which of them are known."""
+        out, seen = np.zeros(len(keys)), np.zeros(len(keys), bool)
+        for known, value in self.parts:
+            if len(known):
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                hit = known[at] == keys
+                out[hit] = value[at[hit]]
+                seen |= hit
+        return out, seen
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        (k, v), (ks, vs) = self.parts
+        if len(k) + len(ks) + len(keys) > self.LIMIT:
+            self.__init__()
+            (k, v), (ks, vs) = self.parts
+        ks, vs = self._sorted(np.concatenate([ks, keys]), np.concatenate([vs, values]))
+        if len(ks) > max(self.SMALL, len(k) // 4):
+            k, v = self._sorted(np.concatenate([k, ks]), np.concatenate([v, vs]))
+            ks, vs = ks[:0], vs[:0]
+        self.parts = [(k, v), (ks, vs)]
 
-    LIMIT = 1 << 21
+    @staticmethod
+    def _sorted(k: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(k, kind="stable")
+        return k[order], v[order]
+
+
+class Speller:
+    """Log probabilities of words, by hash; a word is spelled out and an n-gram
+    is looked up once a task."""
 
     def __init__(self, model):
-        self.model = model
-        self.known, self.value = np.zeros(0, U64), np.zeros(0)
+        self.model, self.words, self.grams = model, Memo(), Memo()
 
     def score(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> np.ndarray:
         """For words of distinct, ascending hashes ``h``."""
-        at = np.searchsorted(self.known, h)
-        seen = np.zeros(len(h), bool)
-        ok = at < len(self.known)
-        seen[ok] = self.known[at[ok]] == h[ok]
-        out = np.zeros(len(h))
-        out[seen] = self.value[at[seen]]
+        out, seen = self.words.get(h)
         new = np.flatnonzero(~seen)
         if len(new):
             word, gram = word_grams(buf, start[new], end[new])
             distinct, inverse = np.unique(gram, return_inverse=True)
-            out[new] = np.bincount(word, self.model.score(distinct)[inverse], len(new))
-            if len(self.known) + len(new) > self.LIMIT:
-                self.known, self.value = np.zeros(0, U64), np.zeros(0)
-            keys = np.concatenate([self.known, h[new]])
-            order = np.argsort(keys)
-            self.known, self.value = keys[order], np.concatenate([self.value, out[new]])[order]
+            value, known = self.grams.get(distinct)
+            ask = distinct[~known]
+            if len(ask):
+                value[~known] = self.model.score(ask)
+                self.grams.put(ask, value[~known])
+            out[new] = np.bincount(word, value[inverse], len(new))
+            self.words.put(h[new], out[new])
         return out
