@@ -188,29 +188,47 @@ def add_noise(df: DataFrame, key: str, tokens: str, k: float, p_drop: float, p_b
     return d.drop("_n1", "_n2")
 
 
+def _chosen(draws: Column, count: Column) -> Column:
+    """The ``count``-th smallest (draw, index) of an array of draws: an index is
+    chosen if its pair is not above it (null, so none, for a count of 0)."""
+    pairs = F.array_sort(F.transform(draws, lambda u, i: F.struct(u.alias("u"), i.alias("i"))))
+    return F.get(pairs, (count - 1).cast("int"))
+
+
 def mask_tokens(df: DataFrame, key: str, ids: str, p: float, seed, mask_id: int, pad: int,
                 p_keep: float = 0.1, p_rand: float = 0.1, vocab_lo: int = 4, vocab_hi: int = 12,
-                ceil_count: bool = False) -> DataFrame:
-    """N-05 / N-06: choose int(p*n + u) (or ceil(p*n)) positions without
-    replacement by their draw order; of those keep the token (p_keep), use a
-    uniform vocabulary id (p_rand) or the mask id.  Returns the masked input
-    and the target (original id at chosen positions, pad elsewhere)."""
-    n = F.size(ids)
+                ceil_count: bool = False, begins=None, replace=None) -> DataFrame:
+    """N-05 / N-06: choose int(p*n + u) (or ceil(p*n)) units without
+    replacement by their draw order; of those keep the tokens (p_keep), use
+    random vocabulary ids (p_rand) or the mask id.  A unit is a token or, with
+    ``begins(id)`` (a Column function), a whole word: a token where it holds, or
+    the first one, and what follows; one decision then holds for all its
+    tokens.  ``replace(u)`` maps a uniform draw to a random id (for replacement by
+    frequency); the default is uniform over ``[vocab_lo, vocab_hi)``.  Returns the
+    masked input and the target (original id at chosen places, pad elsewhere)."""
+    random_id = replace or (lambda u: (vocab_lo + F.floor(u * (vocab_hi - vocab_lo))).cast("int"))
+    first = F.transform(F.col(ids), lambda x, i: F.when((i == 0) | (F.lit(True) if begins is None else begins(x)), i))
+    d = df.withColumn("_at", F.filter(first, lambda i: i.isNotNull()))
+    n = F.size("_at")
     cnt = F.ceil(n * p) if ceil_count else F.floor(n * p + hash_uniform(seed, key, F.lit("n")))
-    d = df.withColumn("_cnt", cnt.cast("int"))
-    ranked = F.array_sort(F.transform(F.col(ids), lambda x, i: F.struct(hash_uniform(seed, key, i).alias("u"),
-                                                                         i.alias("i"))))
-    d = d.withColumn("_chosen", F.transform(F.slice(ranked, 1, F.col("_cnt")), lambda s: s["i"]))
-    def pick(x, i):
-        u2 = hash_uniform(seed, key, i, F.lit("how"))
-        rnd = vocab_lo + F.floor(hash_uniform(seed, key, i, F.lit("rand")) * (vocab_hi - vocab_lo))
-        chosen = F.array_contains("_chosen", i)
-        return F.when(~chosen, x).when(u2 < p_keep, x).when(u2 < p_keep + p_rand, rnd.cast("int")).otherwise(
-            F.lit(mask_id))
-    return (d.withColumn("masked", _pinned(F.transform(ids, pick), arrays=["_chosen"]))
-            .withColumn("target", _pinned(F.transform(ids, lambda x, i: F.when(F.array_contains("_chosen", i), x)
-                                                      .otherwise(F.lit(pad))), arrays=["_chosen"]))
-            .drop("_cnt", "_chosen"))
+    d = d.withColumn("_cut", _chosen(F.transform("_at", lambda x, w: hash_uniform(seed, key, w)), cnt))
+    end = F.concat(F.slice("_at", 2, F.greatest(n - 1, F.lit(0))), F.array(F.size(ids)))
+    units = F.transform(F.arrays_zip(F.col("_at").alias("a"), end.alias("b")), lambda x, w: F.struct(
+        w.alias("w"), x["a"].alias("a"), F.slice(ids, x["a"] + 1, x["b"] - x["a"]).alias("t"),
+        F.coalesce(F.struct(hash_uniform(seed, key, w).alias("u"), w.alias("i")) <= F.col("_cut"), F.lit(False)).alias("on"),
+        hash_uniform(seed, key, w, F.lit("how")).alias("how")))
+    d = d.withColumn("_units", F.when(F.size(ids) > 0, units).otherwise(F.slice(units, 1, 0)))
+
+    def masked(x):
+        return F.transform(x["t"], lambda t, j: F.when(~x["on"] | (x["how"] < p_keep), t).when(
+            x["how"] < p_keep + p_rand, random_id(hash_uniform(seed, key, x["a"] + j, F.lit("rand")))).otherwise(F.lit(mask_id)))
+
+    def target(x):
+        return F.transform(x["t"], lambda t: F.when(x["on"], t).otherwise(F.lit(pad)))
+
+    return (d.withColumn("masked", _pinned(F.flatten(F.transform("_units", masked)), arrays=["_units"]))
+            .withColumn("target", _pinned(F.flatten(F.transform("_units", target)), arrays=["_units"]))
+            .drop("_at", "_cut", "_units"))
 
 
 def mask_weighted(df: DataFrame, key: str, ids: str, weight_of, p: float, seed, mask_id: int,
@@ -225,10 +243,13 @@ def mask_weighted(df: DataFrame, key: str, ids: str, weight_of, p: float, seed,
         (-F.log(F.greatest(hash_uniform(seed, key, i), F.lit(1e-300))) / F.nullif(weight_of(x), F.lit(0.0))).alias("k"), i.alias("i"),
         ((i == 0) | (i == n - 1) | (x.isin(*never) if never else F.lit(False))).alias("edge")))
     d = df.withColumn("_cand", F.filter(F.array_sort(keyed), lambda s: ~s["edge"] & s["k"].isNotNull()))
-    d = d.withColumn("_chosen", F.transform(F.slice("_cand", 1, cnt), lambda s: s["i"]))
-    return d.withColumn("masked", _pinned(F.transform(ids, lambda x, i: F.when(F.array_contains("_chosen", i),
-                                                                                 F.lit(mask_id)).otherwise(x)),
-                                          arrays=["_chosen"])).drop("_chosen", "_cand")
+    d = d.withColumn("_take", F.array_sort(F.transform(F.slice("_cand", 1, cnt), lambda s: s["i"])))
+    # the chosen places in order cut the row into what lies between them
+    start = F.concat(F.array(F.lit(0)), F.transform("_take", lambda i: i + 1))
+    stop = F.concat("_take", F.array(n))
+    d = d.withColumn("_gaps", F.transform(F.arrays_zip(start.alias("a"), stop.alias("b")), lambda x, j: F.concat(
+        F.when(j > 0, F.array(F.lit(mask_id))).otherwise(F.slice(ids, 1, 0)), F.slice(ids, x["a"] + 1, x["b"] - x["a"]))))
+    return d.withColumn("masked", F.flatten("_gaps")).drop("_take", "_cand", "_gaps")
 
 
 def draw_by_weight(draws: DataFrame, u: str, table: DataFrame, item: str, weight: str,

@@ -225,6 +225,24 @@ def q_n05(spark, sf):
                     F.array_join(F.col("target").cast("array<string>"), " ").alias("target"))
 
 
+@register("n05_mask_whole_words", with_views(f"""
+    WITH p AS (SELECT sid, unnest(range(len(ids))) AS i, unnest(ids) AS x FROM ids),
+    b AS (SELECT *, CAST(sum(CASE WHEN i = 0 OR x % 3 <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY sid ORDER BY i) - 1 AS BIGINT) AS w FROM p),
+    u AS (SELECT sid, w, row_number() OVER (PARTITION BY sid ORDER BY {HU(23, 'sid', 'w')}, w) AS rk, count(*) OVER (PARTITION BY sid) AS nw
+          FROM (SELECT DISTINCT sid, w FROM b)),
+    c AS (SELECT b.*, rk <= floor(nw * 0.15 + {HU(23, 'b.sid', "'n'")}) AS chosen, {HU(23, 'b.sid', 'b.w', "'how'")} AS u2,
+                 {HU(23, 'b.sid', 'i', "'rand'")} AS u3 FROM b JOIN u ON b.sid = u.sid AND b.w = u.w)
+    SELECT sid, string_agg(CAST(CASE WHEN NOT chosen OR u2 < 0.1 THEN x WHEN u2 < 0.2 THEN
+             CASE WHEN u3 < 0.1 THEN 4 WHEN u3 < 0.3 THEN 5 WHEN u3 < 0.6 THEN 6 ELSE 7 END ELSE 0 END AS VARCHAR), ' ' ORDER BY i) AS masked,
+           string_agg(CAST(CASE WHEN chosen THEN x ELSE 1 END AS VARCHAR), ' ' ORDER BY i) AS target
+    FROM c GROUP BY sid""", "ids"))
+def q_n05w(spark, sf):
+    by_count = lambda u: F.when(u < 0.1, 4).when(u < 0.3, 5).when(u < 0.6, 6).otherwise(7)  # noqa: E731  weights 1, 2, 3, 4
+    d = P.mask_tokens(views.ids(spark, sf), "sid", "ids", 0.15, 23, mask_id=0, pad=1, begins=lambda x: x % 3 != 0, replace=by_count)
+    return d.select("sid", F.array_join(F.col("masked").cast("array<string>"), " ").alias("masked"),
+                    F.array_join(F.col("target").cast("array<string>"), " ").alias("target"))
+
+
 @register("n06_mask_blocks", _mask_sql("ceil(n * 0.15)"))
 def q_n06(spark, sf):
     d = P.mask_tokens(views.ids(spark, sf), "sid", "ids", 0.15, 23, mask_id=0, pad=1, ceil_count=True)
