@@ -199,12 +199,21 @@ def wrap_pair(a, b, cls: int, sep: int):
 
 
 def schedule_value(step, knots: Sequence[tuple[int, float]]) -> Column:
-    """B-34: piecewise-linear value; constant after the last knot."""
+    """B-34 / J-05: piecewise-linear value over a knot list; constant after the
+    last knot, an error before the first."""
     s = _c(step)
     out = F.lit(float(knots[-1][1]))
     for (xa, ya), (xb, yb) in reversed(list(zip(knots[:-1], knots[1:]))):
         out = F.when((s >= xa) & (s < xb), F.lit(ya) + (s - xa) * F.lit((yb - ya) / (xb - xa))).otherwise(out)
-    return out
+    return F.when(s < knots[0][0], F.raise_error(F.lit("step before the first knot")).cast("double")).otherwise(out)
+
+
+def knots_of(table, knot: str = "step", value: str = "value", at_most: int = 1000) -> list[tuple[int, float]]:
+    """J-05: the knot list of a (small, checked) knot table, in order."""
+    rows = table.select(knot, value).orderBy(knot).limit(at_most + 1).collect()
+    if not 0 < len(rows) <= at_most:
+        raise ValueError(f"a schedule has 1 to {at_most} knots")
+    return [(r[0], float(r[1])) for r in rows]
 
 
 def vec_mul(a, b) -> Column:

@@ -30,9 +30,10 @@ def _merge_expr(col, a: str, b: str):
     return F.regexp_replace(col, pat, (a + b).replace("\\", "\\\\").replace("$", "\\$"))
 
 
-def learn_merges(words: DataFrame, word: str, count: str, n_merges: int, cut_every: int = 10):
+def learn_merges(words: DataFrame, word: str, count: str, n_merges: int, cut_every: int = 10, min_count: int = 2):
     """Returns the learned merges as a list of (rank, a, b); ``words`` holds
-    one row per distinct word with its frequency."""
+    one row per distinct word with its frequency.  Learning stops before
+    ``n_merges`` when no pair occurs ``min_count`` times."""
     cur = words.select(F.array_join(F.split(F.col(word), ""), SEP).alias("sym"), F.col(count).alias("c"))
     cur = cur.filter(F.length("sym") > 0)
     merges = []
@@ -42,7 +43,7 @@ def learn_merges(words: DataFrame, word: str, count: str, n_merges: int, cut_eve
                                                   F.slice(parts, 2, F.size(parts)).alias("b"))).alias("p"), "c")
         best = (pairs.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.sum("c").alias("n"))
                 .orderBy(F.col("n").desc(), "a", "b").limit(1).collect())
-        if not best or best[0]["n"] < 2:
+        if not best or best[0]["n"] < min_count:
             break
         a, b = best[0]["a"], best[0]["b"]
         merges.append((r, a, b))

@@ -126,11 +126,12 @@ def check_corpus(df: DataFrame, ids: str, vocab_size: int) -> DataFrame:
 
 
 # --------------------------------------------------------------- L-*
-def top_k(df: DataFrame, by: Sequence[str], score: str, k: int, ascending: bool = False) -> DataFrame:
-    """L-02 / L-09: best ``k`` per group (Spark plans a group-limit before
-    the shuffle for ``row_number() <= k``)."""
+def top_k(df: DataFrame, by: Sequence[str], score: str, k: int, tie: str, ascending: bool = False) -> DataFrame:
+    """L-02 / L-09: best ``k`` per group, equal scores in the order of the unique
+    key ``tie`` (Spark plans a group-limit before the shuffle for
+    ``row_number() <= k``)."""
     o = F.col(score).asc() if ascending else F.col(score).desc()
-    w = Window.partitionBy(*by).orderBy(o, *[F.col(c) for c in df.columns if c not in by and c != score][:1])
+    w = Window.partitionBy(*by).orderBy(o, F.col(tie))
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k).drop("_rn")
 
 

@@ -118,6 +118,18 @@ def lookup_tokens(df: DataFrame, keys: Sequence[str], vocab: DataFrame, tokens:
                     .otherwise(F.coalesce("_vid", F.lit(unk))).cast("int").alias("tid")))
 
 
+def lookup_strict(df: DataFrame, keys: Sequence[str], vocab: DataFrame, tokens: str = "tokens",
+                  max_broadcast: int = MAX_BROADCAST_VOCAB) -> DataFrame:
+    """J-02, strict: as :func:`lookup_tokens`, but a symbol that the vocabulary
+    lacks fails the job where it is met."""
+    ex = df.select(*keys, F.posexplode_outer(tokens).alias("pos", "symbol"))
+    v = sized_broadcast(vocab.select("symbol", F.col("id").alias("_vid")), max_broadcast)
+    missing = F.raise_error(F.concat(F.lit("not in the vocabulary: "), F.col("symbol"))).cast("int")
+    return (ex.join(v, "symbol", "left")
+            .select(*keys, "pos", "symbol", F.when(F.col("pos").isNull(), F.lit(None))
+                    .when(F.col("_vid").isNull(), missing).otherwise(F.col("_vid")).cast("int").alias("tid")))
+
+
 def assemble(ex: DataFrame, keys: Sequence[str], col: str = "tid", out: str = "ids") -> DataFrame:
     """Regroup exploded ``(keys, pos, col)`` rows into an ordered array."""
     return (ex.groupBy(*keys)

@@ -83,14 +83,21 @@ def q_c02(spark, sf):
     return p.select("id", S.resolve_limits(a, b).alias("lim"))
 
 
+# a vocabulary with faults of each kind: a renamed special, two rows with one id, counts out of order
+ODD_VOCAB = {"odd": """SELECT CASE WHEN id = 20 THEN 21 ELSE id END AS id, CASE WHEN id = 3 THEN '<odd>' ELSE symbol END AS symbol,
+    CASE WHEN id % 50 = 7 THEN count * 1000 ELSE count END AS count FROM vocab"""}
+
+
 @register("c03_check_vocab", with_views("""
-    SELECT 'specials' AS "check", CAST(0 AS BIGINT) AS violations
-    UNION ALL SELECT 'bijection', CAST(0 AS BIGINT)
-    UNION ALL SELECT 'count_order', (SELECT count(*) FROM vocab a JOIN vocab b ON a.id = b.id + 1
-                                     WHERE a.id > 4 AND a.count > b.count)""",
-    "sent_tok", extra=vocab_sql(threshold=2)))
+    SELECT 'specials' AS "check", (SELECT count(*) FROM vocab v LEFT JOIN odd USING (id) WHERE v.id < 4 AND odd.symbol IS DISTINCT FROM v.symbol) AS violations
+    UNION ALL SELECT 'bijection', (SELECT 2 * count(*) - count(DISTINCT id) - count(DISTINCT symbol)
+        + CASE WHEN min(id) <> 0 OR max(id) <> count(*) - 1 THEN 1 ELSE 0 END FROM odd)
+    UNION ALL SELECT 'count_order', (SELECT count(*) FROM odd a JOIN odd b ON a.id = b.id + 1 WHERE a.id > 4 AND a.count > b.count)""",
+    "sent_tok", extra={**vocab_sql(threshold=2), **ODD_VOCAB}))
 def q_c03(spark, sf):
-    v = _vocab(spark, sf, threshold=2)
+    v = _vocab(spark, sf, threshold=2).select(
+        F.when(F.col("id") == 20, 21).otherwise(F.col("id")).alias("id"), F.when(F.col("id") == 3, "<odd>").otherwise(F.col("symbol")).alias("symbol"),
+        F.when(F.col("id") % 50 == 7, F.col("count") * 1000).otherwise(F.col("count")).alias("count"))
     return S.check_vocab(v, V.SPECIALS).select("check", F.col("violations").cast("long").alias("violations"))
 
 
@@ -131,8 +138,8 @@ def q_c08(spark, sf):
 
 
 @register("c09_check_tags", with_views(f"""
-    SELECT sum(CASE WHEN sid % 10 = 3 THEN 1 ELSE 0 END) AS bad_gaps, CAST(0 AS BIGINT) AS bad_tags,
-           CAST(0 AS BIGINT) AS bad_spans, CAST(0 AS BIGINT) AS bad_cover, count(*) AS rows
+    SELECT count(*) FILTER (WHERE sid % 10 = 3) AS bad_gaps, count(*) FILTER (WHERE sid % 10 = 4) AS bad_tags,
+           count(*) FILTER (WHERE sid % 10 = 5) AS bad_spans, count(*) FILTER (WHERE sid % 10 IN (5, 6)) AS bad_cover, count(*) AS rows
     FROM (SELECT sid, {tokens_sql('seg')} AS t FROM bpe) WHERE len(t) > 0""", "bpe"))
 def q_c09(spark, sf):
     d = views.bpe(spark, sf).select("sid", T.tokenize("seg").alias("t")).filter(F.size("t") > 0)
@@ -140,10 +147,11 @@ def q_c09(spark, sf):
     d = d.select("sid", "ntok", "spans",
                  F.transform("spans", lambda s: F.when((s["end"] - s["start"]) % 2 == 0, 1).otherwise(0)).alias("word_tags"),
                  F.transform(F.sequence(F.lit(0), F.size("spans")), lambda i: i % 2).alias("gap_tags"))
-    # every tenth line loses its last gap tag: the negative case
-    d = d.withColumn("gap_tags", F.when(F.col("sid") % 10 == 3, F.slice("gap_tags", 1, F.size("spans")))
-                     .otherwise(F.col("gap_tags")))
     d = d.withColumn("tags", T.interleave("gap_tags", "word_tags"))
+    # faults of each kind: a gap tag, a tag or a span too few, a token that no span covers
+    short = lambda c, k: F.when(F.col("sid") % 10 == k, F.slice(c, 1, F.greatest(F.size(c) - 1, F.lit(0)))).otherwise(F.col(c))
+    d = d.withColumn("gap_tags", short("gap_tags", 3)).withColumn("tags", short("tags", 4)).withColumn("spans", short("spans", 5))
+    d = d.withColumn("ntok", F.col("ntok") + (F.col("sid") % 10 == 6).cast("int"))
     c = S.check_tags(d, "ntok", "word_tags", "gap_tags", "tags", "spans")
     n = lambda c: F.sum(F.col(c).cast("int")).cast("long").alias(c)
     return c.agg(n("bad_gaps"), n("bad_tags"), n("bad_spans"), n("bad_cover"), F.count(F.lit(1)).alias("rows"))
@@ -151,9 +159,11 @@ def q_c09(spark, sf):
 
 @register("c10_check_corpus", with_views("""
     SELECT count(*) AS rows, sum(CASE WHEN len(ids) = 0 THEN 1 ELSE 0 END) AS empty,
-           sum(len(list_filter(ids, lambda x: x < 0 OR x >= 10))) AS out_of_range FROM ids""", "ids"))
+           sum(len(list_filter(ids, lambda x: x < 0 OR x >= 10))) AS out_of_range
+    FROM (SELECT CASE WHEN sid % 7 = 0 THEN [] ELSE ids END AS ids FROM ids)""", "ids"))
 def q_c10(spark, sf):
-    return S.check_corpus(views.ids(spark, sf), "ids", 10)
+    d = views.ids(spark, sf)      # every seventh line is emptied
+    return S.check_corpus(d.withColumn("ids", F.when(F.col("sid") % 7 == 0, F.slice("ids", 1, 0)).otherwise(F.col("ids"))), "ids", 10)
 
 
 @register("c12_manifest_size", """
@@ -176,7 +186,7 @@ def q_c13(spark, sf):
     n_langs = s.select("lang").distinct().count()  # one scalar decides the policy
     subsample, n_sent = (10, 600) if n_langs > 30 else ((10, 300) if n_langs > 5 else (1, -1))
     if n_sent > 0:
-        s = S.top_k(s.select("lang", "sid", (-F.col("sid")).alias("neg")), ["lang"], "neg", n_sent)
+        s = S.top_k(s.select("lang", "sid", (-F.col("sid")).alias("neg")), ["lang"], "neg", n_sent, tie="sid")
     return s.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).select(
         "lang", F.lit(subsample).alias("subsample"), F.lit(n_sent).alias("n_sentences"), "rows")
 
@@ -197,7 +207,7 @@ def q_l01(spark, sf):
     WHERE rn <= 2""", "hyp"))
 def q_l02(spark, sf):
     h = views.hyp(spark, sf).select("id", "score", "rank")
-    return S.top_k(h, ["id"], "score", 2).select("id", "rank", R("score").alias("score"))
+    return S.top_k(h, ["id"], "score", 2, tie="rank").select("id", "rank", R("score").alias("score"))
 
 
 @register("l03_norm_score", with_views("""
