@@ -26,6 +26,11 @@ HEADLINE = [
     "g19_bleu",               # corpus BLEU
     "j14_knn",                # nearest neighbours
     "d01_token_blocks",       # fixed token blocks
+    "d02_sentence_blocks",    # whole-sentence blocks (parallel scan)
+    "g15_spearman",           # rank correlation
+    "g20_bleu_multi_ref",     # BLEU with several references
+    "j10_negatives",          # partners by rank in a group
+    "n08_draw_words",         # weighted draws
 ]
 
 

@@ -7,9 +7,10 @@ than the block), so there are block_size + 2 states.  Rows are cut into
 chunks of consecutive row ids (two-phase X-01); each chunk computes, in one
 vectorised numpy pass, its transition table for *every* entry state: exit
 state and number of closed blocks.  Tables compose associatively, so chunk
-entry states are found by a two-level prefix over the (small) table of
-chunk functions, and each chunk then replays its rows from its exact entry
-state.  No group grows with the corpus.
+entry states are found by a tree of prefixes: ``fan`` chunk functions compose
+to one function, ``fan`` of those to one of the next level and so on up; entry
+states then go down the same levels, and each chunk replays its rows from its
+exact entry state.  No group grows with the corpus, at any level.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.ids import with_row_id
+from tessera.session import cut_lineage
 
 
 def _step(state: np.ndarray, flushes: np.ndarray, s: int, block: int, sep: int | None):
@@ -55,71 +57,68 @@ def replay(sizes: np.ndarray, start: int, block: int, sep: int | None):
     return before, int(state[0]), int(flushes[0])
 
 
+CHILD = "_i long, _p long, total boolean, out array<long>, cnt array<long>"
+
+
+def _compose(block: int, fan: int):
+    """Of ``fan`` consecutive functions: for each the function from the group's
+    start to its own, and one row with the whole group's."""
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_i")
+        parent = int(pdf["_i"].iloc[0]) // fan
+        out, cnt, rows = np.arange(block + 2), np.zeros(block + 2, dtype=np.int64), []
+        for i, o, c in zip(pdf["_i"], pdf["out"], pdf["cnt"]):
+            rows.append((int(i), parent, False, out, cnt))
+            cnt = cnt + np.asarray(c)[out]
+            out = np.asarray(o)[out]
+        rows.append((parent, parent, True, out, cnt))
+        return pd.DataFrame(rows, columns=["_i", "_p", "total", "out", "cnt"])
+    return fn
+
+
+def _entries(tab: DataFrame, n: int, block: int, fan: int) -> DataFrame:
+    """``(_i, state, closed)``: entry state and blocks closed before each of
+    ``n`` functions ``(_i, out, cnt)``, numbered 0 .. n - 1."""
+    levels = []
+    while True:
+        level = cut_lineage(tab.groupBy(F.floor(F.col("_i") / fan)).applyInPandas(_compose(block, fan), CHILD))
+        levels.append(level.filter(~F.col("total")))
+        tab, n = level.filter("total").select("_i", "out", "cnt"), -(-n // fan)
+        if n <= 1:
+            break
+    zero = F.lit(0).cast("long")
+    entry = tab.select("_i", zero.alias("state"), zero.alias("closed"))
+    for level in reversed(levels):
+        at = (F.col("state") + 1).cast("int")
+        entry = (level.join(entry.withColumnRenamed("_i", "_p"), "_p")
+                 .select("_i", F.element_at("out", at).alias("state"), (F.col("closed") + F.element_at("cnt", at)).alias("closed")))
+    return entry
+
+
 def sentence_blocks(df: DataFrame, size: str, order, fine, coarse, block: int, sep: int | None = None,
                     chunk_rows: int = 4096, group_chunks: int = 1024) -> DataFrame:
     """D-02: ``block`` id per row (rows in ``order``); ``sep`` marks document
     separator rows ('complete_doc'), which close a block and get NULL."""
-    d = with_row_id(df, order, fine, coarse, out="_rid")
-    d = d.withColumn("_chunk", F.floor(F.col("_rid") / chunk_rows)).withColumn(
-        "_grp", F.floor(F.col("_chunk") / group_chunks))
+    d = cut_lineage(with_row_id(df, order, fine, coarse, out="_rid").withColumn("_i", F.floor(F.col("_rid") / chunk_rows)))
+    chunks = -(-d.count() // chunk_rows)
 
     def tables(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_rid")
         out, cnt = chunk_table(pdf[size].to_numpy(), block, sep)
-        return pd.DataFrame({"_chunk": [int(pdf["_chunk"].iloc[0])], "_grp": [int(pdf["_grp"].iloc[0])],
-                             "out": [out.tolist()], "cnt": [cnt.tolist()]})
-
-    tab = d.select("_chunk", "_grp", "_rid", size).groupBy("_chunk").applyInPandas(
-        tables, "_chunk long, _grp long, out array<long>, cnt array<long>")
-
-    def within(pdf: pd.DataFrame) -> pd.DataFrame:
-        # prefix composition inside a group of chunks: function from the group
-        # start to each chunk start, plus the whole group's function
-        pdf = pdf.sort_values("_chunk")
-        n = block + 2
-        cur_out, cur_cnt = np.arange(n), np.zeros(n, dtype=np.int64)
-        rows = []
-        for ch, out, cnt in zip(pdf["_chunk"], pdf["out"], pdf["cnt"]):
-            rows.append((int(ch), cur_out.tolist(), cur_cnt.tolist()))
-            out, cnt = np.asarray(out), np.asarray(cnt)
-            cur_cnt = cur_cnt + cnt[cur_out]
-            cur_out = out[cur_out]
-        g = int(pdf["_grp"].iloc[0])
-        res = pd.DataFrame(rows, columns=["_chunk", "pre_out", "pre_cnt"])
-        res["_grp"] = g
-        res["g_out"] = [cur_out.tolist()] * len(res)
-        res["g_cnt"] = [cur_cnt.tolist()] * len(res)
-        return res
-
-    pre = tab.groupBy("_grp").applyInPandas(
-        within, "_chunk long, pre_out array<long>, pre_cnt array<long>, _grp long, g_out array<long>, g_cnt array<long>")
-
-    def groups(pdf: pd.DataFrame) -> pd.DataFrame:
-        # one row per chunk group (corpus rows / (chunk_rows * group_chunks)):
-        # entry state and closed blocks at every group start
-        pdf = pdf.sort_values("_grp")
-        state, closed, rows = 0, 0, []
-        for g, out, cnt in zip(pdf["_grp"], pdf["g_out"], pdf["g_cnt"]):
-            rows.append((int(g), state, closed))
-            closed += int(cnt[state])
-            state = int(out[state])
-        return pd.DataFrame(rows, columns=["_grp", "g_state", "g_closed"])
-
-    gtab = pre.select("_grp", "g_out", "g_cnt").dropDuplicates(["_grp"]).withColumn("_all", F.lit(0))
-    gstart = gtab.groupBy("_all").applyInPandas(groups, "_grp long, g_state long, g_closed long")
-    entry = (pre.join(gstart, "_grp")
-             .select("_chunk", F.element_at("pre_out", (F.col("g_state") + 1).cast("int")).alias("e_state"),
-                     (F.col("g_closed") + F.element_at("pre_cnt", (F.col("g_state") + 1).cast("int"))).alias("e_closed")))
+        return pd.DataFrame({"_i": [int(pdf["_i"].iloc[0])], "out": [out.tolist()], "cnt": [cnt.tolist()]})
+
+    tab = d.select("_i", "_rid", size).groupBy("_i").applyInPandas(tables, "_i long, out array<long>, cnt array<long>")
+    entry = _entries(tab, chunks, block, group_chunks)
+    names = df.columns
+    back = d.schema
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_rid")
-        before, _, _ = replay(pdf[size].to_numpy(), int(pdf["e_state"].iloc[0]), block, sep)
-        blk = before + int(pdf["e_closed"].iloc[0])
+        before, _, _ = replay(pdf[size].to_numpy(), int(pdf["state"].iloc[0]), block, sep)
+        blk = pd.Series(before + int(pdf["closed"].iloc[0]), index=pdf.index, dtype="Int64")
         if sep is not None:
-            blk = np.where(pdf[size].to_numpy() == sep, -1, blk)
-        return pd.DataFrame({"_rid": pdf["_rid"].to_numpy(), "block": blk})
+            blk[pdf[size] == sep] = pd.NA
+        return pdf[names].assign(block=blk)
 
-    blocks = (d.select("_chunk", "_rid", size).join(entry, "_chunk")
-              .groupBy("_chunk").applyInPandas(run, "_rid long, block long"))
-    out = d.join(blocks, "_rid").drop("_chunk", "_grp")
-    return out.withColumn("block", F.when(F.col("block") < 0, F.lit(None)).otherwise(F.col("block"))).drop("_rid")
+    out = ", ".join(f"`{c}` {back[c].dataType.simpleString()}" for c in names) + ", block bigint"
+    return d.join(entry, "_i").groupBy("_i").applyInPandas(run, out)
