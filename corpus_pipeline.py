@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, line_dedup, near_dedup, packing, quality
-from tessera.llm.common import cut
+from tessera.llm.common import cut, small
 
+BROADCAST_ROWS = 500_000
 ORACLE_SQL = None      # perplexity bands and best-fit packing are beyond SQL; see tests/llm
 
 
@@ -27,6 +28,8 @@ def _keyed(docs: DataFrame, *columns: str) -> DataFrame:
 def _without(docs: DataFrame, out: DataFrame) -> DataFrame:
     """``docs`` without the rows whose id is in ``out``."""
     gone = cut(out.select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.digest").alias("_digest")).distinct())
+    if small(gone, BROADCAST_ROWS):      # ids and digests only; beyond the bound the join shuffles
+        gone = F.broadcast(gone)
     same = docs["doc_id"].eqNullSafe(gone["_id"]) & F.md5(docs["text"]).eqNullSafe(gone["_digest"])
     return docs.join(gone, same, "left_anti")
 

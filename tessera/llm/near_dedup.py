@@ -44,6 +44,7 @@ ROWS_AT_ONCE = 2048
 BROADCAST_ROWS = 100_000     # of narrow rows (a key and a few numbers)
 FEW = 8                      # members of a bucket that are compared with each other,
 FULL = 64                    # and of a bucket of texts that share a change
+RELATED = 0.25               # share of a text's shingles that a centre must have to speak for it
 _EDGES = np.array([(j << 64) // BINS for j in range(1, BINS)], dtype=U64)
 _BAND = mix64(np.arange(1, BINS + 1, dtype=U64)) | U64(1)
 
@@ -228,9 +229,9 @@ def _next_members(star: DataFrame, large: DataFrame, sets: DataFrame, grown: Dat
     been a centre itself with the top centre of its bucket.  Let p be the similarity, x and y two linked texts.
 
     Either lacks at most (1 - p) of the other's shingles.  If x shares less than
-    half of its own with c, y shares less than ``far``: members below ``far`` stay in
-    their bucket for another centre, the others leave it, and pairs of members
-    that share half or more are looked after centre by centre:
+    ``RELATED`` of its own with c, y shares less than ``far``: members below ``far`` stay
+    in their bucket for another centre, the others leave it, and pairs of members
+    that share ``RELATED`` or more are looked after centre by centre:
 
     * If they have fewer than p / (1 + p) * (n_x + n_y) shingles of c in common at
       most, they must meet outside c.  They share ``need`` or more shingles there,
@@ -244,11 +245,11 @@ def _next_members(star: DataFrame, large: DataFrame, sets: DataFrame, grown: Dat
     the (c, member) pairs so far; buckets of c are made anew only when it has met
     new members, so the rounds end."""
     p = percent / 100
-    far = 0.5 / p + 1 - p
+    far = RELATED / p + 1 - p
     n, share = F.col("n"), F.col("share")
     stay = large.select("bucket", "node", "links", "every", "full").join(star.filter(share >= far * n).select("bucket", "node"), ["bucket", "node"], "left_anti")
 
-    fresh = star.filter(share >= n / 2).select("c", "node", "n", "nc", "share", "is_link").distinct()
+    fresh = star.filter(share >= RELATED * n).select("c", "node", "n", "nc", "share", "is_link").distinct()
     fresh = cut(fresh if grown is None else fresh.join(grown.select("c", "node"), ["c", "node"], "left_anti"))
     grown = fresh if grown is None else grown.union(fresh)
     related = cut(grown.join(fresh.select("c").distinct(), "c"))
