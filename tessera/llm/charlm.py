@@ -8,13 +8,15 @@ newest a shift.  Smoothing is interpolated modified Kneser-Ney: lower orders
 count distinct left neighbours (n-grams that begin with the word's start keep
 their counts), three discounts per order come from the counts of counts.
 
-Counts cover all given texts.  ``MODEL_ROWS`` bounds what a scoring task gets:
-if there are more n-grams of the highest order, the rarest are left to the
-lower orders (the smallest count that fits; 1, so none, below the bound).
+Counts cover all given texts, and a model holds every n-gram.  Up to
+``MODEL_ROWS`` n-grams of the highest order it is sent to the tasks whole;
+beyond that it stays a table, with which the n-grams of the texts' distinct
+words are joined (``word_scores``).
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -141,7 +143,7 @@ def smoothed(counts: DataFrame) -> DataFrame:
     """``(lang, k, gram, logp, logb)`` of all orders k: natural logarithms of the
     probability of the newest byte and of the weight the n-gram gives, as a
     context, to the order below.  ``k = 0`` is the uniform byte."""
-    levels = {ORDER: cut(_bounded(counts).select("lang", "gram", F.col("n").alias("raw"), F.col("n").alias("c")))}
+    levels = {ORDER: cut(counts.select("lang", "gram", F.col("n").alias("raw"), F.col("n").alias("c")))}
     for k in range(ORDER - 1, 0, -1):
         low = levels[k + 1].groupBy("lang", F.col("gram").bitwiseAND(F.lit(mask(k))).alias("gram")).agg(
             F.sum("raw").alias("raw"), F.count(F.lit(1)).alias("types"))
@@ -176,8 +178,82 @@ def smoothed(counts: DataFrame) -> DataFrame:
     return cut(rows)
 
 
+def few(counts: DataFrame) -> bool:
+    """Whether the model of these counts is sent to the tasks whole."""
+    return counts.count() <= MODEL_ROWS
+
+
+def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    met = Memo()
+    for batch in batches:
+        langs = np.array(batch.column(0).to_pylist(), dtype=str)
+        for lo, hi, buf, offs in slices(batch.column(1)):
+            w = Words(buf, offs, SPACE, LOWER)
+            h = w.hashes()
+            for lang, _, one, _ in lang_words(langs[lo:hi], w, h):
+                salt = U64(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "big"))
+                key = mix64(h[one] + salt)
+                new = ~met.get(key)[1]
+                met.put(key[new], np.zeros(int(new.sum())))
+                one = one[new]
+                size = w.end[one] - w.start[one]
+                ends = np.concatenate([[0], np.cumsum(size)])
+                data = w.buf[np.arange(ends[-1]) + np.repeat(w.start[one] - ends[:-1], size)]
+                spelling = pa.Array.from_buffers(pa.string(), len(one), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(one), pa.string()), pa.array(h[one].view(np.int64)), spelling], names=["lang", "word", "spelling"])
+
+
+def spellings(texts: DataFrame) -> DataFrame:
+    """``(lang, word, spelling)``: the distinct words of ``(lang, text)``, by hash;
+    a task returns a word once, as long as it remembers it."""
+    return texts.select("lang", "text").mapInArrow(_spell, "lang string, word bigint, spelling string").dropDuplicates(["lang", "word"])
+
+
+def _spelled_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo, hi, buf, offs in slices(batch.column(2)):
+            word, gram = word_grams(buf, offs[:-1], offs[1:])
+            at = pa.array(word + lo)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(gram.view(np.int64))], names=["lang", "word", "gram"])
+
+
+def gram_scores(grams: DataFrame, model: DataFrame) -> DataFrame:
+    """``(lang, gram, value)`` of distinct n-grams of the highest order: what
+    ``HashArrays.score`` gives, by joins with the model's table."""
+    rows = grams.select("lang", "gram", F.lit(0.0).alias("back"), F.lit(None).cast("double").alias("value"))
+    done = None
+    for k in range(ORDER, -1, -1):
+        known = model.filter((F.col("k") == k) & (F.col("logp") > NEVER + 1)).select("lang", F.col("gram").alias("_key"), F.col("logp").alias("_p"))
+        rows = rows.withColumn("_key", F.col("gram").bitwiseAND(F.lit(mask(k)))).join(known, ["lang", "_key"], "left")
+        rows = rows.select("lang", "gram", "back", F.coalesce("value", F.col("back") + F.col("_p")).alias("value"))
+        if k == ORDER:                                   # few are left for the lower orders
+            rows = cut(rows)
+            done, rows = rows.filter(F.col("value").isNotNull()), rows.filter(F.col("value").isNull())
+        if k:
+            weight = model.filter(F.col("k") == k - 1).select("lang", F.col("gram").alias("_key"), F.col("logb").alias("_b"))
+            rows = rows.withColumn("_key", F.shiftright("gram", 8).bitwiseAND(F.lit(mask(k - 1)))).join(weight, ["lang", "_key"], "left")
+            rows = rows.select("lang", "gram", (F.col("back") + F.coalesce("_b", F.lit(0.0))).alias("back"), "value")
+    floor = F.col("back") + F.lit(float(np.log(1 / 256)))
+    return done.select("lang", "gram", "value").union(rows.select("lang", "gram", F.coalesce("value", floor).alias("value")))
+
+
+def word_scores(words: DataFrame, model: DataFrame) -> DataFrame:
+    """``(lang, word, spelled)``: log probabilities of the words of ``spellings``."""
+    grams = cut(words.select("lang", "word", "spelling").mapInArrow(_spelled_grams, "lang string, word bigint, gram bigint"))
+    value = gram_scores(grams.select("lang", "gram").distinct(), model)
+    return cut(grams.join(value, ["lang", "gram"]).groupBy("lang", "word").agg(F.sum("value").alias("spelled")))
+
+
+def word_lists(rows: int, row: np.ndarray, word: np.ndarray, n: np.ndarray) -> pa.Array:
+    """``array<struct<word, n>>`` of each row, from a list of (row, word, n)."""
+    order = np.argsort(row, kind="stable")
+    ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=rows))]).astype(np.int32)
+    pairs = pa.StructArray.from_arrays([pa.array(word[order].view(np.int64)), pa.array(n[order])], names=["word", "n"])
+    return pa.ListArray.from_arrays(pa.array(ends), pairs)
+
+
 def arrays(model: DataFrame) -> dict[str, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-    """The (bounded) model by language: for each order, sorted n-grams, logp, logb."""
+    """A (``few``) model by language: for each order, sorted n-grams, logp, logb."""
     table = model.toArrow()
     lang = np.array(table["lang"].to_pylist(), dtype=str)
     k, gram = table["k"].to_numpy(), table["gram"].to_numpy().view(U64)
