@@ -118,13 +118,6 @@ def count_grams(texts: DataFrame, ends: bool = False) -> DataFrame:
     return cut(partial.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
 
 
-def _bounded(counts: DataFrame) -> DataFrame:
-    least = 1
-    while counts.filter(F.col("n") >= least).count() > MODEL_ROWS:
-        least *= 2
-    return counts.filter(F.col("n") >= least)
-
-
 def _discounts(level: DataFrame) -> DataFrame:
     """Per language: what is taken off counts of 1, 2, and 3 or more."""
     n = [F.sum((F.col("c") == i).cast("double")) for i in (1, 2, 3, 4)]
