@@ -146,3 +146,23 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import lm_score
     return lm_score.scored(table(spark, sf_dir, "documents"))
+
+
+@register()
+def op11_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tessera.llm import bpe_codec
+    return bpe_codec.report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@register()
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import runs
+    return runs.report(table(spark, sf_dir, "documents"))
+
+
+@register()
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import whitening
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))

@@ -1,0 +1,249 @@
+"""Byte-pair coding, periodic runs and whitening against the library and brute force."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from tessera.llm import bpe_codec, runs, whitening
+from tessera.llm.common import slices
+
+SF = "/root/testdata/sf0.001"
+SPACES = r"[^\x20\x09-\x0D]+"
+BPE = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def sha(s):
+    return hashlib.sha256(s.encode()).hexdigest()
+
+
+def key(r):
+    return tuple((x is not None, x) for x in r)
+
+
+# -- byte-pair coding ----------------------------------------------------------
+
+PARTS = ["'", "'s", "'re", "'ll", "'S", " ", "  ", "\n", "\t", "a", "b", "Z", "é", "ß", "中", "文", "1", "²", "½", "!", "?", "_", "<|endoftext|>", "<|end",
+         "oftext|>", "́", "😀", "re", "ve", "d", " ", "　", "Ᲊ", "࢏", "\x00", "the", " of", "ing"]
+
+
+def test_codec_equals_the_library():
+    import pyarrow as pa
+    rng = random.Random(1)
+    texts = ["".join(rng.choice(PARTS) for _ in range(rng.randrange(40))) for _ in range(4000)]
+    texts += ["".join(chr(rng.choice([rng.randrange(0xD800), rng.randrange(0xE000, 0x110000)])) for _ in range(30)) for _ in range(1500)]
+    texts += ["", None, "a" * 5000, "ab" * 3000, " " * 4000 + "x", "'" * 500, "\n" * 300, "x" * 63 + "y", "q" * 65, "<|endoftext|>"]
+    lib = Tokenizer.from_file(BPE)
+    with open(BPE, "rb") as f:
+        codec = bpe_codec.Codec(f.read())
+    for lo, hi, buf, offs in slices(pa.array(texts), 5000):
+        ids, ends = codec.encode(buf, offs)
+        data, place = codec.decode(ids)
+        for r, t in enumerate(texts[lo:hi]):
+            want = lib.encode(t or "", add_special_tokens=False).ids
+            assert ids[ends[r]:ends[r + 1]].tolist() == want, t
+            assert data[place[ends[r]]:place[ends[r + 1]]].tobytes().decode("utf-8", "replace") == lib.decode(want, skip_special_tokens=False)
+
+
+def test_codec_forgets_and_refuses(monkeypatch):
+    import json
+    with open(BPE, "rb") as f:
+        file = f.read()
+    monkeypatch.setattr(bpe_codec, "CACHED", 5)
+    codec, lib = bpe_codec.Codec(file), Tokenizer.from_file(BPE)
+    for t in ["one two three four five six", "seven eight nine ten one two"]:
+        buf = np.frombuffer(t.encode(), np.uint8)
+        assert codec.encode(buf, np.array([0, len(buf)]))[0].tolist() == lib.encode(t).ids
+    j = json.loads(file)
+    j["pre_tokenizer"]["add_prefix_space"] = True
+    with pytest.raises(ValueError):
+        bpe_codec.Codec(json.dumps(j).encode())
+
+
+def test_bpe_query(spark, odd, odd_rows, nothing):
+    lib = Tokenizer.from_file(BPE)
+
+    def want(doc, text):
+        ids = lib.encode(text or "", add_special_tokens=False).ids
+        return doc, len(ids), sha(",".join(map(str, ids))), sha(lib.decode(ids, skip_special_tokens=False))
+
+    got = sorted(map(tuple, bpe_codec.report(odd, BPE).collect()), key=key)
+    assert got == sorted((want(r[0], r[1]) for r in odd_rows), key=key)
+    assert bpe_codec.report(nothing, BPE).collect() == []
+    some = [*range(0, 256, 3), 64]                                # single bytes, many of them no UTF-8
+    ids = spark.createDataFrame([(1, [50256, 10 ** 6, None, -1]), (2, None), (3, []), (4, some)], "k int, ids array<int>")
+    assert {r.k: r.decoded for r in bpe_codec.decode(ids, BPE).collect()} == {1: "<|endoftext|>", 2: "", 3: "", 4: lib.decode(some)}
+    import __spark_entry__ as E
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    assert sorted(map(tuple, E.queries()["op11_bpe_codec"](spark, SF).collect())) == sorted(want(r.doc_id, r.text) for r in docs)
+
+
+# -- periodic runs -------------------------------------------------------------
+
+def brute_runs(w, least=12):
+    n, found = len(w), {}
+    for q in range(1, n // 2 + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and w[j] == w[j + q]:
+                j += 1
+            if j + q - i >= max(least, 2 * q) and j > i:
+                found.setdefault((i, j + q), q)
+            i = max(j, i + 1)
+    return sorted(((s, e - s, q) for (s, e), q in found.items()), key=lambda r: (r[0], r[2]))
+
+
+def random_words(rng):
+    k, n, kind = rng.choice([1, 2, 2, 3, 4]), rng.randrange(110), rng.random()
+    if kind < 0.4:
+        w = [rng.randrange(k) for _ in range(n)]
+    elif kind < 0.7:
+        u, v, w = [rng.randrange(k) for _ in range(rng.randrange(1, 12))], [rng.randrange(k) for _ in range(rng.randrange(1, 8))], []
+        while len(w) < n:
+            w += u * rng.randrange(1, 5) + v * rng.randrange(4)
+    else:
+        a, w = [0], [0, 1]
+        while len(w) < n:
+            a, w = w, w + a
+    w = w[:n]
+    return w[:rng.randrange(1, n + 1)] * 3 if n and rng.random() < 0.2 else w
+
+
+@pytest.mark.parametrize("least", [2, 5, 12])
+def test_factors_find_all_runs(least):
+    rng = random.Random(least)
+    for _ in range(800):
+        w = random_words(rng)
+        start, end, q = runs.Factors(np.array(w, np.int64), max(1, len(w) // 2)).runs(least)
+        assert sorted(zip(start.tolist(), (end - start).tolist(), q.tolist()), key=lambda r: (r[0], r[2])) == brute_runs(w, least), w
+
+
+def test_long_periodic_text_is_quick():
+    import time
+    t = time.time()
+    for w in (np.zeros(300_000, np.int64), np.arange(300_000) % 7, np.arange(300_000) % 77_777):
+        start, end, q = runs.Factors(w, len(w) // 2).runs(12)
+        assert (start.tolist(), end.tolist()) == ([0], [300_000]) and q[0] == len(np.unique(w))
+    assert time.time() - t < 60
+
+
+def want_runs(doc, text, plant=True):
+    w = re.findall(SPACES, text or "")
+    n = len(w)
+    h = zlib.crc32(str(doc).encode())
+    g = h // 10
+    if plant and doc is not None and h % 10 == 0 and n:
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        w = w[:a] + [w[a + (i - a) % p] for i in range(a, n)]
+    found = brute_runs(w)
+    gone = {i for s, m, q in found for i in range(s + q, s + m)}
+    best = min(found, key=lambda r: (-r[1], r[0], r[2]), default=(None,) * 3)
+    return (doc, len(found), *best, best[0] if best[0] is None else 1000 * best[1] // best[2], sha("".join(f"{s},{m},{q}\n" for s, m, q in found)),
+            sha(" ".join(x for i, x in enumerate(w) if i not in gone)))
+
+
+def test_runs_query(spark, odd, odd_rows, nothing):
+    rows = [(r[0], r[1] if len(r[1] or "") < 100_000 else "x y " * 400) for r in odd_rows]
+    rng = random.Random(9)
+    rows += [(500 + i, " ".join(f"w{x}" for x in random_words(rng))) for i in range(150)]
+    rows += [(700, "é ü " * 30), (700, "é ü " * 30), (701, "a\x0b" * 12), (702, "a " * 11)]
+    docs = spark.createDataFrame([(*r, 1, 2, "t") for r in rows], "doc_id bigint, text string, n int, a int, w string").repartition(4)
+    got = sorted(map(tuple, runs.report(docs).collect()), key=key)
+    assert got == sorted((want_runs(*r) for r in rows), key=key)
+    assert runs.report(nothing).collect() == [] and runs.report(odd).count() == len(odd_rows)
+    import __spark_entry__ as E
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("length(text) < 30000").collect()
+    got = {r.doc_id: tuple(r) for r in E.queries()["op12_periodic_runs"](spark, SF).collect()}
+    assert all(got[r.doc_id] == want_runs(r.doc_id, r.text) for r in docs)
+
+
+# -- whitening -----------------------------------------------------------------
+
+def test_eigenvectors_of_clusters():
+    rng = np.random.default_rng(3)
+    q = np.linalg.qr(rng.normal(size=(24, 24)))[0].astype(np.longdouble)
+    for _ in range(4):                                              # orthonormal to extended precision
+        q = q @ (3 * np.eye(24, dtype=np.longdouble) - q.T @ q) / 2
+    values = np.array([5.0, 5 + 1e-9, 5 + 2e-9, 3, 3, 3 + 1e-13, *np.linspace(0.1, 2, 14), 1e-7, 2e-7, 0, 0], np.longdouble)
+    a = (q * values) @ q.T
+    a = (a + a.T) / 2
+    got, x = whitening.eigen(a)
+    assert np.abs(got - np.sort(values)).max() < 1e-16
+    assert np.abs(x.T @ x - np.eye(24)).max() < 1e-16
+    assert np.abs(a @ x - x * got).max() < 1e-16
+    close = np.abs(x.T @ q[:, [1]])[np.argsort(np.abs(got - values[1]))[0]]
+    assert abs(close - 1) < 1e-8                                   # told apart at a gap of 1e-9
+
+
+def brute_whiten(rows):
+    fine = [(i, v) for i, v in rows if v and all(c is not None and np.isfinite(c) for c in v)]
+    x = [[int(np.floor(64 * float(c))) + 1_000_000 for c in v] for _, v in fine]
+    u = np.array(sorted(set(map(tuple, x))), object)
+    n, total = len(u), u.sum(axis=0)
+    y = (u * n - total)
+    cov = (y.T @ y).astype(np.longdouble) / np.longdouble(n) ** 3
+    e, vec = np.linalg.eigh(cov.astype(np.float64))
+    e, vec = e[::-1], vec[:, ::-1]
+    out = []
+    for (i, _), r in zip(fine, x):
+        r = np.array(r, object) * n - total
+        w = (r.astype(np.float64) / n) @ vec / np.sqrt(e)
+        out += [(i, c + 1, n, int((r ** 2).sum()), w[c], e[c] / e.sum()) for c in range(min(16, len(e)))]
+    return out
+
+
+def check_whiten(df, rows):
+    got, want = sorted(df.collect(), key=lambda r: (r[0] is not None, r[0], r[1], r[4])), brute_whiten(rows)
+    want.sort(key=lambda r: (r[0] is not None, r[0], r[1], r[4]))
+    assert [tuple(r)[:4] for r in got] == [r[:4] for r in want]
+    assert max(abs(a.explained - b[5]) / b[5] for a, b in zip(got, want)) < 1e-9
+    for c in {r.component for r in got}:
+        a, b = np.array([r.whitened for r in got if r.component == c]), np.array([r[4] for r in want if r[1] == c])
+        assert min(np.abs(np.sort(a) - np.sort(b)).max(), np.abs(np.sort(a) - np.sort(-b)).max()) < 1e-6
+    assert len({r.identity_error for r in got}) == 1 and got[0].identity_error < 1e-9
+
+
+def test_whitening(spark, nothing):
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(300, 20)) * np.linspace(0.1, 2, 20) + np.arange(20)
+    rows = [(i, v.tolist()) for i, v in enumerate(base)] + [(1000 + i, base[5].tolist()) for i in range(150)] + [(5, base[5].tolist()), (None, base[6].tolist())]
+    odd = [(2000, None), (2001, []), (2002, [None] * 20), (2003, [float("nan")] * 20), (2004, [1.0] * 19 + [float("inf")]), (2005, [1.0] * 19 + [None])]
+    more = "vec_id bigint, embedding array<double>, x string, dim int, n bigint, component int"
+    df = spark.createDataFrame([(*r, "x", 1, 2, 3) for r in rows + odd], more).repartition(5)
+    check_whiten(whitening.whiten(df), rows)
+    shorter = df.union(spark.createDataFrame([(3000, [1.0, 2.0], "x", 1, 2, 3)], more))
+    assert whitening.whiten(shorter).count() == len(rows) * 16
+    assert whitening.whiten(df.filter("false")).collect() == [] and whitening.whiten(df.filter("vec_id >= 2000")).collect() == []
+
+
+def test_whitening_without_variance(spark):
+    schema = "vec_id bigint, embedding array<float>"
+    one = whitening.whiten(spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0])], schema)).collect()
+    assert [tuple(r) for r in sorted(one)] == [(i, c, 1, 0, None, None, 0.0) for i in (1, 2) for c in (1, 2)]
+    flat = sorted(whitening.whiten(spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, 2.0])], schema)).collect())
+    assert [(r.component, r.whitened is None, r.explained) for r in flat] == [(1, False, 1.0), (2, True, 0.0)] * 2
+    huge = whitening.whiten(spark.createDataFrame([(1, [1e30]), (2, [-1e30]), (3, [70000.0]), (4, [1e9]), (5, [0.0])], "vec_id int, embedding array<double>")).collect()
+    assert [r.deviation for r in sorted(huge)][:2] == [None, None] and all(r.n == 5 for r in huge)
+
+
+def test_keys_are_exact():
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.integers(-2 ** 15, 2 ** 15, (50, 7)), rng.integers(-2 ** 31, 2 ** 31, (50, 7)), rng.integers(-2 ** 45, 2 ** 45, (50, 7)),
+                        [[-32768] * 7, [32767] * 7, [32768] * 7, [-32769] * 7]])
+    keys = whitening.pack(np.full(len(x), 7), x.ravel())
+    assert (whitening.unpack(keys, 7) == x).all() and len(set(keys)) == len(x) and {len(k) for k in keys} == {15, 29, 57}
+    y = x - 3
+    assert (whitening.products(y) == y.astype(object).T @ y.astype(object)).all()
+
+
+def test_whitening_query(spark):
+    import __spark_entry__ as E
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
+    check_whiten(E.queries()["op13_whitening"](spark, SF), rows)
