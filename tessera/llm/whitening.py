@@ -196,6 +196,9 @@ def eigen(a: np.ndarray, most: int = 40) -> tuple[np.ndarray, np.ndarray]:
     one = np.eye(d, dtype=WIDE)
     x = np.linalg.eigh(a.astype(np.float32))[1].astype(WIDE)
     norm = np.sqrt((a * a).sum())
+    # A turn by rounding / gap costs its square in orthogonality: closer values are left to sub-solves.
+    fine = 4 * np.sqrt(np.finfo(WIDE).eps)
+    calm = 0
     for _ in range(most):
         r = one - x.T @ x
         s = x.T @ (a @ x)
@@ -203,21 +206,22 @@ def eigen(a: np.ndarray, most: int = 40) -> tuple[np.ndarray, np.ndarray]:
         values = np.diag(s) / (1 - np.diag(r))
         by = np.argsort(values, kind="stable")
         x, values, r, s = x[:, by], values[by], r[np.ix_(by, by)], s[np.ix_(by, by)]
-        off = s - np.diag(values)
-        bound = 2 * (np.sqrt((off * off).sum()) + norm * np.sqrt((r * r).sum()))
+        off = s - np.diag(np.diag(s))
+        bound = max(fine, 2 * (np.sqrt((off * off).sum()) + norm * np.sqrt((r * r).sum())))
         gap = values[None, :] - values[:, None]
         near = np.abs(gap) <= bound
         e = np.where(near, r / 2, (s + values[None, :] * r) / np.where(near, 1, gap))
         x = x + x @ e
         for group in clusters(values, bound):                   # sub-solves, with the common eigenvalue taken out
             part = x[:, group]
-            middle = values[group].mean()
-            small = part.T @ (a @ part) - middle * (part.T @ part)
+            small = part.T @ (a @ part) - values[group].mean() * (part.T @ part)
             size = np.abs(small).max()
             if size > 8 * np.finfo(WIDE).eps:
-                turn = np.linalg.eigh((small / size).astype(np.float64))[1].astype(WIDE)
+                turn = np.linalg.eigh(((small + small.T) / (2 * size)).astype(np.float64))[1].astype(WIDE)
+                turn = turn @ (3 * np.eye(len(group), dtype=WIDE) - turn.T @ turn) / 2      # orthonormal to extended precision
                 x[:, group] = part @ turn
-        if np.abs(e).max() <= 4 * np.finfo(WIDE).eps and bound <= 64 * d * np.finfo(WIDE).eps:
+        calm = calm + 1 if np.abs(e).max() <= fine and bound == fine else 0
+        if calm == 2:                                           # the last one squared an error that was small already
             break
     s = x.T @ (a @ x)
     values = np.diag(s) / np.diag(x.T @ x)
