@@ -313,3 +313,50 @@ def q_j12(spark, sf):
     pairs = P.next_sentence(blocks, "block", n, 53)
     return pairs.select("block", "is_next", F.col("prow").cast("long").alias("pblock"),
                         (3 + F.col("size") + F.col("p_size")).alias("pair_size"))
+
+
+def _cuts(side):
+    """Tokens of a side that go from the front, counted one by one."""
+    return f"(SELECT count(*) FROM range(1, {side}_cut + 1) r(j) WHERE {HU(59, f"'{side}'", 'doc', 's', 'j')} < 0.5)"
+
+
+@register("j12_doc_pairs", with_views(f"""
+    WITH RECURSIVE l AS (SELECT doc_id, line_no, len(tokens) + 1 AS size FROM sent_tok),
+    g AS (SELECT *, sum(CASE WHEN size = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS seg FROM l),
+    k AS (SELECT *, dense_rank() OVER (ORDER BY doc_id, seg) - 1 AS doc FROM g WHERE size <> 1),
+    st AS MATERIALIZED (SELECT doc, row_number() OVER w - 1 AS idx, CAST(size AS BIGINT) AS size, CAST(sum(size) OVER w AS BIGINT) AS cum
+           FROM k WINDOW w AS (PARTITION BY doc ORDER BY line_no)),
+    dl AS MATERIALIZED (SELECT doc, count(*) AS len, CAST(CASE WHEN {HU(59, "'short'", 'doc')} < 0.1 THEN 2 + floor({HU(59, "'target'", 'doc')} * 59) ELSE 61 END AS BIGINT) AS target
+           FROM st GROUP BY doc),
+    nd AS (SELECT count(*) AS n FROM dl),
+    q AS (SELECT st.doc, st.idx AS s, cum - size AS before, target, len, cum - size + target AS v FROM st JOIN dl USING (doc)),
+    e AS (SELECT q.doc, q.s, q.before, q.target, q.len, coalesce(p.idx, q.len - 1) AS e FROM q ASOF LEFT JOIN st p ON q.doc = p.doc AND q.v <= p.cum),
+    c AS MATERIALIZED (SELECT *, CASE WHEN e - s + 1 > 2 THEN 1 + CAST(floor({HU(59, "'split'", 'doc', 's')} * (e - s - 1)) AS BIGINT) ELSE 1 END AS a,
+                 {HU(59, "'label'", 'doc', 's')} > 0.5 AND e > s AS label FROM e),
+    reach AS (SELECT doc, CAST(0 AS BIGINT) AS s FROM dl
+              UNION ALL SELECT c.doc, CASE WHEN c.label THEN c.e + 1 ELSE c.s + c.a END FROM reach r JOIN c ON c.doc = r.doc AND c.s = r.s
+              WHERE CASE WHEN c.label THEN c.e + 1 ELSE c.s + c.a END < c.len),
+    u AS (SELECT c.*, x.cum AS a_cum, floor({HU(59, "'doc'", 'c.doc', 'c.s')} * (n - 1)) AS o FROM reach JOIN c USING (doc, s) JOIN st x ON x.doc = c.doc AND x.idx = c.s + c.a - 1, nd),
+    t AS (SELECT *, CASE WHEN label THEN doc WHEN o >= doc THEN CAST(o + 1 AS BIGINT) ELSE CAST(o AS BIGINT) END AS b_doc FROM u),
+    own AS (SELECT t.doc, t.s, t.label, t.before, t.a_cum, t.b_doc, t.a_cum AS b_before, y.cum AS b_cum FROM t JOIN st y ON y.doc = t.doc AND y.idx = t.e WHERE t.label),
+    f0 AS (SELECT t.*, dl.len AS b_docs, CAST(floor({HU(59, "'start'", 't.doc', 't.s')} * dl.len) AS BIGINT) AS b0 FROM t JOIN dl ON dl.doc = t.b_doc WHERE NOT t.label),
+    f1 AS (SELECT f0.*, y.cum - y.size AS b_before, y.cum - y.size + greatest(f0.target - (f0.a_cum - f0.before), 1) AS v FROM f0 JOIN st y ON y.doc = f0.b_doc AND y.idx = f0.b0),
+    f2 AS (SELECT f1.*, coalesce(p.idx, f1.b_docs - 1) AS b1 FROM f1 ASOF LEFT JOIN st p ON f1.b_doc = p.doc AND f1.v <= p.cum),
+    far AS (SELECT f2.doc, f2.s, f2.label, f2.before, f2.a_cum, f2.b_doc, f2.b_before, y.cum AS b_cum FROM f2 JOIN st y ON y.doc = f2.b_doc AND y.idx = f2.b1),
+    z AS (SELECT *, a_cum - before AS la, b_cum - b_before AS lb, greatest(a_cum - before + b_cum - b_before - 61, 0) AS over FROM (SELECT * FROM own UNION ALL SELECT * FROM far)),
+    z1 AS (SELECT *, CASE WHEN la > lb THEN least(over, la - lb) ELSE 0 END + (over - least(over, abs(la - lb))) // 2 AS a_cut,
+                  CASE WHEN la > lb THEN 0 ELSE least(over, lb - la) END + (over - least(over, abs(la - lb)) + 1) // 2 AS b_cut FROM z),
+    z2 AS (SELECT *, {_cuts('a')} AS a_front, {_cuts('b')} AS b_front FROM z1),
+    z3 AS (SELECT *, before + a_front + 1 AS v1, a_cum - (a_cut - a_front) AS v2, b_before + b_front + 1 AS v3, b_cum - (b_cut - b_front) AS v4 FROM z2),
+    y1 AS (SELECT z3.*, p.idx AS a_start, p.cum - p.size AS p1 FROM z3 ASOF JOIN st p ON z3.doc = p.doc AND z3.v1 <= p.cum),
+    y2 AS (SELECT y1.*, p.idx AS a_end FROM y1 ASOF JOIN st p ON y1.doc = p.doc AND y1.v2 <= p.cum),
+    y3 AS (SELECT y2.*, p.idx AS b_start, p.cum - p.size AS p3 FROM y2 ASOF JOIN st p ON y2.b_doc = p.doc AND y2.v3 <= p.cum),
+    y4 AS (SELECT y3.*, p.idx AS b_end FROM y3 ASOF JOIN st p ON y3.b_doc = p.doc AND y3.v4 <= p.cum)
+    SELECT doc, s, label, a_start, v1 - 1 - p1 AS a_offset, a_end, la - a_cut AS a_len, b_doc, b_start, v3 - 1 - p3 AS b_offset, b_end, lb - b_cut AS b_len,
+           3 + la - a_cut + lb - b_cut AS size FROM y4""", "sent_tok"))
+def q_j12_doc(spark, sf):
+    """J-12, 'doc' mode: block 64, lines as sentences (with an end symbol), empty
+    lines separate documents."""
+    from tessera.operators.doc_pairs import doc_pairs, documents_of_lines
+    s = views.sent_tokens(spark, sf).select("doc_id", "line_no", (F.size("tokens") + 1).alias("size"))
+    return doc_pairs(documents_of_lines(s, "doc_id", "line_no", "size"), 64, 59)
