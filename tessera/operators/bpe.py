@@ -1,11 +1,17 @@
 """Byte-pair merges (H-02): learn from a word-frequency table, apply to words.
 
-Learning is iterative over the *distinct-word* table (its size follows the
-vocabulary, not the corpus): each round counts adjacent symbol pairs
-weighted by word frequency (map-side combined), takes the best pair (count
-desc, then pair asc; one scalar to the driver) and rewrites every word with
-a regular-expression merge.  Lineage is cut every few rounds in the shared
-checkpoint folder so the plan stays small.
+Learning works on the *distinct-word* table.  Its state is a table of pair counts
+and an inverted index pair -> word; both change only where words change:
+
+1. the best ``width`` pairs (count descending, then pair ascending) are candidates;
+2. the index names the words that hold one, and only those are read;
+3. a prefix of the candidates is accepted whose pairs are, one after the other,
+   what the one-by-one learner would take (see ``_accepted``);
+4. the words that hold an accepted pair are rewritten, and the difference of their
+   old and new pairs is added to the counts; the index gets their new pairs.
+
+Old index rows stay: they only name words that hold the pair no more.  The driver
+sees ``width`` candidates a round and the merges, never words.
 
 Applying follows the rank rule (repeatedly merge the lowest-ranked adjacent
 pair present in the word) per distinct word, as a small helper inside an
@@ -14,43 +20,134 @@ Arrow UDF; words are joined back by the H-01 path.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import cut_lineage
-
-SEP = " "
-
-
-def _merge_expr(col, a: str, b: str):
-    """Merge every non-overlapping adjacent (a, b), left to right, in a
-    space-separated symbol string."""
-    pat = r"(?<=^| )" + r"\Q" + a + r"\E \Q" + b + r"\E" + r"(?= |$)"
-    return F.regexp_replace(col, pat, (a + b).replace("\\", "\\\\").replace("$", "\\$"))
-
-
-def learn_merges(words: DataFrame, word: str, count: str, n_merges: int, cut_every: int = 10, min_count: int = 2):
-    """Returns the learned merges as a list of (rank, a, b); ``words`` holds
-    one row per distinct word with its frequency.  Learning stops before
-    ``n_merges`` when no pair occurs ``min_count`` times."""
-    cur = words.select(F.array_join(F.split(F.col(word), ""), SEP).alias("sym"), F.col(count).alias("c"))
-    cur = cur.filter(F.length("sym") > 0)
-    merges = []
-    for r in range(n_merges):
-        parts = F.split("sym", SEP)
-        pairs = cur.select(F.explode(F.arrays_zip(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))).alias("a"),
-                                                  F.slice(parts, 2, F.size(parts)).alias("b"))).alias("p"), "c")
-        best = (pairs.groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.sum("c").alias("n"))
-                .orderBy(F.col("n").desc(), "a", "b").limit(1).collect())
-        if not best or best[0]["n"] < min_count:
+from tessera.session import cut_lineage, discard, ensure_checkpoint_dir
+
+WIDTH = 256          # candidates a round
+
+
+def merge_all(symbols: list[str], merges: set[tuple[str, str]]) -> list[str]:
+    """Merge every adjacent pair of ``merges``, left to right, without overlaps."""
+    out: list[str] = []
+    fresh = False                      # the last of ``out`` was just merged
+    for x in symbols:
+        if out and not fresh and (out[-1], x) in merges:
+            out[-1] += x
+            fresh = True
+        else:
+            out.append(x)
+            fresh = False
+    return out
+
+
+def _pairs(words: DataFrame) -> DataFrame:
+    """``(a, b, word, c)`` of all adjacent symbols of ``(word, syms, c)``."""
+    n = F.greatest(F.size("syms") - 1, F.lit(0))
+    zipped = F.arrays_zip(F.slice("syms", 1, n).alias("a"), F.slice("syms", 2, n).alias("b"))
+    return words.select(F.explode(zipped).alias("p"), "word", "c").select("p.a", "p.b", "word", "c")
+
+
+def _accepted(top: list, best_new: dict, known: set[str]) -> list[tuple[str, str]]:
+    """The longest prefix of the candidates ``top`` (a, b, n) that the one-by-one
+    learner takes in this order.  Merging (a, b) lowers only counts of pairs that
+    end in a or begin with b, so a candidate keeps its count unless it is one of
+    those (or a pair of equal symbols shares one).  A new pair holds the merged
+    symbol and counts at most as often as the three symbols it comes from; the best
+    such bound of every accepted pair, ``best_new`` (-n, pair), has to rank behind
+    the candidate.  A merge whose symbol an earlier round made (``known``) adds
+    to old pairs and so ends the prefix."""
+    taken: list[tuple[str, str]] = []
+    made: set[str] = set()
+    limit = None
+    for a, b, n in top:
+        clash = any(b == x or a == y or ((a == b or x == y) and {a, b} & {x, y}) for x, y in taken)
+        if taken and (clash or a + b in made or {a, b} & made or limit <= (-n, (a, b))):
+            break
+        taken.append((a, b))
+        made.add(a + b)
+        new = best_new.get((a, b))
+        if new is not None:
+            limit = new if limit is None else min(limit, new)
+        else:
+            limit = limit if limit is not None else (1, ("", ""))
+        if a + b in known:
+            break
+    return taken
+
+
+def _best_new(touched: DataFrame, top: DataFrame) -> dict:
+    """For each candidate the best rank, (-n, pair), that a pair made by its
+    merge can have: counts of three adjacent symbols, and for equal counts the
+    smallest pair, the outer symbol being itself or any candidate's merged symbol."""
+    n = F.greatest(F.size("syms") - 2, F.lit(0))
+    triples = touched.select(F.explode(F.arrays_zip(F.slice("syms", 1, n).alias("x"), F.slice("syms", 2, n).alias("y"), F.slice("syms", 3, n).alias("z"))).alias("t"), "c")
+    triples = triples.groupBy("t.x", "t.y", "t.z").agg(F.sum("c").alias("n"))
+    left = triples.join(F.broadcast(top.select(F.col("a").alias("y"), F.col("b").alias("z"))), ["y", "z"])
+    left = left.join(F.broadcast(top.select(F.col("b").alias("x"), F.concat("a", "b").alias("m"))), "x", "left")
+    left = left.select(F.col("y").alias("a"), F.col("z").alias("b"), "n", F.struct(F.least("x", F.coalesce("m", "x")).alias("p"), F.concat("y", "z").alias("q")).alias("pair"))
+    right = triples.join(F.broadcast(top.select(F.col("a").alias("x"), F.col("b").alias("y"))), ["x", "y"])
+    right = right.join(F.broadcast(top.select(F.col("a").alias("z"), F.concat("a", "b").alias("m"))), "z", "left")
+    right = right.select(F.col("x").alias("a"), F.col("y").alias("b"), "n", F.struct(F.concat("x", "y").alias("p"), F.least("z", F.coalesce("m", "z")).alias("q")).alias("pair"))
+    best = left.unionByName(right).groupBy("a", "b").agg(F.min(F.struct((-F.col("n")).alias("n"), "pair")).alias("r"))
+    return {(r.a, r.b): (r.r.n, (r.r.pair.p, r.r.pair.q)) for r in best.collect()}
+
+
+def learn_rounds(words: DataFrame, word: str, count: str, n_merges: int, min_count: int = 2, width: int = WIDTH) -> list[list[tuple[str, str]]]:
+    """Merges by round; ``words`` holds one row per distinct word with its
+    frequency.  Learning stops before ``n_merges`` when no pair occurs ``min_count``
+    times.  An empty or null word has no pairs."""
+    spark = words.sparkSession
+    home = f"{ensure_checkpoint_dir(spark).rstrip('/')}/merges-{uuid.uuid4().hex}"
+    state, index = f"{home}/words", f"{home}/index"      # appended to, round by round
+    first = words.select(F.col(word).alias("word"), F.lit(0).alias("round"), F.filter(F.split(word, ""), lambda x: x != "").alias("syms"), F.col(count).cast("long").alias("c"))
+    first.filter(F.size("syms") > 1).write.parquet(state)
+    now = spark.read.parquet(state)
+    _pairs(now).select("a", "b", "word").distinct().write.parquet(index)
+    counts = cut_lineage(_pairs(now).groupBy("a", "b").agg(F.sum("c").alias("n")))
+    rounds: list[list[tuple[str, str]]] = []
+    left = n_merges
+    while left > 0:
+        top = counts.filter(F.col("n") >= min_count).orderBy(F.col("n").desc(), "a", "b").limit(min(width, left)).collect()
+        if not top:
             break
-        a, b = best[0]["a"], best[0]["b"]
-        merges.append((r, a, b))
-        cur = cur.withColumn("sym", _merge_expr(F.col("sym"), a, b))
-        if (r + 1) % cut_every == 0:
-            cur = cut_lineage(cur)
-    return merges
+        pairs = spark.createDataFrame([(r.a, r.b) for r in top], "a string, b string")
+        held = spark.read.parquet(index).join(F.broadcast(pairs), ["a", "b"]).select("word").distinct()
+        old = spark.read.parquet(state).join(held, "word").groupBy("word").agg(F.max_by(F.struct("syms", "c"), "round").alias("v"))
+        touched = cut_lineage(old.select("word", "v.syms", "v.c"))
+        taken = _accepted([(r.a, r.b, r.n) for r in top], _best_new(touched, pairs), {a + b for r in rounds for a, b in r})
+        merges = set(taken)
+
+        def rewrite(batches: Iterator[pd.DataFrame], merges=merges) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                new = [merge_all(list(s), merges) for s in b["syms"]]
+                b = b.assign(new=new)
+                yield b[[len(x) != len(y) for x, y in zip(b["syms"], new)]]
+
+        changed = cut_lineage(touched.mapInPandas(rewrite, "word string, syms array<string>, c bigint, new array<string>"))
+        after = changed.select("word", F.col("new").alias("syms"), "c")
+        rounds.append(taken)
+        left -= len(taken)
+        after.select("word", F.lit(len(rounds)).alias("round"), "syms", "c").write.mode("append").parquet(state)
+        _pairs(after).select("a", "b", "word").distinct().write.mode("append").parquet(index)
+        delta = _pairs(after).select("a", "b", F.col("c").alias("n")).unionByName(_pairs(changed).select("a", "b", (-F.col("c")).alias("n")))
+        total = counts.unionByName(delta).groupBy("a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") > 0)
+        total, spent = cut_lineage(total), [counts, touched, changed]
+        for t in spent:
+            discard(t)
+        counts = total
+    return rounds
+
+
+def learn_merges(words: DataFrame, word: str, count: str, n_merges: int, min_count: int = 2) -> list[tuple[int, str, str]]:
+    """The learned merges as a list of (rank, a, b)."""
+    flat = [p for r in learn_rounds(words, word, count, n_merges, min_count) for p in r]
+    return [(i, a, b) for i, (a, b) in enumerate(flat)]
 
 
 def bpe_word(word: str, ranks: dict) -> list[str]:

@@ -252,7 +252,20 @@ def q_e02(spark, sf):
                     J("langs").alias("langs"))
 
 
-@register("h02_learn_apply_bpe")  # iterative learning: checked against brute force in tests/
+@register("h02_learn_apply_bpe", with_views("""
+    WITH RECURSIVE t AS (SELECT sid, unnest(list_transform(tokens, lambda t: lower(t))) AS w, unnest(range(len(tokens))) AS pos FROM sent_tok),
+    -- a symbol is written between chr(1) and chr(2), so that merging a pair is a plain replacement
+    learn AS (
+        SELECT 0 AS step, w, chr(1) || array_to_string(string_split(w, ''), chr(2) || chr(1)) || chr(2) AS s, count(*) AS c FROM t GROUP BY w
+        UNION ALL
+        SELECT step + 1, w, coalesce(replace(s, chr(1) || best.a || chr(2) || chr(1) || best.b || chr(2), chr(1) || best.a || best.b || chr(2)), s), c
+        FROM learn LEFT JOIN (
+            SELECT a, b FROM (
+                SELECT unnest(l[:-2]) AS a, unnest(l[2:]) AS b, c FROM (SELECT string_split(s[2:-2], chr(2) || chr(1)) AS l, c FROM learn) WHERE len(l) > 1)
+            GROUP BY a, b HAVING sum(c) >= 2 ORDER BY sum(c) DESC, a, b LIMIT 1) best ON true
+        WHERE step < 20),
+    done AS (SELECT w, replace(s[2:-2], chr(2) || chr(1), ' ') AS pieces FROM learn WHERE step = 20)
+    SELECT sid, string_agg(pieces, ' ' ORDER BY pos) AS pieces FROM t JOIN done USING (w) GROUP BY sid""", "sent_tok"))
 def q_h02(spark, sf):
     """Learn 20 merges from the corpus word counts (lower-cased tokens) and
     segment every line with them."""
@@ -260,7 +273,7 @@ def q_h02(spark, sf):
     s = views.sent_tokens(spark, sf).select("sid", F.transform("tokens", lambda t: F.lower(t)).alias("tokens"))
     counts = s.select(F.explode_outer("tokens").alias("w")).filter(F.col("w").isNotNull()).groupBy("w").agg(
         F.count(F.lit(1)).alias("c"))
-    merges = learn_merges(counts, "w", "c", 20, cut_every=5)
+    merges = learn_merges(counts, "w", "c", 20)
     seg = X.apply_word_tokenizer(s.filter(F.size("tokens") > 0), "tokens", merges_applier(merges))
     return seg.select("sid", F.array_join("pieces", " ").alias("pieces"))
 

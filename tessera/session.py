@@ -68,5 +68,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete the files of a table that ``cut_lineage`` wrote and nothing reads
+    any more."""
+    spark = table.sparkSession
+    jvm = spark.sparkContext._jvm
+    home = ensure_checkpoint_dir(spark).rstrip("/").split(":", 1)[-1].lstrip("/")
+    folders = {f.rsplit("/", 1)[0] for f in table.inputFiles()}
+    for folder in folders:
+        if f"{home}/table-" in folder:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

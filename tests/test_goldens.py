@@ -197,7 +197,7 @@ def test_learn_merges_brute_force(spark):
     from tessera.operators.bpe import bpe_word, learn_merges
     words = {"lower": 5, "lowest": 3, "newer": 6, "wider": 2, "new": 4}
     df = spark.createDataFrame(list(words.items()), "w string, c long")
-    got = learn_merges(df, "w", "c", 6, cut_every=2)
+    got = learn_merges(df, "w", "c", 6)
     # plain learner: most frequent adjacent pair (ties: smallest pair), merged everywhere
     segs = {w: list(w) for w in words}
     want = []
