@@ -54,26 +54,37 @@ def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
     return cut(sure.union(near.join(exact.select("key"), "key")))
 
 
-def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", site_col: str = "source") -> DataFrame:
-    """``docs`` with ``text`` without removed lines, plus ``_n_lines`` (lines with
-    a word) and ``_n_removed``."""
+def removed(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", site_col: str = "source") -> DataFrame:
+    """``(row, text, n_lines, n_removed)``: every row of ``docs`` as it is (one
+    struct), its text without removed lines, its lines with a word, and how many
+    of them went."""
     lines = cut(line_table(docs, id_col, site_col))
     common = boilerplate(lines, min_sites)
     first = (F.col("doc").eqNullSafe(F.col("first.doc"))) & (F.col("line_no") == F.col("first.line_no"))
-    gone = lines.join(common, "key").filter(~first).groupBy("doc", "digest").agg(F.collect_set("line_no").alias("_gone"))
-    gone = cut(gone.withColumnRenamed("digest", "_digest"))
-    d = docs.withColumn("_md5", F.unhex(F.md5("text")))
-    d = d.join(gone, d[id_col].eqNullSafe(gone["doc"]) & (d["_md5"] == gone["_digest"]), "left").drop("doc", "_digest", "_md5")
-    all_lines = _lines(F.col("text"))
-    stay = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("_gone"))
-    kept = F.array_join(F.transform(stay, lambda i: F.get(F.col("_lines"), i)), "\n")
-    counted = F.size(F.filter("_lines", lambda x: F.btrim(x, F.lit(BLANKS)) != ""))
-    return (d.withColumn("_lines", all_lines)
-            .withColumn("_n_lines", F.when(F.col("text").isNull(), 0).otherwise(counted).cast("long"))
-            .withColumn("_n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-            .withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)).drop("_lines", "_gone"))
+    gone = lines.join(common, "key").filter(~first).groupBy("doc", "digest").agg(F.collect_set("line_no").alias("gone"))
+    gone = cut(gone)
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.unhex(F.md5("text")).alias("mark"))
+    d = d.join(gone, d["id"].eqNullSafe(gone["doc"]) & (d["mark"] == gone["digest"]), "left").select("row", "gone", _lines(F.col("row.text")).alias("lines"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    kept = F.array_join(F.transform(stay, lambda i: F.get(F.col("lines"), i)), "\n")
+    counted = F.size(F.filter("lines", lambda x: F.btrim(x, F.lit(BLANKS)) != ""))
+    return d.select("row", F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(kept).alias("text"),
+                    F.when(F.col("row.text").isNull(), 0).otherwise(counted).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+
+
+def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", site_col: str = "source") -> DataFrame:
+    """``docs`` with ``text`` without removed lines, plus ``_n_lines`` (lines with
+    a word) and ``_n_removed``; where ``docs`` has such a column, its own stays
+    and the new one gets one more underscore."""
+    names = []
+    for name in ("_n_lines", "_n_removed"):
+        while name in docs.columns:
+            name = "_" + name
+        names.append(name)
+    own = [F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    return removed(docs, min_sites, id_col, site_col).select(*own, F.col("n_lines").alias(names[0]), F.col("n_removed").alias(names[1]))
 
 
 def report(docs: DataFrame) -> DataFrame:
-    r = remove_boilerplate(docs.select("doc_id", "source", "text"))
-    return r.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    r = removed(docs.select("doc_id", "source", "text"))
+    return r.select("row.doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

@@ -14,7 +14,8 @@ the core is read by the rule's own automaton.
 
 Cases: a null or empty text has no spans; repeated rows are scanned one by one;
 an empty table gives an empty table; other columns are not read.  Offsets are
-code points, end exclusive.  There is no shuffle: one pass over the texts.
+code points, end exclusive.  There is no shuffle: one pass over the texts, in
+time linear in their length (``Scanner.spans``).
 """
 
 from __future__ import annotations
@@ -83,33 +84,34 @@ class Nfa:
         self.step.append([])
         return len(self.free) - 1
 
-    def add(self, tree, at: int) -> int:
-        """Append ``tree`` after state ``at``; returns the state behind it."""
-        for op, arg in tree:
+    def add(self, tree, at: int, back: bool = False) -> int:
+        """Append ``tree`` (``back``: read from right to left) after state ``at``;
+        returns the state behind it."""
+        for op, arg in reversed(tree) if back else tree:
             if op in (sc.LITERAL, sc.IN, sc.ANY):
                 to = self.state()
                 self.step[at].append((_bytes(op, arg), to))
                 at = to
             elif op is sc.SUBPATTERN:
-                at = self.add(arg[3], at)
+                at = self.add(arg[3], at, back)
             elif op is sc.BRANCH:
                 end = self.state()
                 for way in arg[1]:
-                    self.free[self.add(way, self._after(at))].append(end)
+                    self.free[self.add(way, self._after(at), back)].append(end)
                 at = end
             elif op is sc.MAX_REPEAT:
                 lo, hi, sub = arg
                 for _ in range(lo):
-                    at = self.add(sub, at)
+                    at = self.add(sub, at, back)
                 if hi is sc.MAXREPEAT:
                     loop = self._after(at)
-                    self.free[self.add(sub, loop)].append(loop)
+                    self.free[self.add(sub, loop, back)].append(loop)
                     at = self._after(loop)
                 else:
                     end = self.state()
                     for _ in range(hi - lo):
                         self.free[at].append(end)
-                        at = self.add(sub, at)
+                        at = self.add(sub, at, back)
                     self.free[at].append(end)
                     at = end
             else:
@@ -158,18 +160,18 @@ class Dfa:
     """``move[state, byte_class[byte]]`` is the next state; state 0 is the
     start; ``accept[state]`` is a bit mask of rules; ``dead`` has no way out."""
 
-    def __init__(self, patterns: list[str], anchored: bool):
+    def __init__(self, patterns: list[str], anchored: bool, back: bool = False):
         nfa = Nfa()
         root = nfa.state()
         if not anchored:
             nfa.step[root].append((np.ones(256, bool), root))
         ends = {}
         for i, p in enumerate(patterns):
-            ends[nfa.add(_parser.parse(p), nfa._after(root))] = 1 << i
+            ends[nfa.add(_parser.parse(p), nfa._after(root), back)] = 1 << i
         sets = np.array([m for edges in nfa.step for m, _ in edges])
         _, first, self.byte_class = np.unique(sets, axis=1, return_index=True, return_inverse=True)
         self.byte_class = self.byte_class.reshape(-1).astype(np.uint8)
-        move, accept = self._subsets(nfa, root, ends, first, absorbing=not anchored)
+        move, accept = self._subsets(nfa, root, ends, first, absorbing=not anchored and not back)
         self.move, self.accept = self._minimise(move, accept)
         loops = (self.move == np.arange(len(self.move))[:, None]).all(1)
         self.dead = loops & (self.accept == 0)
@@ -236,6 +238,7 @@ class Scanner:
         self.states = len(whole.move)
         self.own = [Dfa([r.scan], anchored=True) for r in rules]
         self.walk = [(d.move.tolist(), d.byte_class.tolist(), d.accept.tolist(), d.dead.tolist()) for d in self.own]
+        self.back: dict[int, tuple] = {}          # reversed automata, made when needed
         self.begins = [~d.dead[d.move[0]][d.byte_class] for d in self.own]
 
     def lanes(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -260,26 +263,55 @@ class Scanner:
         out[order] = np.isin(state // self.classes, self.hit)
         return out
 
+    def starts(self, i: int, text: bytes) -> list[int]:
+        """Where matches of a rule start: one pass of the reversed automaton from
+        the right, which accepts at p if some match begins there."""
+        if i not in self.back:
+            d = Dfa([self.rules[i].scan], anchored=False, back=True)
+            self.back[i] = d.move.tolist(), d.byte_class.tolist(), d.accept.tolist()
+        move, code, accept = self.back[i]
+        s, out = 0, []
+        for p in range(len(text) - 1, -1, -1):
+            s = move[s][code[text[p]]]
+            if accept[s]:
+                out.append(p)
+        return out[::-1]
+
+    def _walk(self, i: int, text: bytes, begin: list[int], budget: int) -> list[tuple[int, int, int]] | None:
+        """Leftmost-longest matches of a rule from the places ``begin``; None if
+        that takes more than ``budget`` steps."""
+        move, code, accept, dead = self.walk[i]
+        done, found = 0, []
+        for p in begin:
+            if p < done:
+                continue
+            s, last = 0, -1
+            for q in range(p, len(text)):
+                s = move[s][code[text[q]]]
+                if dead[s]:
+                    break
+                if accept[s]:
+                    last = q + 1
+            budget -= q - p
+            if budget < 0:
+                return None
+            if last > 0:
+                done = last
+                if self.rules[i].counts(text[p:last]):
+                    found.append((p, i, last))
+        return found
+
     def spans(self, lane: np.ndarray) -> list[tuple[int, int, int]]:
-        """``(start, rule, end)`` of each rule's spans in a lane (byte offsets)."""
+        """``(start, rule, end)`` of each rule's spans in a lane (byte offsets).
+        Where trying every possible start comes to cost more than a few passes, the
+        real starts are found from the right first, so that no try is in vain."""
         text, found = lane.tobytes(), []
-        for i, rule in enumerate(self.rules):
-            move, code, accept, dead = self.walk[i]
-            done = 0
-            for p in np.flatnonzero(self.begins[i][lane]).tolist():
-                if p < done:
-                    continue
-                s, last = 0, -1
-                for q in range(p, len(text)):
-                    s = move[s][code[text[q]]]
-                    if dead[s]:
-                        break
-                    if accept[s]:
-                        last = q + 1
-                if last > 0:
-                    done = last
-                    if rule.counts(text[p:last]):
-                        found.append((p, i, last))
+        for i in range(len(self.rules)):
+            begin = np.flatnonzero(self.begins[i][lane]).tolist()
+            if not begin:
+                continue
+            got = self._walk(i, text, begin, 16 * len(text) + 4096)
+            found += got if got is not None else self._walk(i, text, self.starts(i, text), 1 << 62)
         return found
 
     def scan(self, buf: np.ndarray, offs: np.ndarray) -> list[list[tuple[int, int, int]]]:

@@ -13,7 +13,7 @@ local numbers, and one row per part carries the counts.
 Defined results: a null text has no bytes and digest 0; null ids come first;
 fully repeated rows are numbered in any order among themselves (they are
 equal); an empty table gives an empty result; clashing extra columns are kept
-out (``assign``) or kept as they are (``write_shards``, which prefixes its own).
+out (``assign``) or kept as they are (``write_shards``, but for its own two).
 """
 
 from __future__ import annotations
@@ -106,8 +106,11 @@ def assign(docs: DataFrame, shards: int = 40, seed: int = 7) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 40, seed: int = 7) -> None:
-    """Write all columns of ``docs`` as Parquet under ``path/_shard=<n>/``, in slot order."""
-    rows, total = numbered(docs.withColumn("_digest", F.xxhash64("text")), ["doc_id", "_digest"])
+    """Write all columns of ``docs`` and ``_slot`` as Parquet under
+    ``path/_shard=<n>/``, in slot order; columns of these two names are replaced."""
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own")
+    rows, total = numbered(docs.select(own, F.xxhash64("text").alias("digest"), F.col("doc_id").alias("id")), ["id", "digest"])
     keys = placed(rows.select("_row"), total, shards, seed).withColumnsRenamed({"shard": "_shard", "slot": "_slot"})
-    out = rows.drop("_digest").join(keys, "_row").drop("_row")
-    out.repartitionByRange("_shard", "_slot").sortWithinPartitions("_shard", "_slot").write.partitionBy("_shard").parquet(path)
+    out = rows.join(keys, "_row").repartitionByRange("_shard", "_slot").sortWithinPartitions("_shard", "_slot")
+    names = [c for c in docs.columns if c not in ("_shard", "_slot")]
+    out.select(*[F.col(f"own.`{c}`").alias(c) for c in names], "_slot", "_shard").write.partitionBy("_shard").parquet(path)
