@@ -9,6 +9,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,29 +60,52 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+_recorded = threading.local()      # where this thread's new tables are noted
+
+
+@contextmanager
+def recording() -> Iterator[list[str]]:
+    """Note the folders of all tables that ``cut_lineage`` writes for this thread
+    meanwhile, for ``discard_folders``."""
+    before, paths = getattr(_recorded, "paths", None), []
+    _recorded.paths = paths
+    try:
+        yield paths
+    finally:
+        _recorded.paths = before
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` as a Parquet table in the shared checkpoint folder
     and read it back: one computation (a reliable ``checkpoint()`` recomputes
     an uncached input to write it), survives executor loss, and the plan
     restarts from the written files."""
-    import uuid
     spark = df.sparkSession
     path = ensure_checkpoint_dir(spark).rstrip("/") + f"/table-{uuid.uuid4().hex}"
     df.write.mode("error").parquet(path)
+    if getattr(_recorded, "paths", None) is not None:
+        _recorded.paths.append(path)
     return spark.read.parquet(path)
 
 
+def table_names(df: DataFrame) -> set[str]:
+    """Names of the folders of ``cut_lineage`` that ``df`` reads."""
+    return {f.rsplit("/", 2)[-2] for f in df.inputFiles() if f.rsplit("/", 2)[-2].startswith("table-")}
+
+
+def discard_folders(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders of ``cut_lineage`` that nothing reads any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        if p.rsplit("/", 1)[-1].startswith("table-"):
+            path = jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def discard(table: DataFrame) -> None:
-    """Delete the files of a table that ``cut_lineage`` wrote and nothing reads
-    any more."""
-    spark = table.sparkSession
-    jvm = spark.sparkContext._jvm
-    home = ensure_checkpoint_dir(spark).rstrip("/").split(":", 1)[-1].lstrip("/")
-    folders = {f.rsplit("/", 1)[0] for f in table.inputFiles()}
-    for folder in folders:
-        if f"{home}/table-" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete a table that ``cut_lineage`` wrote and nothing reads any more."""
+    home = ensure_checkpoint_dir(table.sparkSession).rstrip("/")
+    discard_folders(table.sparkSession, [f"{home}/{name}" for name in table_names(table)])
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
