@@ -1,7 +1,8 @@
 """A training corpus from raw documents: five stages over the ``documents`` table.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is written
-as Parquet and read again before the next one.  All but the last return the
+as Parquet and read again before the next one, which deletes the scratch tables of
+the stage before it.  All but the last return the
 columns of ``docs``; the last returns one row per packed piece.
 
 Rows are told apart by ``doc_id`` and text, so null and repeated ids are safe:
@@ -10,11 +11,15 @@ a decision is joined back to exactly the rows it was made for.
 
 from __future__ import annotations
 
+import functools
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, line_dedup, near_dedup, packing, quality
 from tessera.llm.common import cut, small
+from tessera.session import discard_folders, recording, table_names
 
 BROADCAST_ROWS = 500_000
 ORACLE_SQL = None      # perplexity bands and best-fit packing are beyond SQL; see tests/llm
@@ -42,10 +47,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cross-site lines go, except where they come first; a document that had
     words and is left with none goes, too.  ``n_chars`` follows the text."""
-    d = line_dedup.remove_boilerplate(docs)
-    d = d.filter((F.col("_n_removed") == 0) | (F.col("_n_removed") < F.col("_n_lines")))
-    length = F.when(F.col("_n_removed") == 0, F.col("n_chars")).otherwise(F.length("text"))
-    return d.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType)).select(*[f"`{c}`" for c in docs.columns])
+    d = line_dedup.removed(docs).filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    length = F.when(F.col("n_removed") == 0, F.col("row.n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
+    new = {"text": F.col("text"), "n_chars": length}
+    return d.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,12 +75,31 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
+_spent = threading.local()      # scratch tables of this thread's stage before
+
+
+def _tidy(stage):
+    """The stage, which first deletes the scratch tables of the one before it but
+    for those that ``docs`` still reads: when the next stage begins, the result of
+    the last one has been written."""
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        old, used = getattr(_spent, "paths", []), table_names(docs)
+        kept = [p for p in old if p.rsplit("/", 1)[-1] in used]
+        discard_folders(spark, [p for p in old if p not in kept])
+        with recording() as new:
+            out = stage(spark, docs, sf_dir)
+        _spent.paths = kept + new
+        return out
+    return run_stage
+
+
 STAGES = [
-    ("quality rules", quality_rules),
-    ("line dedup", drop_common_lines),
-    ("near-duplicates", drop_near_duplicates),
-    ("decontamination", drop_contaminated),
-    ("packing", pack),
+    ("quality rules", _tidy(quality_rules)),
+    ("line dedup", _tidy(drop_common_lines)),
+    ("near-duplicates", _tidy(drop_near_duplicates)),
+    ("decontamination", _tidy(drop_contaminated)),
+    ("packing", _tidy(pack)),
 ]
 
 
