@@ -15,8 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators.ids import running_total
+from tessera.operators.ids import prefix_sum, running_total, with_row_id
 from tessera.operators.shaping import hash_uniform
+from tessera.operators.vocab import sized_broadcast
+from tessera.session import cut_lineage
 
 
 def _c(x) -> Column:
@@ -252,24 +254,65 @@ def mask_weighted(df: DataFrame, key: str, ids: str, weight_of, p: float, seed,
     return d.withColumn("masked", F.flatten("_gaps")).drop("_take", "_cand", "_gaps")
 
 
-def draw_by_weight(draws: DataFrame, u: str, table: DataFrame, item: str, weight: str,
-                   buckets: int = 4096, small_table: bool = False) -> DataFrame:
-    """N-08 / N-09: inverse-CDF draw of ``item`` with probability
-    proportional to ``weight``.  Cumulative weights (two-phase prefix sum)
-    cut [0, total) into intervals; each interval is listed under the
-    ``buckets`` equal cells it touches, so a draw finds its interval by an
-    equi-join on its cell and a final range test (no theta join)."""
-    t = table.select(item, F.col(weight).cast("double").alias("_w")).filter(F.col("_w") > 0)
-    if small_table:  # a handful of rows (languages): one bucket each
-        fine, coarse = [F.col(item)], [F.lit(0)]
-    else:  # integer item ids (vocabulary)
-        fine, coarse = [F.floor(F.col(item) / 4096)], [F.floor(F.col(item) / (1 << 22))]
-    cum = running_total(t, [F.col(item)], fine=fine, coarse=coarse, value="_w", out="_hi")
-    total = t.agg(F.sum("_w")).first()[0]
-    cum = cum.withColumn("_lo", F.col("_hi") - F.col("_w"))
-    cells = cum.select(item, "_lo", "_hi", F.explode(F.sequence(
-        F.floor(F.col("_lo") / total * buckets).cast("long"),
-        F.least(F.floor(F.col("_hi") / total * buckets), F.lit(buckets - 1)).cast("long"))).alias("_cell"))
-    x = draws.withColumn("_x", F.col(u) * total).withColumn("_cell", F.floor(F.col("_x") / total * buckets).cast("long"))
-    return (x.join(cells, "_cell").filter((F.col("_x") >= F.col("_lo")) & (F.col("_x") < F.col("_hi")))
-            .drop("_cell", "_x", "_lo", "_hi"))
+CELLS = 1_000_000      # of an alias table (four short columns) that are broadcast
+
+
+def alias_table(table: DataFrame, item: str, weight: str) -> tuple[DataFrame, int, float]:
+    """N-08 / N-09: Walker's alias table of positive weights, as ``(cells, number of
+    cells, capacity)``; a cell ``(cell, item, own, alias)`` belongs to one item, the
+    part ``own`` of its capacity stands for it, the rest for ``alias``.
+
+    Weights are multiplied by their number, so that the capacity is their sum.
+    Light items (below it) lack something, the others have an excess; both are laid
+    out by item as intervals on one line.  A light item is filled up by the heavy
+    one in whose interval its own begins.  A heavy item that so gives more than it
+    has is filled up by the next heavy one, in turn.  Both neighbours are found by
+    counting along the merged order of the interval borders (X-02), so the match
+    is two prefix sums and two equi-joins on ranks, with no scan by one task.
+    Integer weights are matched in exact arithmetic.  Null and non-positive
+    weights have no cell."""
+    exact = table.schema[weight].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    kind = "decimal(38,0)" if exact else "double"
+    t = table.select(F.col(item).alias("item"), F.col(weight).cast(kind).alias("w")).filter(F.col("w") > 0)
+    t = cut_lineage(with_row_id(t, ["item"], out="cell"))
+    got = t.agg(F.count(F.lit(1)).alias("m"), F.sum("w").alias("total")).first()
+    m, total = got.m, got.total
+    if not m:
+        return t.select("cell", "item", F.lit(0.0).alias("own"), F.col("item").alias("alias")), 0, 0.0
+    part = (F.col("w") * F.lit(m)).cast(kind)
+    sides = []
+    for light in (True, False):
+        gap = (F.lit(total).cast(kind) - part if light else part - F.lit(total).cast(kind)).cast(kind)
+        d = t.filter(part < F.lit(total).cast(kind) if light else part >= F.lit(total).cast(kind)).withColumn("gap", gap)
+        d = with_row_id(prefix_sum(d, "gap", ["item"], out="hi"), ["item"], out="rank")
+        sides.append(cut_lineage(d.withColumn("hi", F.col("hi").cast(kind)).withColumn("lo", (F.col("hi") - F.col("gap")).cast(kind))))
+    light, heavy = sides
+
+    def counted(asked: DataFrame, at: str, other: DataFrame, first: bool) -> DataFrame:
+        """``(item, n)``: how many ``lo`` borders of ``other`` lie before ``at``, those
+        at the same place too if ``first``."""
+        a = asked.select("item", F.col(at).alias("at"), F.lit(0).alias("one"), F.lit(1 if first else 0).alias("turn"))
+        b = other.select("item", F.col("lo").alias("at"), F.lit(1).alias("one"), F.lit(0 if first else 1).alias("turn"))
+        return prefix_sum(a.unionByName(b), F.col("one").cast("long"), ["at", "turn", "item"], out="n").filter(F.col("one") == 0).select("item", "n")
+
+    giver = heavy.select((F.col("rank") + 1).alias("n"), F.col("item").alias("alias"))
+    light = light.join(counted(light, "lo", heavy, True), "item").join(giver, "n", "left")
+    light = light.select("cell", "item", part.cast("double").alias("own"), F.coalesce("alias", "item").alias("alias"))
+    reach = sides[0].select((F.col("rank") + 1).alias("n"), F.col("hi").alias("reach"))
+    after = heavy.select((F.col("rank") - 1).alias("rank"), F.col("item").alias("alias"))
+    over = F.greatest(F.coalesce(F.col("reach") - F.col("hi"), F.lit(0).cast(kind)), F.lit(0).cast(kind))
+    heavy = heavy.join(counted(heavy, "hi", sides[0], False), "item").join(reach, "n", "left").join(after, "rank", "left")
+    heavy = heavy.select("cell", "item", (F.lit(total).cast(kind) - over).cast("double").alias("own"), F.coalesce("alias", "item").alias("alias"))
+    return cut_lineage(light.unionByName(heavy)), m, float(total)
+
+
+def draw_by_weight(draws: DataFrame, u: str, table: DataFrame, item: str, weight: str) -> DataFrame:
+    """N-08 / N-09: a draw of ``item`` with probability proportional to
+    ``weight`` for each ``u`` in [0, 1): the cell ``floor(u * m)`` by an equi-join,
+    and one comparison with what is left.  Cells are hit alike whatever the
+    weights, so no key is hot.  Without positive weights nothing is drawn."""
+    cells, m, total = alias_table(table, item, weight)
+    x = F.col(u) * F.lit(float(m))
+    d = draws.withColumn("_cell", F.floor(x).cast("long")).withColumn("_rest", (x - F.floor(x)) * F.lit(total))
+    c = sized_broadcast(cells.select(F.col("cell").alias("_cell"), F.col("item").alias("_item"), "own", "alias"), CELLS)
+    return d.join(c, "_cell").withColumn(item, F.when(F.col("_rest") < F.col("own"), F.col("_item")).otherwise(F.col("alias"))).drop("_cell", "_rest", "_item", "own", "alias")

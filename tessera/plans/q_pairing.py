@@ -263,11 +263,30 @@ def q_n07(spark, sf):
     return d.select("sid", F.array_join(F.col("masked").cast("array<string>"), " ").alias("masked"))
 
 
+def alias_sql(table, item, weight, big):
+    """Walker's alias table in SQL, from (item, weight): light items take from the heavy
+    item in whose interval of excess their own interval of lack begins."""
+    return f"""
+    v AS (SELECT {item} AS item, CAST({weight} AS {big}) AS w FROM {table} WHERE {weight} > 0),
+    g AS (SELECT CAST(count(*) AS {big}) AS m, sum(w) AS total FROM v),
+    cell AS (SELECT row_number() OVER (ORDER BY item) - 1 AS cell, item, w * m AS part, total FROM v, g),
+    l AS (SELECT *, sum(total - part) OVER (ORDER BY item) AS hi, sum(total - part) OVER (ORDER BY item) - (total - part) AS lo FROM cell WHERE part < total),
+    h AS (SELECT *, sum(part - total) OVER (ORDER BY item) AS hi, sum(part - total) OVER (ORDER BY item) - (part - total) AS lo, lead(item) OVER (ORDER BY item) AS nxt
+          FROM cell WHERE part >= total),
+    cells AS (
+        SELECT l.cell, l.item, CAST(l.part AS DOUBLE) AS own, coalesce(h.item, l.item) AS alias FROM l LEFT JOIN h ON l.lo >= h.lo AND l.lo < h.hi
+        UNION ALL
+        SELECT cell, item, CAST(total - greatest(coalesce((SELECT max(l.hi) FROM l WHERE l.lo < h.hi), h.hi) - h.hi, 0) AS DOUBLE), coalesce(nxt, item) FROM h)"""
+
+
+DRAW_SQL = """SELECT d.id, CASE WHEN (d.u * m - floor(d.u * m)) * CAST(total AS DOUBLE) < own THEN item ELSE alias END AS item
+    FROM (SELECT *, CAST(floor(u * m) AS BIGINT) AS cell FROM d, g) d JOIN cells USING (cell)"""
+
+
 @register("n08_draw_words", with_views(f"""
-    WITH v AS (SELECT id, count, sum(count) OVER (ORDER BY id) AS hi FROM vocab WHERE NOT is_special AND count > 0),
-    t AS (SELECT sum(count) AS total FROM v),
-    d AS (SELECT sid, {HU(31, 'sid')} * t.total AS x FROM sent, t)
-    SELECT d.sid, v.id FROM d JOIN v ON d.x >= v.hi - v.count AND d.x < v.hi""", "sent_tok", extra=vocab_sql(threshold=3)))
+    WITH {alias_sql('(SELECT * FROM vocab WHERE NOT is_special)', 'id', 'count', 'HUGEINT')},
+    d AS (SELECT sid AS id, {HU(31, 'sid')} AS u FROM sent)
+    SELECT id AS sid, item AS id FROM ({DRAW_SQL})""", "sent_tok", extra=vocab_sql(threshold=3)))
 def q_n08(spark, sf):
     v = _vocab(spark, sf, threshold=3).filter(~F.col("is_special"))
     draws = views.sent(spark, sf).select("sid", P.hash_uniform(31, "sid").alias("u"))
@@ -277,15 +296,14 @@ def q_n08(spark, sf):
 @register("n09_draw_langs", with_views(f"""
     WITH c AS (SELECT lang, count(*) AS n FROM sent GROUP BY lang),
     p AS (SELECT lang, pow(n * 1.0 / sum(n) OVER (), 0.5) AS q FROM c),
-    v AS (SELECT lang, q / sum(q) OVER () AS prob FROM p),
-    cv AS (SELECT lang, prob, sum(prob) OVER (ORDER BY lang) AS hi FROM v),
-    t AS (SELECT sum(prob) AS total FROM v),
-    d AS (SELECT r.id, {HU(37, 'r.id')} * t.total AS x FROM (SELECT id FROM pair) r, t)
-    SELECT d.id, cv.lang FROM d JOIN cv ON d.x >= cv.hi - cv.prob AND d.x < cv.hi""", "sent", "pair"))
+    probs AS (SELECT lang, q / sum(q) OVER () AS prob FROM p),
+    {alias_sql('probs', 'lang', 'prob', 'DOUBLE')},
+    d AS (SELECT id, {HU(37, 'id')} AS u FROM pair)
+    SELECT id, item AS lang FROM ({DRAW_SQL})""", "sent", "pair"))
 def q_n09(spark, sf):
     probs = M.sampling_probs(views.sent(spark, sf), "lang", 0.5)
     draws = views.pair(spark, sf).select("id", P.hash_uniform(37, "id").alias("u"))
-    return P.draw_by_weight(draws, "u", probs, "lang", "prob", small_table=True).select("id", "lang")
+    return P.draw_by_weight(draws, "u", probs, "lang", "prob").select("id", "lang")
 
 
 @register("j12_block_pairs_none", with_views(f"""
