@@ -1,22 +1,44 @@
-"""Brute-force nearest neighbours (J-14) and multi-head lookup (J-16).
-
-Plan: keys are cut into blocks and queries into blocks; every (query block,
-key block) cell is one cogroup, solved by numpy matrix products over slices
-of the cell (at most ``SLICE`` scores at a time) with a running top-k per
-query, so a cell holds its vectors and a bounded score matrix.  Queries are
-replicated once per key block and keys once per query block: the exact
-two-sided form is quadratic in work and shuffle, meant for a bounded query
-side.  The per-query merge keeps at most (key blocks) * k candidates.
-Nothing passes through the driver.
+"""Exact nearest neighbours (J-14) and multi-head lookup (J-16).
+
+Keys are partitioned by pivots: a bounded sample of keys (``PIVOTS`` at most, by
+hash of the id), and every key belongs to the cell of its nearest pivot.  Keys are
+not copied.  A query is first solved against its nearest cells that hold ``k`` keys
+together; its k-th score there bounds its k-th distance, and only cells that the
+triangle inequality leaves within that bound get a copy of the query:
+
+    max(d(q, p) - largest, smallest - d(q, p)) <= bound
+
+with the smallest and largest distance of the cell's keys to its pivot p.  All
+three scores are distances in a suitable space: l2 as it is; dot products after
+Shrivastava's lift, which gives a key the coordinate sqrt(M^2 - |k|^2) (M: the
+largest key norm) and a query 0; cosine likewise after scaling.  Bounds carry a
+slack for rounding, and scores themselves are computed in the given space, so the
+rows are those of a full comparison.
+
+A cell is solved as one cogroup of numpy matrix products over slices (at most
+``SLICE`` scores at a time).  Cells of more than ``cell_rows`` keys (many equal
+vectors) are cut by hash, and those that more than ``cell_rows`` queries visit are
+solved in blocks of queries, for which alone their keys are copied.  Where vectors
+are so spread that nothing can be excluded, every query visits every cell; their
+number follows the number of keys, so that is the work of the full comparison.
+What reaches the driver are pivots and one row of figures per cell.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import cut_lineage
+
+PIVOTS = 4096          # in all; with more heads than that a head is one cell
+PER_BLOCK = 4          # pivots for ``cell_rows`` keys
+SLACK = 1e-9           # of a bound, relative and absolute
 OUT_SCHEMA = "head int, qid long, kid long, score double"
 
 
@@ -71,39 +93,185 @@ def _cell_topk(k: int, metric: str):
     return fn
 
 
-def _knn(keys: DataFrame, queries: DataFrame, k: int, metric: str, kb: int, qb: int) -> DataFrame:
-    """``(head, qid, kid, score, rank)`` of keys and queries ``(head, id, vec)``."""
-    kk = keys.select("head", "id", "vec", F.pmod(F.xxhash64("id"), F.lit(kb)).alias("kb"))
-    kk = kk.select("*", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb"))
-    qq = queries.select("head", "id", "vec", F.pmod(F.xxhash64("id"), F.lit(qb)).alias("qb"))
-    qq = qq.select("*", F.explode(F.sequence(F.lit(0), F.lit(kb - 1))).alias("kb"))
-    cell = ["head", "qb", "kb"]
-    local = qq.groupBy(*cell).cogroup(kk.groupBy(*cell)).applyInPandas(_cell_topk(k, metric), OUT_SCHEMA)
+def _matrix(column: pa.Array) -> np.ndarray:
+    flat = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def _scaled(x: np.ndarray, metric: str) -> np.ndarray:
+    return x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-9) if metric == "cosine" else x
+
+
+def _lifted(x: np.ndarray, metric: str, top: float, key: bool) -> np.ndarray:
+    """Vectors in the space in which a better score is a smaller distance."""
+    if metric == "l2":
+        return x
+    x = _scaled(x, metric)
+    last = np.sqrt(np.maximum(top * top - (x * x).sum(axis=1), 0)) if key else np.zeros(len(x))
+    return np.hstack([x, last[:, None]])
+
+
+def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] + (pivots * pivots).sum(axis=1)[None, :] - 2 * x @ pivots.T, 0))
+
+
+class Cells:
+    """Pivots by head, and of each cell the number of keys and their smallest and
+    largest distance to the pivot.  A cell has a number; a head without pivots is
+    one cell without bounds."""
+
+    def __init__(self, metric: str, top: float, pivots: dict[int, np.ndarray]):
+        self.metric, self.top, self.pivots = metric, top, pivots
+        self.base, at = {}, 0
+        for head in sorted(pivots):
+            self.base[head] = at
+            at += len(pivots[head])
+        self.figures: dict[tuple[int, int], tuple[int, float, float]] = {}
+
+    def assign(self, head: int, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if head not in self.pivots:
+            return np.full(len(x), -1), np.zeros(len(x))
+        d = _distances(_lifted(x, self.metric, self.top, True), self.pivots[head])
+        near = d.argmin(axis=1)
+        return near + self.base[head], d[np.arange(len(x)), near]
+
+    def visits(self, head: int, x: np.ndarray, k: int, bound: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """``(query, cell)``: the nearest cells that hold ``k`` keys together, or,
+        with bounds of the k-th distance, all others that may hold a better key."""
+        if head not in self.pivots:
+            n = len(x) if bound is None and (head, -1) in self.figures else 0
+            return np.arange(n), np.full(n, -1)
+        base, many = self.base[head], len(self.pivots[head])
+        got = [self.figures.get((head, base + c), (0, 0.0, 0.0)) for c in range(many)]
+        count, low, high = (np.array(v, np.float64) for v in zip(*got))
+        d = _distances(_lifted(x, self.metric, self.top, False), self.pivots[head])
+        order = np.argsort(d, axis=1, kind="stable")
+        held = np.cumsum(count[order], axis=1)
+        first = np.zeros(d.shape, bool)
+        np.put_along_axis(first, order, held - count[order] < k, axis=1)
+        take = first if bound is None else ~first & (np.maximum(d - high, low - d) <= bound[:, None] * (1 + SLACK) + SLACK)
+        q, c = np.nonzero(take & (count > 0))
+        return q, c + base
+
+    def reach(self, x: np.ndarray, score: np.ndarray) -> np.ndarray:
+        """The distance of a score."""
+        if self.metric == "l2":
+            return np.sqrt(np.maximum(-score, 0))
+        x = _scaled(x, self.metric)
+        return np.sqrt(np.maximum((x * x).sum(axis=1) + self.top ** 2 - 2 * score, 0))
+
+
+def cells_of(keys: DataFrame, metric: str, cell_rows: int) -> tuple[DataFrame, Cells]:
+    """Keys ``(head, id, vec)`` with their ``cell`` (written), and its figures."""
+    heads = keys.groupBy("head").agg(F.count(F.lit(1)).alias("n"))
+    seen = heads.agg(F.count(F.lit(1)).alias("heads"), F.sum("n").alias("n")).first()
+    wanted = min(PIVOTS, -(-PER_BLOCK * (seen.n or 0) // cell_rows))
+    top, pivots = 0.0, {}
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
+    if seen.heads <= PIVOTS // 2 and wanted > seen.heads:
+        if metric != "l2":
+            top = (keys.agg(F.max(norm / (norm + 1e-9) if metric == "cosine" else norm)).first()[0] or 0.0) * (1 + SLACK)
+        share = min(1.0, 2.0 * wanted / seen.n)
+        draw = F.pmod(F.xxhash64(F.lit(17), "head", "id"), F.lit(1 << 30)) < int(share * (1 << 30))
+        by: dict[int, list] = {}
+        for r in keys.filter(draw).orderBy(F.xxhash64("head", "id")).limit(wanted).collect():
+            by.setdefault(r.head, []).append(r.vec)
+        pivots = {h: _lifted(np.array(v, np.float64), metric, top, True) for h, v in by.items()}
+    cells = Cells(metric, top, pivots)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            head = batch.column(0).to_numpy()
+            cell, dist = np.full(len(batch), -1, np.int64), np.zeros(len(batch))
+            for h in np.unique(head).tolist():
+                at = np.flatnonzero(head == h)
+                cell[at], dist[at] = cells.assign(h, _matrix(batch.column(2).take(pa.array(at))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(dist)], names=["head", "id", "vec", "cell", "dist"])
+
+    kind = keys.schema["vec"].dataType.simpleString()
+    placed = cut_lineage(keys.select("head", F.col("id").cast("long"), "vec").mapInArrow(assign, f"head int, id bigint, vec {kind}, cell bigint, dist double"))
+    figures = placed.groupBy("head", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("dist").alias("low"), F.max("dist").alias("high"))
+    if seen.heads <= PIVOTS:
+        cells.figures = {(r.head, r.cell): (r.n, r.low, r.high) for r in figures.collect()}
+    return placed, cells
+
+
+def routed(queries: DataFrame, cells: Cells, k: int) -> DataFrame:
+    """``(head, id, vec, cell)``: a copy of each query ``(head, id, vec[, kth])`` for
+    every cell it has to visit; without ``kth`` the first ones."""
+    bounded = "kth" in queries.columns
+    kind = queries.schema["vec"].dataType.simpleString()
+    d = queries.select("head", F.col("id").cast("long"), "vec", *(["kth"] if bounded else []))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, len(batch), 1024):
+                part = batch.slice(lo, 1024)
+                head = part.column(0).to_numpy()
+                for h in np.unique(head).tolist():
+                    at = np.flatnonzero(head == h)
+                    x = _matrix(part.column(2).take(pa.array(at)))
+                    bound = cells.reach(x, part.column(3).to_numpy(zero_copy_only=False)[at]) if bounded else None
+                    q, c = cells.visits(h, x, k, bound)
+                    rows = part.take(pa.array(at[q]))
+                    yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array(c.astype(np.int64))], names=["head", "id", "vec", "cell"])
+
+    return d.mapInArrow(run, f"head int, id bigint, vec {kind}, cell bigint")
+
+
+def _solve(placed: DataFrame, visits: DataFrame, k: int, metric: str, cell_rows: int) -> DataFrame:
+    """Top ``k`` of each (cell, visiting query)."""
+    kept = ["head", "cell"]
+    blocks = (placed.groupBy(*kept).agg(F.count(F.lit(1)).alias("n")).join(visits.groupBy(*kept).agg(F.count(F.lit(1)).alias("m")), kept)
+              .select(*kept, F.ceil(F.col("n") / cell_rows).cast("int").alias("kbs"), F.ceil(F.col("m") / cell_rows).cast("int").alias("qbs")))
+    blocks = cut_lineage(blocks)
+    kk = placed.select("head", "id", "vec", "cell").join(blocks, kept)
+    kk = kk.withColumn("kb", F.pmod(F.xxhash64("id"), F.col("kbs")).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qbs") - 1)))
+    qq = visits.join(blocks, kept)
+    qq = qq.withColumn("qb", F.pmod(F.xxhash64("id"), F.col("qbs")).cast("int")).withColumn("kb", F.explode(F.sequence(F.lit(0), F.col("kbs") - 1)))
+    cell = ["head", "cell", "kb", "qb"]
+    cols = [*cell, "id", "vec"]
+    return qq.select(*cols).groupBy(*cell).cogroup(kk.select(*cols).groupBy(*cell)).applyInPandas(_cell_topk(k, metric), OUT_SCHEMA)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("head", "qid").orderBy(F.col("score").desc(), F.col("kid"))
-    return local.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def _blocks(rows: int, cell_rows: int) -> int:
-    return max(1, -(-rows // cell_rows))
+def _knn(keys: DataFrame, queries: DataFrame, k: int, metric: str, cell_rows: int) -> DataFrame:
+    """``(head, qid, kid, score, rank)`` of keys and queries ``(head, id, vec)``."""
+    if k < 1 or metric not in ("dot", "cosine", "l2"):
+        raise ValueError("k is at least 1, the metric dot, cosine or l2")
+    placed, cells = cells_of(keys, metric, cell_rows)
+    if not cells.figures:                       # a cell is a head
+        visits = queries.select("head", F.col("id").cast("long"), "vec", F.lit(-1).cast("long").alias("cell"))
+        return _ranked(_solve(placed, visits, k, metric, cell_rows), k)
+    visits = routed(queries, cells, k)
+    visits = cut_lineage(visits) if cells.pivots else visits
+    first = _ranked(_solve(placed, visits, k, metric, cell_rows), k)
+    if not cells.pivots:                        # the first cell was the only one
+        return first
+    first = cut_lineage(first)
+    kth = first.groupBy("head", "qid").agg(F.min("score").alias("kth"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == k)
+    more = queries.select("head", "id", "vec").join(kth.select("head", F.col("qid").alias("id"), "kth"), ["head", "id"])
+    more = cut_lineage(routed(more, cells, k))
+    return _ranked(first.drop("rank").unionByName(_solve(placed, more, k, metric, cell_rows)), k)
 
 
-def knn(keys: DataFrame, queries: DataFrame, k: int = 5, metric: str = "dot", cell_rows: int = 20000,
-        n_keys: int | None = None, n_queries: int | None = None) -> DataFrame:
-    """J-14: top-``k`` keys per query.  ``keys``/``queries``: (id, vec)."""
-    kb = _blocks(n_keys if n_keys is not None else keys.count(), cell_rows)
-    qb = _blocks(n_queries if n_queries is not None else queries.count(), cell_rows)
+def knn(keys: DataFrame, queries: DataFrame, k: int = 5, metric: str = "dot", cell_rows: int = 20000) -> DataFrame:
+    """J-14: top-``k`` keys per query.  ``keys``/``queries``: (id, vec), ids unique."""
     one = F.lit(0).alias("head")
-    return _knn(keys.select(one, "id", "vec"), queries.select(one, "id", "vec"), k, metric, kb, qb).drop("head")
+    return _knn(keys.select(one, "id", "vec"), queries.select(one, "id", "vec"), k, metric, cell_rows).drop("head")
 
 
 def knn_heads(keys: DataFrame, queries: DataFrame, heads: int, k: int = 5, metric: str = "dot",
               cell_rows: int = 20000) -> DataFrame:
     """J-16: independent keys per head (integer ``head`` column in both inputs);
-    results per (query, head).  The head is part of the cell key: one plan and
-    two counts, whatever the number of heads."""
-    kb, qb = _blocks(keys.count(), cell_rows * heads), _blocks(queries.count(), cell_rows * heads)
+    results per (query, head).  Each head has pivots of its own; one plan,
+    whatever the number of heads."""
     of_int = F.col("head").cast("int").alias("head")
-    return _knn(keys.select(of_int, "id", "vec"), queries.select(of_int, "id", "vec"), k, metric, kb, qb)
+    return _knn(keys.select(of_int, "id", "vec"), queries.select(of_int, "id", "vec"), k, metric, cell_rows)
 
 
 def knn_product(keys1: DataFrame, keys2: DataFrame, q1: DataFrame, q2: DataFrame, k: int, n2: int | None = None,
