@@ -13,7 +13,7 @@ def tokens_sql(expr: str) -> str:
 
 VIEWS = {
     "sent": """
-      SELECT doc_id, line_no, doc_id * 1000000 + line_no AS sid, lang, text FROM (
+      SELECT doc_id, line_no, doc_id * 2147483648 + line_no AS sid, lang, text FROM (
         SELECT doc_id, lang,
                unnest(range(len(string_split(text, chr(10))))) AS line_no,
                unnest(string_split(text, chr(10))) AS text
@@ -28,7 +28,7 @@ VIEWS = {
       SELECT doc_id, line_no, sid, unnest(range(len(tokens))) AS pos, unnest(tokens) AS tok
       FROM sent_tok""",
     "pair": """
-      SELECT conv_id * 1000 + turn AS id, conv_id, turn, text AS src, next_text AS tgt FROM (
+      SELECT conv_id * 2147483648 + turn AS id, conv_id, turn, text AS src, next_text AS tgt FROM (
         SELECT conv_id, turn, role, text,
                lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role,
                lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next_text

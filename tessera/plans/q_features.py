@@ -239,7 +239,7 @@ def q_l07(spark, sf):
 @register("b30_replace_unk", with_views("""
     WITH h AS (SELECT t.sid, t.pos, t.tok AS src_tok, CASE WHEN v.id IS NULL THEN '<unk>' ELSE t.tok END AS tok
                FROM tok t LEFT JOIN vocab v ON t.tok = v.symbol),
-    d AS (SELECT DISTINCT tok AS src, '[' || tok || ']' AS tgt FROM tok WHERE length(tok) >= 8)
+    d AS (SELECT DISTINCT tok AS src, '[' || tok || ']' AS tgt FROM tok)
     SELECT sid, string_agg(CASE WHEN h.tok = '<unk>' THEN coalesce(d.tgt, h.src_tok) ELSE h.tok END, ' ' ORDER BY pos) AS replaced
     FROM h LEFT JOIN d ON d.src = h.src_tok GROUP BY sid""", "tok", extra=vocab_sql(threshold=3)))
 def q_b30(spark, sf):
@@ -248,12 +248,31 @@ def q_b30(spark, sf):
     ex = V.lookup_tokens(s, ["sid"], v)
     hyp = V.assemble(ex.withColumn("tok", F.when(F.col("tid") == V.UNK, F.lit("<unk>")).otherwise(F.col("symbol"))),
                      ["sid"], "tok", "hyp")
-    align = (views.tok(spark, sf).filter(F.length("tok") >= 8)
-             .select(F.col("tok").alias("src"), F.concat(F.lit("["), "tok", F.lit("]")).alias("tgt")).distinct())
+    align = views.tok(spark, sf).select(F.col("tok").alias("src"), F.concat(F.lit("["), "tok", F.lit("]")).alias("tgt")).distinct()
     r = FE.replace_unk(hyp, s.select("sid", F.col("tokens").alias("src")), align, "sid")
     return r.select("sid", F.array_join("replaced", " ").alias("replaced"))
 
 
+@register("b30_replace_unk_aligned", with_views("""
+    WITH n AS (SELECT sid, len(tokens) AS n FROM sent_tok),
+    h AS (SELECT t.sid, t.pos, n - 1 - t.pos AS at, CASE WHEN v.id IS NULL THEN '<unk>' ELSE t.tok END AS tok
+          FROM tok t JOIN n USING (sid) LEFT JOIN vocab v ON t.tok = v.symbol)
+    SELECT h.sid, string_agg(CASE WHEN h.tok = '<unk>' THEN CASE WHEN length(s.tok) >= 6 THEN '[' || s.tok || ']' ELSE s.tok END ELSE h.tok END, ' ' ORDER BY h.pos) AS replaced
+    FROM h JOIN tok s ON s.sid = h.sid AND s.pos = h.at GROUP BY h.sid""", "tok", extra=vocab_sql(threshold=3)))
+def q_b30_aligned(spark, sf):
+    """Source positions come from an alignment (here: back to front); the
+    dictionary has the longer words only, so that both outcomes occur."""
+    s = views.sent_tokens(spark, sf).filter(F.size("tokens") > 0)
+    v = _vocab(spark, sf, threshold=3, materialize=True)
+    ex = V.lookup_tokens(s, ["sid"], v)
+    hyp = V.assemble(ex.withColumn("tok", F.when(F.col("tid") == V.UNK, F.lit("<unk>")).otherwise(F.col("symbol"))), ["sid"], "tok", "hyp")
+    hyp = hyp.withColumn("alignment", F.sequence(F.size("hyp") - 1, F.lit(0), F.lit(-1)))
+    align = (views.tok(spark, sf).filter(F.length("tok") >= 6)
+             .select(F.col("tok").alias("src"), F.concat(F.lit("["), "tok", F.lit("]")).alias("tgt")).distinct())
+    r = FE.replace_unk(hyp, s.select("sid", F.col("tokens").alias("src")), align, "sid", alignment="alignment")
+    return r.select("sid", F.array_join("replaced", " ").alias("replaced"))
+
+
 @register("b37_word_begin", with_views("""
     SELECT id, symbol, (id < 4 OR starts_with(symbol, 'madeupword') OR starts_with(symbol, '▁')) AS "begin" FROM vocab""",
     "sent_tok", extra=vocab_sql(threshold=3)))

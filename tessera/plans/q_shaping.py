@@ -38,7 +38,8 @@ ROWS_SQL = {"rows": """
 
 @register("x01_row_ids", with_views("SELECT sid, row_id FROM rows", "sent_tok", extra=ROWS_SQL))
 def q_x01(spark, sf):
-    return sent_rows(spark, sf).select("sid", "row_id")
+    keys = views.sent(spark, sf).select("doc_id", "line_no", "sid")      # only keys are numbered, no text is shuffled
+    return I.with_row_id(keys, ["doc_id", "line_no"]).select("sid", "row_id")
 
 
 @register("x02_prefix_sum", with_views("""
@@ -361,7 +362,7 @@ def q_w04(spark, sf):
 
 @register("w06_mismatch", """
     WITH c AS (SELECT l_orderkey AS id, l_partkey % 97 AS tok, -l_extendedprice / 10000.0 AS score FROM lineitem),
-    g AS (SELECT l_orderkey AS id, l_partkey % 97 AS tok FROM lineitem WHERE l_linenumber = 2),
+    g AS (SELECT l_orderkey AS id, l_partkey % 97 AS tok FROM lineitem),
     cm AS (SELECT id, tok, max(score) AS score FROM c GROUP BY id, tok),
     b AS (SELECT id, max(score) AS best, arg_max(tok, score * 1e9 - tok) AS best_tok FROM cm GROUP BY id)
     SELECT g.id, g.tok, round(cm.score, 6) AS given_score, round(b.best, 6) AS best, b.best_tok,
@@ -372,7 +373,7 @@ def q_w06(spark, sf):
     cands = (li.select(F.col("l_orderkey").alias("id"), (F.col("l_partkey") % 97).alias("tok"),
                        (-F.col("l_extendedprice") / 10000.0).alias("score"))
              .groupBy("id", "tok").agg(F.max("score").alias("score")))
-    given = li.filter(F.col("l_linenumber") == 2).select(F.col("l_orderkey").alias("id"), (F.col("l_partkey") % 97).alias("tok"))
+    given = li.select(F.col("l_orderkey").alias("id"), (F.col("l_partkey") % 97).alias("tok"))
     m = S.mismatch(cands, given, ["id"], "tok", "score")
     return m.select("id", "tok", R("given_score").alias("given_score"), R("best").alias("best"), "best_tok", "equal",
                     R("gap").alias("gap"))

@@ -86,28 +86,33 @@ def q_a10(spark, sf):
 
 
 @register("a11_read_vectors", """
-    SELECT 'w' || CAST(vec_id % 300 AS VARCHAR) AS word, round(arg_max(embedding[1], vec_id), 6) AS first_dim
-    FROM embeddings GROUP BY vec_id % 300""")
+    WITH ok AS (SELECT * FROM embeddings WHERE vec_id % 50 <> 7)
+    SELECT 'w' || CAST(vec_id % 300 AS VARCHAR) AS word,
+           array_to_string(list_transform(arg_max(embedding, vec_id), lambda x: printf('%.5f', CAST(x AS DOUBLE))), ' ') AS last_vec,
+           array_to_string(list_transform(arg_min(embedding, vec_id), lambda x: printf('%.5f', CAST(x AS DOUBLE))), ' ') AS first_vec
+    FROM ok GROUP BY vec_id % 300""")
 def q_a11(spark, sf):
+    """Every vector is written and read; those with ``vec_id % 50 = 7`` lack a number,
+    so the reader drops them.  Both rules for repeated words."""
     e = read_table(spark, sf, "embeddings")
+    numbers = F.when(F.col("vec_id") % 50 == 7, F.slice("embedding", 1, 63)).otherwise(F.col("embedding"))
     lines = e.select(F.col("vec_id").alias("k"), F.concat_ws(
-        " ", F.concat(F.lit("w"), (F.col("vec_id") % 300).cast("string")),
-        F.array_join(F.col("embedding").cast("array<string>"), " ")).alias("l"))
+        " ", F.concat(F.lit("w"), (F.col("vec_id") % 300).cast("string")), F.array_join(numbers.cast("array<string>"), " ")).alias("l"))
     header = e.agg(F.count(F.lit(1)).alias("n")).select(F.lit(-1).cast("long").alias("k"),
                                                        F.concat_ws(" ", F.col("n").cast("string"), F.lit("64")).alias("l"))
     path = S.scratch_path(spark, "vectors")
     S.write_lines(header.unionByName(lines), "k", "l", path)
-    v = S.read_vectors(spark, path, 64, keep="last")
-    return v.select("word", F.round(F.element_at("vec", 1).cast("double"), 6).alias("first_dim"))
+    text = F.array_join(F.transform("vec", lambda x: F.format_string("%.5f", x.cast("double"))), " ")
+    last, first = (S.read_vectors(spark, path, 64, keep=k).select("word", text.alias(f"{k}_vec")) for k in ("last", "first"))
+    return last.join(first, "word")
 
 
 @register("a12_read_align", with_views("""
-    SELECT tok AS src, CAST(arg_max(sid, sid * 100000 + pos) AS VARCHAR) AS tgt FROM tok WHERE length(tok) >= 10 GROUP BY tok""",
-    "tok"))
+    SELECT tok AS src, CAST(sid AS VARCHAR) AS tgt FROM tok
+    QUALIFY row_number() OVER (PARTITION BY tok ORDER BY doc_id DESC, line_no DESC, pos DESC) = 1""", "tok"))
 def q_a12(spark, sf):
-    t = views.tok(spark, sf).filter(F.length("tok") >= 10)
-    d = t.select((F.col("sid") * 100000 + F.col("pos")).alias("k"),
-                 F.concat_ws(" ", "tok", F.col("sid").cast("string")).alias("l"))
+    t = views.tok(spark, sf)
+    d = t.select(F.struct("doc_id", "line_no", "pos").alias("k"), F.concat_ws(" ", "tok", F.col("sid").cast("string")).alias("l"))
     path = S.scratch_path(spark, "align")
     S.write_lines(d, "k", "l", path)
     return S.read_align(spark, path)
@@ -157,10 +162,10 @@ def q_a19(spark, sf):
 
 
 @register("a20_probs", with_views("""
-    SELECT id, CAST(id AS VARCHAR) || chr(9) || array_to_string(list_transform(vec[1:3], lambda x: printf('%.4f', x)), ',') AS line
+    SELECT id, CAST(id AS VARCHAR) || chr(9) || array_to_string(list_transform(vec, lambda x: printf('%.4f', x)), ',') AS line
     FROM emb""", "emb"))
 def q_a20(spark, sf):
-    e = views.emb(spark, sf).select("id", F.transform(F.slice("vec", 1, 3), lambda x: F.format_string("%.4f", x)).alias("p"))
+    e = views.emb(spark, sf).select("id", F.transform("vec", lambda x: F.format_string("%.4f", x)).alias("p"))
     return S.probs_lines(e, "id", "p")
 
 

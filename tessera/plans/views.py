@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from tessera.functions.text import tokenize
 from tessera.session import read_table
 
-# A sentence id packs (doc_id, line_no); documents have far fewer lines.
-LINE_SPAN = 1_000_000
+# A sentence id packs (doc_id, line_no), a pair id (conv_id, turn).  A text and an
+# array hold fewer than 2**31 lines, so ids of different rows differ; a major id of
+# 2**32 or more overflows and fails the job rather than collide.
+LINE_SPAN = 1 << 31
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -46,7 +48,7 @@ def pair(spark: SparkSession, sf: str) -> DataFrame:
     nxt = c.select("conv_id", "turn", "role", "text",
                    F.lead("role").over(w).alias("next_role"), F.lead("text").over(w).alias("next_text"))
     p = nxt.filter((F.col("role") == "user") & (F.col("next_role") == "assistant"))
-    return p.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "conv_id", "turn",
+    return p.select((F.col("conv_id") * LINE_SPAN + F.col("turn")).alias("id"), "conv_id", "turn",
                     F.col("text").alias("src"), F.col("next_text").alias("tgt"))
 
 

@@ -122,7 +122,7 @@ def encode_batches(stream: DataFrame, vocab: DataFrame, out: str, checkpoint: st
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         s = batch.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
-        s = s.select((F.col("doc_id") * 1000000 + F.col("line_no")).alias("sid"), tokenize("text").alias("tokens"))
+        s = s.select((F.col("doc_id") * (1 << 31) + F.col("line_no")).alias("sid"), tokenize("text").alias("tokens"))
         s = s.withColumn("n", F.size("tokens"))
         kept, over = filter_by_size(s, {"n": max_len})
         encode(kept, ["sid"], vocab).write.mode("overwrite").parquet(f"{out}/_batch={batch_id}")
