@@ -3,6 +3,7 @@ to a fresh folder under the shared checkpoint folder and reads it back."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -139,6 +140,64 @@ def q_a17(spark, sf):
     return S.predictions_lines(preds, "id", "p", "%.5f")
 
 
+@register("a17_prediction_file", """
+    SELECT row_number() OVER (ORDER BY doc_id) - 1 AS id, printf('%.5f', (n_chars % 97) / 97.0) AS line FROM documents""")
+def q_a17_file(spark, sf):
+    d = read_table(spark, sf, "documents")
+    preds = (d.select("doc_id", ((F.col("n_chars") % 89) / 89.0).alias("p"), F.lit(0).alias("seq"))
+             .unionByName(d.select("doc_id", ((F.col("n_chars") % 97) / 97.0).alias("p"), F.lit(1).alias("seq"))))
+    path = S.scratch_path(spark, "prediction")
+    S.write_predictions(preds, "doc_id", "p", path, "%.5f")
+    return S.read_lines(spark, path)
+
+
+@register("a17_word_predictions", with_views("""
+    WITH t AS (SELECT sid, doc_id, line_no, list_transform(tokens, lambda x: (length(x) % 10) / 9.0) AS w,
+                      list_transform(range(len(tokens) + 1), lambda i: (i % 7) / 6.0) AS g FROM sent_tok),
+    p AS (SELECT sid, doc_id, line_no, list_transform(range(2 * len(w) + 1), lambda i: CASE WHEN i % 2 = 0 THEN g[CAST(i // 2 + 1 AS INTEGER)] ELSE w[CAST(i // 2 + 1 AS INTEGER)] END) AS p FROM t)
+    SELECT row_number() OVER (ORDER BY doc_id, line_no) - 1 AS id, array_to_string(list_transform(p, lambda x: CASE WHEN x > 0.5 THEN 'OK' ELSE 'BAD' END), ' ') AS tags,
+           array_to_string(list_transform(p, lambda x: printf('%.5f', x)), ' ') AS probs FROM p""", "sent_tok"))
+def q_a17_words(spark, sf):
+    s = views.sent_tokens(spark, sf)
+    gaps = F.transform(F.sequence(F.lit(0), F.size("tokens")), lambda i: (i % 7) / F.lit(6.0))
+    d = s.select("sid", F.transform("tokens", lambda x: (F.length(x) % 10) / F.lit(9.0)).alias("w"), gaps.alias("g"), F.lit(0).alias("seq"))
+    path = S.scratch_path(spark, "words")
+    S.write_word_predictions(d, "sid", "w", "g", path)
+    tags, probs = (S.read_lines(spark, f"{path}/{n}").withColumnRenamed("line", n) for n in ("tags", "probs"))
+    return tags.join(probs, "id")
+
+
+@register("a18_report_file", """
+    WITH h AS (SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice, l_linenumber) AS h, -l_extendedprice / 9973.0 AS score,
+                      'p' || l_partkey || ' s' || l_suppkey AS hyp, [l_discount, l_tax] AS pos, l_linenumber % 3 || ' ' || l_linenumber % 2 AS al FROM lineitem),
+    l AS (SELECT o_orderkey AS id, 0 AS h, 0 AS t, 'S-' || o_orderkey || chr(9) || o_orderpriority AS l FROM orders
+          UNION ALL SELECT o_orderkey, 0, 1, 'T-' || o_orderkey || chr(9) || o_orderstatus FROM orders
+          UNION ALL SELECT id, h, 0, 'H-' || id || chr(9) || printf('%.4f', score) || chr(9) || hyp FROM h WHERE h <= 2
+          UNION ALL SELECT id, h, 1, 'P-' || id || chr(9) || printf('%.4f', pos[1]) || ' ' || printf('%.4f', pos[2]) FROM h WHERE h <= 2
+          UNION ALL SELECT id, h, 2, 'A-' || id || chr(9) || al FROM h WHERE h <= 2)
+    SELECT row_number() OVER (ORDER BY id, h, t) - 1 AS id, l AS line FROM l""")
+def q_a18_file(spark, sf):
+    """Two best of each list, with alignments, written in order and read back."""
+    li = read_table(spark, sf, "lineitem")
+    w = Window.partitionBy("l_orderkey").orderBy("l_extendedprice", "l_linenumber")
+    hyps = li.select(F.col("l_orderkey").alias("id"), F.row_number().over(w).alias("rank"), (-F.col("l_extendedprice") / 9973.0).alias("score"),
+                     F.concat(F.lit("p"), F.col("l_partkey").cast("string"), F.lit(" s"), F.col("l_suppkey").cast("string")).alias("hyp"),
+                     F.array("l_discount", "l_tax").alias("pos_scores"), F.array(F.col("l_linenumber") % 3, F.col("l_linenumber") % 2).alias("alignment"))
+    src = read_table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("src"), F.col("o_orderstatus").alias("tgt"))
+    path = S.scratch_path(spark, "report")
+    S.write_report(src, hyps, "id", path, nbest=2, alignment=True)
+    return S.read_lines(spark, path)
+
+
+@register("a21_export_file", with_views("""
+    SELECT row_number() OVER (ORDER BY doc_id, line_no) - 1 AS id, rtrim(replace(replace(text, 'the', '<<unk>>') || ' ', '@@ ', '')) AS line FROM sent""", "sent"))
+def q_a21_file(spark, sf):
+    s = views.sent(spark, sf).select("sid", F.replace("text", F.lit("the"), F.lit("<unk>")).alias("text"))
+    path = S.scratch_path(spark, "refs")
+    S.write_refs(s, "sid", "text", path)
+    return S.read_lines(spark, path)
+
+
 @register("a18_report", with_views(f"""
     WITH p AS (SELECT id, src, tgt, {tokens_sql('tgt')} AS t FROM pair)
     SELECT id, 'S-' || id || chr(9) || src AS l FROM p

@@ -13,10 +13,10 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.text import parse_int_list, parse_spans
+from tessera.functions.text import interleave, parse_int_list, parse_spans
 from tessera.operators.ids import with_row_id
 from tessera.session import ensure_checkpoint_dir
 
@@ -174,6 +174,50 @@ def predictions_lines(df: DataFrame, key: str, value: str, fmt: str = "%s") -> D
     return last.select(key, F.format_string(fmt, F.col(value)).alias("line"))
 
 
+def write_predictions(df: DataFrame, key: str, value: str, path: str, fmt: str = "%s") -> None:
+    """A-17 sink: one value a line in id order, the last written duplicate wins.
+    The sorted parts are committed together, so a retried task leaves nothing."""
+    write_lines(predictions_lines(df, key, value, fmt), key, "line", path)
+
+
+def write_word_predictions(df: DataFrame, key: str, words: str, gaps: str, path: str, threshold: float = 0.5) -> None:
+    """A-17 sink, word form: ``<path>/tags`` with OK or BAD and ``<path>/probs`` with
+    five decimals, a sentence a line in id order: gap, word, gap, ..., word, gap.
+    The last written duplicate wins (``seq``)."""
+    last = df.groupBy(key).agg(F.max_by(F.struct(F.col(words).alias("w"), F.col(gaps).alias("g")), "seq").alias("p"))
+    last = last.select(key, interleave(F.col("p.g"), F.col("p.w")).alias("p"))
+    tags = F.transform("p", lambda x: F.when(x > threshold, F.lit("OK")).otherwise(F.lit("BAD")))
+    probs = F.transform("p", lambda x: F.format_string("%.5f", x))
+    for name, column in (("tags", tags), ("probs", probs)):
+        write_lines(last.select(key, F.array_join(column, " ").alias("line")), key, "line", f"{path}/{name}")
+
+
+def write_report(sources: DataFrame, hyps: DataFrame, key: str, path: str, nbest: int = 1, alignment: bool = False) -> None:
+    """A-18 sink: for each sentence its S- and T- line (T- only with a target),
+    then H-, P- and, with ``alignment``, A- lines of its ``nbest`` best hypotheses
+    (``rank`` from 1 on), in the order of ids.  ``sources``: (key, src, tgt); ``hyps``:
+    (key, rank, score, hyp, pos_scores[, alignment])."""
+    name = F.col(key).cast("string")
+
+    def line(tag: str, *rest: Column) -> Column:
+        return F.concat_ws("\t", F.concat(F.lit(f"{tag}-"), name), *rest)
+
+    head = sources.select(F.struct(F.col(key).alias("k"), F.lit(0).alias("h"), F.lit(0).alias("t")).alias("o"), line("S", F.col("src")).alias("l")).unionByName(
+        sources.filter(F.col("tgt").isNotNull()).select(F.struct(F.col(key).alias("k"), F.lit(0).alias("h"), F.lit(1).alias("t")).alias("o"), line("T", F.col("tgt")).alias("l")))
+    kinds = [line("H", F.format_string("%.4f", "score"), F.col("hyp")), line("P", F.array_join(F.transform("pos_scores", lambda x: F.format_string("%.4f", x)), " "))]
+    if alignment:
+        kinds.append(line("A", F.array_join(F.col("alignment").cast("array<string>"), " ")))
+    best = hyps.filter(F.col("rank") <= nbest)
+    lines = best.select(key, "rank", F.posexplode(F.array(*kinds)).alias("t", "l"))
+    lines = lines.select(F.struct(F.col(key).alias("k"), F.col("rank").cast("int").alias("h"), F.col("t")).alias("o"), "l")
+    write_lines(head.unionByName(lines), "o", "l", path)
+
+
+def write_refs(df: DataFrame, key: str, text: str, path: str, unk: str = "<unk>", bpe: str | None = "@@ ") -> None:
+    """A-21 sink: ``export_refs`` as lines in id order."""
+    write_lines(export_refs(df, text, unk, bpe), key, text, path)
+
+
 def report_lines(df: DataFrame, key: str) -> DataFrame:
     """A-18: S-/T-/H-/P- lines per sentence (tab separated, positional
     scores with 4 decimals)."""
