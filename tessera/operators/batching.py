@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tessera.session import cut_lineage
 from tessera.operators.ids import running_total, with_row_id
+from tessera.operators.shaping import hash_uniform
 
 INF = 1 << 62
 
@@ -185,16 +186,49 @@ def collate_pairs(df: DataFrame, batch: str, key: str, src: str, tgt: str) -> Da
                     F.transform("_s", lambda s: s["sl"]).alias("src_lengths"), "ntokens", "nsentences"))
 
 
-def round_batches(df: DataFrame, batch: str, key: str, multiple: int = 8) -> DataFrame:
+def collate_arrays(df: DataFrame, batch: str, key: str, src: str, tgt: str, pad: int, eos: int,
+                   left_pad_source: bool = True, left_pad_target: bool = False) -> DataFrame:
+    """E-01, arrays: one row per sentence, ``(batch, row, key, src_len, source,
+    tgt_len, target, previous)``: sides padded to the batch's longest, the
+    shifted target (its end symbol moved to the front), and the row's place in
+    descending source length (ties by id).  A null target has null arrays."""
+    w = Window.partitionBy(batch)
+
+    def padded(ids, most: str, left: bool):
+        fill = F.array_repeat(F.lit(pad), F.col(most) - F.size(ids))
+        return F.concat(fill, ids) if left else F.concat(ids, fill)
+
+    d = df.select(batch, key, F.col(src).alias("_s"), F.col(tgt).alias("_t"))
+    d = d.withColumn("_ms", F.max(F.size("_s")).over(w)).withColumn("_mt", F.max(F.size("_t")).over(w))
+    shifted = F.when(F.size("_t") > 0, F.concat(F.array(F.lit(eos)), F.slice("_t", 1, F.size("_t") - 1))).otherwise(F.col("_t"))
+    d = d.withColumn("_p", shifted).withColumn("row", F.row_number().over(w.orderBy(F.size("_s").desc(), key)) - 1)
+    return d.select(batch, "row", key, F.size("_s").alias("src_len"), padded(F.col("_s"), "_ms", left_pad_source).alias("source"),
+                    F.size("_t").alias("tgt_len"), padded(F.col("_t"), "_mt", left_pad_target).alias("target"),
+                    padded(F.col("_p"), "_mt", left_pad_target).alias("previous"))
+
+
+def round_batches(df: DataFrame, batch: str, key: str, multiple: int = 8, seed: int | None = None) -> DataFrame:
     """E-06: drop the surplus rows of each batch beyond a multiple of 8 (keeps
-    batches smaller than the multiple whole)."""
+    batches smaller than the multiple whole): the highest ids, or with a ``seed``
+    rows chosen by hash."""
     w = Window.partitionBy(batch)
+    order = [key] if seed is None else [hash_uniform(seed, key), key]
     d = df.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn(
-        "_r", F.row_number().over(Window.partitionBy(batch).orderBy(key)))
+        "_r", F.row_number().over(Window.partitionBy(batch).orderBy(*order)))
     keep = F.when(F.col("_n") < multiple, F.col("_n")).otherwise(F.floor(F.col("_n") / multiple) * multiple)
     return d.filter(F.col("_r") <= keep).drop("_n", "_r")
 
 
+def pad_lengths(df: DataFrame, batch: str, ids: str, pad: int, multiple: int = 8) -> DataFrame:
+    """E-06, second half: ``padded`` ids of every row up to the batch's longest,
+    rounded up to a multiple; batches of fewer rows than that are only padded to
+    their longest."""
+    w = Window.partitionBy(batch)
+    d = df.withColumn("_m", F.max(F.size(ids)).over(w)).withColumn("_n", F.count(F.lit(1)).over(w))
+    most = F.when(F.col("_n") < multiple, F.col("_m")).otherwise(F.ceil(F.col("_m") / multiple) * multiple).cast("int")
+    return d.withColumn("padded", F.concat(F.col(ids), F.array_repeat(F.lit(pad), most - F.size(ids)))).drop("_m", "_n")
+
+
 # ------------------------------------------------------------------ D-03
 def stream_columns(df: DataFrame, tokens: str, bs: int, bptt: int, eos: str, order, fine, coarse) -> DataFrame:
     """D-03: the corpus token stream as a (n_batches * bptt + 1) x bs grid:

@@ -24,11 +24,20 @@ def fan_out(df: DataFrame, ids: str, k: int, first_id: int) -> DataFrame:
                                       F.slice(ids, 2, F.greatest(F.size(ids) - 1, F.lit(0)))))
 
 
-def label_index(df: DataFrame, label: str) -> DataFrame:
-    """G-29: ids of the distinct labels in sorted order (empty label -> 0,
-    the others from 1 in that case)."""
+def label_index(df: DataFrame, label: str, skip_empty: bool = False) -> DataFrame:
+    """G-29: ids of the distinct labels in sorted order; ``skip_empty`` gives
+    the empty label none."""
     distinct = df.select(label).distinct()
-    return with_row_id(distinct, [F.col(label)], fine=[F.substring(label, 1, 2)], coarse=[F.lit(0)], out="label_id")
+    if skip_empty:
+        distinct = distinct.filter(F.col(label) != "")
+    return with_row_id(distinct, [F.col(label)], out="label_id")
+
+
+def label_ids(df: DataFrame, index: DataFrame, label: str, unknown: int = 0, max_rows: int = 1_000_000) -> DataFrame:
+    """G-29: ``df`` with ``label_id``; a label without one (empty, null or not in
+    the index) is ``unknown``."""
+    i = sized_broadcast(index.select(F.col(label).alias("_l"), F.col("label_id").cast("long").alias("label_id")), max_rows)
+    return df.join(i, F.col(label) == F.col("_l"), "left").drop("_l").withColumn("label_id", F.coalesce("label_id", F.lit(unknown).cast("long")))
 
 
 def batch_stats(df: DataFrame, batch: str, src_len: str, tgt_len: str | None) -> DataFrame:

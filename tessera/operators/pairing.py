@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -103,6 +103,20 @@ def contrastive_negatives(df: DataFrame, key: str, length: str, n_neg: int, seed
     return draws.select(key, "pos", "j", r.alias("neg"))
 
 
+def contrastive_negatives_across(df: DataFrame, batch: str, key: str, length: str, n_neg: int, seed: int) -> DataFrame:
+    """J-13, across rows: ``n_neg`` negatives ``(neg_key, neg_pos)`` per position,
+    drawn uniformly from all positions of all rows of the batch, the own one
+    included.  A drawn number meets its position by an equi-join on (batch, number)."""
+    w = Window.partitionBy(batch).orderBy(key)
+    d = df.filter(F.col(length) > 0).select(batch, key, length)
+    d = d.withColumn("_at", F.sum(length).over(w) - F.col(length)).withColumn("_all", F.sum(length).over(Window.partitionBy(batch)))
+    pos = d.select(batch, key, "_at", "_all", F.explode(F.sequence(F.lit(0), F.col(length) - 1)).alias("pos"))
+    draws = pos.select(batch, key, "pos", "_all", F.explode(F.sequence(F.lit(1), F.lit(n_neg))).alias("j"))
+    draws = draws.withColumn("_i", F.floor(hash_uniform(seed, key, "pos", "j") * F.col("_all")))
+    target = pos.select(batch, (F.col("_at") + F.col("pos")).alias("_i"), F.col(key).alias("neg_key"), F.col("pos").alias("neg_pos"))
+    return draws.join(target, [batch, "_i"]).select(key, "pos", "j", "neg_key", "neg_pos")
+
+
 def attach_vectors(vocab: DataFrame, vectors: DataFrame, symbol: str = "symbol", word: str = "word") -> DataFrame:
     """J-03: the vocabulary with the vector of each symbol that the word-vector
     table holds (null elsewhere); ``vectors`` has one row per word (A-11)."""

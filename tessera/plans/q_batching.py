@@ -9,6 +9,7 @@ from tessera.operators import ids as I
 from tessera.operators import shaping as S
 from tessera.plans import views
 from tessera.plans.oracle import with_views
+from tessera.plans.q_shaping import HU_SQL
 from tessera.plans.registry import register
 
 
@@ -113,6 +114,30 @@ def q_e06(spark, sf):
     return BT.round_batches(d, "batch", "sid").select("sid")
 
 
+@register("e01_collate_arrays", with_views("""
+    WITH b AS (SELECT row_id // 16 AS batch, sid, ids, list_filter(ids, lambda x: x <> 1) AS tgt FROM r),
+    m AS (SELECT *, max(len(ids)) OVER w AS ms, max(len(tgt)) OVER w AS mt, row_number() OVER (PARTITION BY batch ORDER BY len(ids) DESC, sid) - 1 AS row FROM b WINDOW w AS (PARTITION BY batch))
+    SELECT batch, row, sid, array_to_string(list_concat(list_transform(range(ms - len(ids)), lambda i: 1), ids), ' ') AS source,
+           array_to_string(list_concat(tgt, list_transform(range(mt - len(tgt)), lambda i: 1)), ' ') AS target,
+           array_to_string(list_concat(list_concat([2], tgt[:-2]), list_transform(range(mt - len(tgt)), lambda i: 1)), ' ') AS previous FROM m""", "sent", "ids", extra=ROWS_IDS))
+def q_e01_arrays(spark, sf):
+    d = ids_rows(spark, sf).withColumn("batch", F.floor(F.col("row_id") / 16)).withColumn("tgt", F.filter("ids", lambda x: x != 1))
+    c = BT.collate_arrays(d, "batch", "sid", "ids", "tgt", pad=1, eos=2)
+    return c.select("batch", F.col("row").cast("long").alias("row"), "sid", J("source").alias("source"), J("target").alias("target"), J("previous").alias("previous"))
+
+
+@register("e06_round_and_pad", with_views(f"""
+    WITH c AS (SELECT sid, ids, row_id // 20 AS batch, row_number() OVER (PARTITION BY row_id // 20 ORDER BY {HU_SQL(61, 'sid')}, sid) AS rn,
+                      count(*) OVER (PARTITION BY row_id // 20) AS n FROM r),
+    k AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch) AS m FROM c WHERE rn <= CASE WHEN n < 8 THEN n ELSE (n // 8) * 8 END)
+    SELECT batch, sid, array_to_string(list_concat(ids, list_transform(range(CASE WHEN n < 8 THEN m ELSE ((m + 7) // 8) * 8 END - len(ids)), lambda i: 1)), ' ') AS padded
+    FROM k""", "sent", "ids", extra=ROWS_IDS))
+def q_e06_pad(spark, sf):
+    d = ids_rows(spark, sf).withColumn("batch", F.floor(F.col("row_id") / 20))
+    r = BT.pad_lengths(BT.round_batches(d, "batch", "sid", seed=61), "batch", "ids", pad=1)
+    return r.select("batch", "sid", J("padded").alias("padded"))
+
+
 D02_SQL = with_views("""
     WITH RECURSIVE s AS (
       SELECT sid, len(tokens) + 1 AS n, row_number() OVER (ORDER BY doc_id, line_no) - 1 AS rk FROM sent_tok),

@@ -44,6 +44,17 @@ def q_g29(spark, sf):
     return d.join(idx, "source").select("doc_id", F.col("label_id").cast("bigint").alias("label_id"))
 
 
+@register("g29_label_ids", """
+    WITH d AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE source END AS label FROM documents),
+    i AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS label_id FROM (SELECT DISTINCT label FROM d WHERE label <> '' AND doc_id % 3 > 0))
+    SELECT d.doc_id, coalesce(i.label_id, 0) AS label_id FROM d LEFT JOIN i USING (label)""")
+def q_g29_ids(spark, sf):
+    """Labels of two thirds of the documents make the index; empty and unseen ones are 0."""
+    label = F.when(F.col("doc_id") % 5 == 0, F.lit("")).otherwise(F.col("source"))
+    d = read_table(spark, sf, "documents").select("doc_id", label.alias("label"))
+    return X.label_ids(d, X.label_index(d.filter(F.col("doc_id") % 3 > 0), "label", skip_empty=True), "label").select("doc_id", "label_id")
+
+
 @register("g34_batch_stats", with_views("""
     SELECT row_id // 16 AS batch, count(*) AS nsentences, sum(ntok) AS ntokens, sum(ntok) AS sample_size
     FROM rows GROUP BY row_id // 16""", "sent_tok", extra=ROWS_SQL))

@@ -103,6 +103,20 @@ def q_j13(spark, sf):
     return c.select("sid", "pos", F.col("j").cast("long").alias("j"), F.col("neg").cast("long").alias("neg"))
 
 
+@register("j13_negatives_across", with_views(f"""
+    WITH b AS (SELECT i.sid, len(i.ids) AS n, (row_number() OVER (ORDER BY s.doc_id, s.line_no) - 1) // 16 AS batch FROM ids i JOIN sent s USING (sid)),
+    o AS (SELECT *, sum(n) OVER (PARTITION BY batch ORDER BY sid) - n AS beg, sum(n) OVER (PARTITION BY batch) AS total FROM b),
+    p AS (SELECT sid, batch, beg, total, unnest(range(n)) AS pos FROM o),
+    d AS (SELECT *, unnest(range(1, 3)) AS j FROM p),
+    e AS (SELECT *, CAST(floor({HU(67, 'sid', 'pos', 'j')} * total) AS BIGINT) AS i FROM d)
+    SELECT e.sid, e.pos, e.j, p.sid AS neg_sid, p.pos AS neg_pos FROM e JOIN p ON p.batch = e.batch AND p.beg + p.pos = e.i""", "ids", "sent"))
+def q_j13_across(spark, sf):
+    d = views.ids(spark, sf).join(views.sent(spark, sf).select("sid", "doc_id", "line_no"), "sid").select("sid", "doc_id", "line_no", F.size("ids").alias("n"))
+    d = I.with_row_id(d, ["doc_id", "line_no"]).withColumn("batch", F.floor(F.col("row_id") / 16))
+    c = P.contrastive_negatives_across(d, "batch", "sid", "n", 2, 67)
+    return c.select("sid", F.col("pos").cast("long").alias("pos"), F.col("j").cast("long").alias("j"), F.col("neg_key").alias("neg_sid"), F.col("neg_pos").cast("long").alias("neg_pos"))
+
+
 def _knn_sql(fn: str) -> str:
     return with_views(f"""
     SELECT qid, kid, rank, round(score, 6) AS score FROM (
