@@ -1,26 +1,32 @@
 """Greedy size batches (W-03), fixed token blocks (D-01, D-04), stream
 reshape (D-03) and batch collation (E-01, E-04..E-06).
 
-W-03 plan (exact): the greedy rule only depends on the size-sorted sequence
-of token counts, so rows are summarised as *runs* of equal size
-(``groupBy(size)``, at most max_len rows, independent of corpus size).  The
-sequential rule is evaluated over runs on the driver, jumping over the
-periodic part of each run in O(1), and yields, per run, a handful of
-arithmetic segments ``(start_rank, end_rank, first_batch, step)``.  Rows get
-their global rank with the two-phase method and find their segment by an
-equi-join on the run key (broadcast only under a checked bound).
+W-03 plan (exact): rows are numbered in size order and cut into chunks of
+consecutive numbers.  What a chunk needs to know of the rows before it is how many
+of them are in the open batch (their sizes are the last rows before the chunk, which
+it is given), so a chunk is a function of that count: count at its end and batches
+closed.  All entry counts are followed together: after a batch is closed, only the
+closing row and the number of rows left over matter, so paths that meet are
+followed once.  Chunk functions compose in a tree (as for D-02), and each chunk then
+numbers its rows' batches from its true entry; one batch of rows behind the chunk
+tells where its last batch ends.  Only (number, size) rows are grouped, nothing is
+collected.  ``greedy_segments`` is the same rule over runs of equal sizes, for
+summaries that fit one machine.
 """
 
 from __future__ import annotations
 
 from collections import deque
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import cut_lineage
 from tessera.operators.ids import running_total, with_row_id
+from tessera.operators.sentence_blocks import chunk_entries
 from tessera.operators.shaping import hash_uniform
+from tessera.session import cut_lineage
 
 INF = 1 << 62
 
@@ -100,49 +106,123 @@ def greedy_segments(runs, max_tokens=None, max_sentences=None, multiple=1):
     return segs, batch_id
 
 
+class Greedy:
+    """The greedy rule over ``sizes`` of consecutive rows (tokens a row costs)."""
+
+    def __init__(self, sizes: np.ndarray, max_tokens: int, max_sentences: int, multiple: int, most: int):
+        self.sizes, self.max_tokens, self.max_sentences, self.multiple = sizes, max_tokens, max_sentences, multiple
+        self.step = most + 2            # no open batch grows beyond ``most`` rows
+
+    def closer(self, start: int, row: int) -> int:
+        """The first row from ``row`` on that does not fit a batch open since
+        ``start``; the number of rows if there is none."""
+        lo = row
+        top = int(self.sizes[start:row].max(initial=0))
+        while lo < len(self.sizes):
+            part = np.maximum(np.maximum.accumulate(self.sizes[lo:lo + self.step]), top)
+            n = np.arange(lo - start + 1, lo - start + 1 + len(part))
+            over = (n > self.max_sentences) | (part * n > self.max_tokens)
+            if start == row:
+                over[0] &= lo > row                    # an empty batch takes any row
+            if over.any():
+                return lo + int(over.argmax())
+            lo, top = lo + len(part), int(part[-1])
+        return len(self.sizes)
+
+    def cut(self, rows: int) -> int:
+        """How many of an open batch's rows a closed batch takes."""
+        return max(self.multiple * (rows // self.multiple), rows % self.multiple)
+
+    def table(self, first: int, end: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each number of open rows before row ``first``: open rows before
+        ``end``, and batches closed by rows in between."""
+        known: dict[tuple[int, int], tuple[int, int]] = {}
+        out, closed = np.zeros(most + 1, np.int64), np.zeros(most + 1, np.int64)
+        for b in range(most + 1):
+            start, row, way = max(0, first - b), first, []
+            while True:
+                j = self.closer(start, row)
+                if j >= end:
+                    got = (end - start, 0)
+                    break
+                start += self.cut(j - start)
+                row = j + 1
+                if (j, start) in known:
+                    got = known[j, start]
+                    way.append((j, start))
+                    break
+                way.append((j, start))
+            open_, later = got
+            for i, at in enumerate(reversed(way)):
+                if at in known:
+                    later = known[at][1]
+                else:
+                    known[at] = (open_, later)
+                later += 1
+            out[b], closed[b] = min(open_, most), later
+        return out, closed
+
+    def batches(self, first: int, end: int, open_rows: int) -> np.ndarray:
+        """Batches closed before each row of ``[first, end)``, counted from the
+        batch that is open at ``first``.  A batch that is open at the end of all rows is whole."""
+        start, row, k = first - open_rows, first, 0
+        out = np.zeros(end - first, np.int64)
+        while start < end:
+            j = self.closer(start, row)
+            stop = len(self.sizes) if j >= len(self.sizes) else start + self.cut(j - start)
+            out[max(0, start - first):max(0, stop - first)] = k
+            start, row, k = stop, j + 1, k + 1
+        return out
+
+
 def greedy_batches(df: DataFrame, key: str, sizes: list[str], max_tokens=None, max_sentences=None,
-                   multiple: int = 1, max_broadcast: int = 1_000_000) -> DataFrame:
+                   multiple: int = 1, chunk_rows: int = 8192) -> DataFrame:
     """W-03: rows ordered by ``sizes`` then ``key``; a row costs
-    max(sizes) tokens; returns df + ``rank`` + ``batch``."""
-    spark = df.sparkSession
+    max(sizes) tokens; returns df + ``rank`` + ``batch``.  A row of more than
+    ``max_tokens`` fails; an empty table gives an empty result."""
     ntok = F.greatest(*[F.col(s) for s in sizes]) if len(sizes) > 1 else F.col(sizes[0])
-    d = df.withColumn("_ntok", ntok)
-    run_cols = list(sizes)
-    runs = d.groupBy(*run_cols).agg(F.count(F.lit(1)).alias("_c"), F.first("_ntok").alias("_n"))
-    # one row per distinct size combination; the bound is checked before the collect
-    runs = cut_lineage(runs)
-    if runs.limit(max_broadcast + 1).count() > max_broadcast:
-        raise ValueError(f"over {max_broadcast} distinct size combinations: filter or round the sizes first (C-01)")
-    run_rows = runs.orderBy(*run_cols).collect()
-    run_list = [(tuple(r[c] for c in run_cols), r["_n"], r["_c"]) for r in run_rows]
-    segs, _ = greedy_segments(run_list, max_tokens, max_sentences, multiple)
-    # attach each segment to the runs it overlaps (by rank range)
-    run_ranges, pos = [], 0
-    for k, _, c in run_list:
-        run_ranges.append((k, pos, pos + c))
-        pos += c
-    rows, j = [], 0
-    for k, lo, hi in run_ranges:
-        while j < len(segs) and segs[j][1] <= lo:
-            j += 1
-        t = j
-        while t < len(segs) and segs[t][0] < hi:
-            s0, s1, b0, st = segs[t]
-            rows.append((*k, max(s0, lo), min(s1, hi), b0, st, s0))
-            t += 1
-    schema = ", ".join(f"{c} long" for c in run_cols) + ", lo long, hi long, b0 long, step long, s0 long"
-    seg_df = spark.createDataFrame(rows, schema)
-    for c in run_cols:
-        seg_df = seg_df.withColumn(c, F.col(c).cast(d.schema[c].dataType))
-    order = [F.col(c) for c in run_cols] + [F.col(key)]
-    fine = [F.col(c) for c in run_cols] + [F.floor(F.col(key) / 1e9)]
-    ranked = with_row_id(d, order, fine=fine, coarse=[F.col(run_cols[0])], out="rank")
-    # the segment table was built here, so its size is known without a job
-    seg = F.broadcast(seg_df) if len(rows) <= max_broadcast else seg_df
-    j = ranked.join(seg, run_cols)
-    j = j.filter((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
-    return j.withColumn("batch", (F.col("b0") + F.floor((F.col("rank") - F.col("s0")) / F.col("step"))).cast("long")) \
-        .drop("lo", "hi", "b0", "step", "s0", "_ntok")
+    order = [F.col(c) for c in sizes] + [F.col(key)]
+    ranked = with_row_id(df.withColumn("_n", ntok.cast("long")), order, out="rank")
+    seen = ranked.agg(F.count(F.lit(1)).alias("rows"), F.min(F.when(F.col("_n") > 0, F.col("_n"))).alias("low"), F.max("_n").alias("high"),
+                      F.count(F.when(F.col("_n") <= 0, 1)).alias("zeros")).first()
+    if max_tokens is not None and seen.rows and seen.high > max_tokens:
+        raise ValueError(f"a row of size {seen.high} exceeds max_tokens {max_tokens}")
+    by_tokens = seen.rows if max_tokens is None else max_tokens // max(1, seen.low or 1) + seen.zeros
+    most = max(1, min(seen.rows, by_tokens, seen.rows if max_sentences is None else max_sentences, seen.rows) + multiple)
+    rule = (max_tokens or INF, max_sentences or INF, multiple, most)
+    size = max(chunk_rows, most + 2)
+    chunks = -(-seen.rows // size)
+    # a chunk with the rows before it that can be in the open batch, and those behind it that can end its last one
+    r, c = F.col("rank") % size, F.floor(F.col("rank") / size)
+    mine = F.array_compact(F.array(c, F.when((r >= size - most) & (c + 1 < chunks), c + 1), F.when((r <= most) & (c > 0), c - 1)))
+    rows = cut_lineage(ranked.select("rank", F.col("_n").alias("n"), F.explode(mine).alias("_i")))
+
+    def split(pdf: pd.DataFrame) -> tuple[int, int, int, Greedy]:
+        pdf = pdf.sort_values("rank")
+        i, at = int(pdf["_i"].iloc[0]), pdf["rank"].to_numpy()
+        first, end = np.searchsorted(at, [i * size, (i + 1) * size]).tolist()
+        return i, first, end, Greedy(pdf["n"].to_numpy(), *rule)
+
+    def tables(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, first, end, g = split(pdf)
+        out, cnt = g.table(first, end, most)
+        return pd.DataFrame({"_i": [i], "out": [out.tolist()], "cnt": [cnt.tolist()]})
+
+    def number(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, first, end, g = split(pdf)
+        batch = g.batches(first, end, int(pdf["state"].iloc[0])) + int(pdf["closed"].iloc[0])
+        return pd.DataFrame({"rank": np.arange(i * size, i * size + end - first), "batch": batch})
+
+    if chunks:
+        if chunks > 1:
+            tab = rows.groupBy("_i").applyInPandas(tables, "_i long, out array<long>, cnt array<long>")
+            entry = chunk_entries(tab, chunks, most + 1, 1024)
+        else:
+            entry = df.sparkSession.range(1).select(F.col("id").alias("_i"), F.lit(0).alias("state"), F.lit(0).alias("closed"))
+        got = rows.join(entry, "_i").groupBy("_i").applyInPandas(number, "rank long, batch long")
+    else:
+        got = ranked.select("rank", F.lit(0).cast("long").alias("batch"))
+    return ranked.join(got, "rank").select(*df.columns, "rank", "batch")
 
 
 # ------------------------------------------------------------------ D-01

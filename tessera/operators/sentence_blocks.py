@@ -60,13 +60,13 @@ def replay(sizes: np.ndarray, start: int, block: int, sep: int | None):
 CHILD = "_i long, _p long, total boolean, out array<long>, cnt array<long>"
 
 
-def _compose(block: int, fan: int):
+def _compose(states: int, fan: int):
     """Of ``fan`` consecutive functions: for each the function from the group's
     start to its own, and one row with the whole group's."""
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_i")
         parent = int(pdf["_i"].iloc[0]) // fan
-        out, cnt, rows = np.arange(block + 2), np.zeros(block + 2, dtype=np.int64), []
+        out, cnt, rows = np.arange(states), np.zeros(states, dtype=np.int64), []
         for i, o, c in zip(pdf["_i"], pdf["out"], pdf["cnt"]):
             rows.append((int(i), parent, False, out, cnt))
             cnt = cnt + np.asarray(c)[out]
@@ -76,12 +76,13 @@ def _compose(block: int, fan: int):
     return fn
 
 
-def _entries(tab: DataFrame, n: int, block: int, fan: int) -> DataFrame:
+def chunk_entries(tab: DataFrame, n: int, states: int, fan: int) -> DataFrame:
     """``(_i, state, closed)``: entry state and blocks closed before each of
-    ``n`` functions ``(_i, out, cnt)``, numbered 0 .. n - 1."""
+    ``n`` functions ``(_i, out, cnt)`` of ``states`` states, numbered 0 .. n - 1;
+    the first is entered in state 0."""
     levels = []
     while True:
-        level = cut_lineage(tab.groupBy(F.floor(F.col("_i") / fan)).applyInPandas(_compose(block, fan), CHILD))
+        level = cut_lineage(tab.groupBy(F.floor(F.col("_i") / fan)).applyInPandas(_compose(states, fan), CHILD))
         levels.append(level.filter(~F.col("total")))
         tab, n = level.filter("total").select("_i", "out", "cnt"), -(-n // fan)
         if n <= 1:
@@ -108,7 +109,7 @@ def sentence_blocks(df: DataFrame, size: str, order, fine, coarse, block: int, s
         return pd.DataFrame({"_i": [int(pdf["_i"].iloc[0])], "out": [out.tolist()], "cnt": [cnt.tolist()]})
 
     tab = d.select("_i", "_rid", size).groupBy("_i").applyInPandas(tables, "_i long, out array<long>, cnt array<long>")
-    entry = _entries(tab, chunks, block, group_chunks)
+    entry = chunk_entries(tab, chunks, block + 2, group_chunks)
     names = df.columns
     back = d.schema
 
