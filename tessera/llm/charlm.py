@@ -24,12 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER, SPACE, U64, Words, cut, mix64, slices
+from tessera.llm.common import LOWER, SPACE, U64, Words, cut, mix64, slices, small
 
 ORDER = 5
 MARK = 0x20
 EMPTY_WORD = int.from_bytes(bytes([MARK]) * ORDER, "big")
 MODEL_ROWS = 4_000_000
+LANGUAGES = 100_000     # rows of three numbers that are broadcast
 HELD = 1 << 21          # n-grams a counting task holds before it merges them
 NEVER = -99.0
 
@@ -144,7 +145,9 @@ def smoothed(counts: DataFrame) -> DataFrame:
         levels[k] = cut(low.select("lang", "gram", "raw", F.when(starts, F.col("raw")).otherwise(F.col("types")).alias("c")))
     out, lower = [], None
     for k in range(1, ORDER + 1):
-        lv = levels[k].withColumn("ctx", F.shiftright("gram", 8)).join(_discounts(levels[k]), "lang")
+        off_by = cut(_discounts(levels[k]))              # a row per language: broadcast, or a language would be one task
+        off_by = F.broadcast(off_by) if small(off_by, LANGUAGES) else off_by
+        lv = levels[k].withColumn("ctx", F.shiftright("gram", 8)).join(off_by, "lang")
         off = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
         lv = lv.withColumn("off", F.least(off, F.col("c").cast("double")))
         ctx = cut(lv.groupBy("lang", "ctx").agg(F.sum("c").alias("total"), F.sum("off").alias("freed"))
