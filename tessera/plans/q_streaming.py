@@ -93,9 +93,9 @@ def q_t05(spark, sf):
 def q_t06(spark, sf):
     m = views.metric(spark, sf).select("run", F.col("step").cast("long").alias("step"), "value")
     inbox, out, ck = T.scratch_path(spark, "t06-in"), T.scratch_path(spark, "t06"), T.scratch_path(spark, "t06-ck")
-    m.write.parquet(inbox)
-    s = T.read_stream(spark, inbox, m.schema)
-    T.run_append(T.stream_best(s, patience=20), out, ck)
+    m.repartition(6, F.xxhash64("run", "step")).write.parquet(inbox)         # steps of a run in all files
+    s = T.read_stream(spark, inbox, m.schema, max_files=2)                   # and in all micro-batches
+    T.run_ordered(T.stream_best(s, patience=20), out, ck)
     r = spark.read.parquet(out)
     return r.select("run", "step", R("best").alias("best"), "counter", "stop")
 

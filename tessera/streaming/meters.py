@@ -14,7 +14,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tessera.sources.text import scratch_path
 
@@ -83,32 +83,109 @@ def stream_shards(stream: DataFrame, key: str, n: int, by_hash: bool = True) ->
 
 
 # ------------------------------------------------------------------ T-06
-BEST_STATE = "best double, last_imp long, idx long"
+BEST_STATE = "best double, last_imp long, idx long, next long, held long"
 BEST_OUT = "run long, step long, best double, counter int, stop boolean"
-
-
-def _best_fn(patience: int, strict: bool):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best, last_imp, idx = state.get if state.exists else (None, 0, 0)
-        rows = []
-        pdf = pd.concat(list(pdfs)).sort_values("step")
-        for step, value in zip(pdf["step"].to_numpy(), pdf["value"].to_numpy()):
-            idx += 1
-            better = best is None or (value > best if strict else value >= best)
-            if better:
-                last_imp = idx
-            best = value if best is None else max(best, value)
-            counter = idx - last_imp
-            rows.append((int(key[0]), int(step), float(best), int(counter), counter > patience))
-        state.update((float(best), int(last_imp), int(idx)))
-        yield pd.DataFrame(rows, columns=["run", "step", "best", "counter", "stop"])
-    return fn
-
-
-def stream_best(metrics: DataFrame, patience: int, strict: bool = True) -> DataFrame:
-    """T-06: best-so-far and patience per run as keyed state (W-11 online)."""
-    return metrics.groupBy("run").applyInPandasWithState(
-        _best_fn(patience, strict), BEST_OUT, BEST_STATE, "append", GroupStateTimeout.NoTimeout)
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class OrderedBest(StatefulProcessor):
+    """Best-so-far and patience of one run, step by step in order.  A step that
+    arrives before its predecessor is held as map state until that comes; a step
+    that comes again is ignored.  With event times, a timer gives a missing
+    step up: when the watermark has passed a held step by ``wait_ms``, the run goes on
+    from the lowest held one, and what is missing before it counts as ignored."""
+
+    def __init__(self, patience: int, strict: bool, first: int, wait_ms: int | None):
+        self.patience, self.strict, self.first, self.wait_ms = patience, strict, first, wait_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("run", BEST_STATE)
+        self.held = handle.getMapState("held", "step long", "value double, ts long")
+
+    def _load(self) -> tuple[list, dict]:
+        if not self.state.exists():
+            return [None, 0, 0, self.first], {}
+        best, last, idx, following, held = self.state.get()
+        return [best, last, idx, following], {k[0]: (v[0], v[1]) for k, v in self.held.iterator()} if held else {}
+
+    def _save(self, now: list, before: dict, held: dict) -> None:
+        for step in before.keys() - held.keys():
+            self.held.removeKey((step,))
+        for step in held.keys() - before.keys():
+            self.held.updateValue((step,), held[step])
+            if self.wait_ms is not None:
+                self.handle.registerTimer(held[step][1] + self.wait_ms)
+        self.state.update((*now, len(held)))
+
+    def _take(self, now: list, step: int, value: float) -> tuple:
+        best, last, idx, _ = now
+        idx += 1
+        if best is None or (value > best if self.strict else value >= best):
+            last = idx
+        best = value if best is None else max(best, value)
+        now[:] = [best, last, idx, step + 1]
+        return step, best, idx - last, idx - last > self.patience
+
+    def _drain(self, now: list, held: dict, rows: list) -> None:
+        while now[3] in held:
+            rows.append(self._take(now, now[3], held.pop(now[3])[0]))
+
+    def _frame(self, key, rows: list) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=["step", "best", "counter", "stop"])
+        out.insert(0, "run", int(key[0]))
+        return out
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        now, held = self._load()
+        before = dict(held)
+        for pdf in rows:
+            out: list = []
+            pdf = pdf.sort_values("step")
+            times = pdf["ts"].astype("int64") // 1_000_000 if self.wait_ms is not None else pdf["step"]
+            for step, value, ts in zip(pdf["step"].tolist(), pdf["value"].tolist(), times.tolist()):
+                if step == now[3]:
+                    out.append(self._take(now, step, value))
+                    self._drain(now, held, out)
+                elif step > now[3]:
+                    held[step] = (value, ts)
+            if out:
+                yield self._frame(key, out)
+        self._save(now, before, held)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, held = self._load()
+        before, out = dict(held), []
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        while held and held[min(held)][1] + self.wait_ms <= at:
+            now[3] = min(held)
+            self._drain(now, held, out)
+        self._save(now, before, held)
+        if out:
+            yield self._frame(key, out)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_best(metrics: DataFrame, patience: int, strict: bool = True, first: int = 1, wait_ms: int | None = None) -> DataFrame:
+    """T-06: best-so-far and patience per run as keyed state (W-11 online), in
+    the order of ``step`` from ``first`` on, however files and micro-batches are cut.
+    ``metrics``: (run, step, value); with ``wait_ms`` also ``ts`` under a watermark."""
+    processor = OrderedBest(patience, strict, first, wait_ms)
+    return metrics.groupBy("run").transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=BEST_OUT, outputMode="append", timeMode="None" if wait_ms is None else "EventTime")
+
+
+def run_ordered(stream: DataFrame, out: str, checkpoint: str) -> None:
+    """``run_append`` of a stream with map state and timers, which RocksDB holds."""
+    conf = stream.sparkSession.conf
+    before = conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    try:
+        run_append(stream, out, checkpoint)
+    finally:
+        conf.unset("spark.sql.streaming.stateStore.providerClass") if before is None else conf.set("spark.sql.streaming.stateStore.providerClass", before)
 
 
 def encode_batches(stream: DataFrame, vocab: DataFrame, out: str, checkpoint: str, max_len: int, refused: str) -> None:
@@ -133,4 +210,4 @@ def encode_batches(stream: DataFrame, vocab: DataFrame, out: str, checkpoint: st
 
 
 __all__ = ["read_stream", "run_upserts", "latest", "run_append", "stream_meters", "stream_vocab",
-           "stream_shards", "stream_best", "encode_batches", "scratch_path"]
+           "stream_shards", "stream_best", "run_ordered", "OrderedBest", "encode_batches", "scratch_path"]
