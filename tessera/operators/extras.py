@@ -94,6 +94,21 @@ def with_context(df: DataFrame, key: str, tokens: str, context: int, order, fine
                                                F.array().cast("array<string>")).alias("context"), tokens)
 
 
+def with_kept_context(df: DataFrame, key: str, tokens: str, context: int, tokens_per_sample: int, order, pad: str = "<pad>") -> DataFrame:
+    """W-13, as model input: ``(key, source, start_index, length)``.  A row keeps as many
+    of the ``context`` tokens before it as fit beside its own into
+    ``tokens_per_sample + context``; ``start_index`` is their number, ``length`` what
+    is scored with them, and pads fill the places of context that is not there.
+    What a trimmed row keeps does not shorten the context of the next one, as its
+    own tokens and the kept ones together are ``context`` or more."""
+    d = with_context(df, key, tokens, context, order, (), ())
+    room = F.greatest(F.lit(0), tokens_per_sample + context - F.size(tokens))
+    d = d.withColumn("start_index", F.least(F.size("context"), room))
+    kept = F.slice("context", F.size("context") - F.col("start_index") + 1, F.col("start_index"))
+    source = F.concat(kept, F.col(tokens), F.array_repeat(F.lit(pad), F.lit(context) - F.col("start_index")))
+    return d.select(key, source.alias("source"), "start_index", (F.col("start_index") + F.size(tokens)).alias("length"))
+
+
 def pad_tags(df: DataFrame, batch: str, tags: str, fill: int = -1) -> DataFrame:
     """E-03: tag arrays padded with -1 to the longest in the batch."""
     w = Window.partitionBy(batch)

@@ -123,6 +123,23 @@ def q_w13(spark, sf):
     return c.select("sid", "start", F.array_join("context", " ").alias("context"))
 
 
+@register("w13_kept_context", with_views("""
+    WITH RECURSIVE o AS (SELECT sid, tokens, row_number() OVER (ORDER BY doc_id, line_no) AS rn FROM sent_tok),
+    -- the rule as it is written: a list of kept tokens is handed from row to row
+    walk AS (
+        SELECT CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS sid, CAST([] AS VARCHAR[]) AS kept, CAST([] AS VARCHAR[]) AS tokens, CAST([] AS VARCHAR[]) AS prev
+        UNION ALL
+        SELECT o.rn, o.sid, w.prev[greatest(len(w.prev) + len(o.tokens) - 20, 0) + 1:], o.tokens,
+               list_concat(w.prev[greatest(len(w.prev) + len(o.tokens) - 20, 0) + 1:], o.tokens)[-8:]
+        FROM walk w JOIN o ON o.rn = w.rn + 1)
+    SELECT sid, array_to_string(list_concat(list_concat(kept, tokens), list_transform(range(8 - len(kept)), lambda i: '<pad>')), ' ') AS source,
+           len(kept) AS start_index, len(kept) + len(tokens) AS length FROM walk WHERE rn > 0""", "sent_tok"))
+def q_w13_kept(spark, sf):
+    s = views.sent_tokens(spark, sf).select("sid", "doc_id", "line_no", "tokens")
+    c = X.with_kept_context(s, "sid", "tokens", 8, 12, ["doc_id", "line_no"])
+    return c.select("sid", F.array_join("source", " ").alias("source"), F.col("start_index").cast("long").alias("start_index"), F.col("length").cast("long").alias("length"))
+
+
 ROWS_IDS = {"r": """
     SELECT i.sid, i.ids, (row_number() OVER (ORDER BY s.doc_id, s.line_no) - 1) AS row_id
     FROM ids i JOIN sent s USING (sid)"""}
