@@ -124,16 +124,14 @@ def q_w13(spark, sf):
 
 
 @register("w13_kept_context", with_views("""
-    WITH RECURSIVE o AS (SELECT sid, tokens, row_number() OVER (ORDER BY doc_id, line_no) AS rn FROM sent_tok),
-    -- the rule as it is written: a list of kept tokens is handed from row to row
-    walk AS (
-        SELECT CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS sid, CAST([] AS VARCHAR[]) AS kept, CAST([] AS VARCHAR[]) AS tokens, CAST([] AS VARCHAR[]) AS prev
-        UNION ALL
-        SELECT o.rn, o.sid, w.prev[greatest(len(w.prev) + len(o.tokens) - 20, 0) + 1:], o.tokens,
-               list_concat(w.prev[greatest(len(w.prev) + len(o.tokens) - 20, 0) + 1:], o.tokens)[-8:]
-        FROM walk w JOIN o ON o.rn = w.rn + 1)
-    SELECT sid, array_to_string(list_concat(list_concat(kept, tokens), list_transform(range(8 - len(kept)), lambda i: '<pad>')), ' ') AS source,
-           len(kept) AS start_index, len(kept) + len(tokens) AS length FROM walk WHERE rn > 0""", "sent_tok"))
+    WITH o AS (SELECT sid, doc_id, line_no, tokens, len(tokens) AS n, CAST(coalesce(sum(len(tokens)) OVER (ORDER BY doc_id, line_no
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM sent_tok),
+    k AS (SELECT *, CAST(least(8, start, greatest(0, 20 - n)) AS BIGINT) AS kept FROM o),
+    t AS (SELECT start + unnest(range(len(tokens))) AS off, unnest(tokens) AS tok FROM o),
+    need AS (SELECT sid, start - 1 - unnest(range(kept)) AS off FROM k),
+    c AS (SELECT need.sid, list(t.tok ORDER BY t.off) AS ctx FROM need JOIN t USING (off) GROUP BY need.sid)
+    SELECT k.sid, array_to_string(list_concat(list_concat(coalesce(c.ctx, []), k.tokens), list_transform(range(8 - kept), lambda i: '<pad>')), ' ') AS source,
+           CAST(kept AS BIGINT) AS start_index, CAST(kept + n AS BIGINT) AS length FROM k LEFT JOIN c USING (sid)""", "sent_tok"))
 def q_w13_kept(spark, sf):
     s = views.sent_tokens(spark, sf).select("sid", "doc_id", "line_no", "tokens")
     c = X.with_kept_context(s, "sid", "tokens", 8, 12, ["doc_id", "line_no"])
