@@ -171,6 +171,19 @@ def brute_scores(rows):
     return sorted(out, key=lambda r: tuple((x is not None, x) for x in r)), train
 
 
+def brute_events(train, spell):
+    """Probabilities of training tokens (the end is "") and of any other token."""
+    c = Counter(w for _, t in train for w in words((t or "").translate(FOLD)) + [""])
+    total, n = sum(c.values()), [sum(x == i for x in c.values()) for i in (1, 2, 3, 4)]
+    y = n[0] / (n[0] + 2 * n[1])
+    cutoff = [min(i - 0.05, max(0.05, i - (i + 1) * y * n[i] / n[i - 1] if n[i - 1] else 0.5)) for i in (1, 2, 3)]
+    off = {w: cutoff[min(x, 3) - 1] for w, x in c.items()}
+    mass, other = sum(math.exp(spell[w]) for w in c), (n[0] + 1) / (total + 2)
+    p = {w: (1 - other) * (x - off[w] + sum(off.values()) * math.exp(spell[w]) / mass) / total for w, x in c.items()}
+    assert abs(sum(p.values()) + other - 1) < 1e-9
+    return lambda w: p.get(w, other)
+
+
 @pytest.mark.parametrize("limit", [lm_score.VOCABULARY, 0])
 def test_scores(spark, odd, odd_rows, nothing, limit):
     rows = [(x[0], x[1]) for x in odd_rows]
@@ -180,10 +193,13 @@ def test_scores(spark, odd, odd_rows, nothing, limit):
     assert all(abs(a[5] - b[5]) < 1e-6 * max(1, abs(b[5])) for a, b in zip(got, want))
     word, _ = brute_model([t for _, t in train], ends=True)
     spell = {w: word(w.encode()) for w in {w for _, t in rows for w in words((t or "").translate(FOLD))} | {""}}
-    true = {d: sum(spell[w] for w in words((t or "").translate(FOLD)) + [""]) / math.log(10) for d, t in rows if d not in (None, 13)}
+    opened = {d: sum(spell[w] for w in words((t or "").translate(FOLD)) + [""]) / math.log(10) for d, t in rows if d not in (None, 13)}
+    event = brute_events(train, spell)
+    true = {d: sum(math.log10(event(w)) for w in words((t or "").translate(FOLD)) + [""]) for d, t in rows if d not in (None, 13)}
     for r in got:
         if r[0] in true:
             assert abs(r[6] - true[r[0]]) <= 0.02 * abs(true[r[0]]) + 0.2
+            assert abs(r[7] - opened[r[0]]) <= 0.02 * abs(opened[r[0]]) + 0.2
     assert lm_score.scored(nothing, limit).count() == 0
 
 
