@@ -6,7 +6,12 @@ and looked up in sorted hash arrays, or, beyond ``charlm.MODEL_ROWS`` n-grams of
 the highest order over all languages, joined with the distinct words; either way
 every language keeps all its n-grams.  A document's score is its mean log
 probability per byte.  Documents whose score lies outside their language's band
-are rejected: the band is the middle half of the language's scores widened by
+are rejected.  Where ``labels`` name at least ``MIN_GOOD`` good documents of a
+language that pass the plain rules, the band is fitted on them, on all of them: its
+borders leave ``LOST`` of them out on each side, by their deviation from the
+language's median score, weighted with ``sqrt(bytes / (bytes + LENGTH))`` because
+short texts scatter.  Other languages, and all without labels, have a wide band: the
+middle half of the language's scores widened by
 ``REACH`` times its own width to either side, plus ``SHORT / sqrt(bytes)``, the
 chance variation of a short text.  Scores below the band are text of another
 kind or language than it says, scores above it are monotonous.
@@ -17,7 +22,9 @@ words inside 3-word windows that occur twice or more in the text, fail.
 Defined results: a null or empty text has no words and fails; a null language is
 a language of its own; the bands of a language come from its documents that pass
 the plain rules, a language with none has no band; repeated rows are judged one
-by one; an empty table gives an empty result; other columns are not read.
+by one; an empty table gives an empty result; other columns are not read.  A label
+counts for all rows of its ``doc_id``; labels that are null or contradict each other,
+or are of unknown or null ids, count for none.
 """
 
 from __future__ import annotations
@@ -26,16 +33,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import charlm
-from tessera.llm.common import LOWER, SPACE, U64, Words, cut, gram_hash, mix64, per_row, slices, span_hash, within_row
+from tessera.llm.common import LOWER, SPACE, U64, Words, cut, gram_hash, mix64, per_row, slices, small, span_hash, within_row
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
 REACH = 10.0
 SHORT = 6.0
+MIN_GOOD = 200
+LOST = 0.0025
+LENGTH = 3000
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[np.frombuffer(b"#*$%&|<>", np.uint8)] = True
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -108,9 +118,36 @@ def _measure(models):
     return run
 
 
-def judged(docs: DataFrame) -> DataFrame:
+def _deviation() -> Column:
+    return (F.col("score") - F.col("middle")) * F.sqrt(F.col("units") / (F.col("units") + F.lit(LENGTH)))
+
+
+def _by_language(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """Rows with their language's row of a written table: broadcast while there are
+    few languages, or a language would be one task."""
+    return rows.join(F.broadcast(table) if small(table, charlm.LANGUAGES) else table, "lang", "left")
+
+
+def bands(passed: DataFrame, labels: DataFrame | None, label_key: Column) -> DataFrame:
+    """``(lang, low, middle, high, low_cut, high_cut)``: quartiles of the scores of the
+    documents that pass the plain rules, and borders of the deviation, null where not fitted."""
+    q = F.percentile_approx("score", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(10000))
+    band = cut(passed.groupBy("lang").agg(q.alias("q")).select("lang", *[F.col("q")[i].alias(n) for i, n in enumerate(("low", "middle", "high"))]))
+    none = F.lit(None).cast("double")
+    if labels is None:
+        return band.withColumns({"low_cut": none, "high_cut": none})
+    good = labels.groupBy(F.col("doc_id").alias("_label")).agg(F.min("quality").alias("a"), F.max("quality").alias("b")).filter("a = 1 and b = 1").select("_label")
+    rows = passed.select("lang", "score", "units", label_key.alias("_label")).join(good, "_label")
+    borders = F.percentile_approx(_deviation(), F.array(F.lit(LOST), F.lit(1 - LOST)), F.lit(100000))
+    fitted = _by_language(rows, band).groupBy("lang").agg(borders.alias("q"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= MIN_GOOD)
+    fitted = cut(fitted.select("lang", F.col("q")[0].alias("low_cut"), F.col("q")[1].alias("high_cut")))
+    return cut(_by_language(band, fitted))
+
+
+def judged(docs: DataFrame, labels: DataFrame | None = None, label_key: Column | None = None) -> DataFrame:
     """``(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, perplexity, kept)`` of every row."""
+    base_failed, perplexity, kept)`` of every row; ``label_key`` finds the ``doc_id``
+    of ``labels`` in that of ``docs``."""
     d = docs.select("doc_id", F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), "text")
     grams = charlm.count_grams(d)
     model = charlm.smoothed(grams)
@@ -127,13 +164,13 @@ def judged(docs: DataFrame) -> DataFrame:
         scored = cut(rows.drop("words", "score").join(sums, "_row", "left").withColumn("score", mean).drop("_row", "total"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     scored = scored.withColumn("base_failed", failed)
-    band = (scored.filter(~failed).groupBy("lang").agg(F.percentile_approx("score", F.array(F.lit(0.25), F.lit(0.75)), F.lit(10000)).alias("q"))
-            .select("lang", F.col("q")[0].alias("low"), F.col("q")[1].alias("high")))
+    band = bands(scored.filter(~failed), labels, F.col("doc_id") if label_key is None else label_key)
     slack = REACH * (F.col("high") - F.col("low")) + SHORT / F.sqrt(F.greatest("units", F.lit(1)))
-    within = F.coalesce(F.col("score").between(F.col("low") - slack, F.col("high") + slack), F.lit(True))
-    return (scored.join(band, "lang", "left").select("doc_id", *FEATURES, "base_failed", F.exp(-F.col("score")).alias("perplexity"),
-                                                     (~F.col("base_failed") & within).alias("kept"), "lang", "score", "units", "low", "high"))
+    wide = F.coalesce(F.col("score").between(F.col("low") - slack, F.col("high") + slack), F.lit(True))
+    within = F.when(F.col("low_cut").isNull(), wide).otherwise(_deviation().between(F.col("low_cut"), F.col("high_cut")))
+    return (_by_language(scored, band).select("doc_id", *FEATURES, "base_failed", F.exp(-F.col("score")).alias("perplexity"),
+                                              (~F.col("base_failed") & within).alias("kept"), "lang", "score", "units", "low", "high"))
 
 
-def report(docs: DataFrame) -> DataFrame:
-    return judged(docs).drop("lang", "score", "units", "low", "high")
+def report(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    return judged(docs, labels).drop("lang", "score", "units", "low", "high")

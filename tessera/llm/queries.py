@@ -139,7 +139,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import quality
-    return quality.report(table(spark, sf_dir, "documents"))
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 @register()

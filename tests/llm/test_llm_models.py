@@ -157,6 +157,42 @@ def test_quality(spark, odd, odd_rows, nothing):
     assert quality.report(nothing).count() == 0
 
 
+def test_bands_fitted_on_labels(spark, monkeypatch):
+    """Both borders reject, a hot source of another kind does not widen them, and
+    languages with few good labels keep the wide band."""
+    monkeypatch.setattr(quality, "MIN_GOOD", 50)
+    r = np.random.default_rng(6)
+    syll = ["ta", "lo", "mi", "ren", "so", "ka", "bri", "un"]
+
+    def text(n, draw):
+        return " ".join("".join(draw()) for _ in range(n))
+    plain = lambda: r.choice(syll, r.integers(1, 4))                     # noqa: E731
+    rows = [(i, text(int(r.integers(60, 200)), plain), "xx") for i in range(300)]
+    rows += [(1000 + i, text(120, lambda: r.choice(list("taiouzqvwx"), 7)), "xx") for i in range(130)]      # a third, apart
+    rows += [(2000, text(150, lambda: r.choice(list("qzwvjkx#"), 7)), "xx"), (2001, text(150, lambda: r.choice(["ta", "lo"], 2)), "xx"),
+             (None, text(80, plain), "xx")] + [(3000 + i, text(90, plain), "yy") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    labels = [(i, 1) for i in range(300)] + [(0, 1), (5, 0), (6, None), (None, 1), (99999, 1)] + [(3000 + i, 1) for i in range(20)]
+    labels = spark.createDataFrame(labels, "doc_id bigint, quality int")
+    got = quality.judged(docs, labels).collect()
+    kept = {x.doc_id: x.kept for x in got}
+    assert len(got) == len(rows) and not any(x.base_failed for x in got if x.doc_id != 2001)
+    assert sum(kept[i] for i in range(300)) >= 296 and all(kept[3000 + i] for i in range(20))
+    assert not any(kept[1000 + i] for i in range(130)) and not kept[2000] and not kept[2001]
+    # the borders, from all good labels in plain Python
+    mine = {x.doc_id: x for x in got if x.lang == "xx" and not x.base_failed}
+    middle = sorted(x.score for x in got if x.lang == "xx" and not x.base_failed)
+    middle = middle[math.ceil(len(middle) / 2) - 1]
+    dev = {d: (x.score - middle) * math.sqrt(x.units / (x.units + quality.LENGTH)) for d, x in mine.items()}
+    good = sorted(dev[i] for i in range(300) if i != 5)
+    low, high = (good[math.ceil(q * len(good)) - 1] for q in (quality.LOST, 1 - quality.LOST))
+    assert all(x.kept == (low <= dev[d] <= high) for d, x in mine.items())
+    few = spark.createDataFrame([(1, 1)], "doc_id bigint, quality int")
+    wide = {x.doc_id: x.kept for x in quality.judged(docs, few).collect()}
+    assert wide == {x.doc_id: x.kept for x in quality.judged(docs).collect()}
+    assert quality.report(docs.limit(0), labels).count() == 0 and quality.report(docs.limit(3), labels.limit(0)).count() == 3
+
+
 def brute_scores(rows):
     train = [(d, t) for d, t in rows if zlib.crc32(("" if d is None else str(d)).encode()) % 7 != 2]
     c = Counter(w for _, t in train for w in words((t or "").translate(FOLD)))

@@ -31,6 +31,7 @@ def test_every_number_is_registered():
 def test_stages_keep_columns_and_rows(spark, odd, odd_rows, nothing, tmp_path):
     bench = spark.createDataFrame([(1, " ".join(odd_rows[3][1].split()[5:25]))], "item_id bigint, text string")
     bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(1, 1), (None, 0)], "doc_id bigint, quality int").write.parquet(str(tmp_path / "labels.parquet"))
     docs = odd
     for name, stage in P.STAGES[:-1]:
         before = Counter((r.doc_id, r.source) for r in docs.collect())
