@@ -40,8 +40,9 @@ def _without(docs: DataFrame, out: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    return _without(docs, quality.judged(_keyed(docs, "lang", "text")).filter(~F.col("kept")))
+    """Documents that the quality rules reject go; the bands are fitted on ``labels``."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return _without(docs, quality.judged(_keyed(docs, "lang", "text"), labels, F.col("doc_id.doc_id")).filter(~F.col("kept")))
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
