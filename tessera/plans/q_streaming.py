@@ -18,7 +18,11 @@ def R(c, k=6):
 
 
 def _stream(spark, sf: str, name: str, schema):
-    """A file stream over the table's parquet file inside the data folder."""
+    """A file stream over a table, which is one parquet file inside the data folder
+    or a folder of part files."""
+    table = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf}/{name}.parquet")
+    if table.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(table).isDirectory():
+        return T.read_stream(spark, f"{sf}/{name}.parquet", schema)
     return T.read_stream(spark, sf, schema, glob=f"{name}.parquet")
 
 
