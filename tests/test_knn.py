@@ -56,3 +56,29 @@ def test_heads_and_short_tables(spark):
     none = spark.createDataFrame([], "id long, vec array<double>")
     some = spark.createDataFrame([(1, [1.0])], "id long, vec array<double>")
     assert K.knn(none, some).collect() == [] and K.knn(some, none).collect() == []
+
+
+@pytest.mark.parametrize("metric", ["l2", "dot", "cosine"])
+def test_slabs_and_blocks_give_the_full_comparison(spark, metric, monkeypatch):
+    monkeypatch.setattr(K, "SLAB", 30)
+    monkeypatch.setattr(K, "QUERIES", 12)
+    monkeypatch.setattr(K, "SLICE", 200)
+    rng = np.random.default_rng(6)
+    keys = [(i, v.tolist()) for i, v in enumerate(clusters(200, 5, 9, rng))] + [(1000 + i, [1.0] * 5) for i in range(90)] + [(3000 + i, rng.normal(size=5).tolist()) for i in range(100)]
+    queries = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(40, 5)) * 3)] + [(50, [1.0] * 5), (51, [0.0] * 5)]
+    kdf = spark.createDataFrame(keys, "id long, vec array<double>").repartition(3)
+    qdf = spark.createDataFrame(queries, "id long, vec array<double>")
+    got = sorted((r.qid, r.kid, r["rank"]) for r in K.knn(kdf, qdf, 7, metric, cell_rows=10).collect())
+    assert got == full(keys, queries, 7, metric)
+
+
+def test_copies_of_spread_vectors_follow_slabs_not_cells(spark, monkeypatch):
+    monkeypatch.setattr(K, "SLAB", 500)
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(2000, 16)))], "id long, vec array<double>")
+    one = df.selectExpr("0 AS head", "id", "vec")
+    _, cells = K.cells_of(one, "l2", 20)
+    assert len(cells.figures) > 300
+    kth = K.knn(df, df, 3, "l2", cell_rows=20).groupBy("qid").agg({"score": "min"}).toDF("id", "kth")
+    copies = K.routed(one, cells, 3).count() + K.routed(one.join(kth, "id").select("head", "id", "vec", "kth"), cells, 3).count()
+    assert copies <= 2000 * 6                                          # nothing can be excluded: 300 times as many by cells
