@@ -106,7 +106,9 @@ def contrastive_negatives(df: DataFrame, key: str, length: str, n_neg: int, seed
 def contrastive_negatives_across(df: DataFrame, batch: str, key: str, length: str, n_neg: int, seed: int) -> DataFrame:
     """J-13, across rows: ``n_neg`` negatives ``(neg_key, neg_pos)`` per position,
     drawn uniformly from all positions of all rows of the batch, the own one
-    included.  A drawn number meets its position by an equi-join on (batch, number)."""
+    included.  A drawn number meets its position by an equi-join on (batch, number),
+    never by broadcast: positions are many more than the rows that Spark's estimate
+    of their size is made from."""
     w = Window.partitionBy(batch).orderBy(key)
     d = df.filter(F.col(length) > 0).select(batch, key, length)
     d = d.withColumn("_at", F.sum(length).over(w) - F.col(length)).withColumn("_all", F.sum(length).over(Window.partitionBy(batch)))
@@ -114,7 +116,7 @@ def contrastive_negatives_across(df: DataFrame, batch: str, key: str, length: st
     draws = pos.select(batch, key, "pos", "_all", F.explode(F.sequence(F.lit(1), F.lit(n_neg))).alias("j"))
     draws = draws.withColumn("_i", F.floor(hash_uniform(seed, key, "pos", "j") * F.col("_all")))
     target = pos.select(batch, (F.col("_at") + F.col("pos")).alias("_i"), F.col(key).alias("neg_key"), F.col("pos").alias("neg_pos"))
-    return draws.join(target, [batch, "_i"]).select(key, "pos", "j", "neg_key", "neg_pos")
+    return draws.join(target.hint("merge"), [batch, "_i"]).select(key, "pos", "j", "neg_key", "neg_pos")
 
 
 def attach_vectors(vocab: DataFrame, vectors: DataFrame, symbol: str = "symbol", word: str = "word") -> DataFrame:
