@@ -5,11 +5,14 @@ cropping (E-07) and the extension hooks (H-01, H-03..H-05)."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.operators.ids import running_total, with_row_id
 from tessera.operators.shaping import hash_uniform
@@ -164,20 +167,29 @@ def crop_to_batch(df: DataFrame, batch: str, key: str, vals: str, seed) -> DataF
 
 # ------------------------------------------------------------------ hooks
 def apply_word_tokenizer(df: DataFrame, tokens: str, fn: Callable[[pd.Series], pd.Series],
-                         out: str = "pieces", max_broadcast: int = 5_000_000) -> DataFrame:
+                         out: str = "pieces") -> DataFrame:
     """H-01: a per-word tokenizer / sub-word encoder runs once per *distinct*
-    word (Arrow batches), and its pieces are joined back in order."""
-    @F.pandas_udf("array<string>")
-    def tok_udf(words: pd.Series) -> pd.Series:
-        return fn(words)
-    words = df.select(F.explode_outer(tokens).alias("w")).filter(F.col("w").isNotNull()).distinct()
-    table = sized_broadcast(words.select("w", tok_udf("w").alias("p")), max_broadcast)
-    ex = df.select("*", F.posexplode_outer(tokens).alias("_pos", "w"))
-    j = ex.join(table, "w", "left")
+    word of an Arrow batch, where its pieces are put in order.  No word leaves its
+    row; rows alike in all other columns become one, as their pieces by position."""
     keys = [c for c in df.columns if c != tokens]
-    g = j.groupBy(*keys).agg(F.array_sort(F.filter(F.collect_list(F.struct("_pos", "p")),
-                                                   lambda x: x["_pos"].isNotNull())).alias("_s"))
-    return g.select(*keys, F.flatten(F.transform("_s", lambda x: x["p"])).alias(out))
+    schema = StructType([df.schema[c] for c in keys]).add("_s", StructType.fromDDL("s array<struct<_pos:int,p:array<string>>>")["s"].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(len(keys))
+            words = lists.flatten().dictionary_encode()
+            pieces = pa.array(fn(pd.Series(words.dictionary.to_pylist(), dtype=object)).tolist(), pa.list_(pa.string()))
+            n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(n)
+            pos = pa.array((np.arange(len(words)) - np.repeat(ends - n, n)).astype(np.int32))
+            placed = pa.StructArray.from_arrays([pos, pieces.take(words.indices)], ["_pos", "p"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(keys)], pa.ListArray.from_arrays(
+                pa.array(np.r_[0, ends].astype(np.int32)), placed)], names=[*keys, "_s"])
+
+    done = df.select(*keys, tokens).mapInArrow(run, schema)
+    g = done.groupBy(*keys).agg(F.collect_list("_s").alias("_l"))
+    one = F.when(F.size("_l") == 1, F.get("_l", F.lit(0))).otherwise(F.array_sort(F.flatten("_l")))
+    return g.select(*keys, F.flatten(F.transform(one, lambda x: x["p"])).alias(out))
 
 
 def score_with(df: DataFrame, provider: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
