@@ -112,8 +112,9 @@ def q_a11(spark, sf):
     SELECT tok AS src, CAST(sid AS VARCHAR) AS tgt FROM tok
     QUALIFY row_number() OVER (PARTITION BY tok ORDER BY doc_id DESC, line_no DESC, pos DESC) = 1""", "tok"))
 def q_a12(spark, sf):
-    t = views.tok(spark, sf)
-    d = t.select(F.struct("doc_id", "line_no", "pos").alias("k"), F.concat_ws(" ", "tok", F.col("sid").cast("string")).alias("l"))
+    s = views.sent_tokens(spark, sf).filter(F.size("tokens") > 0)       # a sentence is sorted as one row of many lines
+    d = s.select(F.struct("doc_id", "line_no").alias("k"), F.array_join(F.transform(
+        "tokens", lambda t: F.concat_ws(" ", t, F.col("sid").cast("string"))), "\n").alias("l"))
     path = S.scratch_path(spark, "align")
     S.write_lines(d, "k", "l", path)
     return S.read_align(spark, path)

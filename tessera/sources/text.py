@@ -3,8 +3,8 @@
 Line numbers without a driver pass or a single-partition window: every
 line carries (file path, split start offset, in-split order); the split
 start is data (the scan's ``_metadata.file_block_start``) and the in-split
-order is the read order, so the two-phase row numbering of
-:mod:`tessera.operators.ids` gives exact 0-based file-order ids.  Content
+order is the read order, so the lines of the splits before and the place in the
+split give exact 0-based file-order ids.  Content
 is parsed with regular expressions, never evaluated.
 """
 
@@ -13,12 +13,12 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import interleave, parse_int_list, parse_spans
 from tessera.operators.ids import with_row_id
-from tessera.session import ensure_checkpoint_dir
+from tessera.session import cut_lineage, ensure_checkpoint_dir
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -34,13 +34,16 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     file = F.col("_metadata.file_path")
     in_order = F.concat(F.regexp_extract(file, r"^(.*/)[^/]*$", 1),
                         F.lpad(F.regexp_extract(file, r"/part-(\d+)[^/]*$", 1), 20, "0"), file)
-    raw = (spark.read.text(path)
-           .select(F.col("value").alias("line"), in_order.alias("_f"),
-                   F.col("_metadata.file_block_start").alias("_b"),
-                   F.monotonically_increasing_id().alias("_m")))  # in-split read order
-    r = with_row_id(raw, [F.col("_f"), F.col("_b"), F.col("_m")], fine=[F.col("_f"), F.col("_b")],
-                    coarse=[F.col("_f")], out="id")
-    return r.select("id", "line")
+    raw = cut_lineage(spark.read.text(path)
+                      .select(F.col("value").alias("line"), in_order.alias("_f"),
+                              F.col("_metadata.file_block_start").alias("_b"),
+                              F.monotonically_increasing_id().alias("_m")))  # in-split read order
+    # lines stay where they were read: a split is in one partition, so its first
+    # number and the lines of the splits before it (one row a split) give the id
+    splits = raw.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_first"))
+    before = Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("_f", "_b", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_off"))
+    return raw.join(F.broadcast(splits), ["_f", "_b"]).select((F.col("_off") + F.col("_m")).alias("id"), "line")
 
 
 def read_parallel(spark: SparkSession, paths: dict[str, str]) -> tuple[DataFrame, DataFrame]:
