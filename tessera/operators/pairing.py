@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.functions.draws import draw_ranks, shuffled_places, uniforms
 from tessera.operators.ids import prefix_sum, running_total, with_row_id
 from tessera.operators.shaping import hash_uniform
 from tessera.operators.vocab import sized_broadcast
@@ -97,10 +98,10 @@ def contrastive_negatives(df: DataFrame, key: str, length: str, n_neg: int, seed
     """J-13: ``n_neg`` negatives per position, drawn uniformly from all
     positions of the same sequence, the own one included (a sequence of one
     position draws itself)."""
-    pos = df.filter(F.col(length) > 0).select(key, F.explode(F.sequence(F.lit(0), F.col(length) - 1)).alias("pos"), length)
-    draws = pos.select(key, "pos", length, F.explode(F.sequence(F.lit(1), F.lit(n_neg))).alias("j"))
-    r = F.floor(hash_uniform(seed, key, "pos", "j") * F.col(length))
-    return draws.select(key, "pos", "j", r.alias("neg"))
+    draws = uniforms(seed, key, F.sequence(F.lit(0), F.col(length) - 1), [f":{j}" for j in range(1, n_neg + 1)])
+    each = df.filter(F.col(length) > 0).select(key, length, F.posexplode(draws).alias("_i", "_u"))
+    return each.select(key, F.floor(F.col("_i") / n_neg).cast("int").alias("pos"), (F.col("_i") % n_neg + 1).alias("j"),
+                       F.floor(F.col("_u") * F.col(length)).alias("neg"))
 
 
 def contrastive_negatives_across(df: DataFrame, batch: str, key: str, length: str, n_neg: int, seed: int) -> DataFrame:
@@ -112,9 +113,11 @@ def contrastive_negatives_across(df: DataFrame, batch: str, key: str, length: st
     w = Window.partitionBy(batch).orderBy(key)
     d = df.filter(F.col(length) > 0).select(batch, key, length)
     d = d.withColumn("_at", F.sum(length).over(w) - F.col(length)).withColumn("_all", F.sum(length).over(Window.partitionBy(batch)))
-    pos = d.select(batch, key, "_at", "_all", F.explode(F.sequence(F.lit(0), F.col(length) - 1)).alias("pos"))
-    draws = pos.select(batch, key, "pos", "_all", F.explode(F.sequence(F.lit(1), F.lit(n_neg))).alias("j"))
-    draws = draws.withColumn("_i", F.floor(hash_uniform(seed, key, "pos", "j") * F.col("_all")))
+    pos = d.select(batch, key, "_at", F.explode(F.sequence(F.lit(0), F.col(length) - 1)).alias("pos"))
+    draws = uniforms(seed, key, F.sequence(F.lit(0), F.col(length) - 1), [f":{j}" for j in range(1, n_neg + 1)])
+    draws = d.select(batch, key, "_all", F.posexplode(draws).alias("_d", "_u"))
+    draws = draws.select(batch, key, F.floor(F.col("_d") / n_neg).cast("int").alias("pos"), (F.col("_d") % n_neg + 1).alias("j"),
+                         F.floor(F.col("_u") * F.col("_all")).alias("_i"))
     target = pos.select(batch, (F.col("_at") + F.col("pos")).alias("_i"), F.col(key).alias("neg_key"), F.col("pos").alias("neg_pos"))
     return draws.join(target.hint("merge"), [batch, "_i"]).select(key, "pos", "j", "neg_key", "neg_pos")
 
@@ -151,8 +154,7 @@ def _staged_words(df: DataFrame, key: str, tokens: str, seed, marker: str = "@@"
     """Adds ``_w`` (word index per token), ``_nw`` and ``_u`` (one uniform per word)."""
     d = df.withColumn("_w", T.word_index(tokens, marker))
     d = d.withColumn("_nw", F.when(F.size("_w") == 0, 0).otherwise(F.array_max("_w") + 1))
-    return d.withColumn("_u", F.transform(F.sequence(F.lit(0), F.greatest(F.col("_nw") - 1, F.lit(0))),
-                                          lambda w: hash_uniform(seed, key, w)))
+    return d.withColumn("_u", uniforms(seed, key, F.sequence(F.lit(0), F.greatest(F.col("_nw") - 1, F.lit(0)))))
 
 
 def word_dropout(df: DataFrame, key: str, tokens: str, p: float, seed, blank: str | None = None,
@@ -185,14 +187,9 @@ def word_shuffle(df: DataFrame, key: str, tokens: str, k: float, seed, eos: str
         return df.withColumn("noised", F.col(tokens))
     if k <= 1:
         raise ValueError("shuffle distance must be > 1")
-    d = _staged_words(df, key, tokens, seed)
     fixed = F.get(F.col(tokens), F.size(tokens) - 1).eqNullSafe(F.lit(eos)) if eos is not None else F.lit(False)
-    d = d.withColumn("_n", F.size(tokens) - fixed.cast("int"))
-    d = d.withColumn("_noise", F.transform("_u", lambda u, w: F.when(w == 0, F.lit(-1.0)).otherwise(u * k)))
-    sc = _pinned(F.transform(F.arrays_zip(F.col(tokens).alias("t"), F.col("_w").alias("w")), lambda x, i: F.struct(
-        (i >= F.col("_n")).alias("end"), (x["w"] + F.element_at("_noise", x["w"] + 1) + F.lit(1e-6) * i).alias("s"),
-        x["t"].alias("t"))), arrays=["_noise"], scalars=["_n"])
-    return d.withColumn("noised", F.transform(F.array_sort(sc), lambda x: x["t"])).drop("_w", "_nw", "_u", "_noise", "_n")
+    d = df.withColumn("_order", shuffled_places(seed, key, T.word_index(tokens), k, fixed))
+    return d.withColumn("noised", _pinned(F.transform("_order", lambda i: F.get(F.col(tokens), i)), arrays=[tokens])).drop("_order")
 
 
 def add_noise(df: DataFrame, key: str, tokens: str, k: float, p_drop: float, p_blank: float, seeds: Sequence,
@@ -206,13 +203,6 @@ def add_noise(df: DataFrame, key: str, tokens: str, k: float, p_drop: float, p_b
     return d.drop("_n1", "_n2")
 
 
-def _chosen(draws: Column, count: Column) -> Column:
-    """The ``count``-th smallest (draw, index) of an array of draws: an index is
-    chosen if its pair is not above it (null, so none, for a count of 0)."""
-    pairs = F.array_sort(F.transform(draws, lambda u, i: F.struct(u.alias("u"), i.alias("i"))))
-    return F.get(pairs, (count - 1).cast("int"))
-
-
 def mask_tokens(df: DataFrame, key: str, ids: str, p: float, seed, mask_id: int, pad: int,
                 p_keep: float = 0.1, p_rand: float = 0.1, vocab_lo: int = 4, vocab_hi: int = 12,
                 ceil_count: bool = False, begins=None, replace=None) -> DataFrame:
@@ -229,24 +219,25 @@ def mask_tokens(df: DataFrame, key: str, ids: str, p: float, seed, mask_id: int,
     d = df.withColumn("_at", F.filter(first, lambda i: i.isNotNull()))
     n = F.size("_at")
     cnt = F.ceil(n * p) if ceil_count else F.floor(n * p + hash_uniform(seed, key, F.lit("n")))
-    d = d.withColumn("_cut", _chosen(F.transform("_at", lambda x, w: hash_uniform(seed, key, w)), cnt))
-    end = F.concat(F.slice("_at", 2, F.greatest(n - 1, F.lit(0))), F.array(F.size(ids)))
-    units = F.transform(F.arrays_zip(F.col("_at").alias("a"), end.alias("b")), lambda x, w: F.struct(
-        w.alias("w"), x["a"].alias("a"), F.slice(ids, x["a"] + 1, x["b"] - x["a"]).alias("t"),
-        F.coalesce(F.struct(hash_uniform(seed, key, w).alias("u"), w.alias("i")) <= F.col("_cut"), F.lit(False)).alias("on"),
-        hash_uniform(seed, key, w, F.lit("how")).alias("how")))
-    d = d.withColumn("_units", F.when(F.size(ids) > 0, units).otherwise(F.slice(units, 1, 0)))
-
-    def masked(x):
-        return F.transform(x["t"], lambda t, j: F.when(~x["on"] | (x["how"] < p_keep), t).when(
-            x["how"] < p_keep + p_rand, random_id(hash_uniform(seed, key, x["a"] + j, F.lit("rand")))).otherwise(F.lit(mask_id)))
+    d = d.withColumn("_cnt", cnt).withColumn("_rank", draw_ranks(seed, key, "_at"))
+    # the second draw of a chosen unit, null for the others
+    d = d.withColumn("_how", _pinned(F.transform("_rank", lambda r, w: F.when(
+        r < F.col("_cnt"), hash_uniform(seed, key, w, F.lit("how")))), scalars=["_cnt"]))
+    if begins is None:
+        each = F.arrays_zip(F.col(ids).alias("t"), F.col("_how").alias("how"))
+    else:
+        end = F.slice(F.concat(F.slice("_at", 2, n), F.array(F.size(ids))), 1, n)
+        each = F.flatten(F.transform(F.arrays_zip(F.col("_at").alias("a"), end.alias("b"), F.col("_how").alias("how")), lambda x: F.transform(
+            F.slice(ids, x["a"] + 1, x["b"] - x["a"]), lambda t: F.struct(t.alias("t"), x["how"].alias("how")))))
+    d = d.withColumn("_each", each)
 
-    def target(x):
-        return F.transform(x["t"], lambda t: F.when(x["on"], t).otherwise(F.lit(pad)))
+    def masked(x, i):
+        return F.when(x["how"].isNull() | (x["how"] < p_keep), x["t"]).when(
+            x["how"] < p_keep + p_rand, random_id(hash_uniform(seed, key, i, F.lit("rand")))).otherwise(F.lit(mask_id))
 
-    return (d.withColumn("masked", _pinned(F.flatten(F.transform("_units", masked)), arrays=["_units"]))
-            .withColumn("target", _pinned(F.flatten(F.transform("_units", target)), arrays=["_units"]))
-            .drop("_at", "_cut", "_units"))
+    return (d.withColumn("masked", _pinned(F.transform("_each", masked), arrays=["_each"]))
+            .withColumn("target", _pinned(F.transform("_each", lambda x: F.when(x["how"].isNotNull(), x["t"]).otherwise(F.lit(pad))), arrays=["_each"]))
+            .drop("_at", "_cnt", "_rank", "_how", "_each"))
 
 
 def mask_weighted(df: DataFrame, key: str, ids: str, weight_of, p: float, seed, mask_id: int,
@@ -257,17 +248,18 @@ def mask_weighted(df: DataFrame, key: str, ids: str, weight_of, p: float, seed,
     ln(u)/w (Efraimidis-Spirakis), ``weight_of(id)`` a Column function."""
     n = F.size(ids)
     cnt = F.greatest(F.lit(1), F.round(n * p)).cast("int")
-    keyed = F.transform(F.col(ids), lambda x, i: F.struct(
-        (-F.log(F.greatest(hash_uniform(seed, key, i), F.lit(1e-300))) / F.nullif(weight_of(x), F.lit(0.0))).alias("k"), i.alias("i"),
-        ((i == 0) | (i == n - 1) | (x.isin(*never) if never else F.lit(False))).alias("edge")))
-    d = df.withColumn("_cand", F.filter(F.array_sort(keyed), lambda s: ~s["edge"] & s["k"].isNotNull()))
+    d = df.withColumn("_u", uniforms(seed, key, ids))
+    keyed = F.transform(F.arrays_zip(F.col(ids).alias("t"), F.col("_u").alias("u")), lambda x, i: F.struct(
+        (-F.log(F.greatest(x["u"], F.lit(1e-300))) / F.nullif(weight_of(x["t"]), F.lit(0.0))).alias("k"), i.alias("i"),
+        ((i == 0) | (i == n - 1) | (x["t"].isin(*never) if never else F.lit(False))).alias("edge")))
+    d = d.withColumn("_cand", F.filter(F.sort_array(keyed), lambda s: ~s["edge"] & s["k"].isNotNull()))
     d = d.withColumn("_take", F.array_sort(F.transform(F.slice("_cand", 1, cnt), lambda s: s["i"])))
     # the chosen places in order cut the row into what lies between them
     start = F.concat(F.array(F.lit(0)), F.transform("_take", lambda i: i + 1))
     stop = F.concat("_take", F.array(n))
     d = d.withColumn("_gaps", F.transform(F.arrays_zip(start.alias("a"), stop.alias("b")), lambda x, j: F.concat(
         F.when(j > 0, F.array(F.lit(mask_id))).otherwise(F.slice(ids, 1, 0)), F.slice(ids, x["a"] + 1, x["b"] - x["a"]))))
-    return d.withColumn("masked", F.flatten("_gaps")).drop("_take", "_cand", "_gaps")
+    return d.withColumn("masked", F.flatten("_gaps")).drop("_u", "_take", "_cand", "_gaps")
 
 
 CELLS = 1_000_000      # of an alias table (four short columns) that are broadcast
