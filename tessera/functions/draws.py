@@ -144,27 +144,3 @@ def draw_ranks(seed, key, like) -> Column:
         return _lists(pa.array(rank), sizes, like)
 
     return run((F.col(key) if isinstance(key, str) else key).cast("string"), F.col(like) if isinstance(like, str) else like)
-
-
-def shuffled_places(seed, key, words, k: float, fixed) -> Column:
-    """N-03: the places of a row's tokens in the order of word number + U(0, k) (first
-    word -1) + 1e-6 * place, ``words`` being the word number of each token; the last
-    token keeps its place where ``fixed`` holds."""
-    name = str(seed)
-
-    @F.arrow_udf("array<int>")
-    def run(key: pa.Array, words: pa.Array, fixed: pa.Array) -> pa.Array:
-        heads, sizes = _batch(name, key, words)
-        word = words.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        ends, some = np.cumsum(sizes), sizes > 0
-        row = np.repeat(np.arange(len(sizes)), sizes)
-        place = np.arange(len(word)) - (ends - sizes)[row]
-        n_words = np.zeros(len(sizes), np.int64)
-        n_words[some] = word[ends[some] - 1] + 1
-        draws = _draw(heads, n_words, [""]) / 4503599627370496.0
-        noise = np.where(word == 0, -1.0, draws[(np.cumsum(n_words) - n_words)[row] + word] * k)
-        last = fixed.to_numpy(zero_copy_only=False).astype(bool)[row] & (place == sizes[row] - 1)
-        order = np.lexsort((word + noise + 1e-6 * place, last, row))
-        return _lists(pa.array(place[order].astype(np.int32)), sizes, words)
-
-    return run((F.col(key) if isinstance(key, str) else key).cast("string"), F.col(words) if isinstance(words, str) else words, fixed)
