@@ -17,9 +17,11 @@ summaries that fit one machine.
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -226,21 +228,41 @@ def greedy_batches(df: DataFrame, key: str, sizes: list[str], max_tokens=None, m
 
 
 # ------------------------------------------------------------------ D-01
+def _stream_parts(block_size: int):
+    """``(block, _start, _p)`` of rows ``(_start, tokens)``: the tokens of rows that
+    continue each other, cut at the borders of blocks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start, lists = batch.column(0).to_numpy(), batch.column(1)
+            size = lists.value_lengths().to_numpy()
+            flat = lists.flatten()
+            at = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+            new = np.flatnonzero(np.concatenate([[True], start[1:] != start[:-1] + size[:-1]])) if len(start) else []
+            for a, b in zip(new, [*new[1:], len(start)]):
+                first, n = int(start[a]), int(at[b] - at[a])
+                cuts = np.arange(first // block_size * block_size, first + n + block_size, block_size).clip(first, first + n)
+                cuts = np.unique(cuts)
+                part = pa.ListArray.from_arrays(pa.array((cuts - first).astype(np.int32)), flat.slice(int(at[a]), n))
+                yield pa.RecordBatch.from_arrays([pa.array(cuts[:-1] // block_size), pa.array(cuts[:-1]), part], names=["block", "_start", "_p"])
+    return run
+
+
 def token_blocks(df: DataFrame, tokens: str, block_size: int, order, fine=(), coarse=()) -> DataFrame:
     """D-01 ('none' mode): the corpus as one token stream cut every
     ``block_size`` tokens (last block short).  Sentence start offsets come
-    from the two-phase prefix sum; a sentence sends one slice to each block it
-    touches (not its tokens one by one), a block joins its slices in order."""
-    n = F.size(tokens).cast("long")
-    d = running_total(df.withColumn("_n", n), order, fine, coarse, value="_n", out="_start", inclusive=False)
-    d = d.filter(F.col("_n") > 0).select(tokens, "_start", "_n", F.explode(F.sequence(
-        F.floor(F.col("_start") / block_size), F.floor((F.col("_start") + F.col("_n") - 1) / block_size))).alias("block"))
-    first = F.greatest(F.col("block") * block_size - F.col("_start"), F.lit(0).cast("long"))
-    last = F.least((F.col("block") + 1) * block_size - F.col("_start"), F.col("_n"))
-    part = F.slice(tokens, (first + 1).cast("int"), (last - first).cast("int"))
-    return (d.select("block", "_start", part.alias("_p")).groupBy("block")
-            .agg(F.array_sort(F.collect_list(F.struct("_start", "_p"))).alias("_s"))
+    from the two-phase prefix sum; rows that follow each other in a sorted partition
+    are one stretch of the stream, which is cut where it lies.  Only the slices of
+    blocks that span two stretches are shuffled and joined in order."""
+    d = df.withColumn("_n", F.size(tokens).cast("long"))
+    d = running_total(d.select(F.col(tokens).alias("_t"), "_n", *[(F.col(c) if isinstance(c, str) else c).alias(f"_k{i}") for i, c in enumerate(order)]),
+                      [f"_k{i}" for i in range(len(order))], value="_n", out="_start", inclusive=False)
+    d = d.filter(F.col("_n") > 0).select("_start", "_t")
+    kind = d.schema["_t"].dataType.simpleString()
+    parts = d.mapInArrow(_stream_parts(block_size), f"block bigint, _start bigint, _p {kind}")
+    whole = F.size("_p") == block_size
+    rest = (parts.filter(~whole).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("_start", "_p"))).alias("_s"))
             .select("block", F.flatten(F.transform("_s", lambda s: s["_p"])).alias("tokens")))
+    return parts.filter(whole).select("block", F.col("_p").alias("tokens")).union(rest)
 
 
 # ------------------------------------------------------------------ E-*
