@@ -10,13 +10,15 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tessera.operators.ids import running_total, with_row_id
+from tessera.operators.ids import LOCAL_BITS, with_row_id
 from tessera.operators.shaping import hash_uniform
 from tessera.operators.vocab import sized_broadcast
+from tessera.session import cut_lineage
 
 
 def fan_out(df: DataFrame, ids: str, k: int, first_id: int) -> DataFrame:
@@ -78,23 +80,64 @@ def sampled_zip(corpora: Sequence[DataFrame], ns: Sequence[int], batch_size: int
     return pos.join(parts, ["corpus", "row"])
 
 
+def _contexts(context: int):
+    """Append ``_loc``, the tokens in the partition before each row, ``_ctx``, the
+    last ``context`` of them, and on the last row of a batch ``_n``, the tokens of the
+    batch, and ``_tail``, the last ``context`` tokens of the partition so far."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, carry = 0, None
+        for batch in batches:
+            rows, lists = batch.num_rows, batch.column(1)
+            if not rows:
+                continue
+            size = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = lists.flatten()
+            flat = flat if carry is None else pa.concat_arrays([carry, flat])
+            held = 0 if carry is None else len(carry)
+            start = held + np.cumsum(size) - size
+            n = np.minimum(start, context)
+            ends = np.cumsum(n)
+            at = np.arange(ends[-1]) + np.repeat(start - ends, n)
+            ctx = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), flat.take(pa.array(at)))
+            carry = flat.slice(max(0, len(flat) - context))
+            carry = carry.take(pa.array(np.arange(len(carry))))              # not a view of the batch
+            tail = pa.concat_arrays([pa.nulls(rows - 1, ctx.type), pa.ListArray.from_arrays(pa.array([0, len(carry)], pa.int32()), carry)])
+            loc = total + start - held
+            total += int(size.sum())
+            n = pa.array([None] * (rows - 1) + [int(size.sum())], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(loc), ctx, n, tail], names=[*batch.schema.names, "_loc", "_ctx", "_n", "_tail"])
+    return run
+
+
 def with_context(df: DataFrame, key: str, tokens: str, context: int, order, fine, coarse) -> DataFrame:
     """W-13: prepend the ``context`` tokens that precede each sentence in
-    corpus order.  Global token offsets come from the two-phase prefix sum;
-    tokens are filed under blocks of ``context`` offsets, so a sentence needs
-    at most two blocks: an equi-join plus a range test, no theta join."""
-    d = running_total(df.withColumn("_n", F.size(tokens).cast("long")), order, fine, coarse, value="_n",
-                      out="start", inclusive=False)
-    toks = d.select(F.posexplode_outer(tokens).alias("pos", "tok"), "start").filter(F.col("pos").isNotNull())
-    toks = toks.select((F.col("start") + F.col("pos")).alias("off"), "tok")
-    toks = toks.withColumn("blk", F.floor(F.col("off") / context))
-    need = d.select(key, "start", F.explode(F.array_distinct(F.array(
-        F.floor((F.col("start") - context) / context), F.floor((F.col("start") - 1) / context)))).alias("blk"))
-    ctx = (need.join(toks, "blk").filter((F.col("off") >= F.col("start") - context) & (F.col("off") < F.col("start")))
-           .groupBy(key).agg(F.array_sort(F.collect_list(F.struct("off", "tok"))).alias("_c")))
-    out = d.select(key, "start", tokens).join(ctx, key, "left")
-    return out.select(key, "start", F.coalesce(F.transform("_c", lambda x: x["tok"]),
-                                               F.array().cast("array<string>")).alias("context"), tokens)
+    corpus order.  Rows are range-partitioned and sorted once; each takes what
+    precedes it in its partition, and the first ones of a partition what the
+    partitions before it end with (``context`` tokens each, broadcast).  Rows of a
+    repeated key share their contexts, in the order of the stream; a null key has none."""
+    names = [f"_o{i}" for i in range(len(order))]
+    d = df.select(F.col(key).alias("_k"), F.col(tokens).alias("_t"), *[(F.col(c) if isinstance(c, str) else c).alias(n) for c, n in zip(order, names)])
+    d = d.repartitionByRange(*names).sortWithinPartitions(*names).select("_k", "_t", F.monotonically_increasing_id().alias("_mid"))
+    kind = d.schema["_t"].dataType
+    schema = StructType([*d.schema.fields]).add("_loc", "long").add("_ctx", kind).add("_n", "long").add("_tail", kind)
+    rows = cut_lineage(d.mapInArrow(_contexts(context), schema))
+    rows = rows.withColumn("_part", F.shiftright("_mid", LOCAL_BITS))
+    parts = rows.filter(F.col("_tail").isNotNull()).groupBy("_part").agg(F.sum("_n").alias("_n"), F.max_by("_tail", "_mid").alias("_tail"))
+    last = Window.orderBy("_part").rowsBetween(1 - context, 0)                    # one row per partition
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    full = parts.filter("_n > 0").withColumn("_after", F.flatten(F.collect_list("_tail").over(last))).select("_part", "_after")
+    parts = parts.join(full, "_part", "left").select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
+                                                     F.last("_after", ignorenulls=True).over(before).alias("_before"))
+    got = F.concat(F.coalesce("_before", F.array().cast(kind)), "_ctx")
+    got = F.when(F.size("_ctx") < context, F.slice(got, F.greatest(F.lit(1), F.size(got) - context + 1), F.lit(context))).otherwise(F.col("_ctx"))
+    out = rows.join(F.broadcast(parts), "_part").select("_k", (F.col("_off") + F.col("_loc")).alias("start"), got.alias("context"), "_t")
+    out = out.withColumn("context", F.when(F.col("_k").isNull(), F.array().cast(kind)).otherwise(F.col("context")))
+    twice = cut_lineage(rows.groupBy("_k").agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1 and _k is not null").select("_k"))
+    if not twice.isEmpty():
+        each = out.join(twice, "_k").select("_k", (F.col("start") - F.size("context")).alias("_s"), F.posexplode("context").alias("pos", "tok"))
+        shared = each.groupBy("_k").agg(F.array_sort(F.collect_list(F.struct((F.col("_s") + F.col("pos")).alias("off"), "tok"))).alias("_c"))
+        out = out.join(shared, "_k", "left").withColumn("context", F.coalesce(F.transform("_c", lambda x: x["tok"]), "context"))
+    return out.select(F.col("_k").alias(key), "start", "context", F.col("_t").alias(tokens))
 
 
 def with_kept_context(df: DataFrame, key: str, tokens: str, context: int, tokens_per_sample: int, order, pad: str = "<pad>") -> DataFrame:
