@@ -44,8 +44,17 @@ def zip_mismatch(a: DataFrame, b: DataFrame, key: str = "id") -> DataFrame:
 
 def pool_spans(feats: DataFrame, spans: DataFrame, key: str, offset: int = 0) -> DataFrame:
     """J-04: mean of per-position features over each word's inclusive span
-    (positions shifted by ``offset``).  Spans are exploded to positions and
-    equi-joined on (key, pos): no range join."""
+    (positions shifted by ``offset``).  ``feats`` has rows (key, pos, value), or
+    (key, values) with the features of positions 0, 1, ... side by side.  Arrays meet
+    the spans of their key, and a span is summed where it lies; rows are
+    equi-joined on (key, pos) with the exploded spans: no range join."""
+    if "values" in feats.columns:
+        both = spans.select(key, "spans").join(feats.select(key, "values"), key)
+        inside = lambda s: F.filter(F.slice("values", F.greatest(s["start"] + offset, F.lit(0)) + 1,      # noqa: E731
+                                            F.greatest(s["end"] + offset - F.greatest(s["start"] + offset, F.lit(0)) + 1, F.lit(0))), lambda v: v.isNotNull())
+        words = both.select(key, F.posexplode(F.transform("spans", inside)).alias("word", "_v")).filter(F.size("_v") > 0)
+        words = words.select(key, "word", F.aggregate("_v", F.lit(0.0), lambda a, v: a + v).alias("_sum"), F.size("_v").alias("_n"))
+        return words.groupBy(key, "word").agg((F.sum("_sum") / F.sum("_n")).alias("mean"))
     # the outer form keeps Spark from inferring a size(spans) > 0 filter that
     # would be pushed below the projection and re-evaluate the span builder
     sp = spans.select(key, F.posexplode_outer("spans").alias("word", "s")).filter(F.col("word").isNotNull())

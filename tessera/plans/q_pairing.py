@@ -50,8 +50,7 @@ def q_j01m(spark, sf):
 def q_j04(spark, sf):
     d = views.bpe(spark, sf).select("sid", T.tokenize("seg").alias("t")).filter(F.size("t") > 0)
     spans = d.select("sid", T.word_spans("t").alias("spans"))
-    feats = d.select("sid", F.posexplode("t").alias("pos", "tok")).select(
-        "sid", "pos", F.length("tok").cast("double").alias("value"))
+    feats = d.select("sid", F.transform("t", lambda w: F.length(w).cast("double")).alias("values"))
     return P.pool_spans(feats, spans, "sid").select("sid", "word", R("mean").alias("mean"))
 
 
