@@ -27,6 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.draws import uniforms
 from tessera.operators.ids import prefix_sum, running_in_group
 from tessera.operators.shaping import hash_uniform
 from tessera.session import cut_lineage
@@ -96,8 +97,9 @@ def _sums_at(d: DataFrame, sents: DataFrame, doc: str, idx: str, **names: str) -
 
 def _front(seed: int, side: str, cuts: Column) -> Column:
     """How many of ``cuts`` tokens go from the front."""
-    steps = F.when(cuts > 0, F.sequence(F.lit(1).cast("long"), cuts)).otherwise(F.array().cast("array<bigint>"))
-    return F.size(F.filter(steps, lambda j: hash_uniform(seed, F.lit(side), "doc", "s", j) < 0.5)).cast("long")
+    places = F.sequence(F.lit(0).cast("long"), cuts)          # a cut's draw has its number from 1 on
+    draws = uniforms(seed, F.concat_ws(":", F.lit(side), F.col("doc").cast("string"), F.col("s").cast("string")), places)
+    return F.size(F.filter(F.slice(draws, 2, cuts.cast("int")), lambda u: u < 0.5)).cast("long")
 
 
 def doc_pairs(sents: DataFrame, block: int, seed: int, short_prob: float = 0.1) -> DataFrame:
