@@ -6,17 +6,17 @@ hash.  Empty bins are filled by optimal densification (each draws bins from a
 hash of its own number until it meets a filled one).  ``ROWS`` bins make a band,
 equal bands put two texts in a bucket.
 
-Texts with equal shingle sets are one node from the start.  A bucket does not
-emit its pairs: it elects a centre, the member that meets most others over all
-its buckets (copies resemble their original more than each other), and only
-(centre, member) edges are checked, on full sets.  Buckets of at most ``FEW``
-members are compared in full.
-
-A star loses links between members that are not linked to its centre.  What two
-such members could still have in common lies outside the centre, so further
-rounds regroup them by their shingles outside the centre (``_next_members``):
-buckets that only copies with the same changes share.  Rounds end when every
-bucket holds one component.
+Texts with equal shingle sets are one node from the start.  Buckets of at most
+``FEW`` members are compared in full.  A larger bucket does not emit its pairs:
+it elects a centre, the member that meets most others over all its buckets
+(copies resemble their original more than each other), and only
+(centre, member) edges are checked, on full sets.
+
+A star loses links between members that are not both linked to its centre.  Such
+members must differ from the centre in the same shingles, so they are joined on
+these differences (``_bridges``), rarest first and only as far as a link is
+possible; the pairs left are checked on full sets, too.  So every link of two
+texts that share a bucket is found.
 
 Defined results: a null or empty text has no shingles, is linked with nothing
 and is its own component; a text of fewer words than a shingle has one shingle,
@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import LOWER, SPACE, U64, Words, cut, gram_hash, mix64, slices, small, within_row
@@ -42,9 +42,8 @@ BANDS, ROWS = 40, 5       # misses a link at 0.85 with chance 1e-10, at 0.8 with
 BINS = BANDS * ROWS
 ROWS_AT_ONCE = 2048
 BROADCAST_ROWS = 100_000     # of narrow rows (a key and a few numbers)
-FEW = 8                      # members of a bucket that are compared with each other,
-FULL = 64                    # and of a bucket of texts that share a change
-RELATED = 0.25               # share of a text's shingles that a centre must have to speak for it
+FEW = 8                      # members of a bucket that are compared with each other
+STARS = 2                    # centres of a bucket; all but the first only join members under one label
 _EDGES = np.array([(j << 64) // BINS for j in range(1, BINS)], dtype=U64)
 _BAND = mix64(np.arange(1, BINS + 1, dtype=U64)) | U64(1)
 
@@ -185,92 +184,71 @@ def quick_labels(edges: DataFrame) -> DataFrame:
     return cut(one.join(far, "label", "left").select("node", F.coalesce("far", "label").alias("label")))
 
 
-def _open(members: DataFrame, label: DataFrame | None) -> DataFrame:
-    """Members, with labels, of the buckets that hold several components and a
-    member that may still be a centre."""
-    if label is not None:
-        members = members.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    else:
-        members = members.withColumn("label", F.col("node"))
-    groups = (members.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n1"), F.max(F.col("links") > 0).alias("more"))
-              .groupBy("bucket").agg(F.count(F.lit(1)).alias("groups"), F.sum("n1").alias("size"), F.max("more").alias("more")))
-    return cut(members.join(groups.filter("groups > 1 and more").drop("more"), "bucket"))
-
-
-def _centres(large: DataFrame, stars: int) -> DataFrame:
-    """``(bucket, c, _l, _n, top)``: the member with most links of each bucket (``top``)
-    and, in later rounds, about ``stars`` more, drawn by hash."""
-    top = (large.groupBy("bucket").agg(F.max(F.struct("links", "node", "label", "n")).alias("t"))
-           .select("bucket", F.col("t.node").alias("c"), F.col("t.label").alias("_l"), F.col("t.n").alias("_n"), F.lit(True).alias("top")))
-    draw = (F.pmod(F.xxhash64("bucket", "node"), F.lit(1 << 20)) * F.col("size") < F.lit(stars << 20)) & (F.col("links") > 0)
-    more = large.filter(draw).select("bucket", F.col("node").alias("c"), F.col("label").alias("_l"), F.col("n").alias("_n"), F.lit(False).alias("top"))
-    return cut(top.union(more).groupBy("bucket", "c").agg(F.max("_l").alias("_l"), F.max("_n").alias("_n"), F.max("top").alias("top")))
-
-
 def _ordered(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def _fits(x: str, y: str, percent: int):
+    return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+
+
 def _within(few: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a (small) bucket's members that can be linked: of other
-    components, of sizes that fit and, in the bucket of a change, with enough
-    shingles inside (``links``) and outside its centre."""
-    other = few.select("bucket", F.col("node").alias("_c"), F.col("n").alias("_n"), F.col("label").alias("_l"), F.col("links").alias("_k"))
-    fits = 100 * F.least("n", "_n") >= percent * F.greatest("n", "_n")
-    most = F.least("links", "_k") + F.least(F.col("n") - F.col("links"), F.col("_n") - F.col("_k"))
-    enough = (F.col("full") == FEW) | ((100 + percent) * most >= percent * (F.col("n") + F.col("_n")))
-    return (few.join(other, "bucket").filter((F.col("node") < F.col("_c")) & (F.col("label") != F.col("_l")) & fits & enough)
-            .select(*_ordered("node", "_c")))
-
-
-def _next_members(star: DataFrame, large: DataFrame, sets: DataFrame, grown: DataFrame | None, percent: int) -> tuple[DataFrame, DataFrame]:
-    """``(bucket, node, links, every)``: what a round leaves to compare, from
-    ``star``: ``(bucket, c, node, n, nc, share, is_link)``, every member that has not
-    been a centre itself with the top centre of its bucket.  Let p be the similarity, x and y two linked texts.
-
-    Either lacks at most (1 - p) of the other's shingles.  If x shares less than
-    ``RELATED`` of its own with c, y shares less than ``far``: members below ``far`` stay
-    in their bucket for another centre, the others leave it, and pairs of members
-    that share ``RELATED`` or more are looked after centre by centre:
-
-    * If they have fewer than p / (1 + p) * (n_x + n_y) shingles of c in common at
-      most, they must meet outside c.  They share ``need`` or more shingles there,
-      so also one of each one's first (all - need + 1) in hash order: those
-      shingles become new buckets, which only copies with equal changes share.
-    * Else, as one of them is not linked to c, the other is smaller than c and
-      within ``cap`` of it: such members go to one new bucket, where ``every`` one
-      that is not linked to c (``links`` > 0) becomes a centre in time.
-
-    New buckets take their centre from the members closest to c.  ``grown`` holds
-    the (c, member) pairs so far; buckets of c are made anew only when it has met
-    new members, so the rounds end."""
-    p = percent / 100
-    far = RELATED / p + 1 - p
-    n, share = F.col("n"), F.col("share")
-    stay = large.select("bucket", "node", "links", "every", "full").join(star.filter(share >= far * n).select("bucket", "node"), ["bucket", "node"], "left_anti")
-
-    fresh = star.filter(share >= RELATED * n).select("c", "node", "n", "nc", "share", "is_link").distinct()
-    fresh = cut(fresh if grown is None else fresh.join(grown.select("c", "node"), ["c", "node"], "left_anti"))
-    grown = fresh if grown is None else grown.union(fresh)
-    related = cut(grown.join(fresh.select("c").distinct(), "c"))
-    loose = related.filter(~F.col("is_link")).select("c").distinct()
-    related = cut(related.join(loose, "c"))
+    """All pairs of a small bucket's members whose sizes fit."""
+    other = few.select("bucket", F.col("node").alias("_c"), F.col("n").alias("_n"))
+    return few.join(other, "bucket").filter((F.col("node") < F.col("_c")) & _fits("n", "_n", percent)).select(*_ordered("node", "_c"))
+
+
+def _labelled(df: DataFrame, label: DataFrame, key: str, name: str) -> DataFrame:
+    """``df`` with the label of ``key``, which is its own where it has no link."""
+    mark = label.select(F.col("node").alias(key), F.col("label").alias(name))
+    return df.join(mark, key, "left").withColumn(name, F.coalesce(name, key))
+
+
+def _bridges(star: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``(a, b)``: pairs of members of one centre that may be linked, have
+    different labels and are not both linked to the centre, from ``star``:
+    ``(c, node, n, nc, share, is_link, label)``.
+
+    A member differs from c in the shingles of c that it lacks (nc - share) and in
+    those that it has besides.  Two members x and y with ``o`` differences in
+    common share share_x + share_y - nc + o shingles, so they are linked exactly if
+
+        (100 + percent) * o >= z_x + z_y + (100 + percent) * nc,
+        z = percent * n - (100 + percent) * share.
+
+    As z >= -100 * nc, and z > -percent * nc for a member that is not linked to c,
+    such a pair has o > 0: it meets in a difference.  Differences are taken in
+    one order for all members of c, the rarest first; at the first one that x and y
+    have in common, o is at most what both have left of either kind.  Where that
+    falls short the pair is no link; a member's own rows end where no partner
+    could make up for it.  Differences that no two members of different labels
+    share, one of them not linked to c, count for no pair and are left out."""
+    whole = 100 + percent
+    star = star.withColumn("z", percent * F.col("n") - whole * F.col("share"))
+    loose = ~F.col("is_link")
+    groups = (star.groupBy("c").agg(F.min("z").alias("z_any"), F.min(F.when(loose, F.col("z"))).alias("z_loose"), F.min("label").alias("_low"), F.max("label").alias("_high"))
+              .filter(F.col("z_loose").isNotNull() & (F.col("_low") != F.col("_high"))).drop("_low", "_high"))
+    star = star.join(groups, "c").withColumn("base", whole * F.col("nc"))
+    star = star.withColumn("least", F.col("base") + F.col("z") + F.when(loose, F.col("z_any")).otherwise(F.col("z_loose")))
     mine = sets.select("node", F.col("shingles").alias("_s"))
     centre = sets.select(F.col("node").alias("c"), F.col("shingles").alias("_c"))
-    outside = related.join(mine, "node").join(centre, "c").select("c", "node", "n", "share", F.array_except("_s", "_c").alias("r"))
-    need = F.greatest(F.lit(1), F.ceil(F.lit(percent) * n / 100) - share)
-    prefix = F.slice("r", 1, F.greatest(F.lit(0), F.size("r") - need + 1).cast("int"))
-    moved = cut(outside.select("c", "node", share.cast("long").alias("links"), F.explode(prefix).alias("s"))
-                .select(F.xxhash64("c", "s").alias("bucket"), "node", "links", F.lit(False).alias("every"), F.lit(FULL).alias("full")))
-    met = moved.groupBy("bucket").agg(F.count(F.lit(1)).alias("_m")).filter("_m > 1").drop("_m")
-    moved = moved.join(met, "bucket").select("bucket", "node", "links", "every", "full")
-
-    close = related.filter(100 * share >= percent * n).withColumn("cap", share * (1 + p) / p - n)
-    bound = close.groupBy("c").agg(F.min("n").alias("low"), F.max(F.when(~F.col("is_link"), F.col("cap"))).alias("top"))
-    close = close.join(bound, "c").filter((~F.col("is_link") & (F.col("low") <= F.col("cap"))) | (n <= F.col("top")))
-    close = close.select(F.xxhash64("c", F.lit("close")).alias("bucket"), "node", F.when(F.col("is_link"), 0).otherwise(1).cast("long").alias("links"), F.lit(True).alias("every"), F.lit(FEW).alias("full"))
-    members = stay.union(moved).union(close).groupBy("bucket", "node").agg(F.max("links").alias("links"), F.max("every").alias("every"), F.max("full").alias("full"))
-    return cut(members), grown
+    kind = lambda x, extra: F.transform(x, lambda s: F.struct(s.alias("s"), F.lit(extra).alias("extra")))
+    lines = cut(star.join(mine, "node").join(centre, "c")
+                .select("c", "node", "n", "label", "is_link", "z", "base", "least",
+                        F.explode(F.concat(kind(F.array_except("_c", "_s"), 0), kind(F.array_except("_s", "_c"), 1))).alias("d"))
+                .select("*", "d.s", "d.extra").drop("d"))
+    met = (lines.groupBy("c", "s").agg(F.count(F.lit(1)).alias("held"), F.max(loose).alias("_loose"), F.min("label").alias("_low"), F.max("label").alias("_high"))
+           .filter(F.col("_loose") & (F.col("_low") != F.col("_high"))).select("c", "s", "held"))
+    rest = Window.partitionBy("c", "node").orderBy(F.col("held").desc(), F.col("s").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lines = (lines.join(met, ["c", "s"])
+             .withColumn("has", F.sum("extra").over(rest)).withColumn("lacks", F.sum(1 - F.col("extra")).over(rest))
+             .filter(whole * (F.col("has") + F.col("lacks")) >= F.col("least")))
+    lines = cut(lines.select("c", "s", "node", "n", "label", "is_link", "z", "base", "has", "lacks"))
+    other = lines.select("c", "s", *[F.col(k).alias(f"_{k}") for k in ("node", "n", "label", "is_link", "z", "has", "lacks")])
+    left = F.least("has", "_has") + F.least("lacks", "_lacks")
+    may = (F.col("label") != F.col("_label")) & (F.col("_is_link") | (F.col("node") < F.col("_node")))
+    may = may & (whole * left >= F.col("z") + F.col("_z") + F.col("base")) & _fits("n", "_n", percent)
+    return lines.filter(loose).join(other, ["c", "s"]).filter(may).select(*_ordered("node", "_node")).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5) -> DataFrame:
@@ -280,44 +258,40 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5) -> DataF
     seen = cut(sketch(docs, words))
     nodes = (seen.filter("n_shingles > 0").groupBy("node")
              .agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands")))
-    spread = nodes.select("node", "doc_id", "n", F.explode("bands").alias("bucket"))
+    spread = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     live = cut(spread.join(shared, "bucket"))
     links = live.groupBy("node").agg(F.sum("size").alias("links"))
-    members = cut(live.drop("size").join(links, "node").withColumn("every", F.lit(False)).withColumn("full", F.lit(FEW)))
-    sizes = cut(members.select("node", "doc_id", "n").distinct())
+    sizes = cut(nodes.select("node", "doc_id", "n").join(links, "node"))
     sets = full_sets(docs, sizes, words)
-    sizes = sizes.select("node", "n")
-
-    tested, edges, label, grown, stars = None, None, None, None, 0
-    while True:
-        opened = _open(members.select("bucket", "node", "links", "every", "full").join(sizes, "node"), label)
-        if not opened.limit(1).count():
+    sizes = sizes.select("node", "n", "links")
+
+    few = live.filter(F.col("size") <= FEW).select("bucket", "node").join(sizes.drop("links"), "node")
+    large = cut(live.filter(F.col("size") > FEW).select("bucket", "node").join(sizes.drop("n"), "node"))
+    pairs, tested, label, star = _within(few, percent), None, None, None
+    for turn in range(STARS):
+        top = large.groupBy("bucket").agg(F.max(F.struct("links", "node")).alias("t")).select("bucket", F.col("t.node").alias("c"))
+        large = cut(large.join(top, "bucket").filter("node != c"))
+        if turn and not large.limit(1).count():
             break
-        few, large = opened.filter(F.col("size") <= F.col("full")), opened.filter(F.col("size") > F.col("full"))
-        pairs = _within(few, percent)
-        centres = _centres(large, stars)
-        settles = F.col("top") & ~F.col("every")             # else only pairs that may be new links are of interest
-        useful = (F.col("node") != F.col("c")) & (settles | ((F.col("label") != F.col("_l")) & (
-            100 * F.least("n", "_n") >= percent * F.greatest("n", "_n"))))
-        star = cut(large.join(centres, "bucket").filter(useful).select("bucket", "c", "node", settles.alias("settles"), *_ordered("c", "node")))
-        pairs = pairs.union(star.select("a", "b")).distinct()
-        found = cut(shares(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), sets))
+        spokes = cut(large.select("c", "node").distinct())
+        pairs = spokes.select(*_ordered("c", "node")) if turn else pairs.union(spokes.select(*_ordered("c", "node")))
+        pairs = pairs.distinct() if tested is None else pairs.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        found = cut(shares(pairs, sets))
         tested = found if tested is None else tested.union(found)
-        edges = tested.filter(linked(percent)).select("a", "b")
-        label = quick_labels(edges)
-        known = tested.select("a", "b", "share", "na", "nb", linked(percent).alias("is_link"))
-        star = star.filter("settles").join(known, ["a", "b"]).select("bucket", "c", "node", F.when(F.col("a") == F.col("node"), F.col("na")).otherwise(F.col("nb")).alias("n"),
-                                                   F.when(F.col("a") == F.col("c"), F.col("na")).otherwise(F.col("nb")).alias("nc"), "share", "is_link")
-        left = cut(large.join(centres.select("bucket", F.col("c").alias("node")), ["bucket", "node"], "left_anti"))
-        if not left.limit(1).count():
-            break                      # every member of every bucket has met all others
-        star = cut(star.join(left.select("bucket", "node"), ["bucket", "node"], "left_semi"))
-        members, grown = _next_members(star, left, sets, grown, percent)
-        stars = max(4, 4 * stars)
-    if tested is not None:
-        edges = cut(edges)
-        label = components(edges) if edges.limit(1).count() else None
+        label = quick_labels(tested.filter(linked(percent)).select("a", "b"))
+        star = spokes if star is None else star
+        large = _labelled(_labelled(large, label, "node", "_l"), label, "c", "_k").filter("_l != _k").select("bucket", "node", "links")
+    known = tested.select("a", "b", "share", "na", "nb", linked(percent).alias("is_link"))
+    star = star.select("c", "node", *_ordered("c", "node")).join(known, ["a", "b"])
+    star = star.select("c", "node", F.when(F.col("a") == F.col("node"), F.col("na")).otherwise(F.col("nb")).alias("n"),
+                       F.when(F.col("a") == F.col("c"), F.col("na")).otherwise(F.col("nb")).alias("nc"), "share", "is_link")
+    star = cut(_labelled(star, label, "node", "label"))
+    if star.filter(~F.col("is_link")).limit(1).count():
+        pairs = _bridges(star, sets, percent).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        tested = tested.union(cut(shares(pairs, sets)))
+    edges = cut(tested.filter(linked(percent)).select("a", "b"))
+    label = components(edges) if edges.limit(1).count() else None
 
     first = seen.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("_first"))
     if label is not None:

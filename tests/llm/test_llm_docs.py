@@ -86,6 +86,24 @@ def test_near_duplicates_hot_group(spark):
     assert got_components(near_dedup.near_duplicates(docs, 85, 3)) == brute_components(rows, 85, 3)
 
 
+def test_near_duplicates_compares_few_pairs_of_a_hot_group(spark, monkeypatch):
+    """Compared pairs follow the members and links that no centre has, not the square of a group."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(140)]
+    rows = [(i, edited(base, rng.randrange(1, 16), rng, "e")) for i in range(500)]
+    tables = []
+    shares = near_dedup.shares
+
+    def counted(pairs, sets):
+        tables.append(shares(pairs, sets))
+        return tables[-1]
+
+    monkeypatch.setattr(near_dedup, "shares", counted)
+    got = got_components(near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), 80, 5))
+    assert got == brute_components(rows, 80, 5)
+    assert sum(t.count() for t in tables) < 10 * len(rows)
+
+
 def test_densified_signatures_estimate_similarity():
     rng = np.random.default_rng(2)
     for size in (3, 20, 2000):
