@@ -9,7 +9,8 @@ equal bands put two texts in a bucket.
 Texts with equal shingle sets are one node from the start.  Buckets of at most
 ``FEW`` members are compared in full.  A larger bucket does not emit its pairs:
 it elects a centre, the member that meets most others over all its buckets
-(copies resemble their original more than each other), and only
+(copies resemble their original more than each other), or rather takes the one
+that its members share with most other texts (``_common``), and only
 (centre, member) edges are checked, on full sets.
 
 A star loses links between members that are not both linked to its centre.  Such
@@ -184,6 +185,17 @@ def quick_labels(edges: DataFrame) -> DataFrame:
     return cut(one.join(far, "label", "left").select("node", F.coalesce("far", "label").alias("label")))
 
 
+def _common(large: DataFrame, top: DataFrame) -> DataFrame:
+    """``(bucket, c)``: of the centres in ``top``, each bucket takes the one that most
+    of its members have as theirs with the largest group, so that the buckets of a
+    group of copies share a centre; it need not be a member itself."""
+    mine = large.join(top, "bucket").select("c", "node").distinct()
+    group = mine.groupBy("c").agg(F.count(F.lit(1)).alias("m"))
+    home = mine.join(group, "c").groupBy("node").agg(F.max(F.struct("m", "c")).alias("h"))
+    votes = large.select("bucket", "node").join(home, "node").groupBy("bucket", "h").agg(F.count(F.lit(1)).alias("k"))
+    return votes.groupBy("bucket").agg(F.max(F.struct("k", "h")).alias("t")).select("bucket", F.col("t.h.c").alias("c"))
+
+
 def _ordered(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
@@ -271,6 +283,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = 5) -> DataF
     pairs, tested, label, star = _within(few, percent), None, None, None
     for turn in range(STARS):
         top = large.groupBy("bucket").agg(F.max(F.struct("links", "node")).alias("t")).select("bucket", F.col("t.node").alias("c"))
+        top = top if turn else _common(large, top)
         large = cut(large.join(top, "bucket").filter("node != c"))
         if turn and not large.limit(1).count():
             break
