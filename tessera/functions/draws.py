@@ -144,3 +144,86 @@ def draw_ranks(seed, key, like) -> Column:
         return _lists(pa.array(rank), sizes, like)
 
     return run((F.col(key) if isinstance(key, str) else key).cast("string"), F.col(like) if isinstance(like, str) else like)
+
+
+class _Words:
+    """Tokens of an Arrow batch of arrays, side by side, with the words they belong
+    to: a token that ends in ``marker`` (or is null) goes on, a row's last one ends."""
+
+    def __init__(self, seed: str, key: pa.Array, lists: pa.Array, marker: str, eos: str | None):
+        self.lists, self.seed = lists, seed
+        self.heads, self.size = _batch(seed, key, lists)
+        self.tokens = lists.flatten()
+        self.ends = np.cumsum(self.size)
+        self.starts = self.ends - self.size
+        self.row = np.repeat(np.arange(len(self.size)), self.size)
+        self.place = np.arange(len(self.tokens)) - self.starts[self.row]
+        final = self.ends[self.size > 0] - 1
+        closes = ~pc.fill_null(pc.ends_with(self.tokens, marker), True).to_numpy(zero_copy_only=False)
+        closes[final] = True
+        before = np.cumsum(closes) - closes                                  # words closed before a token, in all rows
+        words = np.zeros(len(self.size), np.int64)
+        words[self.size > 0] = (np.cumsum(closes)[final])
+        words = np.maximum.accumulate(words)
+        self.words = np.diff(np.r_[0, words])
+        self.word = before - (words - self.words)[self.row]
+        self.fixed = np.zeros(len(self.size), bool)
+        if eos is not None and len(final):
+            self.fixed[self.size > 0] = pc.fill_null(pc.equal(self.tokens.take(pa.array(final)), eos), False).to_numpy(zero_copy_only=False)
+        drawn = _draw(self.heads, self.words, [""]) / 4503599627370496.0
+        self.u = drawn[(np.cumsum(self.words) - self.words)[self.row] + self.word] if len(self.tokens) else np.zeros(0)
+
+    def taken(self, at: np.ndarray, size: np.ndarray, tokens: pa.Array | None = None) -> pa.Array:
+        return _lists((self.tokens if tokens is None else tokens).take(pa.array(at, pa.int64())), size, self.lists)
+
+
+def shuffled_words(seed, key, tokens, k: float, eos: str | None = None, marker: str = "@@") -> Column:
+    """N-03 on the arrays ``tokens``: a word's draw of :func:`uniforms` (the places
+    being word numbers) moves it by up to ``k``; the first word and a final ``eos`` stay."""
+    name = str(seed)
+
+    @F.arrow_udf("array<string>")
+    def run(key: pa.Array, tokens: pa.Array) -> pa.Array:
+        w = _Words(name, key, tokens, marker, eos)
+        end = w.fixed[w.row] & (w.place == w.size[w.row] - 1)
+        score = w.word + np.where(w.word == 0, -1.0, w.u * k) + 1e-6 * w.place
+        order = np.lexsort((score, end, w.row))
+        s, r, e = score[order], w.row[order], end[order]
+        if ((s[1:] == s[:-1]) & (r[1:] == r[:-1]) & (e[1:] == e[:-1])).any():      # equal scores: by token, null first
+            text = [(x is not None, (x or "").encode()) for x in w.tokens.to_pylist()]
+            order = np.array(sorted(order.tolist(), key=lambda i: (w.row[i], end[i], score[i], text[i])), np.int64)
+        return w.taken(order, w.size)
+
+    return F.when(F.size(_col(tokens)) > 0, run(_text(key), _col(tokens)))       # a row without tokens gives null
+
+
+def dropped_words(seed, key, tokens, p: float, blank: str | None = None, eos: str | None = None, marker: str = "@@") -> Column:
+    """N-01 / N-02 on the arrays ``tokens``: words whose draw is below ``p`` go (or
+    become ``blank``), a final ``eos`` stays; with one token or none left, a random
+    token of the row comes in front."""
+    name = str(seed)
+
+    @F.arrow_udf("array<string>")
+    def run(key: pa.Array, tokens: pa.Array) -> pa.Array:
+        w = _Words(name, key, tokens, marker, eos)
+        kept = (w.u >= p) | (w.fixed[w.row] & (w.word == w.words[w.row] - 1))
+        values = w.tokens if blank is None else pc.if_else(pa.array(kept), w.tokens, pa.scalar(blank, w.tokens.type))
+        at = np.flatnonzero(kept) if blank is None else np.arange(len(kept))
+        left = np.bincount(w.row[at], minlength=len(w.size)).astype(np.int64)
+        few = np.flatnonzero((left <= 1) & (w.size > 0))
+        u = np.array([int(hashlib.md5(w.heads[i] + b"insert", usedforsecurity=False).hexdigest()[:13], 16) for i in few.tolist()], np.int64) / 4503599627370496.0
+        extra = w.starts[few] + np.floor(u * w.size[few]).astype(np.int64)
+        at = np.insert(at, (np.cumsum(left) - left)[few], extra + (0 if blank is None else len(values)))
+        left[few] += 1
+        both = values if blank is None else pa.concat_arrays([values, w.tokens])      # an extra token is no blank
+        return w.taken(at, left, both)
+
+    return run(_text(key), _col(tokens))
+
+
+def _col(x) -> Column:
+    return F.col(x) if isinstance(x, str) else x
+
+
+def _text(key) -> Column:
+    return _col(key).cast("string")

@@ -14,8 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import text as T
-from tessera.functions.draws import draw_ranks, uniforms
+from tessera.functions.draws import draw_ranks, dropped_words, shuffled_words, uniforms
 from tessera.operators.ids import prefix_sum, running_total, with_row_id
 from tessera.operators.shaping import hash_uniform
 from tessera.operators.vocab import sized_broadcast
@@ -159,34 +158,12 @@ def _pinned(expr: Column, arrays=(), scalars=()) -> Column:
     return F.when(cond, expr)
 
 
-def _staged_words(df: DataFrame, key: str, tokens: str, seed, marker: str = "@@") -> DataFrame:
-    """Adds ``_w`` (word index per token), ``_nw`` and ``_u`` (one uniform per word)."""
-    d = df.withColumn("_w", T.word_index(tokens, marker))
-    d = d.withColumn("_nw", F.when(F.size("_w") == 0, 0).otherwise(F.array_max("_w") + 1))
-    return d.withColumn("_u", F.transform(F.sequence(F.lit(0), F.greatest(F.col("_nw") - 1, F.lit(0))),
-                                          lambda w: hash_uniform(seed, key, w)))
-
-
 def word_dropout(df: DataFrame, key: str, tokens: str, p: float, seed, blank: str | None = None,
                  eos: str | None = None) -> DataFrame:
     """N-01 / N-02: drop (or blank) whole words with probability ``p``; a
     final ``eos`` always stays.  If one token or none is left, a random token of
     the sentence is put in front."""
-    d = _staged_words(df, key, tokens, seed)
-    d = d.withColumn("_last", F.when(F.get(F.col(tokens), F.size(tokens) - 1).eqNullSafe(F.lit(eos)), F.col("_nw") - 1)
-                     .otherwise(F.lit(-1)) if eos is not None else F.lit(-1))
-    d = d.withColumn("_kw", _pinned(F.transform("_w", lambda w: (F.element_at("_u", w + 1) >= p) | (w == F.col("_last"))),
-                                    arrays=["_u"], scalars=["_last"]))
-    z = F.arrays_zip(F.col(tokens).alias("t"), F.col("_kw").alias("k"))
-    if blank is None:
-        out = F.transform(F.filter(z, lambda x: x["k"]), lambda x: x["t"])
-    else:
-        out = F.transform(z, lambda x: F.when(x["k"], x["t"]).otherwise(F.lit(blank)))
-    d = d.withColumn("_out", out)
-    extra = F.slice(tokens, (F.floor(hash_uniform(seed, key, F.lit("insert")) * F.size(tokens)) + 1).cast("int"), 1)
-    noised = F.when(F.size("_out") > 1, F.col("_out")).otherwise(F.concat(extra, F.col("_out")))
-    return d.withColumn("noised", F.when(F.size(tokens) == 0, F.col(tokens)).otherwise(noised)).drop(
-        "_w", "_nw", "_u", "_last", "_kw", "_out")
+    return df.withColumn("noised", dropped_words(seed, key, tokens, p, blank, eos))
 
 
 def word_shuffle(df: DataFrame, key: str, tokens: str, k: float, seed, eos: str | None = None) -> DataFrame:
@@ -197,14 +174,7 @@ def word_shuffle(df: DataFrame, key: str, tokens: str, k: float, seed, eos: str
         return df.withColumn("noised", F.col(tokens))
     if k <= 1:
         raise ValueError("shuffle distance must be > 1")
-    d = _staged_words(df, key, tokens, seed)
-    fixed = F.get(F.col(tokens), F.size(tokens) - 1).eqNullSafe(F.lit(eos)) if eos is not None else F.lit(False)
-    d = d.withColumn("_n", F.size(tokens) - fixed.cast("int"))
-    d = d.withColumn("_noise", F.transform("_u", lambda u, w: F.when(w == 0, F.lit(-1.0)).otherwise(u * k)))
-    sc = _pinned(F.transform(F.arrays_zip(F.col(tokens).alias("t"), F.col("_w").alias("w")), lambda x, i: F.struct(
-        (i >= F.col("_n")).alias("end"), (x["w"] + F.element_at("_noise", x["w"] + 1) + F.lit(1e-6) * i).alias("s"),
-        x["t"].alias("t"))), arrays=["_noise"], scalars=["_n"])
-    return d.withColumn("noised", F.transform(F.array_sort(sc), lambda x: x["t"])).drop("_w", "_nw", "_u", "_noise", "_n")
+    return df.withColumn("noised", shuffled_words(seed, key, tokens, k, eos))
 
 
 def add_noise(df: DataFrame, key: str, tokens: str, k: float, p_drop: float, p_blank: float, seeds: Sequence,
