@@ -9,12 +9,17 @@ sentence is computed inside its row (no shuffle).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from tessera.functions.draws import draw_ranks, dropped_words, shuffled_words, uniforms
+from tessera.functions.draws import _draw, draw_ranks, dropped_words, shuffled_words, uniforms
 from tessera.operators.ids import prefix_sum, running_total, with_row_id
 from tessera.operators.shaping import hash_uniform
 from tessera.operators.vocab import sized_broadcast
@@ -112,22 +117,99 @@ def contrastive_negatives(df: DataFrame, key: str, length: str, n_neg: int, seed
                        F.floor(F.col("_u") * F.col(length)).alias("neg"))
 
 
+ROWS_OUT = 1 << 16      # negatives in an Arrow batch
+
+
+def _whole_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by their first column, some batches of it at a time, none of them cut."""
+    held: list[pa.RecordBatch] = []
+    for rb in batches:
+        if not rb.num_rows:
+            continue
+        b = rb.column(0)
+        cut = int(np.searchsorted(pc.fill_null(pc.equal(b, b[-1]), True).to_numpy(zero_copy_only=False), True))
+        if cut or (held and held[-1].column(0)[-1] != b[0]):
+            held += [rb.slice(0, cut)] if cut else []
+            yield pa.Table.from_batches(held)
+            held = []
+        held.append(rb.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _across(seed: str, n_neg: int, schema: StructType):
+    """Rows ``(batch, key, its text, length)``, sorted, to their negatives."""
+    tags = [f":{j}" for j in range(1, n_neg + 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = to_arrow_schema(schema)
+        for t in _whole_batches(batches):
+            t = t.combine_chunks()
+            b, k, name = (t.column(i).combine_chunks() for i in range(3))
+            n = t.column(3).to_numpy().astype(np.int64)
+            new_batch = np.r_[True, _differs(b)]
+            new_key = new_batch | np.r_[True, _differs(k)]
+            first = np.flatnonzero(new_batch)
+            group = np.cumsum(new_batch) - 1
+            begin, upto = (np.cumsum(n) - n)[first], np.cumsum(n)              # of a batch; with the row
+            total = np.add.reduceat(n, first)
+            last = np.r_[np.flatnonzero(new_key)[1:] - 1, len(n) - 1]          # row of each key
+            at = upto[last[np.cumsum(new_key) - 1]] - n                        # number of a row's first position, batches side by side
+            heads = [(seed if x is None else f"{seed}:{x}").encode() + b":" for x in name.to_pylist()]
+            alone = bool(new_key.all())
+            if not alone:                       # positions of rows of one key lie over each other
+                where = np.repeat(at - (upto - n), n) + np.arange(upto[-1])
+                order = np.argsort(where, kind="stable")
+                where, holder = where[order], np.repeat(np.arange(len(n)), n)[order]
+            step = max(1, ROWS_OUT // n_neg)
+            for lo, hi in _slices(n, step):
+                size = n[lo:hi]
+                u = _draw(heads[lo:hi], size, tags) / 4503599627370496.0
+                row = np.repeat(np.arange(lo, hi), size * n_neg)
+                d = np.arange(len(row)) - np.repeat((np.cumsum(size) - size) * n_neg, size * n_neg)
+                i = begin[group[row]] + np.floor(u * total[group[row]]).astype(np.int64)
+                if alone:
+                    hit = np.searchsorted(at, i, "right") - 1
+                else:
+                    left, right = np.searchsorted(where, i, "left"), np.searchsorted(where, i, "right")
+                    many = right - left
+                    found = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(left, many)
+                    row, d, i, hit = np.repeat(row, many), np.repeat(d, many), np.repeat(i, many), holder[found]
+                columns = [k.take(pa.array(row)), pa.array(d // n_neg), pa.array(d % n_neg + 1), k.take(pa.array(hit)), pa.array(i - at[hit])]
+                for x in range(0, len(row), ROWS_OUT):
+                    part = [c.slice(x, ROWS_OUT).cast(f.type) for c, f in zip(columns, kinds)]
+                    yield pa.RecordBatch.from_arrays(part, schema=kinds)
+    return run
+
+
+def _differs(x: pa.Array) -> np.ndarray:
+    """For each element but the first whether it differs from the one before; nulls are alike."""
+    code = x.dictionary_encode().indices
+    code = pc.fill_null(code, -1).to_numpy(zero_copy_only=False)
+    return code[1:] != code[:-1]
+
+
+def _slices(n: np.ndarray, step: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with ``step`` positions or so in all."""
+    upto, lo = np.cumsum(n), 0
+    while lo < len(n):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + step, "right")))
+        yield lo, hi
+        lo = hi
+
+
 def contrastive_negatives_across(df: DataFrame, batch: str, key: str, length: str, n_neg: int, seed: int) -> DataFrame:
     """J-13, across rows: ``n_neg`` negatives ``(neg_key, neg_pos)`` per position,
     drawn uniformly from all positions of all rows of the batch, the own one
-    included.  A drawn number meets its position by an equi-join on (batch, number),
-    never by broadcast: positions are many more than the rows that Spark's estimate
-    of their size is made from."""
-    w = Window.partitionBy(batch).orderBy(key)
-    d = df.filter(F.col(length) > 0).select(batch, key, length)
-    d = d.withColumn("_at", F.sum(length).over(w) - F.col(length)).withColumn("_all", F.sum(length).over(Window.partitionBy(batch)))
-    pos = d.select(batch, key, "_at", F.explode(F.sequence(F.lit(0), F.col(length) - 1)).alias("pos"))
-    draws = uniforms(seed, key, F.sequence(F.lit(0), F.col(length) - 1), [f":{j}" for j in range(1, n_neg + 1)])
-    draws = d.select(batch, key, "_all", F.posexplode(draws).alias("_d", "_u"))
-    draws = draws.select(batch, key, F.floor(F.col("_d") / n_neg).cast("int").alias("pos"), (F.col("_d") % n_neg + 1).alias("j"),
-                         F.floor(F.col("_u") * F.col("_all")).alias("_i"))
-    target = pos.select(batch, (F.col("_at") + F.col("pos")).alias("_i"), F.col(key).alias("neg_key"), F.col("pos").alias("neg_pos"))
-    return draws.join(target.hint("merge"), [batch, "_i"]).select(key, "pos", "j", "neg_key", "neg_pos")
+    included.  Only the rows' lengths are shuffled: a task has the rows of a batch
+    together, in order, and finds a drawn number among their running lengths.  Rows
+    of one key share the running length behind them all (a range frame)."""
+    kind = df.schema[key].dataType
+    schema = StructType([StructField(key, kind), StructField("pos", IntegerType()), StructField("j", IntegerType()),
+                         StructField("neg_key", kind), StructField("neg_pos", df.schema[length].dataType)])
+    d = df.filter((F.col(length) > 0) & F.col(batch).isNotNull())
+    d = d.select(F.col(batch).alias("_b"), F.col(key).alias("_k"), F.col(key).cast("string").alias("_name"), F.col(length).alias("_n"))
+    return d.repartition("_b").sortWithinPartitions("_b", "_k").mapInArrow(_across(str(seed), n_neg, schema), schema)
 
 
 def attach_vectors(vocab: DataFrame, vectors: DataFrame, symbol: str = "symbol", word: str = "word") -> DataFrame:

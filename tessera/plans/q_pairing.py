@@ -110,7 +110,8 @@ def q_j13(spark, sf):
     e AS (SELECT *, CAST(floor({HU(67, 'sid', 'pos', 'j')} * total) AS BIGINT) AS i FROM d)
     SELECT e.sid, e.pos, e.j, p.sid AS neg_sid, p.pos AS neg_pos FROM e JOIN p ON p.batch = e.batch AND p.beg + p.pos = e.i""", "ids", "sent"))
 def q_j13_across(spark, sf):
-    d = views.ids(spark, sf).join(views.sent(spark, sf).select("sid", "doc_id", "line_no"), "sid").select("sid", "doc_id", "line_no", F.size("ids").alias("n"))
+    n = views.ids(spark, sf).select("sid", F.size("ids").alias("n"))          # ids themselves are not shuffled
+    d = n.join(views.sent(spark, sf).select("sid", "doc_id", "line_no"), "sid").select("sid", "doc_id", "line_no", "n")
     d = I.with_row_id(d, ["doc_id", "line_no"]).withColumn("batch", F.floor(F.col("row_id") / 16))
     c = P.contrastive_negatives_across(d, "batch", "sid", "n", 2, 67)
     return c.select("sid", F.col("pos").cast("long").alias("pos"), F.col("j").cast("long").alias("j"), F.col("neg_key").alias("neg_sid"), F.col("neg_pos").cast("long").alias("neg_pos"))

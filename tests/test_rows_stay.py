@@ -1,6 +1,7 @@
 """Operators on tokens that leave a row's tokens together: results on odd rows, and plans."""
 
 import contextlib
+import hashlib
 import io
 
 from pyspark.sql import functions as F
@@ -56,3 +57,22 @@ def test_lines_are_numbered_where_they_are_read(spark, tmp_path):
         assert sorted(map(tuple, got.collect())) == [(i, f"line {i}") for i in range(1000)]
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_negatives_across_shuffle_lengths_only(spark):
+    rows = [(0, 1, 3), (0, 2, 2), (1, 3, 1), (1, 3, 1), (None, 4, 2), (2, None, 2), (2, 5, 0), (2, 6, None)]
+    d = spark.createDataFrame(rows, "batch long, k long, n int").repartition(3)
+    c = P.contrastive_negatives_across(d, "batch", "k", "n", 4, 67)
+    assert "Join" not in plan(c) and "Generate" not in plan(c) and plan(c).count("Exchange") == 2
+    got, at = {}, {(0, 1): (0, 3, 0, 5), (0, 2): (3, 2, 0, 5), (1, 3): (1, 1, 1, 2), (2, None): (0, 2, 2, 2)}
+    for r in c.collect():
+        got.setdefault((r.k, r.pos, r.j), []).append((r.neg_key, r.neg_pos))
+    for (batch, k), (_, n, _, total) in at.items():
+        for pos in range(n):
+            for j in range(1, 5):
+                name = f"67:{pos}:{j}" if k is None else f"67:{k}:{pos}:{j}"
+                i = int(int(hashlib.md5(name.encode()).hexdigest()[:13], 16) / 2 ** 52 * total)
+                want = [(x, i - s) for (b, x), (s, m, _, _) in at.items() if b == batch and s <= i < s + m]
+                copies = 4 if k == 3 else 1           # rows of one key lie over each other: each draws, and is met, twice
+                assert got.pop((k, pos, j), []) == want * copies
+    assert not got
