@@ -112,11 +112,11 @@ def q_a11(spark, sf):
     SELECT tok AS src, CAST(sid AS VARCHAR) AS tgt FROM tok
     QUALIFY row_number() OVER (PARTITION BY tok ORDER BY doc_id DESC, line_no DESC, pos DESC) = 1""", "tok"))
 def q_a12(spark, sf):
-    s = views.sent_tokens(spark, sf).filter(F.size("tokens") > 0)       # a sentence is sorted as one row of many lines
-    d = s.select(F.struct("doc_id", "line_no").alias("k"), F.array_join(F.transform(
-        "tokens", lambda t: F.concat_ws(" ", t, F.col("sid").cast("string"))), "\n").alias("l"))
+    # a sentence is sorted as one row, and becomes many lines behind the sort
+    d = views.sent(spark, sf).filter(F.col("text").rlike(T.TOKEN_START)).select(F.struct("doc_id", "line_no").alias("k"), "sid", "text")
+    l = F.array_join(F.transform(T.tokenize("text"), lambda t: F.concat_ws(" ", t, F.col("sid").cast("string"))), "\n")
     path = S.scratch_path(spark, "align")
-    S.write_lines(d, "k", "l", path)
+    S.write_lines(d, "k", l.alias("l"), path)
     return S.read_align(spark, path)
 
 
@@ -159,11 +159,11 @@ def q_a17_file(spark, sf):
     SELECT row_number() OVER (ORDER BY doc_id, line_no) - 1 AS id, array_to_string(list_transform(p, lambda x: CASE WHEN x > 0.5 THEN 'OK' ELSE 'BAD' END), ' ') AS tags,
            array_to_string(list_transform(p, lambda x: printf('%.5f', x)), ' ') AS probs FROM p""", "sent_tok"))
 def q_a17_words(spark, sf):
-    s = views.sent_tokens(spark, sf)
-    gaps = F.transform(F.sequence(F.lit(0), F.size("tokens")), lambda i: (i % 7) / F.lit(6.0))
-    d = s.select("sid", F.transform("tokens", lambda x: (F.length(x) % 10) / F.lit(9.0)).alias("w"), gaps.alias("g"), F.lit(0).alias("seq"))
+    s = views.sent(spark, sf).select("sid", "text", F.lit(0).alias("seq"))
+    tokens = T.tokenize("text")
+    gaps = F.transform(F.sequence(F.lit(0), F.size(tokens)), lambda i: (i % 7) / F.lit(6.0))
     path = S.scratch_path(spark, "words")
-    S.write_word_predictions(d, "sid", "w", "g", path)
+    S.write_word_predictions(s, "sid", F.transform(tokens, lambda x: (F.length(x) % 10) / F.lit(9.0)), gaps, path)
     tags, probs = (S.read_lines(spark, f"{path}/{n}").withColumnRenamed("line", n) for n in ("tags", "probs"))
     return tags.join(probs, "id")
 

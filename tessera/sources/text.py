@@ -11,8 +11,13 @@ is parsed with regular expressions, never evaluated.
 from __future__ import annotations
 
 import os
+import re
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -31,17 +36,17 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """A-01: ``(id, line)``, id = 0-based line number over the files of
     ``path`` in file order (newline stripped).  Part files are in order of their
     part *number* (beyond 99 999 its digits grow), other files in path order."""
-    file = F.col("_metadata.file_path")
-    in_order = F.concat(F.regexp_extract(file, r"^(.*/)[^/]*$", 1),
-                        F.lpad(F.regexp_extract(file, r"/part-(\d+)[^/]*$", 1), 20, "0"), file)
     raw = cut_lineage(spark.read.text(path)
-                      .select(F.col("value").alias("line"), in_order.alias("_f"),
+                      .select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("_f"),
                               F.col("_metadata.file_block_start").alias("_b"),
-                              F.monotonically_increasing_id().alias("_m")))  # in-split read order
+                              F.monotonically_increasing_id().alias("_m")),  # in-split read order
+                      compression="zstd")
     # lines stay where they were read: a split is in one partition, so its first
     # number and the lines of the splits before it (one row a split) give the id
-    splits = raw.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_first"))
-    before = Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
+    in_order = F.concat(F.regexp_extract("_f", r"^(.*/)[^/]*$", 1),
+                        F.lpad(F.regexp_extract("_f", r"/part-(\d+)[^/]*$", 1), 20, "0"), "_f")
+    splits = raw.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_first")).withColumn("_o", in_order)
+    before = Window.orderBy("_o", "_b").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.select("_f", "_b", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_off"))
     return raw.join(F.broadcast(splits), ["_f", "_b"]).select((F.col("_off") + F.col("_m")).alias("id"), "line")
 
@@ -120,13 +125,48 @@ def _refuse(bad: DataFrame, what: str, expected: str) -> None:
         raise ValueError(f"malformed {what} line {row['id']}: expected '{expected}'")
 
 
+PAIRS = 1 << 20        # lines of which the last for each source word is taken at once
+
+
+def _last_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(id, line)`` to ``(src, tgt, id)``; of some lines with one source word side by side only the last."""
+    def reduced(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        ids, line = (t.column(c).chunk(0) for c in ("id", "line"))
+        word = r"[^ \t\n\x0B\f\r]*"
+        pair = pc.extract_regex(line, rf"^(?P<src>{word})[ \t\n\x0B\f\r]+(?P<tgt>{word})")
+        src, tgt = pair.field("src"), pair.field("tgt")
+        odd = np.flatnonzero(pair.is_null().to_numpy(zero_copy_only=False))             # bytes that are no UTF-8
+        if len(odd):
+            some = [re.match(r"([^ \t\n\x0B\f\r]*)[ \t\n\x0B\f\r]+([^ \t\n\x0B\f\r]*)", x.decode("utf-8", "replace")).groups()
+                    for x in line.cast(pa.binary()).take(pa.array(odd)).to_pylist()]
+            at = np.arange(len(line))
+            at[odd] = len(line) + np.arange(len(odd))
+            src, tgt = (pa.concat_arrays([a, pa.array(b, a.type)]).take(pa.array(at)) for a, b in zip((src, tgt), zip(*some)))
+        code = src.dictionary_encode().indices.to_numpy()
+        order = np.lexsort((ids.to_numpy(), code))
+        at = pa.array(order[np.r_[code[order][1:] != code[order][:-1], True]])
+        out = pa.table([src.take(at), tgt.take(at), ids.take(at)], names=["src", "tgt", "id"])
+        yield from out.to_batches(max_chunksize=10_000)
+
+    held, n = [], 0
+    for b in batches:
+        held, n = [*held, b], n + b.num_rows
+        if n >= PAIRS:
+            yield from reduced(held)
+            held, n = [], 0
+    if n:
+        yield from reduced(held)
+
+
 def read_align(spark: SparkSession, path: str) -> DataFrame:
     """A-12: 'src tgt' pairs; the last line for a source word wins.  A line
     without two fields fails the read."""
     lines = read_lines(spark, path)
-    p = lines.select("id", F.split(F.trim("line"), r"\s+").alias("p"))
-    _refuse(p.filter(F.size("p") < 2), "alignment", "<source> <target>")
-    return p.groupBy(F.col("p")[0].alias("src")).agg(F.max_by(F.col("p")[1], "id").alias("tgt"))
+    line = F.trim("line")
+    _refuse(lines.filter(~line.rlike(r"\s")), "alignment", "<source> <target>")
+    last = lines.select("id", line.alias("line")).mapInArrow(_last_pairs, "src string, tgt string, id bigint")
+    return last.groupBy("src").agg(F.max_by("tgt", "id").alias("tgt"))
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -153,10 +193,13 @@ def read_labels(spark: SparkSession, path: str, regression: bool = False) -> Dat
 
 
 # ------------------------------------------------------------------ sinks
-def write_lines(df: DataFrame, order: str, text: str, path: str) -> None:
+def write_lines(df: DataFrame, order: str, text: str | Column, path: str) -> None:
     """Ordered text output: a range-partitioned sort makes part files follow
-    the global order, so reading the folder back keeps the line order."""
-    df.select(order, text).orderBy(order).select(text).write.mode("overwrite").text(path)
+    the global order, so reading the folder back keeps the line order.  A ``text``
+    that is a Column is rendered behind the sort, which then samples, shuffles and
+    sorts the columns of ``df`` (give no others than needed)."""
+    rows = df.select(order, text) if isinstance(text, str) else df
+    rows.orderBy(order).select(text).write.mode("overwrite").text(path)
 
 
 def write_corpus(df: DataFrame, path: str, mode: str = "append") -> None:
@@ -183,16 +226,21 @@ def write_predictions(df: DataFrame, key: str, value: str, path: str, fmt: str =
     write_lines(predictions_lines(df, key, value, fmt), key, "line", path)
 
 
-def write_word_predictions(df: DataFrame, key: str, words: str, gaps: str, path: str, threshold: float = 0.5) -> None:
+def write_word_predictions(df: DataFrame, key: str, words: str | Column, gaps: str | Column, path: str, threshold: float = 0.5) -> None:
     """A-17 sink, word form: ``<path>/tags`` with OK or BAD and ``<path>/probs`` with
     five decimals, a sentence a line in id order: gap, word, gap, ..., word, gap.
-    The last written duplicate wins (``seq``)."""
-    last = df.groupBy(key).agg(F.max_by(F.struct(F.col(words).alias("w"), F.col(gaps).alias("g")), "seq").alias("p"))
-    last = last.select(key, interleave(F.col("p.g"), F.col("p.w")).alias("p"))
+    The last written duplicate wins (``seq``).  ``words`` and ``gaps`` may be Columns
+    of the other columns of ``df``; they are made behind the shuffle."""
+    # dealt by key ranges, rows are grouped, ordered and rendered where they are
+    other = [c for c in df.columns if c not in (key, "seq")]
+    last = df.repartitionByRange(key).groupBy(key).agg(F.max_by(F.struct(*other), "seq").alias("r")).select(key, "r.*")
+    last = last.select(key, F.col(words).alias("w") if isinstance(words, str) else words.alias("w"),
+                       F.col(gaps).alias("g") if isinstance(gaps, str) else gaps.alias("g"))
+    last = last.select(key, interleave("g", "w").alias("p"))
     tags = F.transform("p", lambda x: F.when(x > threshold, F.lit("OK")).otherwise(F.lit("BAD")))
     probs = F.transform("p", lambda x: F.format_string("%.5f", x))
     for name, column in (("tags", tags), ("probs", probs)):
-        write_lines(last.select(key, F.array_join(column, " ").alias("line")), key, "line", f"{path}/{name}")
+        write_lines(last, key, F.array_join(column, " ").alias("line"), f"{path}/{name}")
 
 
 def write_report(sources: DataFrame, hyps: DataFrame, key: str, path: str, nbest: int = 1, alignment: bool = False) -> None:
