@@ -1,17 +1,16 @@
 """Byte-pair merges (H-02): learn from a word-frequency table, apply to words.
 
-Learning works on the *distinct-word* table.  Its state is a table of pair counts
-and an inverted index pair -> word; both change only where words change:
+Learning works on the *distinct-word* table.  Its state is that table and one of pair
+counts, each written once a round; the former ones are deleted, and no word is shuffled:
 
 1. the best ``width`` pairs (count descending, then pair ascending) are candidates;
-2. the index names the words that hold one, and only those are read;
+2. a scan of the words finds those that hold one;
 3. a prefix of the candidates is accepted whose pairs are, one after the other,
    what the one-by-one learner would take (see ``_accepted``);
 4. the words that hold an accepted pair are rewritten, and the difference of their
-   old and new pairs is added to the counts; the index gets their new pairs.
+   old and new pairs is added to the counts; the other words are copied.
 
-Old index rows stay: they only name words that hold the pair no more.  The driver
-sees ``width`` candidates a round and the merges, never words.
+The driver sees ``width`` candidates a round and the merges, never words.
 
 Applying follows the rank rule (repeatedly merge the lowest-ranked adjacent
 pair present in the word) per distinct word, as a small helper inside an
@@ -20,14 +19,13 @@ Arrow UDF; words are joined back by the H-01 path.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import cut_lineage, discard, ensure_checkpoint_dir
+from tessera.session import cut_lineage, discard
 
 WIDTH = 256          # candidates a round
 
@@ -53,6 +51,14 @@ def _pairs(words: DataFrame) -> DataFrame:
     return words.select(F.explode(zipped).alias("p"), "word", "c").select("p.a", "p.b", "word", "c")
 
 
+def _holds(pairs: list[tuple[str, str]]) -> Column:
+    """Whether ``syms`` has one of ``pairs`` side by side."""
+    n = F.greatest(F.size("syms") - 1, F.lit(0))
+    name = lambda a, b: F.concat(F.length(a).cast("string"), F.lit(":"), a, b)
+    held = F.transform(F.arrays_zip(F.slice("syms", 1, n).alias("a"), F.slice("syms", 2, n).alias("b")), lambda p: name(p["a"], p["b"]))
+    return F.arrays_overlap(held, F.array(*[name(F.lit(a), F.lit(b)) for a, b in pairs]))
+
+
 def _accepted(top: list, best_new: dict, known: set[str]) -> list[tuple[str, str]]:
     """The longest prefix of the candidates ``top`` (a, b, n) that the one-by-one
     learner takes in this order.  Merging (a, b) lowers only counts of pairs that
@@ -103,13 +109,9 @@ def learn_rounds(words: DataFrame, word: str, count: str, n_merges: int, min_cou
     frequency.  Learning stops before ``n_merges`` when no pair occurs ``min_count``
     times.  An empty or null word has no pairs."""
     spark = words.sparkSession
-    home = f"{ensure_checkpoint_dir(spark).rstrip('/')}/merges-{uuid.uuid4().hex}"
-    state, index = f"{home}/words", f"{home}/index"      # appended to, round by round
-    first = words.select(F.col(word).alias("word"), F.lit(0).alias("round"), F.filter(F.split(word, ""), lambda x: x != "").alias("syms"), F.col(count).cast("long").alias("c"))
-    first.filter(F.size("syms") > 1).write.parquet(state)
-    now = spark.read.parquet(state)
-    _pairs(now).select("a", "b", "word").distinct().write.parquet(index)
-    counts = cut_lineage(_pairs(now).groupBy("a", "b").agg(F.sum("c").alias("n")))
+    first = words.select(F.col(word).alias("word"), F.filter(F.split(word, ""), lambda x: x != "").alias("syms"), F.col(count).cast("long").alias("c"))
+    state = cut_lineage(first.filter(F.size("syms") > 1))
+    counts = cut_lineage(_pairs(state).groupBy("a", "b").agg(F.sum("c").alias("n")))
     rounds: list[list[tuple[str, str]]] = []
     left = n_merges
     while left > 0:
@@ -117,30 +119,29 @@ def learn_rounds(words: DataFrame, word: str, count: str, n_merges: int, min_cou
         if not top:
             break
         pairs = spark.createDataFrame([(r.a, r.b) for r in top], "a string, b string")
-        held = spark.read.parquet(index).join(F.broadcast(pairs), ["a", "b"]).select("word").distinct()
-        old = spark.read.parquet(state).join(held, "word").groupBy("word").agg(F.max_by(F.struct("syms", "c"), "round").alias("v"))
-        touched = cut_lineage(old.select("word", "v.syms", "v.c"))
+        holds = _holds([(r.a, r.b) for r in top])
+        touched = cut_lineage(state.filter(holds))
         taken = _accepted([(r.a, r.b, r.n) for r in top], _best_new(touched, pairs), {a + b for r in rounds for a, b in r})
         merges = set(taken)
 
         def rewrite(batches: Iterator[pd.DataFrame], merges=merges) -> Iterator[pd.DataFrame]:
             for b in batches:
-                new = [merge_all(list(s), merges) for s in b["syms"]]
-                b = b.assign(new=new)
-                yield b[[len(x) != len(y) for x, y in zip(b["syms"], new)]]
+                yield b.assign(new=[merge_all(list(s), merges) for s in b["syms"]])
 
-        changed = cut_lineage(touched.mapInPandas(rewrite, "word string, syms array<string>, c bigint, new array<string>"))
-        after = changed.select("word", F.col("new").alias("syms"), "c")
+        # a word that the accepted pairs leave as it was is copied with the rest
+        done = cut_lineage(touched.mapInPandas(rewrite, "word string, syms array<string>, c bigint, new array<string>"))
         rounds.append(taken)
         left -= len(taken)
-        after.select("word", F.lit(len(rounds)).alias("round"), "syms", "c").write.mode("append").parquet(state)
-        _pairs(after).select("a", "b", "word").distinct().write.mode("append").parquet(index)
-        delta = _pairs(after).select("a", "b", F.col("c").alias("n")).unionByName(_pairs(changed).select("a", "b", (-F.col("c")).alias("n")))
+        changed = done.filter(F.size("new") != F.size("syms"))
+        after = done.select("word", F.col("new").alias("syms"), "c")
+        delta = _pairs(changed.select("word", F.col("new").alias("syms"), "c")).select("a", "b", F.col("c").alias("n")).unionByName(
+            _pairs(changed).select("a", "b", (-F.col("c")).alias("n")))
         total = counts.unionByName(delta).groupBy("a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") > 0)
-        total, spent = cut_lineage(total), [counts, touched, changed]
-        for t in spent:
+        total = cut_lineage(total)
+        rest = cut_lineage(state.filter(~holds).unionByName(after).filter(F.size("syms") > 1)) if left > 0 else None
+        for t in [counts, touched, done, state]:
             discard(t)
-        counts = total
+        counts, state = total, rest
     return rounds
 
 

@@ -213,26 +213,30 @@ def apply_word_tokenizer(df: DataFrame, tokens: str, fn: Callable[[pd.Series], p
                          out: str = "pieces") -> DataFrame:
     """H-01: a per-word tokenizer / sub-word encoder runs once per *distinct*
     word of an Arrow batch, where its pieces are put in order.  No word leaves its
-    row; rows alike in all other columns become one, as their pieces by position."""
+    row; rows alike in all other columns become one, as their pieces by position.
+    Rows meet before their words become pieces, which are not shuffled."""
     keys = [c for c in df.columns if c != tokens]
-    schema = StructType([df.schema[c] for c in keys]).add("_s", StructType.fromDDL("s array<struct<_pos:int,p:array<string>>>")["s"].dataType)
+    schema = StructType([df.schema[c] for c in keys]).add("_l", StructType.fromDDL("l array<array<struct<_pos:int,p:array<string>>>>")["l"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(len(keys))
+            rows = batch.column(len(keys))
+            lists = rows.flatten()
             words = lists.flatten().dictionary_encode()
             pieces = pa.array(fn(pd.Series(words.dictionary.to_pylist(), dtype=object)).tolist(), pa.list_(pa.string()))
             n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             ends = np.cumsum(n)
             pos = pa.array((np.arange(len(words)) - np.repeat(ends - n, n)).astype(np.int32))
             placed = pa.StructArray.from_arrays([pos, pieces.take(words.indices)], ["_pos", "p"])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:len(keys)], pa.ListArray.from_arrays(
-                pa.array(np.r_[0, ends].astype(np.int32)), placed)], names=[*keys, "_s"])
+            each = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), placed)
+            of = np.r_[0, np.cumsum(rows.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(keys)], pa.ListArray.from_arrays(pa.array(of), each)], names=[*keys, "_l"])
 
-    done = df.select(*keys, tokens).mapInArrow(run, schema)
-    g = done.groupBy(*keys).agg(F.collect_list("_s").alias("_l"))
+    # a null array counts as an empty one
+    g = df.groupBy(*keys).agg(F.collect_list(F.coalesce(tokens, F.array().cast("array<string>"))).alias("_t"))
+    done = g.mapInArrow(run, schema)
     one = F.when(F.size("_l") == 1, F.get("_l", F.lit(0))).otherwise(F.array_sort(F.flatten("_l")))
-    return g.select(*keys, F.flatten(F.transform(one, lambda x: x["p"])).alias(out))
+    return done.select(*keys, F.flatten(F.transform(one, lambda x: x["p"])).alias(out))
 
 
 def score_with(df: DataFrame, provider: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:

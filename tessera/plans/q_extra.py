@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
 from tessera.operators import extras as X
 from tessera.operators import ids as I
 from tessera.operators import knn as K
@@ -300,7 +301,10 @@ def q_h02(spark, sf):
     counts = s.select(F.explode_outer("tokens").alias("w")).filter(F.col("w").isNotNull()).groupBy("w").agg(
         F.count(F.lit(1)).alias("c"))
     merges = learn_merges(counts, "w", "c", 20)
-    seg = X.apply_word_tokenizer(s.filter(F.size("tokens") > 0), "tokens", merges_applier(merges))
+    # lines are dealt by id as they are; the operator groups their words where they then lie
+    lines = views.sent(spark, sf).filter(F.col("text").rlike(T.TOKEN_START)).select("sid", "text").repartition("sid")
+    words = lines.select("sid", F.transform(T.tokenize("text"), lambda t: F.lower(t)).alias("tokens"))
+    seg = X.apply_word_tokenizer(words, "tokens", merges_applier(merges))
     return seg.select("sid", F.array_join("pieces", " ").alias("pieces"))
 
 

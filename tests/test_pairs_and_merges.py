@@ -124,3 +124,14 @@ def test_merges_that_end_a_batch():
 
 def test_empty_words(spark):
     assert bpe.learn_merges(spark.createDataFrame([], "w string, c int"), "w", "c", 5) == []
+
+
+def test_learning_leaves_counts_only(spark):
+    import os
+
+    from tessera.session import ensure_checkpoint_dir
+    home = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(home))
+    d = spark.createDataFrame([("abab", 3), ("ababc", 2), ("cc", 2), ("x", 9), ("", 1), (None, 4)], "w string, c int")
+    assert [p for r in bpe.learn_rounds(d, "w", "c", 3) for p in r] == [("a", "b"), ("ab", "ab"), ("abab", "c")]
+    assert len(set(os.listdir(home)) - before) == 1          # no index of words, no words of former rounds

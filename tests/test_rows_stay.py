@@ -76,3 +76,9 @@ def test_negatives_across_shuffle_lengths_only(spark):
                 copies = 4 if k == 3 else 1           # rows of one key lie over each other: each draws, and is met, twice
                 assert got.pop((k, pos, j), []) == want * copies
     assert not got
+
+
+def test_word_tokenizer_does_not_shuffle_pieces(spark):
+    d = spark.createDataFrame([(1, ["ab", "c"]), (2, None)], "id long, t array<string>")
+    text = plan(X.apply_word_tokenizer(d.repartition("id"), "t", lambda w: w.map(list)))
+    assert text.count("Exchange") == 1 and text.index("MapInArrow") < text.index("Exchange")
